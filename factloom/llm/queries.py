@@ -60,3 +60,14 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op9_token_store": op9_token_store,
 }
+
+ORACLE_SQL = {
+    "op1_exact_dedup": r"""
+        WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+        SELECT doc_id,
+               first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS keep_id,
+               count(*) OVER (PARTITION BY norm) AS group_size,
+               row_number() OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) = 1 AS kept,
+               sha256(norm) AS text_sha256
+        FROM n""",
+}
