@@ -15,6 +15,12 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op2_near_dedup(spark, sf_dir):
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir))
+
+
 def op3_pii(spark, sf_dir):
     from .pii import find_pii
 
@@ -53,6 +59,7 @@ def op9_token_store(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
