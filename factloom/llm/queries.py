@@ -51,12 +51,24 @@ def op7_token_counts(spark, sf_dir):
     return token_counts(_docs(spark, sf_dir))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_docs(spark, sf_dir))
+
+
 def op9_token_store(spark, sf_dir):
     from .token_store import token_store
 
     return token_store(spark, _docs(spark, sf_dir))
 
 
+def op10_lm_scoring(spark, sf_dir):
+    from .lm_score import score_documents
+
+    return score_documents(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -65,7 +77,9 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_language": op6_language,
     "op7_token_counts": op7_token_counts,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_store": op9_token_store,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL = {
