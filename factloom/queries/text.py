@@ -1 +1,211 @@
-"""Queries."""
+"""Packed lists, text search, guards, logs and positioned words."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import documents as D
+from ..operators import profile as P
+from ..operators import text as T
+from . import query
+from .relational import r
+
+PACKED = "CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN o_orderpriority || ', ' || o_orderstatus ELSE o_orderstatus || ', rush, ' || o_orderpriority END"
+
+
+def packed(t):
+    k, p, s = F.col("o_orderkey") % 3, F.col("o_orderpriority"), F.col("o_orderstatus")
+    tags = F.when(k == 0, p).when(k == 1, F.concat(p, F.lit(", "), s)).otherwise(F.concat(s, F.lit(", rush, "), p))
+    return t("orders").select("o_orderkey", "o_totalprice", tags.alias("tags"))
+
+
+EXPLODED = f"SELECT o_totalprice, trim(unnest(string_split({PACKED}, ','))) AS value FROM orders"
+
+
+@query(f"SELECT value, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 6) AS share FROM ({EXPLODED}) GROUP BY 1")
+def multivalue_counts(t):
+    return r(T.analyze_multivalue(packed(t), "tags"), 6, "share")
+
+
+@query(f"SELECT value, count(*) AS n, round(median(o_totalprice), 4) AS median FROM ({EXPLODED}) GROUP BY 1 HAVING count(*) >= 5")
+def multivalue_stats(t):
+    return r(T.analyze_multivalue(packed(t), "tags", value_col="o_totalprice", how="median"), 4, "median")
+
+
+@query(f"""WITH p AS (SELECT {PACKED} AS v FROM orders), s AS (SELECT unnest([',', ';', '|']) AS sep), x AS (SELECT sep, v, len(string_split(v, sep)) AS k FROM p, s), w AS (SELECT sep, count(DISTINCT trim(u)) AS vocabulary FROM (SELECT sep, unnest(string_split(v, sep)) AS u FROM x) GROUP BY 1)
+    SELECT sep, round(avg(CASE WHEN contains(v, sep) THEN 1.0 ELSE 0 END), 6) AS share, count(DISTINCT k) AS part_counts, any_value(vocabulary) AS vocabulary, avg(CASE WHEN contains(v, sep) THEN 1.0 ELSE 0 END) >= 0.5 AND any_value(vocabulary) <= 100 AND count(DISTINCT k) >= 2 AS packed FROM x JOIN w USING (sep) GROUP BY 1""")
+def multivalue_detect(t):
+    return r(T.multivalue_detect(packed(t), "tags"), 6, "share")
+
+
+@query("WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) SELECT count(*) AS n_words, round(avg(CASE WHEN w IN ('that', 'with', 'dans', 'avec', 'para') THEN 1.0 ELSE 0 END), 6) AS share FROM w")
+def placeholder_share(t):
+    return r(P.placeholder_share(t("documents"), "text", ["that", "with", "dans", "avec", "para"]), 6, "share")
+
+
+@query("""WITH l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents), s AS (SELECT id, l, unnest(generate_series(0, greatest(len(l) - 1, 0), 50)) AS s FROM l)
+    SELECT id, CAST(s + 1 AS INTEGER) AS start_line, CAST(least(s + 60, len(l)) AS INTEGER) AS end_line, array_to_string(l[s + 1 : s + 60], chr(10)) AS content FROM s WHERE regexp_replace(array_to_string(l[s + 1 : s + 60], chr(10)), '\\s+', '', 'g') <> ''""")
+def chunk_lines(t):
+    return T.chunk_lines(t("documents"), "doc_id", "text")
+
+
+BM = ["license", "reserved", "rights", "trash"]
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]{{3,}}') AS t FROM documents), c AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM d), f AS (SELECT id, len(t) AS l, u AS term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS u FROM d) WHERE u IN {tuple(BM)} GROUP BY ALL),
+    g AS (SELECT term, count(*) AS df FROM f GROUP BY 1), s AS (SELECT id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len))) AS score FROM f JOIN g USING (term), c GROUP BY 1) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 10""")
+def bm25_search(t):
+    return r(T.bm25(t("documents"), "doc_id", "text", BM), 6, "score")
+
+
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS score FROM embeddings, q) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 6""")
+def cosine_topk(t):
+    e = t("embeddings")
+    return r(T.cosine_topk(e, "vec_id", "embedding", e.filter("vec_id = 0").select(F.col("embedding").alias("target"))), 6, "score")
+
+
+@query("""WITH x AS (SELECT conv_id, turn, length(text) + 1 AS size, (length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 AS hits FROM conversations),
+    w AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY hits DESC, turn) AS running, sum(size) OVER (PARTITION BY conv_id) AS total, row_number() OVER (PARTITION BY conv_id ORDER BY hits DESC, turn) AS nth FROM x)
+    SELECT conv_id, turn, CAST(hits AS INTEGER) AS hits FROM w WHERE total <= 1500 OR running <= 1500 OR nth = 1""")
+def page_budget_select(t):
+    return T.page_budget_select(t("conversations"), ["conv_id"], "turn", "text", ["the"], 1500)
+
+
+SCAN = {"licence": "licensed under the", "rights": "all rights reserved", "secret": r"password\s*=", "override": "ignore previous instructions"}
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id AS id, '{k}' AS pattern FROM documents WHERE regexp_matches(text, '(?i){p}')" for k, p in SCAN.items()))
+def injection_scan(t):
+    return T.injection_scan(t("documents"), "doc_id", "text", SCAN)
+
+
+@query(r"SELECT doc_id AS id, 'email' AS kind, unnest(regexp_extract_all(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\.[a-zA-Z0-9_.-]*[a-zA-Z0-9_]')) AS value FROM documents")
+def entity_emails(t):
+    return D.entities(t("documents"), "doc_id", "text", ["email"])
+
+
+@query(r"SELECT o_orderkey AS id, 'date' AS kind, strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders")
+def entity_dates(t):
+    return D.entities(t("orders").select("o_orderkey", F.concat(F.lit("due "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".")).alias("s")), "o_orderkey", "s", ["date"])
+
+
+@query("SELECT p_partkey AS id, 'amount' AS kind, '$' || CAST(p_size * 1000 + 1 AS VARCHAR) || '.50' AS value FROM part")
+def entity_amounts(t):
+    return D.entities(t("part").select("p_partkey", F.concat(F.lit("pay $"), (F.col("p_size") * 1000 + 1).cast("string"), F.lit(".50 now")).alias("s")), "p_partkey", "s", ["amount"])
+
+
+@query("SELECT c_custkey AS id, 'Segment' AS key, c_mktsegment AS value FROM customer UNION ALL SELECT c_custkey, 'Name', c_name FROM customer")
+def kv_pairs(t):
+    text = F.concat(F.lit("Segment: "), "c_mktsegment", F.lit(" | Name: "), "c_name", F.lit("\nSegment: again"))
+    return T.key_values(t("customer").select("c_custkey", text.alias("s")), "c_custkey", "s")
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS plain FROM pages")
+def html_entities(t):
+    from ..functions.text import ENTITIES
+
+    c = F.col("html")
+    for entity, char in ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return t("pages").select("page_id", c.alias("plain"))
+
+
+@query("SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1")
+def session_turn_counts(t):
+    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("""WITH l AS (SELECT user_id, event_id, event_type AS s, lag(event_type, 1) OVER w AS a, lag(event_type, 2) OVER w AS b, lag(event_type, 3) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, event_id, CASE WHEN s = a AND s = b THEN 'repeat' ELSE 'cycle' END AS kind FROM l WHERE (s = a AND s = b) OR (s = b AND a = c AND s <> a)""")
+def repetition_runs(t):
+    return T.repetition_runs(t("events"), ["user_id"], "event_id", F.col("event_type"))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 300) AS line FROM conversations), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(line) ORDER BY turn) AS n FROM x),
+    s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM o WHERE n = 1) SELECT conv_id, turn, line FROM s WHERE r <= 600""")
+def playbook_dedupe(t):
+    return T.playbook_dedupe(t("conversations"), ["conv_id"], "turn", "text", 600)
+
+
+@query("SELECT event_type AS s, CASE event_type WHEN 'error' THEN 'generic' END AS kind, count(*) AS n FROM events GROUP BY 1, 2")
+def error_classes(t):
+    e = t("events").withColumn("result", F.when(F.col("event_type") == "error", "Error: it failed").otherwise("fine"))
+    return e.groupBy(F.col("event_type").alias("s"), T.error_class(F.col("result")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+# Words on pages, laid out from lineitem: a line per order line, columns far apart.
+def words(t):
+    li = t("lineitem").filter("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey").dropDuplicates(["l_orderkey", "l_linenumber"])
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), c.cast("string").alias("text")) for k, c in enumerate((F.col("l_linenumber"), F.lit("flag"), F.lit("status")))])
+    return li.select("l_orderkey", "l_linenumber", F.explode(cells).alias("c")).select(
+        F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), (F.col("l_linenumber") * 10 + F.col("c.k")).alias("word_idx"), F.col("c.text").alias("text"), (F.col("c.k") * 40.0 + F.when(F.col("c.k") == 2, 100.0).otherwise(0.0)).alias("left"),
+        (F.col("l_linenumber") * 20.0).alias("top"), F.lit(36.0).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"),
+    )
+
+
+LINES = "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS doc_id, l_linenumber FROM lineitem WHERE l_linenumber <= 3"
+
+
+@query(f"WITH l AS ({LINES}), n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY l_linenumber) AS line FROM l) SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(3 AS BIGINT) AS n_words FROM n")
+def line_grouping(t):
+    return D.group_lines(words(t)).groupBy("doc_id", "line").agg(F.count("*").alias("n_words"))
+
+
+@query(f"WITH l AS ({LINES}), n AS (SELECT doc_id, l_linenumber, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_linenumber) AS BIGINT) AS line FROM l) SELECT doc_id, line, CAST(0 AS BIGINT) AS segment, l_linenumber || ' flag' AS text FROM n UNION ALL SELECT doc_id, line, 1, 'status' FROM n")
+def segment_split(t):
+    return D.segment_texts(D.segments(D.group_lines(words(t)))).select("doc_id", "line", "segment", "text")
+
+
+@query(f"SELECT DISTINCT doc_id, CAST(unnest([1, 2]) AS BIGINT) AS band, CAST(unnest([0, 180]) AS DOUBLE) AS \"left\" FROM (SELECT DISTINCT doc_id FROM ({LINES}))")
+def column_bands(t):
+    segs = D.segment_texts(D.segments(D.group_lines(words(t))))
+    return D.column_bands(segs, 400.0).select("doc_id", "band", "left")
+
+
+def cells(t):
+    """A small grid for each nation: a header, then its suppliers' first three, by key."""
+    from pyspark.sql import Window
+
+    s = t("supplier").withColumn("row", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).filter("row <= 3")
+    body = s.select(F.col("s_nationkey").alias("table_id"), "row", F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("s_name").alias("text")), F.struct(F.lit(1).alias("col"), F.when(F.col("row") == 2, "").otherwise(F.col("s_suppkey").cast("string")).alias("text")))).alias("c")).select("table_id", "row", "c.*")
+    head = s.select(F.col("s_nationkey").alias("table_id")).distinct().select("table_id", F.lit(0).alias("row"), F.explode(F.array(F.struct(F.lit(0).alias("col"), F.lit("name").alias("text")), F.struct(F.lit(1).alias("col"), F.lit("key").alias("text")))).alias("c")).select("table_id", "row", "c.*")
+    return head.union(body)
+
+
+FIRST3 = "SELECT s_nationkey AS table_id, s_name, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS row FROM supplier QUALIFY row <= 3"
+
+
+@query(f"SELECT table_id, row, s_name AS name, CASE WHEN row = 2 THEN '' ELSE CAST(s_suppkey AS VARCHAR) END AS key FROM ({FIRST3})")
+def table_records(t):
+    return D.table_records(cells(t)).select("table_id", "row", F.col("record")["name"].alias("name"), F.col("record")["key"].alias("key"))
+
+
+@query(f"""WITH n AS (SELECT table_id, count(*) AS k FROM ({FIRST3}) GROUP BY 1) SELECT table_id, k + 1 AS n_rows, CASE WHEN k + 1 = 2 OR k + 1 >= 3 THEN 1.0 ELSE 1.0 END::DOUBLE AS median_fill, CASE WHEN k = 2 THEN CASE WHEN 2.0 / 3 >= 0.6 THEN 1.0 ELSE 0.5 END ELSE 1.0 END::DOUBLE AS steady_columns, k + 1 >= 3 AS tabular FROM n""")
+def grid_tabular_test(t):
+    return D.tabular_test(cells(t))
+
+
+@query("SELECT doc_id AS quote_id, doc_id, CAST(1 AS INTEGER) AS page, CAST(1 AS INTEGER) AS line, true AS cited FROM documents WHERE length(regexp_replace(lower(string_split(text, chr(10))[1]), '[\\s,|]+', '', 'g')) > 0")
+def evidence_line_match(t):
+    d = t("documents").select("doc_id", F.split("text", "\n")[0].alias("text"))
+    lines = d.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("line"), "text")
+    quotes = d.select("doc_id", F.col("doc_id").alias("quote_id"), F.upper(F.expr("substring(text, 1, 1)")).alias("u"), F.col("text").alias("quote"), F.lit(1).alias("page")).drop("u")
+    return D.evidence_on_lines(lines, quotes).drop("text")
+
+
+def sized_lines(t):
+    return t("conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("line"), "text", F.when(F.col("turn") % 4 == 0, 14.0).otherwise(10.0).alias("size"), F.lit(False).alias("bold"))
+
+
+SIZED = "SELECT conv_id AS doc_id, turn, length(text) AS n, CASE WHEN turn % 4 = 0 THEN 14.0 ELSE 10.0 END::DOUBLE AS size FROM conversations"
+BODY = f"SELECT doc_id, size AS body FROM (SELECT doc_id, size, sum(n) AS n FROM ({SIZED}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) = 1"
+
+
+@query(BODY)
+def body_font_size(t):
+    return D.body_size(sized_lines(t))
+
+
+@query(f"SELECT doc_id, turn AS line, size >= 1.12 * body AS heading, CAST(sum(CASE WHEN size >= 1.12 * body THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY turn) AS BIGINT) AS section FROM ({SIZED}) JOIN ({BODY}) USING (doc_id)")
+def section_tree(t):
+    return D.sections(sized_lines(t)).select("doc_id", "line", "heading", "section")
