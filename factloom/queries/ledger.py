@@ -1 +1,113 @@
-"""Queries."""
+"""The ledger, claims held against it, reports and sources."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from ..ledger import EvidenceLedger
+from ..operators import aggregate as A
+from ..operators import claims
+from ..operators import report as R
+from ..plans import cleaning as plan
+from ..session import EngineSession
+from ..sources import tables
+from . import query
+from .relational import r
+
+
+def ledger_of(t) -> EvidenceLedger:
+    """The session's ledger after one ranking of priorities by value."""
+    led = EvidenceLedger()
+    ranked = A.rank_by(t("orders"), "o_orderpriority", "o_totalprice").orderBy("rank").collect()  # a row per priority
+    led.note_ranking("orders", "o_orderpriority", "o_totalprice", "sum", [(x["label"], x["value"]) for x in ranked])
+    return led
+
+
+RANKED = "SELECT o_orderpriority AS label, sum(o_totalprice) AS value, CAST(row_number() OVER (ORDER BY sum(o_totalprice) DESC) AS INTEGER) AS rank FROM orders GROUP BY 1"
+
+
+@query(f"SELECT 'orders' AS dataset, 'o_orderpriority' AS group_col, 'o_totalprice' AS value_col, 'sum' AS how, rank, label, round(value, 2) AS value FROM ({RANKED})")
+def ledger_rankings(t):
+    return r(ledger_of(t).rankings_table(t("orders").sparkSession), 2, "value")
+
+
+@query(f"SELECT label || ' ranks ' || rank || ', not within 2' AS finding FROM ({RANKED}) WHERE rank > 2")
+def claim_top_n(t):
+    led = ledger_of(t)
+    names = ", ".join(label for label, _ in led.rankings[0]["order"])
+    found = claims.check_top_n(f"The top 2 are {names}.", led)
+    return t("orders").sparkSession.createDataFrame([(x,) for x in found], "finding string")
+
+
+@query(f"SELECT 'the top 20 % make ' || CAST(round(100 * max(value) / sum(value)) AS INTEGER) || ' %, not 80 %' AS finding FROM ({RANKED})")
+def claim_share(t):
+    found = claims.check_share("The top 20 % of priorities make 80 % of value.", ledger_of(t))
+    return t("orders").sparkSession.createDataFrame([(x,) for x in found], "finding string")
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS a, n_name AS b, CAST(count(*) AS DOUBLE) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY v DESC, b) AS INTEGER) AS place, count(*) OVER (PARTITION BY a) AS levels FROM c)
+    SELECT a, b, v, place, levels, place > greatest(3, floor((levels + 1) / 2)) AS laggard FROM p WHERE levels >= 3""")
+def pairing_laggards(t):
+    both = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return claims.pairing_laggards(both, "c_mktsegment", "n_name")
+
+
+@query(f"SELECT 'o_orderpriority' AS dimension, label AS leader, round(value, 2) AS value, round(100 * value / (SELECT sum(value) FROM ({RANKED})), 4) AS share_pct FROM ({RANKED}) WHERE rank = 1")
+def kpi_rows(t):
+    return r(r(R.kpi_rows(ledger_of(t), t("orders").sparkSession), 2, "value"), 4, "share_pct")
+
+
+@query()
+def limitations(t):
+    s = EngineSession(t("orders").sparkSession)
+    s.catalog.register("lineitem", t("lineitem"), "parquet:lineitem")
+    A_ = A.grain_violations(t("lineitem"), ["l_orderkey", "l_linenumber"]).first()
+    s.ledger.note("grains", dataset="lineitem", keys=["l_orderkey", "l_linenumber"], passed=A_["repeated_keys"] == 0, extra_rows=A_["extra_rows"])
+    return R.limitations(s, "lineitem")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def scan_csv_roundtrip(t):
+    df = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{base}/roundtrip-{abs(hash(str(df.inputFiles()[:1])))}.csv"
+    tables.save(df, path)
+    return tables.load_csv(df.sparkSession, path, schema=df.schema)
+
+
+@query("SELECT 'customer' AS name, 'parquet:customer' AS source, (SELECT count(*) FROM customer) AS n_rows, CAST(5 AS INTEGER) AS n_columns UNION ALL SELECT 'orders', 'parquet:orders', (SELECT count(*) FROM orders), 6")
+def list_datasets(t):
+    s = EngineSession(t("orders").sparkSession)
+    for name in ("orders", "customer"):
+        s.catalog.register(name, t(name), f"parquet:{name}")
+    return s.catalog.listing()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey, o_totalprice LIMIT 10")
+def preview(t):
+    return tables.preview(t("orders").select("o_orderkey", "o_totalprice"), 10, ["o_orderkey", "o_totalprice"])
+
+
+@query("SELECT * FROM (VALUES ('impute', 'price'), ('impute', 'status')) v(action, \"column\") WHERE (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0) > 0")
+def diagnose_plan(t):
+    from .cleaning import holes
+
+    ops = [o for o in plan.diagnose(holes(t)) if o.action == "impute"]
+    return t("orders").sparkSession.createDataFrame([(o.action, o.columns[0]) for o in ops], "action string, column string")
+
+
+@query("""WITH h AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status FROM orders)
+    SELECT o_orderkey, round(coalesce(price, (SELECT median(price) FROM h)), 4) AS price, coalesce(status, (SELECT status FROM h WHERE status IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, status LIMIT 1)) AS status FROM h""")
+def replay_plan(t):
+    from .cleaning import holes
+
+    df = holes(t)
+    ops = [o for o in plan.diagnose(df) if o.action == "impute"]
+    return r(plan.replay(df, plan.manifest(ops))[0], 4, "price").select("o_orderkey", "price", "status")
+
+
+@query("SELECT 'o_totalprice' AS \"column\", 'double' AS dtype, count(o_totalprice) AS filled, count(DISTINCT o_totalprice) AS n_distinct FROM orders UNION ALL SELECT 'o_orderstatus', 'string', count(o_orderstatus), count(DISTINCT o_orderstatus) FROM orders")
+def column_summary(t):
+    return R.column_summary(t("orders").select("o_totalprice", "o_orderstatus"))
