@@ -97,16 +97,19 @@ def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, int, int, int
                 first, n = blocks[room].pop()
                 if not blocks[room]:
                     del blocks[room], rooms[k]
-            else:
-                room, first, n = limit, sequences, left
-                sequences += left
-            used = min(n, left)
-            out.append((length, rank, rank + used, first, limit - room))
-            if used < n:
-                put(room, first + used, n - used)
-            if room > length:
-                put(room - length, first, used)
-            rank, left = rank + used, left - used
+                used, each = min(n, left), 1
+                if used < n:
+                    put(room, first + used, n - used)
+            else:  # new sequences take as many pieces of this length as fit; the last one may take fewer
+                room, first, each = limit, sequences, min(limit // length, left)
+                used = left // each
+                sequences += used
+            for nth in range(each):
+                out.append((length, rank, rank + used, first, limit - room + nth * length))
+                rank += used
+            if room > each * length:
+                put(room - each * length, first, used)
+            left -= used * each
     return out
 
 
