@@ -26,4 +26,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import cleaning, ledger, ml, profile, relational, statistics, text, time  # noqa: F401
+    from . import cleaning, ledger, ml, profile, records, relational, statistics, text, time  # noqa: F401
