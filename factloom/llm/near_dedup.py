@@ -56,8 +56,8 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     width = min(shingle, len(h))
     total = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
-        total = mixed(total + h[k : k + len(total)] * np.uint64(MULTIPLIERS[k % 6] + 2 * (k // 6)))
-    return np.unique(total)
+        total += h[k : k + len(total)] * np.uint64(MULTIPLIERS[k % 6] + 2 * (k // 6))
+    return np.unique(mixed(total))
 
 
 def slot(h: np.ndarray) -> np.ndarray:
@@ -98,7 +98,8 @@ def _add_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
 def retained(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     """The sketch: the k first values of a set, rarer ones first."""
     k = len(s) - -(-percent * len(s) // 100) + 1
-    return s[np.lexsort((s, levels[slot(s)]))[:k]]
+    order = (levels[slot(s)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+    return s[np.argsort(order, kind="stable")[:k]]
 
 
 def _sketches(shingle: int, percent: int, shared):
@@ -171,12 +172,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     copies = known.join(classes.filter("n_copies > 1"), "label").filter("doc_id != rep").select("doc_id", "rep")
     sketches = base.filter("doc_id IS NOT NULL").mapInArrow(_sketches(shingle, percent, shared), "rep long, n int, sketch array<long>")
     sketches = sketches.join(copies.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
-    entries = sketches.select(F.explode("sketch").alias("value"), "rep", "n")
+    entries = sketches.select(F.posexplode("sketch").alias("pos", "value"), "rep", "n")
     by_value = Window.partitionBy("value")
-    members = entries.withColumns({"size": F.count("*").over(by_value), "hub": F.min("rep").over(by_value)}).filter("size > 1")
-    members = written(members, "lists")
-    fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    short = members.filter(F.col("size") <= SHORT_LIST).select("value", "rep", "n")
+    # A pair is met in the list of the first value the two share, where what follows must still reach the needed overlap.
+    # A member that cannot do so even with the list's smallest admissible partner leaves the list.
+    smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100.0))
+    rows_of_lists = entries.withColumns({"size": F.count("*").over(by_value), "least_n": F.min("n").over(by_value)}).filter("size > 1")
+    able = rows_of_lists.filter((F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + smallest))
+    members = able.withColumns({"size": F.count("*").over(by_value), "hub": F.min("rep").over(by_value)}).filter("size > 1")
+    members = written(members.select("value", "rep", "n", "pos", "size", "hub"), "lists")
+    fits = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n")))
+    short = members.filter(F.col("size") <= SHORT_LIST).select("value", "rep", "n", "pos")
     pairs = short.alias("a").join(short.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.rep") < F.col("b.rep")) & fits).select(F.col("a.rep").alias("hub"), F.col("b.rep").alias("rep"))
     long = members.filter(F.col("size") > SHORT_LIST)
     pairs = written(pairs.union(long.filter("hub != rep").select("hub", "rep")).distinct(), "pairs")
@@ -185,7 +191,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     links = written(_links(pairs, sources, shingle, percent), "verified")
     found = components(links)
     hubs, done = 1, pairs
-    long = written(long.select("value", "rep", "n"), "long-lists")
+    long = written(long.select("value", "rep", "n", "pos"), "long-lists")
     while True:  # long lists that still hold several components; each turn compares more hubs of theirs, so it ends
         placed = long.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         value = Window.partitionBy("value")
@@ -207,7 +213,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
             found, done = components(links), done.union(more)
         elif not placed.groupBy("value").count().filter(F.col("count") > hubs).head(1):
             break  # every member of every open list has been a hub: all pairs are settled
-        hubs *= 4
+        hubs *= 8
     found = written(found, "components")
     ids = known.join(classes, "label").select("doc_id", "rep").distinct()
     placed = ids.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
