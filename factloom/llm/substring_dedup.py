@@ -9,8 +9,9 @@ next smaller positions give the longest previous factor: a window has an earlier
 position lies in its run of common prefixes of at least ``length``, and the first one has a later match when the run
 has another position. Both are marked, so all copies go, as the input stands.
 
-An anchor with more than ``HOT`` different records is not laid out in one block: its windows are counted by their
-128-bit hashes, which any number of tasks can share. Rows are known by id and text hash; repeated rows share
+An anchor with more than ``HOT`` different records is not laid out in one block. Its windows are taken by ranges of ``RANGE``
+neighbouring offsets, whose common core is hashed; ranges whose core occurs once hold no repeat, the windows of
+the others are counted by their 128-bit hashes. Any number of tasks can share both counts. Rows are known by id and text hash; repeated rows share
 their result, and are repeats of each other. Null, empty and short texts are left alone.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import texts, written
 
-GRAM, HOT, BLOCK_WINDOWS = 128, 300, 20_000
+GRAM, HOT, BLOCK_WINDOWS, RANGE = 128, 300, 20_000, 17
 #: Odd bases of two rolling hashes, and their inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
@@ -117,38 +118,38 @@ def _runs(length: int):
 
 
 def _pieces(length: int):
-    """Lays out the wanted records of a text: whole, or as window hashes where their anchor is hot."""
-    names = ["anchor", "w1", "w2", "doc_id", "h", "first", "single", "data"]
+    """Lays out the wanted records of a text: whole, or as ranges of window hashes under their core's hash where their anchor is hot."""
+    names = ["anchor", "k1", "k2", "w1", "w2", "doc_id", "h", "first", "single", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, hs = b.column("doc_id"), b.column("h")
-            rows, anchor, w1, w2, first, single, data = [], [], [], [], [], [], []
+            out: list[tuple] = []
             for i, (raw, wanted) in enumerate(zip(b.column("data"), b.column("wanted").to_pylist(), strict=True)):
                 raw = raw.as_py()
-                text, rolling = np.frombuffer(raw, np.uint8), None
+                rolling: tuple[Rolling, ...] = ()
                 for r in wanted:
                     if r["m"] <= HOT:
-                        rows.append(i), anchor.append(r["anchor"]), w1.append(None), w2.append(None)
-                        first.append(r["first"]), single.append(r["c"] == 1), data.append(raw[r["first"] : r["last"] + length])
+                        out.append((i, r["anchor"], None, None, None, None, r["first"], r["c"] == 1, raw[r["first"] : r["last"] + length]))
                         continue
-                    rolling = rolling or (Rolling(text), Rolling(text, 1))
+                    rolling = rolling or tuple(Rolling(np.frombuffer(raw, np.uint8), which) for which in (0, 1))
                     starts = np.arange(r["first"], r["last"] + 1)
-                    n = len(starts)
-                    rows += [i] * n
-                    anchor += [r["anchor"]] * n
-                    w1 += rolling[0].of(starts, starts + length).view(np.int64).tolist()
-                    w2 += rolling[1].of(starts, starts + length).view(np.int64).tolist()
-                    first += starts.tolist()
-                    single += [r["c"] == 1] * n
-                    data += [None] * n
-                if len(rows) > 50_000 or i == b.num_rows - 1:
-                    at = pa.array(rows, pa.int64())
+                    w1, w2 = (x.of(starts, starts + length).view(np.int64) for x in rolling)
+                    part = (r["at"] - starts) // RANGE
+                    for k in np.unique(part):
+                        mine = part == k
+                        a = np.array([r["at"] - RANGE * k])
+                        k1, k2 = (int(x.of(a, a + length - RANGE + 1).view(np.int64)[0]) for x in rolling)
+                        out.append((i, r["anchor"], k1, k2, w1[mine].tolist(), w2[mine].tolist(), int(starts[mine][0]), r["c"] == 1, None))
+                if out and (len(out) > 20_000 or i == b.num_rows - 1):
+                    at, anchor, k1, k2, w1, w2, first, single, data = zip(*out, strict=True)
+                    rows = pa.array(at, pa.int64())
+                    hashes = pa.list_(pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor, pa.int64()), pa.array(w1, pa.int64()), pa.array(w2, pa.int64()), ids.take(at), hs.take(at), pa.array(first, pa.int32()), pa.array(single, pa.bool_()), pa.array(data, pa.binary())],
+                        [pa.array(anchor, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(w1, hashes), pa.array(w2, hashes), ids.take(rows), hs.take(rows), pa.array(first, pa.int32()), pa.array(single, pa.bool_()), pa.array(data, pa.binary())],
                         names=names,
                     )
-                    rows, anchor, w1, w2, first, single, data = [], [], [], [], [], [], []
+                    out = []
 
     return run
 
@@ -231,25 +232,28 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_stretches(base: DataFrame, length: int) -> DataFrame:
     """doc_id, h, s, e: byte intervals made of repeated windows; ``base`` has doc_id, h and data."""
     long = base.filter(F.length("data") >= length)
-    runs = long.mapInArrow(_runs(length), "doc_id long, h long, first int, last int, at int, anchor long, content long").drop("at")
+    runs = long.mapInArrow(_runs(length), "doc_id long, h long, first int, last int, at int, anchor long, content long")
     runs = written(runs, "records")
     many = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("n > 1")
-    shared = written(runs.join(many, "anchor").select("doc_id", "h", "first", "last", "anchor", "content", (F.col("lo") == F.col("hi")).alias("equal")), "shared")
+    shared = written(runs.join(many, "anchor").select("doc_id", "h", "first", "last", "at", "anchor", "content", (F.col("lo") == F.col("hi")).alias("equal")), "shared")
     cover = lambda df: df.select("doc_id", "h", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
     mixed_rows = shared.filter("NOT equal")
-    contents = written(mixed_rows.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "first", "last")).alias("one")), "contents")
+    contents = written(mixed_rows.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "first", "last", "at")).alias("one")), "contents")
     twice = mixed_rows.join(contents.filter("c > 1").select("anchor", "content"), ["anchor", "content"])
     sizes = contents.groupBy("anchor").agg(F.count("*").alias("m"))
     wanted = (
         contents.join(sizes, "anchor")
         .groupBy(F.col("one.doc_id").alias("w_id"), F.col("one.h").alias("w_h"))
-        .agg(F.collect_list(F.struct("anchor", F.col("one.first").alias("first"), F.col("one.last").alias("last"), "c", "m")).alias("wanted"))  # records of one text
+        .agg(F.collect_list(F.struct("anchor", F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.at").alias("at"), "c", "m")).alias("wanted"))  # records of one text
     )
     laid = long.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "data", "wanted")
-    pieces = written(laid.mapInArrow(_pieces(length), "anchor long, w1 long, w2 long, doc_id long, h long, first int, single boolean, data binary"), "pieces")
+    pieces = written(laid.mapInArrow(_pieces(length), "anchor long, k1 long, k2 long, w1 array<long>, w2 array<long>, doc_id long, h long, first int, single boolean, data binary"), "pieces")
     cold = pieces.filter("data IS NOT NULL").select("anchor", "doc_id", "h", "first", "single", "data").repartition("anchor").sortWithinPartitions("anchor")
     solved = cold.mapInArrow(_blocks(length), "doc_id long, h long, s int, e int")
-    hot = pieces.filter("data IS NULL").select("w1", "w2", "doc_id", "h", "first", "single")
+    ranges = pieces.filter("data IS NULL").drop("anchor", "data")
+    cores = ranges.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    window = F.posexplode(F.arrays_zip("w1", "w2")).alias("nth", "w")
+    hot = ranges.join(cores, ["k1", "k2"]).select("doc_id", "h", "first", "single", window).select("doc_id", "h", (F.col("first") + F.col("nth")).alias("first"), "single", "w.w1", "w.w2")
     again = hot.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1")
     counted = hot.filter("single").join(again, ["w1", "w2"]).select("doc_id", "h", F.col("first").alias("s"), (F.col("first") + length).alias("e"))
     return cover(shared.filter("equal")).union(cover(twice)).union(solved).union(counted)
