@@ -133,8 +133,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     base = texts(docs, id_col, text_col)
     encoder = Encoder.of(tokenizer)
     width = 2 if encoder.library.get_vocab_size() <= 65_536 else 4
+    # For the dictionary only: the ids of least hash are found first, so no more than their texts reaches the driver.
+    chosen = base.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
+    sample = base.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.substring("text", 1, SAMPLE_CHARS // 100).alias("text")).limit(SAMPLE_DOCS)
     some, chars = [], 0
-    for r in base.orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS // 100).alias("text")).collect():  # for the dictionary only
+    for r in sample.collect():
         if chars < SAMPLE_CHARS:
             some.append(r["text"])
             chars += len(r["text"])
