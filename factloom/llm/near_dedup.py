@@ -9,7 +9,7 @@ whatever the order: no link can be missed. The inverted lists of retained values
 Short lists give all their pairs. A longer list is compared with hubs, not with itself: its least member first, then, while it still
 holds several components, growing numbers of members of its smallest components, until none is left to compare. Each pair is estimated on
 the sketch of the union (its least ``SKETCH`` values) and, unless that rules it out, verified on full sets.
-Links are joined into components in Spark.
+Links are joined into components in Spark. Sides that grow with the corpus are merge-joined at every size, never broadcast.
 
 Null, empty and blank texts have an empty set, link with nothing and stay. Repeated rows are equal sets. An
 empty table gives an empty result.
@@ -153,7 +153,7 @@ def _verify(shingle: int, percent: int):
 def _links(pairs: DataFrame, sources: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Verified links among ``pairs`` (hub, rep): each text goes to the hubs it is compared with."""
     wanted = pairs.union(pairs.select("hub", F.col("hub").alias("rep"))).distinct()
-    rows = wanted.join(sources, "rep").repartition("hub").sortWithinPartitions("hub", F.col("hub") != F.col("rep"))
+    rows = wanted.hint("merge").join(sources, "rep").repartition("hub").sortWithinPartitions("hub", F.col("hub") != F.col("rep"))
     return rows.select("hub", "rep", "text").mapInArrow(_verify(shingle, percent), "a long, b long")
 
 
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     classes = written(known.groupBy("label").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     copies = known.join(classes.filter("n_copies > 1"), "label").filter("doc_id != rep").select("doc_id", "rep")
     sketches = base.filter("doc_id IS NOT NULL").mapInArrow(_sketches(shingle, percent, shared), "rep long, n int, sketch array<long>")
-    sketches = sketches.join(copies.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
+    sketches = sketches.join(copies.select(F.col("doc_id").alias("rep")).hint("merge"), "rep", "left_anti")
     entries = sketches.select(F.posexplode("sketch").alias("pos", "value"), "rep", "n")
     by_value = Window.partitionBy("value")
     # A pair is met in the list of the first value the two share, where what follows must still reach the needed overlap.
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     long = members.filter(F.col("size") > SHORT_LIST)
     pairs = written(pairs.union(long.filter("hub != rep").select("hub", "rep")).distinct(), "pairs")
     candidates = pairs.select(F.col("hub").alias("rep")).union(pairs.select("rep")).distinct()
-    sources = written(base.withColumnRenamed("doc_id", "rep").join(candidates, "rep").dropDuplicates(["rep"]), "candidates")
+    sources = written(base.withColumnRenamed("doc_id", "rep").join(candidates.hint("merge"), "rep").dropDuplicates(["rep"]), "candidates")
     links = written(_links(pairs, sources, shingle, percent), "verified")
     found = components(links)
     hubs, done = 1, pairs
@@ -209,15 +209,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
         )
         more = written(more.join(done, ["hub", "rep"], "left_anti"), "pairs")
         if more.head(1):
-            links = written(links.union(_links(more, sources, shingle, percent)), "verified")
-            found, done = components(links), done.union(more)
+            done = done.union(more)
+            new = written(_links(more, sources, shingle, percent), "verified")
+            if new.head(1):
+                links = links.union(new)
+                found = components(links)
         elif not placed.groupBy("value").count().filter(F.col("count") > hubs).head(1):
             break  # every member of every open list has been a hub: all pairs are settled
         hubs *= 8
     found = written(found, "components")
     ids = known.join(classes, "label").select("doc_id", "rep").distinct()
     placed = ids.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = rows.join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = rows.join(placed.hint("merge"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
