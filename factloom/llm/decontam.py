@@ -33,12 +33,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def shingles(df: DataFrame, array: str, keep: list[str]) -> DataFrame:
+def shingles(df: DataFrame, array: str, keep: list[str], width: int = SHINGLE) -> DataFrame:
     """A row per shingle of ``array``: keep, pos, shingle (hash). Shifted copies are zipped, so the work stays in generated code."""
     n = F.size(array)
-    shifted = [F.slice(array, k + 1, F.greatest(n - (SHINGLE - 1), F.lit(1))).alias(f"w{k}") for k in range(SHINGLE)]
+    shifted = [F.slice(array, k + 1, F.greatest(n - (width - 1), F.lit(1))).alias(f"w{k}") for k in range(width)]
     row = F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w")
-    return df.filter(n > 0).select(*keep, row).select(*keep, "pos", F.xxhash64(*[F.coalesce(f"w.w{k}", F.lit("")) for k in range(SHINGLE)]).alias("shingle"))
+    return df.filter(n > 0).select(*keep, row).select(*keep, "pos", F.xxhash64(*[F.coalesce(f"w.w{k}", F.lit("")) if k < width else F.lit("") for k in range(SHINGLE)]).alias("shingle"))
 
 
 def simhash(df: DataFrame, key: list[str]) -> DataFrame:
@@ -77,6 +77,9 @@ def contamination(
     base = docs.select(row_key(id_col, text_col).alias("key"), words(F.col(text_col)).alias("dw"))
     rows = shingles(base.withColumn("doc_words", F.size("dw")), "dw", ["key", "doc_words"])
     hits = rows.join(bounded(item_rows.select("item_id", "item_words", "shingle", F.col("pos").alias("item_pos"))), "shingle")
+    for width in [r[0] for r in item_sizes.filter(F.col("item_words") < SHINGLE).select("item_words").distinct().collect()]:  # at most four
+        whole = item_rows.filter(F.col("item_words") == width).select("item_id", "item_words", "shingle", F.col("pos").alias("item_pos"))
+        hits = hits.union(shingles(base.withColumn("doc_words", F.size("dw")), "dw", ["key", "doc_words"], width).join(bounded(whole), "shingle"))
     latest = F.greatest(F.col("doc_words") - F.col("item_words"), F.lit(0))
     # Per document and item: distinct shared shingles, and the aligned starts.
     found = (
