@@ -328,6 +328,17 @@ def test_lm_scores(spark, docs):
     assert mean(pattern) > before + 1 and mean(pattern) > mean(shuffled)
 
 
+def test_lm_scores_do_not_depend_on_layout(spark):
+    """Neither the number of partitions nor the order of rows bears on the scores."""
+    common.ship(spark)
+    rng = random.Random(12)
+    texts = [(i, prose(rng, rng.randint(0, 900))) for i in range(120)]
+    few, many = (
+        {r["doc_id"]: r["log_likelihood"] for r in lm_score.score_documents(spark.createDataFrame(t, "doc_id long, text string").repartition(n)).collect()} for n, t in ((1, texts), (9, texts[::-1]))
+    )
+    assert few == many and len(few) == 120
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     made = [
