@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -339,6 +340,28 @@ def test_lm_scores_do_not_depend_on_layout(spark):
     assert few == many and len(few) == 120
 
 
+def test_lm_scores_tell_rare_words_apart(spark):
+    """Words beyond the network's own have their share of the class in the whole corpus, by the full word table."""
+    common.ship(spark)
+    own = [f"w{k}" for k in range(lm_score.WORDS)]
+    texts = [(k, " ".join(own)) for k in range(9)] + [(20 + k, "rareing é rareing") for k in range(3)] + [(30, "w1 w2 rareing w3 w4"), (31, "w1 w2 onceing w3 w4"), (31, "w1 w2 onceing w3 w4"), (32, "w1 w2 w9 w3 w4")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = by_id(lm_score.score_documents(docs))
+    assert got[30][0]["log_likelihood"] - got[31][0]["log_likelihood"] == pytest.approx(math.log(7 / 2), abs=1e-4)
+    assert got[31][0] == got[31][1]
+    vocabulary, weights = lm_score.train(docs)
+    counts = collections.Counter(w for _, t in texts for w in lm_score.words_of(t))
+    classes = collections.Counter()
+    for w, n in counts.items():
+        if w not in vocabulary:
+            classes[lm_score.ending(w)] += n
+    assert len(vocabulary) == lm_score.WORDS and len(counts) > len(vocabulary)
+    for i, t in texts:
+        target, context, _ = next(lm_score.batches_of([t], vocabulary))
+        shares = [math.log(counts[w] / classes[lm_score.ending(w)]) for w in lm_score.words_of(t) if w not in vocabulary]
+        assert got[i][0]["log_likelihood"] == pytest.approx(float(lm_score.forward(weights, target, context).astype(float).sum()) + sum(shares), rel=1e-5)
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     made = [
