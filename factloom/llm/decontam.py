@@ -2,8 +2,9 @@
 
 Words are the lower-cased runs of letters and digits. Windows of a benchmark item's size in words are laid on a document where one of
 its shingles (five words; a shorter item is one shingle) is also an item's: at that alignment. Any window
-that is similar enough shares shingles with its item, so none is missed for want of an anchor; documents
-that hold under 0.8 of an item's distinct shingles cannot reach the threshold and are left out for it.
+that is similar enough shares shingles with its item, so none is missed for want of an anchor. An item's
+occurrences of the shingles that a document shares bound what any window has in common with it: documents
+where they are under 0.8 of the item's shingles cannot reach the threshold and are left out for it.
 
 Windows and items get 64-bit SimHash fingerprints over their weighted shingles (weight: occurrences).
 ``BLOCKS`` blocks of the fingerprint form the index: by the pigeonhole principle every fingerprint pair within
@@ -70,7 +71,7 @@ def contamination(
     items = items.withColumn("item_words", F.size("iw"))
     item_rows = written(shingles(items, "iw", ["item_id", "item_words"]), "items")
     item_bag = item_rows.groupBy("item_id", "shingle").agg(F.count("*").alias("item_n"))
-    item_sizes = item_rows.groupBy("item_id", "item_words").agg(F.count("*").alias("item_size"), F.countDistinct("shingle").alias("item_distinct"))
+    item_sizes = item_rows.groupBy("item_id", "item_words").agg(F.count("*").alias("item_size"))
     small = item_rows.count() <= BROADCAST_ROWS
     bounded = F.broadcast if small else (lambda df: df)
 
@@ -81,12 +82,12 @@ def contamination(
         whole = item_rows.filter(F.col("item_words") == width).select("item_id", "item_words", "shingle", F.col("pos").alias("item_pos"))
         hits = hits.union(shingles(base.withColumn("doc_words", F.size("dw")), "dw", ["key", "doc_words"], width).join(bounded(whole), "shingle"))
     latest = F.greatest(F.col("doc_words") - F.col("item_words"), F.lit(0))
-    # Per document and item: distinct shared shingles, and the aligned starts.
+    # Per document and item: the item's places whose shingle is shared (its own counts of the shared ones), and the aligned starts.
     found = (
         hits.groupBy("key", "item_id", "item_words")
-        .agg(F.countDistinct("shingle").alias("shared"), F.collect_set(F.least(F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0)), latest)).alias("starts"))
+        .agg(F.countDistinct("item_pos").alias("shared"), F.collect_set(F.least(F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0)), latest)).alias("starts"))
         .join(bounded(item_sizes), ["item_id", "item_words"])
-        .filter(F.col("shared") >= threshold * F.col("item_distinct"))
+        .filter(F.col("shared") >= threshold * F.col("item_size"))
     )
     windows = found.select("key", "item_words", F.explode("starts").alias("start")).distinct()
     lists = written(windows.groupBy("key").agg(F.collect_list(F.struct("item_words", "start")).alias("windows")), "windows")

@@ -306,6 +306,27 @@ def test_decontamination(spark, docs, rows):
     assert not got[500][0]["kept"] and not got[511][0]["kept"] and got[512][0]["kept"]
 
 
+def test_decontamination_of_repeated_phrases(spark):
+    """Items that repeat shingles are measured by occurrences, and found by them."""
+    rng = random.Random(13)
+    items = [(0, "again " * 30 + "a b"), (1, "yes or no? " * 12 + prose(rng, 3)), (2, prose(rng, 20) + " la" * 25 + " end of it"), (3, "x y " * 4 + prose(rng, 40))]
+    texts = [(0, prose(rng, 20) + " " + "again " * 30 + "c d " + prose(rng, 20)), (1, "again " * 12), (2, "yes or no? " * 13 + "maybe"), (3, "so: " + "yes or no? " * 6), (4, prose(rng, 9) + " la" * 60), (5, items[2][1] + " x"), (6, "x y " * 40), (7, "again " * 200)]
+    got = by_id(decontam.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    hits = {}
+    for i, t in texts:
+        best = {}
+        for k, s in items:
+            dw, iw = words(t), words(s)
+            bag = collections.Counter(shingled(iw))
+            for a in range(max(1, len(dw) - len(iw) + 1)):
+                window = collections.Counter(shingled(dw[a : a + len(iw)]))
+                best[k] = max(best.get(k, 0), sum((window & bag).values()) / sum((window | bag).values()))
+        hits[i] = {k: v for k, v in best.items() if v >= 0.8}
+        assert (got[i][0]["kept"], got[i][0]["n_items"]) == (not hits[i], len(hits[i])), (i, best)
+        assert not hits[i] or got[i][0]["similarity"] == pytest.approx(max(hits[i].values()))
+    assert 0 in hits[0] and 1 in hits[2] and not hits[1]
+
+
 def test_lm_scores(spark, docs):
     got = by_id(lm_score.score_documents(docs))
     r = got[0]
