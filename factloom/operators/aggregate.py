@@ -144,4 +144,4 @@ def imputed_share(df: DataFrame, group_col: str, marker: str) -> DataFrame:
 
 def measures(df: DataFrame, keys: list[str]) -> list[str]:
     """Number columns that are not keys nor named like ids."""
-    return [c for c in numeric_columns(df) if c not in keys and not c.lower().endswith(("id", "key", "zip", "year"))][:8]
+    return [c for c in numeric_columns(df) if c not in keys and not c.lower().endswith(("id", "key", "zip", "year"))]

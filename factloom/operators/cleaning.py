@@ -154,28 +154,32 @@ def standardize_categories(df: DataFrame, column: str) -> DataFrame:
 def fuzzy_merge(df: DataFrame, column: str, threshold: float | None = None) -> DataFrame:
     """Labels with one entity key merge; with a threshold also similar ones of equal digits and first letter.
 
-    The second pass compares labels, at most the limit of them, greedily by frequency.
+    The second pass compares labels greedily by frequency. Only labels of equal digits and first letter can merge, so each
+    such block is dealt with on its own, on the executors; there is no limit of labels.
     """
-    from difflib import SequenceMatcher
-
-    from ..limits import LIMITS
-
     merged = _respelled(df, column, _spelling(df, column, text.entity_key(F.col("_label"))))
     if threshold is None:
         return merged
-    counts = merged.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"), F.first(text.digits(F.col(column))).alias("d"))
-    rows = counts.orderBy(F.desc("n"), column).limit(LIMITS.fuzzy_labels + 1).collect()
-    if len(rows) > LIMITS.fuzzy_labels:
-        return merged
-    chosen: list = []
-    mapping = []
-    for r in rows:
-        same = (k for k in chosen if k["d"] == r["d"] and k[column][:1].lower() == r[column][:1].lower() and SequenceMatcher(None, k[column].lower(), r[column].lower()).ratio() >= threshold)
-        if found := next(same, None):
-            mapping.append((r[column], found[column]))
-        else:
-            chosen.append(r)
-    return _respelled(merged, column, df.sparkSession.createDataFrame(mapping, "_label string, _best string")) if mapping else merged
+    counts = merged.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_label")).agg(F.count("*").alias("_n"))
+    blocks = counts.withColumns({"_digits": text.digits(F.col("_label")), "_first": F.lower(F.substring("_label", 1, 1))})
+
+    def choose(pdf):
+        from difflib import SequenceMatcher
+
+        import pandas as pd
+
+        chosen, mapping = [], []
+        for label in (r[1] for r in sorted(zip(-pdf["_n"], pdf["_label"], strict=True))):
+            for k in chosen:
+                m = SequenceMatcher(None, k.lower(), label.lower())
+                if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold:  # the first two are upper bounds
+                    mapping.append((label, k))
+                    break
+            else:
+                chosen.append(label)
+        return pd.DataFrame(mapping, columns=["_label", "_best"])
+
+    return _respelled(merged, column, blocks.groupBy("_digits", "_first").applyInPandas(choose, "_label string, _best string"))
 
 
 def cross_field(df: DataFrame, a: str, b: str) -> DataFrame:

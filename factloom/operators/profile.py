@@ -9,6 +9,9 @@ from ..functions import dates, text
 from ..functions.frames import date_columns, numeric_columns, text_columns, wide_to_rows
 from ..limits import LIMITS
 
+#: Formulas tested in one pass over all rows.
+FORMULAS_A_PASS = 200
+
 
 def profile(df: DataFrame) -> DataFrame:
     """column, n_rows, non_null, nulls and distinct values of every column."""
@@ -126,25 +129,30 @@ def roles(df: DataFrame) -> DataFrame:
 
 
 def derived_formulas(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Triples c = a * b or c = a + b that hold in every complete row, all tested in one pass (at most the limit of columns)."""
-    columns = (columns or numeric_columns(df))[: LIMITS.driver_candidates]
-    made: list[tuple[str, str, str, str, Column]] = []
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            for c in columns:
-                if c not in (a, b):
-                    for op, value in (("*", F.col(a).cast("double") * F.col(b)), ("+", F.col(a).cast("double") + F.col(b))):
-                        made.append((c, a, op, b, F.abs(F.col(c) - value) <= 1e-9 * F.abs(value)))
+    """Triples c = a * b or c = a + b that hold in every complete row; what a probe leaves is tested in passes of FORMULAS_A_PASS."""
+    import numpy as np
+
+    columns = columns or numeric_columns(df)
     whole = df.select(*columns).dropna()
-    # A probe of 200 rows leaves few candidates for the pass over all rows.
-    probe = whole.limit(200).agg(*[F.bool_and(m[4]).alias(str(k)) for k, m in enumerate(made)]).first()
-    left = [m for k, m in enumerate(made) if probe[str(k)]]
-    schema = "target string, a string, op string, b string"
-    if not left:
-        return df.sparkSession.createDataFrame([], schema)
-    wide = whole.agg(*[F.bool_and(m[4]).alias(f"f{k}") for k, m in enumerate(left)], F.count("*").alias("n"))
-    cells = [F.struct(*[F.lit(x).alias(name) for x, name in zip(m[:4], ("target", "a", "op", "b"), strict=True)], F.col(f"f{k}").alias("holds")) for k, m in enumerate(left)]
-    return wide.filter("n >= 5").select(F.explode(F.array(*cells)).alias("x")).select("x.*").filter("holds").drop("holds")
+    # A probe of 200 rows, tested on the driver, leaves few candidates for the passes over all rows.
+    probe = np.array([tuple(r) for r in whole.select(*[F.col(c).cast("double") for c in columns]).limit(200).collect()], np.float64).reshape(-1, len(columns))
+    left: list[tuple[str, str, str, str, Column]] = []
+    for i, a in enumerate(columns if len(probe) else []):
+        for j, b in enumerate(columns[i:], i):
+            for op in "*+":
+                with np.errstate(all="ignore"):
+                    seen = probe[:, i] * probe[:, j] if op == "*" else probe[:, i] + probe[:, j]
+                    holds = (np.abs(probe - seen[:, None]) <= 1e-9 * np.abs(seen)[:, None]).all(axis=0)
+                value = F.col(a).cast("double") * F.col(b) if op == "*" else F.col(a).cast("double") + F.col(b)
+                left += [(c, a, op, b, F.abs(F.col(c) - value) <= 1e-9 * F.abs(value)) for c, h in zip(columns, holds, strict=True) if h and c not in (a, b)]
+    out = df.sparkSession.createDataFrame([], "target string, a string, op string, b string")
+    for at in range(0, len(left), FORMULAS_A_PASS):
+        part = left[at : at + FORMULAS_A_PASS]
+        wide = whole.agg(*[F.bool_and(m[4]).alias(f"f{k}") for k, m in enumerate(part)], F.count("*").alias("n"))
+        cells = [F.struct(*[F.lit(x).alias(name) for x, name in zip(m[:4], ("target", "a", "op", "b"), strict=True)], F.col(f"f{k}").alias("holds")) for k, m in enumerate(part)]
+        rows = wide.filter("n >= 5").select(F.explode(F.array(*cells)).alias("x")).select("x.*").filter("holds").drop("holds")
+        out = out.union(rows) if at else rows
+    return out
 
 
 def placeholder_share(df: DataFrame, column: str, lexicon: list[str]) -> DataFrame:

@@ -157,6 +157,13 @@ def fuzzy_merge_entity(t):
     return C.fuzzy_merge(t("customer").select("c_custkey", F.when(k < 1, F.concat(s, F.lit(" Corporation"))).otherwise(F.concat(s, F.lit(" corp"))).alias("firm")), "firm")
 
 
+@query()
+def fuzzy_merge_similar(t):
+    """Some parts' names lack a letter; the choice among similar labels is greedy, which SQL does not express."""
+    name = F.when(F.col("p_partkey") % 10 == 0, F.expr("left(p_name, length(p_name) - 1)")).otherwise(F.col("p_name"))
+    return C.fuzzy_merge(t("part").select("p_partkey", F.concat(name, F.lit(" "), "p_brand").alias("label")), "label", 0.95)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_shipdate, o_orderdate, CASE WHEN l_shipdate < o_orderdate THEN 0 ELSE 1 END AS l_shipdate_vs_o_orderdate_valid FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def cross_field(t):
     both = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_shipdate", "o_orderdate")

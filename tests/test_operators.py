@@ -190,3 +190,20 @@ def test_results_do_not_depend_on_partitions(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("g"), (F.col("id") * 37 % 101).cast("double").alias("v"))
     runs = [sorted(map(tuple, A.rank_by(df.repartition(n), "g", "v").collect())) for n in (1, 4, 16)]
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_fuzzy_merge_has_no_limit_of_labels(spark):
+    names = [f"{chr(97 + k % 26)}{'qwertyuiop'[k % 10] * 3}{k}" for k in range(700)]
+    df = spark.createDataFrame([(n,) for n in names] + [("Acme Widgets",)] * 3 + [("Acme Widgest",)], "n string")
+    got = {r["n"] for r in C.fuzzy_merge(df, "n", 0.8).collect()}
+    assert got == {*names, "Acme Widgets"}
+
+
+def test_all_measures_and_columns_are_tested(spark):
+    from factloom.operators.aggregate import measures
+
+    cols = [f"m{k}" for k in range(45)]
+    df = spark.range(12).select("id", *[F.rand(k).alias(c) for k, c in enumerate(cols[:-1])]).withColumn("m44", F.col("m42") * F.col("m43"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    assert measures(df, ["id"]) == cols
+    assert [tuple(r) for r in P.derived_formulas(df, cols).collect()] == [("m44", "m42", "*", "m43")]
