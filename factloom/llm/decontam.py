@@ -1,19 +1,22 @@
 """Benchmark decontamination by SimHash of item-sized windows; DataFrame operations only.
 
-Words are the lower-cased runs of letters and digits. Windows of a benchmark item's size in words are laid on a document where one of
-its shingles (five words; a shorter item is one shingle) is also an item's: at that alignment. Any window
-that is similar enough shares shingles with its item, so none is missed for want of an anchor. An item's
-occurrences of the shingles that a document shares bound what any window has in common with it: documents
-where they are under 0.8 of the item's shingles cannot reach the threshold and are left out for it.
-
-Windows and items get 64-bit SimHash fingerprints over their weighted shingles (weight: occurrences).
-``BLOCKS`` blocks of the fingerprint form the index: by the pigeonhole principle every fingerprint pair within
-radius BLOCKS - 1 agrees in a block. At similarity 0.8 two fingerprints differ in about 10 bits, rarely over 20
-and never in practice over 31, the radius used. Pairs within the radius are verified by exact weighted
-Jaccard similarity.
+Words are the lower-cased runs of letters and digits; a shingle is five words (a shorter item is one shingle). A window of an
+item's size in words is similar to it when their bags of shingles have a weighted Jaccard similarity of 0.8 or more.
+
+Windows are laid where they can be similar. Moving a window to the right until its first shingle is one of the item's loses
+nothing they share, so only windows that begin at such a place (or end with the document) need a test; of them, those
+whose places that hold the item's shingles are too few for the threshold are left out. Both steps are exact: if any window of
+a document is similar, one that is laid is.
+
+Windows and items get 64-bit SimHash fingerprints over their features: a shingle with its number of occurrence, so that the
+weighted similarity of bags is the similarity of feature sets. ``blocks`` is the multi-index: an item size has a radius and one
+block more, so by the pigeonhole principle every fingerprint pair within the radius agrees in a block. The radius follows from
+the item's length: for its count of shingles the largest angle that the threshold allows, as a share of 64 bits, and
+``DEVIATIONS`` standard deviations more (items of under five shingles must be equal: radius 0). At most about one in 10,000 of the
+windows exactly at the threshold lies beyond. Pairs of windows and items that the blocks yield are verified by exact similarity.
 
 Null and empty texts and items hold nothing and are clean. Repeated rows share their result. Documents shorter
-than an item are one window. Ties go to the item that sorts first.
+than an item are one window. Ties go to the item that sorts first. Empty tables give empty results, or clean documents.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import row_key, written
 
-SHINGLE, THRESHOLD, BLOCKS, BITS = 5, 0.8, 32, 64
-#: Benchmark shingles up to this count are broadcast (about 40 bytes each); more are shuffled.
+SHINGLE, THRESHOLD, BITS, DEVIATIONS = 5, 0.8, 64, 5.5
+#: The benchmark's shingles are broadcast up to this count (about 40 bytes each) and shuffled beyond; results are the same.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -56,13 +59,32 @@ def simhash(df: DataFrame, key: list[str]) -> DataFrame:
     return sums.select(*key, "size", reduce(Column.bitwiseOR, [*low, *high]).alias("fingerprint"))
 
 
+def with_radius(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``df`` with radius: bits by which fingerprints of an item of ``item_words`` words and of a similar window may differ."""
+    n = f"greatest(1, item_words - {SHINGLE - 1})"
+    overlap = f"ceil({threshold / (1 + threshold)!r}D * (m + {n}) - 1e-9D)"  # what sets of m and n features must share
+    feasible = f"filter(sequence(cast(ceil({threshold!r}D * {n} - 1e-9D) AS int), {n}), m -> {overlap} <= m)"
+    cosine = f"array_min(transform({feasible}, m -> {overlap} / sqrt(m * {n})))"
+    p = F.acos(F.least(F.lit(1.0), F.expr(cosine))) / 3.141592653589793
+    return df.withColumn("radius", F.least(F.floor(BITS * p + DEVIATIONS * F.sqrt(BITS * p * (1 - p))), F.lit(BITS - 1)).cast("int"))
+
+
 def blocks(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each block of the fingerprint: the multi-index."""
-    width = BITS // BLOCKS
-    values = F.array(*[F.shiftrightunsigned("fingerprint", width * k).bitwiseAND(F.lit((1 << width) - 1)).cast("int") for k in range(BLOCKS)])
+    """A row for each of the radius + 1 blocks that the fingerprint's bits are dealt to: the multi-index."""
+    at = lambda k: f"cast(({k}) * {BITS} div (radius + 1) AS int)"
+    width = f"({at('k + 1')} - {at('k')})"
+    mask = f"CASE WHEN {width} = {BITS} THEN -1L ELSE shiftleft(1L, {width}) - 1L END"
+    values = F.expr(f"transform(sequence(0, radius), k -> shiftrightunsigned(fingerprint, {at('k')}) & ({mask}))")
     return df.select(*keep, F.posexplode(values).alias("block", "value"))
 
 
+def features(df: DataFrame, key: list[str]) -> DataFrame:
+    """key and shingle -> a row for each occurrence, with a hash of its own."""
+    bag = df.groupBy(*key, "shingle").agg(F.count("*").alias("n"))
+    nth = bag.select(*key, "shingle", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth"))
+    return nth.select(*key, F.when(F.col("nth") == 1, F.col("shingle")).otherwise(F.xxhash64("shingle", "nth")).alias("shingle"))
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
@@ -70,26 +92,20 @@ def contamination(
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("iw")).filter(F.size("iw") > 0)
     items = items.withColumn("item_words", F.size("iw"))
     item_rows = written(shingles(items, "iw", ["item_id", "item_words"]), "items")
-    item_bag = item_rows.groupBy("item_id", "shingle").agg(F.count("*").alias("item_n"))
-    item_sizes = item_rows.groupBy("item_id", "item_words").agg(F.count("*").alias("item_size"))
-    small = item_rows.count() <= BROADCAST_ROWS
-    bounded = F.broadcast if small else (lambda df: df)
-
-    base = docs.select(row_key(id_col, text_col).alias("key"), words(F.col(text_col)).alias("dw"))
-    rows = shingles(base.withColumn("doc_words", F.size("dw")), "dw", ["key", "doc_words"])
-    hits = rows.join(bounded(item_rows.select("item_id", "item_words", "shingle", F.col("pos").alias("item_pos"))), "shingle")
-    for width in [r[0] for r in item_sizes.filter(F.col("item_words") < SHINGLE).select("item_words").distinct().collect()]:  # at most four
-        whole = item_rows.filter(F.col("item_words") == width).select("item_id", "item_words", "shingle", F.col("pos").alias("item_pos"))
-        hits = hits.union(shingles(base.withColumn("doc_words", F.size("dw")), "dw", ["key", "doc_words"], width).join(bounded(whole), "shingle"))
-    latest = F.greatest(F.col("doc_words") - F.col("item_words"), F.lit(0))
-    # Per document and item: the item's places whose shingle is shared (its own counts of the shared ones), and the aligned starts.
-    found = (
-        hits.groupBy("key", "item_id", "item_words")
-        .agg(F.countDistinct("item_pos").alias("shared"), F.collect_set(F.least(F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0)), latest)).alias("starts"))
-        .join(bounded(item_sizes), ["item_id", "item_words"])
-        .filter(F.col("shared") >= threshold * F.col("item_size"))
-    )
-    windows = found.select("key", "item_words", F.explode("starts").alias("start")).distinct()
+    item_features = written(features(item_rows, ["item_id", "item_words"]), "item-features")
+    kinds = item_rows.select("shingle", "item_id", "item_words").distinct()
+    bounded = F.broadcast if item_rows.count() <= BROADCAST_ROWS else (lambda df: df)
+
+    base = docs.select(row_key(id_col, text_col).alias("key"), words(F.col(text_col)).alias("dw")).withColumn("doc_words", F.size("dw"))
+    hits = shingles(base, "dw", ["key", "doc_words"]).join(bounded(kinds), "shingle")
+    for width in [r[0] for r in kinds.filter(F.col("item_words") < SHINGLE).select("item_words").distinct().collect()]:  # at most four
+        hits = hits.union(shingles(base, "dw", ["key", "doc_words"], width).join(bounded(kinds.filter(F.col("item_words") == width)), "shingle"))
+    # Per document and item: the document's places that hold one of the item's shingles. A window has m shingles, the item n.
+    n, m = f"greatest(1, item_words - {SHINGLE - 1})", f"greatest(1, least(item_words, doc_words) - {SHINGLE - 1})"
+    found = hits.groupBy("key", "item_id", "item_words", "doc_words").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    found = found.select("key", "item_words", "places", F.expr(n).alias("n"), F.greatest(F.col("doc_words") - F.col("item_words"), F.lit(0)).alias("latest"), F.expr(f"cast(ceil({threshold / (1 + threshold)!r}D * ({n} + {m}) - 1e-9D) AS int)").alias("need"))
+    starts = "transform(filter(sequence(0, greatest(0, size(places) - need)), i -> get(places, i + need - 1) - places[i] <= n - 1), i -> least(places[i], latest))"
+    windows = found.filter(F.size("places") >= F.col("need")).select("key", "item_words", F.explode(F.expr(starts)).alias("start")).distinct()
     lists = written(windows.groupBy("key").agg(F.collect_list(F.struct("item_words", "start")).alias("windows")), "windows")
     cut = (
         base.join(lists, "key")
@@ -98,23 +114,18 @@ def contamination(
         .select("key", F.col("w.item_words").alias("item_words"), F.col("w.start").alias("start"), F.slice("dw", F.col("w.start") + 1, F.col("w.item_words")).alias("ww"))
     )
     key = ["key", "item_words", "start"]
-    window_rows = written(shingles(cut, "ww", key), "window-shingles")
-    prints, item_prints = simhash(window_rows, key), simhash(item_rows, ["item_id", "item_words"])
-    index = blocks(item_prints, ["item_id", "item_words", F.col("size").alias("item_size"), F.col("fingerprint").alias("item_print")])
+    window_features = written(features(shingles(cut, "ww", key), key), "window-features")
+    prints = with_radius(simhash(window_features, key), threshold)
+    item_prints = with_radius(simhash(item_features, ["item_id", "item_words"]), threshold)
+    index = blocks(item_prints, ["item_id", "item_words", F.col("size").alias("item_size"), F.col("fingerprint").alias("item_print"), "radius"])
     near = (
         blocks(prints, [*key, "size", "fingerprint"])
-        .join(bounded(index), ["item_words", "block", "value"])
-        .filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) < BLOCKS)
+        .join(index, ["item_words", "block", "value"])
+        .filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= F.col("radius"))
         .select(*key, "size", "item_id", "item_size")
         .distinct()
     )
-    bag = window_rows.groupBy(*key, "shingle").agg(F.count("*").alias("n"))
-    common = (
-        near.join(bag, key)
-        .join(bounded(item_bag), ["item_id", "shingle"])
-        .groupBy(*key, "item_id", "size", "item_size")
-        .agg(F.sum(F.least("n", "item_n")).alias("both"))
-    )
+    common = near.join(window_features, key).join(item_features, ["item_id", "item_words", "shingle"]).groupBy(*key, "item_id", "size", "item_size").agg(F.count("*").alias("both"))
     similarity = F.col("both") / (F.col("size") + F.col("item_size") - F.col("both"))
     return common.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).groupBy("key", "item_id").agg(F.max("similarity").alias("similarity"))
 
@@ -133,4 +144,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without a benchmark item, with all their columns."""
     dirty = contamination(docs, benchmark, threshold, id_col, text_col).select("key").distinct()
-    return docs.withColumn("_key", row_key(id_col, text_col)).join(dirty, F.col("_key") == dirty["key"], "left_anti").drop("_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key(id_col, text_col).alias("key"))
+    return rows.join(dirty, "key", "left_anti").select("_row.*")
