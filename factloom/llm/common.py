@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,17 @@ from pyspark.sql import functions as F
 
 #: Whitespace of the operators' word and byte rules: blank, tab, newline, vertical tab, form feed, return.
 WHITESPACE = " \t\n\x0b\x0c\r"
+#: Bytes of rows that Spark hands to a Python worker at once, and code points that a worker takes together.
+ARROW_BYTES, CHUNK_CHARS = 8 << 20, 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``, or (where unset) a local one."""
+    """The folder all executors share: the session's ``spark.checkpoint.dir``. Where it is unset, only a session
+    whose executors are this machine's own (``local[...]``) gets a folder; any other is told to set one."""
     sc = spark.sparkContext
     if not (found := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -45,9 +51,23 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def chunks(values: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts of about ``CHUNK_CHARS`` together, so what a worker makes of them is bounded however long texts are."""
+    part, size = [], 0
+    for v in values:
+        part.append(v)
+        size += len(v)
+        if size >= CHUNK_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once per application."""
+    """Sends this package to the executors' Python, once per application; bounds Arrow batches by bytes, as texts may be long."""
     sc, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if getattr(sc, "_factloom_shipped", False):
         return
     made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{top.name}", "zip", top.parent, top.name)

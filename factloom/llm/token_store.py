@@ -2,7 +2,8 @@
 
 Layout of a shard: a JSON header line (dictionary hash, width of an id, documents), the index (frame
 offsets as unsigned 64-bit, ids per document as unsigned 32-bit), the frames. The dictionary lies beside
-the shards under its hash. A short document is read by its index entry alone, without its neighbours.
+the shards under its hash. ``read_document`` reads a document's frame by ranged reads of the head, its index entry and the
+frame, without its neighbours.
 
 Documents are range-partitioned by id, so a partition is a run of ids, and written in ascending order in
 shards of bounded size. A retried task writes files of new names; only names in the manifest are read.
@@ -24,12 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, texts, written
-from .packing import chunks
+from .common import chunks, scratch, shuffle_partitions, texts, written
 from .tokens import Encoder, public_path
 
-#: Bounds of the dictionary's training sample and of a shard before compression.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, SHARD_BYTES = 1000, 4_000_000, 65_536, 32_000_000
+#: Bounds of the dictionary's training sample (documents; bytes of their id arrays), of the dictionary and of a shard before compression.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, SHARD_BYTES = 1000, 4_000_000, 65_536, 16_000_000
 
 
 def _fs(uri: str):
@@ -51,6 +51,28 @@ def get_file(uri: str) -> bytes:
         return f.read()
 
 
+def read_range(uri: str, start: int, n: int) -> bytes:
+    where, path = _fs(uri)
+    with where.open_input_file(path) as f:
+        f.seek(start)
+        return f.read(n)
+
+
+def read_document(uri: str, k: int) -> np.ndarray:
+    """The ids of a shard's document ``k``: its head line, two offsets and a count, and its frame are all that is read (and the dictionary)."""
+    head = read_range(uri, 0, 256)
+    body = head.index(b"\n") + 1
+    head = json.loads(head[:body])
+    n = head["documents"]
+    if not 0 <= k < n:
+        raise IndexError(k)
+    a, z = map(int, np.frombuffer(read_range(uri, body + 8 * k, 16), "<u8"))
+    count = int(np.frombuffer(read_range(uri, body + 8 * (n + 1) + 4 * k, 4), "<u4")[0])
+    frame = read_range(uri, body + 8 * (n + 1) + 4 * n + a, z - a)
+    reader = _codec(get_file(f"{uri.rpartition('/')[0]}/{head['dictionary']}.dict"))[1]
+    return np.frombuffer(reader.decompress(frame, max_output_size=max(1, count * head["width"])), f"<u{head['width']}").astype("<u4")
+
+
 def train_dictionary(arrays: list[bytes]) -> bytes:
     """A dictionary of serialized id arrays; empty where the sample is too small to train one."""
     import zstandard
@@ -92,6 +114,16 @@ class Shard:
         return np.frombuffer(raw, f"<u{self.head['width']}").astype("<u4")
 
 
+def _arrays(tokenizer: str, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(tokenizer)
+        for b in batches:
+            made = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in encoder.ids(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "ids"])
+
+    return run
+
+
 def _writer(path: str, tokenizer: str, dictionary: bytes, dict_hash: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pack = Encoder.of(tokenizer), _codec(dictionary)[0]
@@ -133,15 +165,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     base = texts(docs, id_col, text_col)
     encoder = Encoder.of(tokenizer)
     width = 2 if encoder.library.get_vocab_size() <= 65_536 else 4
-    # For the dictionary only: the ids of least hash are found first, so no more than their texts reaches the driver.
+    # For the dictionary only: the ids of least hash, their whole texts encoded on executors, arrays in that order up to the bytes.
     chosen = base.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    sample = base.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.substring("text", 1, SAMPLE_CHARS // 100).alias("text")).limit(SAMPLE_DOCS)
-    some, chars = [], 0
-    for r in sample.collect():
-        if chars < SAMPLE_CHARS:
-            some.append(r["text"])
-            chars += len(r["text"])
-    dictionary = train_dictionary([np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in encoder.ids(some)])
+    sample = base.join(chosen, "doc_id", "left_semi").mapInArrow(_arrays(tokenizer, width), T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())]))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids"))
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids")).limit(SAMPLE_DOCS)
+    sample = sample.withColumn("upto", F.sum(F.length("ids")).over(order)).filter(F.col("upto") <= SAMPLE_BYTES).select("ids")
+    dictionary = train_dictionary([bytes(r["ids"]) for r in sample.collect()])  # SAMPLE_BYTES at most
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     put_file(f"{path}/{dict_hash}.dict", dictionary)
     key = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
@@ -151,9 +181,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     ])
     shards = base.repartitionByRange(*key[:1]).sortWithinPartitions(*key).mapInArrow(_writer(path, tokenizer, dictionary, dict_hash, end_id, width), schema)
     manifest = written(shards, "manifest")
-    earlier = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("part", "seq", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("start"))  # a row per shard of 32 MB
-    return manifest.join(starts, ["part", "seq"])
+    # Starts in two steps: parts after parts, then the shards of a part.
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("of_part"))
+    parts = parts.withColumn("before", F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part"))  # a row a partition
+    upto = Window.partitionBy("part").orderBy("seq")
+    return manifest.join(parts.select("part", "before"), "part").withColumn("start", F.col("before") + F.sum("n_ids").over(upto) - F.col("n_ids")).drop("before")
 
 
 def _reader(path: str):
@@ -178,7 +210,8 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
     kind = manifest.schema["doc_ids"].dataType.elementType
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")]])
-    return manifest.repartition(F.col("part"), F.col("seq")).mapInArrow(_reader(path), schema)
+    n = max(shuffle_partitions(manifest.sparkSession), manifest.count())  # about a shard a task: a given number is not coalesced
+    return manifest.repartitionByRange(n, "part", "seq").mapInArrow(_reader(path), schema)
 
 
 def token_store(spark: SparkSession, docs: DataFrame) -> DataFrame:
