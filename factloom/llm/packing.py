@@ -4,7 +4,7 @@ Tokens are counted once per document; only piece lengths travel. Best fit runs o
 row per length, whatever the corpus), giving intervals: "pieces of length L with rank a..b go to sequences
 s.. at this offset". Pieces find their interval by joining on their rank within their length. Ranks come
 from per-bucket counts and a running sum over them, so a length that holds most pieces is dealt over many
-tasks.
+tasks; pieces and plan meet in a merge join on length and bucket.
 
 A null text counts as empty (the end id alone). Ties in rank are broken by id and piece; repeated rows are
 separate documents. An empty table gives an empty result.
@@ -21,25 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, texts, written
+from .common import chunks, shuffle_partitions, texts, written
 from .tokens import Encoder, public_path
 
-#: Texts encoded together, so that a batch's pieces fit in memory however long its texts are.
-CHUNK_CHARS = 400_000
-
-
-def chunks(values: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for v in values:
-        part.append(v)
-        size += len(v)
-        if size >= CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def piece_starts(n: int, limit: int) -> list[int]:
     """Starts of a document's pieces: ``limit`` ids each, the first one may be shorter."""
     first = n - (max(1, -(-n // limit)) - 1) * limit
@@ -127,16 +111,21 @@ def pack(
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shuffle_partitions(spark))).cast("int")
     pieces = written(base.mapInArrow(_pieces(path, end_id, limit), schema).withColumn("bucket", bucket), "pieces")
     per_bucket = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = written(per_bucket.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "histogram")
+    upto = Window.partitionBy("length").orderBy("bucket")
+    per_bucket = written(per_bucket.withColumn("before", F.sum("n").over(upto) - F.col("n")), "histogram")
     counts = {r["length"]: r["n"] for r in per_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `limit` rows
     slots = spark.createDataFrame(plan(counts, limit), "length long, rank_from long, rank_to long, first long, offset long")
+    # The plan's intervals of ranks, cut where buckets meet: what of a bucket's own numbers goes where.
+    end = F.col("before") + F.col("n")
+    cells = (
+        per_bucket.join(slots, "length")
+        .filter((F.col("rank_from") < end) & (F.col("before") < F.col("rank_to")))
+        .select("length", "bucket", (F.col("rank_from") - F.col("before")).alias("from"), (F.col("rank_to") - F.col("before")).alias("to"), "first", "offset")
+    )
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = (
+    placed = (
         pieces.withColumn("nth", F.row_number().over(within) - 1)
-        .join(per_bucket.select("length", "bucket", "before"), ["length", "bucket"])
-        .withColumn("rank", F.col("before") + F.col("nth"))
+        .join(cells.hint("merge"), ["length", "bucket"])  # both sides grow with the corpus: never broadcast
+        .filter((F.col("nth") >= F.col("from")) & (F.col("nth") < F.col("to")))
     )
-    # The plan has a few rows for each of at most `limit` lengths: bounded, whatever the corpus.
-    placed = ranked.alias("p").join(F.broadcast(slots).alias("s"), (F.col("p.length") == F.col("s.length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
-    return placed.select("doc_id", "piece", "start", "p.length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth") - F.col("from")).alias("sequence_id"), "offset")
