@@ -5,8 +5,9 @@ all languages containing a trigram. A document's hits per language are popcounts
 the false positives that the filter's fill predicts; the language with most corrected hits wins.
 
 A trigram belongs to a language when it is at least ``SHARE`` times as frequent there as where it is most
-frequent. The filters are fitted on a bounded sample: the ``per_language`` labelled documents of least
-hash for each language, whole texts, outside the held-out fifth. Texts that are null or have no letter give ``und``
+frequent. The filters are fitted on a bounded sample: at most ``per_language`` labelled documents of least
+hash for each language, whole texts, outside the held-out fifth. Executors build the filters' bits, block by block of
+slots; their size is ``SLOTS`` bits a language, whatever the corpus. Texts that are null or have no letter give ``und``
 with score 0; so does a model without any labelled document. Ties go to the language first in order.
 """
 
@@ -20,9 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import chunks, written
 
-SLOTS, SHARE, PER_LANGUAGE = 1 << 18, 0.3, 1500
+SLOTS, BLOCK, SHARE, PER_LANGUAGE = 1 << 18, 1 << 13, 0.3, 1500
 #: Odd multipliers of the trigram hash, and of its three slots.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SLOT_MIX = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], np.uint64)
@@ -72,13 +73,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 class Filters:
-    """The filters of all languages, with their false-positive rates."""
+    """The filters of all languages (bits[word of 64 languages, slot]), with their false-positive rates."""
 
-    def __init__(self, names: list[str], pairs: list[tuple[int, int]]):
-        self.names = names
-        self.bits = np.zeros((len(names) + 63 >> 6, SLOTS), np.uint64)
-        for slot, k in pairs:
-            self.bits[k >> 6, slot] |= np.uint64(1 << (k & 63))
+    def __init__(self, names: list[str], bits: np.ndarray):
+        self.names, self.bits = names, bits
         fill = [np.mean(self.bits[k >> 6] >> np.uint64(k & 63) & np.uint64(1)) for k in range(len(names))]
         self.false = np.minimum(np.array(fill) ** 3, 0.99)
 
@@ -102,46 +100,59 @@ class Filters:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from at most ``per_language`` labelled documents of each language, held-out ones left out."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # Of large languages only hashes under a bound are ranked, about four times as many as wanted: no task sees a whole language.
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    spread = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
+    few = known.select("id", "lang").join(sizes, "lang").filter(spread <= 4.0 * per_language / F.col("n"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.select("id", "lang").withColumn("nth", nth).filter(F.col("nth") <= per_language).select("id", "lang").distinct()
-    sample = known.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text")  # per_language ids a language: bounded
+    chosen = few.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("id", "lang").distinct()
+    sample = known.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "trigrams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rate = counts.filter("n > 1").join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    rate = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     own = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter(F.col("rate") >= SHARE * F.col("top"))
     names = sorted(r["lang"] for r in totals.select("lang").collect())
     place = {name: k for k, name in enumerate(names)}
+    words = max(1, len(names) + 63 >> 6)
 
     def to_slots(batches):
         for b in batches:
             h = b.column("gram").to_numpy().view(np.uint64)
             k = np.array([place[x] for x in b.column("lang").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots(h))), pa.array(np.tile(k, 3))], names=["slot", "k"])
+            at = np.concatenate(slots(h))
+            yield pa.RecordBatch.from_arrays([pa.array(at // BLOCK), pa.array(at % BLOCK), pa.array(np.tile(k, 3))], names=["block", "slot", "k"])
 
-    pairs = own.select("lang", "gram").mapInArrow(to_slots, "slot long, k long").distinct().toPandas()  # at most SLOTS rows a language
-    return Filters(names, list(zip(pairs["slot"].tolist(), pairs["k"].tolist(), strict=True)))
+    def to_bits(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((words, BLOCK), np.uint64)
+        for b in batches:
+            k = b.column("k").to_numpy()
+            np.bitwise_or.at(bits, (k >> 6, b.column("slot").to_numpy()), np.uint64(1) << (k & 63).astype(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
+
+    marks = own.select("lang", "gram").mapInArrow(to_slots, "block long, slot long, k long").distinct()
+    bits = np.zeros((words, SLOTS // BLOCK, BLOCK), np.uint64)
+    for r in marks.groupBy("block").applyInArrow(to_bits, "block long, bits binary").collect():  # SLOTS / BLOCK rows: SLOTS bits a language
+        bits[:, r["block"]] = np.frombuffer(r["bits"], np.uint64).reshape(words, BLOCK)
+    return Filters(names, bits.reshape(words, SLOTS))
 
 
-def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; every whole text is read."""
+def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two columns more, the language and its score (named by ``names``; columns of these names in ``docs`` give way); every whole text is read."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS x languages bits: bounded
+    kept = [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [t or "" for t in b.column(text_col).to_pylist()]
-            names, scores, part, size = [], [], [], 0
-            for t in [*values, None]:
-                if t is None or size > 1_000_000:
-                    got = shared.value.decide(part)
-                    names, scores, part, size = names + got[0], scores + got[1], [], 0
-                if t is not None:
-                    part.append(t)
-                    size += len(t)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
-
-    extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+            found, scores = [], []
+            for part in chunks([t or "" for t in b.column(text_col).to_pylist()]):
+                got = shared.value.decide(part)
+                found, scores = found + got[0], scores + got[1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, *names])
+
+    extra = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    base = docs.select(*[F.col(f"`{c}`") for c in kept])
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, *extra]))
 
 
 def predict_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
