@@ -2,11 +2,13 @@
 
 For a piece of bytes, the DP keeps for every prefix the last token of its encoding and its count: the last
 token is the one vocabulary entry ending there whose predecessor's last token may stand before it. A pair may
-stand together when merging its joined bytes gives the pair back. Counts of a text's pieces add up, so
-the count of any prefix of a text follows from stored counts: budgets and truncation need no encoding.
+stand together when merging its joined bytes gives the pair back. The counts of all prefixes of a piece are stored,
+and those of a text's pieces add up: ``token_counts`` sums them and cuts a text at its limit by looking them up, and
+``prefix_table`` stores the count at every prefix of every document, from which ``within_budget`` answers questions of
+budget and truncation by DataFrame functions alone, without text or tokenizer.
 
 Null and empty texts have no tokens. Repeated rows are counted alone. A special token's string inside
-a text is one token, as the library treats it by default.
+a text is one token, as the library treats it by default; a prefix that ends inside it is plain text.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
-from .packing import chunks
-from .tokens import CACHE_ENTRIES, PIECES, UNSURE, public_path
+from .common import chunks, texts
+from .tokens import PIECES, UNSURE, public_path
+
+#: Bounds of a worker's stored pieces (bytes, by a rough count) and of its answers about pairs; both are emptied when full.
+STORED_BYTES, PAIRS = 60_000_000, 400_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -54,7 +58,8 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocabulary))
         # Only token strings that merging really yields can end a prefix.
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, int] = {}
+        self.stored: dict[str, bytes | list[int]] = {}
+        self.held = 0
         # The same pattern with the full Unicode classes, for texts outside the simple code points.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -109,65 +114,76 @@ class PrefixCounter:
     def parts(self, text: str) -> list[str]:
         return [p for p in self.cut.split(text) if p] if self.cut and any(s in text for s in self.special) else [text]
 
-    def count_pieces(self, pieces: list[str]) -> list[int]:
-        cache = self.cache
-        for w in set(pieces).difference(cache):
-            cache[w] = self.prefixes(w.encode())[-1]
-        return list(map(cache.__getitem__, pieces))
+    def of_piece(self, piece: str) -> bytes | list[int]:
+        """counts[k]: tokens of the piece's first k code points; stored for the pieces to come."""
+        if (known := self.stored.get(piece)) is None:
+            if self.held > STORED_BYTES:
+                self.stored.clear()
+                self.held = 0
+            if len(self.pairs) > PAIRS:
+                self.pairs.clear()
+            by_byte = self.prefixes(piece.encode("utf-8", "surrogatepass"))
+            known = by_byte if piece.isascii() else [by_byte[0], *[by_byte[k] for k in itertools.accumulate(len(c.encode("utf-8", "surrogatepass")) for c in piece)]]
+            known = bytes(known) if known[-1] < 256 and max(known) < 256 else known
+            self.stored[piece] = known
+            self.held += 150 + (1 if isinstance(known, bytes) else 8) * len(known) + len(piece)
+        return known
+
+    def totals(self, pieces: list[str]) -> list[int]:
+        of = self.of_piece
+        return [of(p)[-1] for p in pieces]
 
     def count(self, text: str) -> int:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        return sum(1 if p in self.special else sum(self.count_pieces(self.split(p))) for p in self.parts(text))
+        return sum(1 if p in self.special else sum(self.totals(self.split(p))) for p in self.parts(text))
 
-    def _within(self, pieces: list[str], at: int, base: int) -> Iterator[tuple[int, int]]:
-        """(code points into pieces[at], tokens of the text up to there), given the tokens before the piece."""
+    def _within(self, pieces: list[str], at: int, base: int) -> Iterator[int]:
+        """Tokens of the text up to each code point of pieces[at], given the tokens before the piece."""
         piece = pieces[at]
-        counts = self.prefixes(piece.encode())
-        ends = list(itertools.accumulate(len(c.encode()) for c in piece))
+        counts = self.of_piece(piece)
         before = pieces[at - 1] if at and pieces[at - 1].isspace() else ""
-        for k, end in enumerate(ends):
-            if piece[0] == "'" and len(piece) > 1 and piece[1:2].isalpha() and 0 < k < len(ends) - 1:
-                yield k + 1, base + counts[1] + self.prefixes(piece[1 : k + 1].encode())[-1]  # a contraction cut short falls apart
-            elif before and k == 0 and piece[0].isspace():
-                run = (before + piece[0]).encode()  # a cut after white space leaves the run whole
-                yield 1, base - self.prefixes(before.encode())[-1] + self.prefixes(run)[-1]
+        for k in range(1, len(counts)):
+            if piece[0] == "'" and len(piece) > 1 and piece[1:2].isalpha() and 1 < k < len(counts) - 1:
+                yield base + counts[1] + self.of_piece(piece[1:k])[-1]  # a contraction cut short falls apart
+            elif before and k == 1 and piece[0].isspace():
+                run = before + piece[0]  # a cut after white space leaves the run whole
+                yield base - self.of_piece(before)[-1] + self.of_piece(run)[-1]
             else:
-                yield k + 1, base + counts[end]
+                yield base + counts[k]
 
-    def prefix_counts(self, text: str) -> list[int]:
-        """counts[i]: tokens of ``text[:i]`` for every code point; a text without special tokens' strings."""
+    def _plain_prefixes(self, text: str) -> list[int]:
         out, base, pieces = [0], 0, self.split(text)
-        for at in range(len(pieces)):
-            inner = list(self._within(pieces, at, base))
-            if pieces[at].isspace() and len(pieces[at]) == 1 and at and pieces[at - 1].isspace():
-                out.append(inner[0][1])
-                base += self.prefixes(pieces[at].encode())[-1]
+        for at, piece in enumerate(pieces):
+            out += self._within(pieces, at, base)
+            base += self.of_piece(piece)[-1]
+        return out
+
+    def prefix_counts(self, text: str) -> list[int]:
+        """counts[i]: tokens of ``text[:i]`` for every code point."""
+        out, base, plain = [0], 0, ""
+        for part in self.parts(text):
+            if part in self.special:  # until it is whole, it goes on with the plain text before it
+                out += [base + n for n in self._plain_prefixes(plain + part[:-1])[len(plain) + 1 :]]
+                base += sum(self.totals(self.split(plain))) + 1
+                out.append(base)
+                plain = ""
             else:
-                out += [c for _, c in inner]
-                base += self.prefixes(pieces[at].encode())[-1]
+                out += [base + n for n in self._plain_prefixes(part)[1:]]
+                plain = part
         return out
 
     def longest_prefix(self, text: str, limit: int) -> int:
         """Code points of the longest prefix of at most ``limit`` tokens, from stored counts."""
-        done = total = 0
-        for part in self.parts(text):
-            if part in self.special:
-                if total + 1 > limit:
-                    return done
-                done, total = done + len(part), total + 1
-                continue
-            pieces = self.split(part)
-            sums = [0, *itertools.accumulate(self.count_pieces(pieces))]
-            k = bisect_right(sums, limit - total) - 1  # whole pieces that fit; the answer lies near their end
-            if k < len(pieces):
-                best = sum(map(len, pieces[:k]))
-                for at in range(max(0, k - 1), min(len(pieces), k + 3)):
-                    start = sum(map(len, pieces[:at]))
-                    best = max([best, *(start + n for n, c in self._within(pieces, at, total + sums[at]) if c <= limit)])
-                return done + best
-            done, total = done + len(part), total + sums[-1]
-        return done
+        parts = self.parts(text)
+        if len(parts) > 1 or text in self.special:
+            return max(k for k, n in enumerate(self.prefix_counts(text)) if n <= limit)
+        pieces = self.split(text)
+        sums = [0, *itertools.accumulate(self.totals(pieces))]
+        k = bisect_right(sums, limit) - 1  # whole pieces that fit; the answer lies near their end
+        best = sum(map(len, pieces[:k]))
+        for at in range(max(0, k - 1), min(len(pieces), k + 3)):
+            start = sum(map(len, pieces[:at]))
+            best = max([best, *(start + n for n, c in enumerate(self._within(pieces, at, sums[at]), 1) if c <= limit)])
+        return best
 
 
 def _counts(path: str, limit: int):
@@ -195,3 +211,24 @@ def token_counts(docs: DataFrame, limit: int = 1024, tokenizer: str | None = Non
         T.StructField("over_limit", T.BooleanType()), T.StructField("fits_chars", T.LongType()),
     ])
     return base.mapInArrow(_counts(tokenizer or public_path("byte_bpe_50k.json"), limit), schema)
+
+
+def prefix_table(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: doc_id, prefix_tokens: the token count of each prefix, from none to all code points."""
+    path, base = tokenizer or public_path("byte_bpe_50k.json"), texts(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PrefixCounter.of(path)
+        for b in batches:
+            for i, text in enumerate(b.column("text").to_pylist()):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 1), pa.array([counter.prefix_counts(text)], pa.list_(pa.int32()))], names=["doc_id", "prefix_tokens"])
+
+    return base.mapInArrow(run, T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), T.StructField("prefix_tokens", T.ArrayType(T.IntegerType()))]))
+
+
+def within_budget(table: DataFrame, budget: int | Column, prefixes: str = "prefix_tokens") -> DataFrame:
+    """``table`` with n_tokens, fits (whole text within the budget) and fits_chars (the longest prefix within it)."""
+    counts = F.col(prefixes)
+    fitting = F.transform(counts, lambda n, k: F.when(n <= budget, k).otherwise(F.lit(0)))
+    n_tokens = F.element_at(counts, -1)
+    return table.withColumns({"n_tokens": n_tokens.cast("long"), "fits": n_tokens <= budget, "fits_chars": F.array_max(fitting).cast("long")})
