@@ -1,17 +1,20 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
-A text's words (ASCII lower case, ASCII white space) give its set of distinct w-word shingles, hashed to 64 bits.
-Equal sets are one class from the start; what follows sees one representative of each. Its sketch
-retains the k values that come first in one order of all hash values: rarer first, by a counting table of fixed size,
-then by value. With k = n - ceil(0.8 n) + 1, two sets of similarity 0.8 or more share a retained value,
-whatever the order: no link can be missed. The inverted lists of retained values generate overlaps.
+A text's words (ASCII lower case, ASCII white space) give its set of distinct w-word shingles, hashed to 64 bits and written
+once; all that follows reads these sets. Equal sets are one class from the start, and one set of each is compared. A set's sketch
+retains its k least values of one function of a shingle: a byte for how common it is, by a counting table of fixed size over
+all documents, then 56 bits of its hash. With k = n - ceil(0.8 n) + 1, two sets of similarity 0.8 or more share a
+retained value, whatever the function: no link can be missed. The inverted lists of retained values generate overlaps.
 
 Short lists give all their pairs. A longer list is compared with hubs, not with itself: its least member first, then, while it still
-holds several components, growing numbers of members of its smallest components, until none is left to compare. Each pair is estimated on
-the sketch of the union (its least ``SKETCH`` values) and, unless that rules it out, verified on full sets.
+holds several components, growing numbers of members of its smallest components, until none is left to compare. Each pair is first
+estimated on the sketch of the union: below the smaller of the two sketches' ends both are known in full, so what they share there and
+what is left of either beyond bounds the intersection, and pairs that cannot reach the threshold are dropped before any set is
+fetched. The others are verified on full sets. A hub with many partners is dealt to several tasks, each with its set.
 Links are joined into components in Spark. Sides that grow with the corpus are merge-joined at every size, never broadcast.
 
-Null, empty and blank texts have an empty set, link with nothing and stay. Repeated rows are equal sets. An
+Null, empty and blank texts have an empty set, link with nothing and stay; so does a row of a null id. Repeated rows are equal
+sets; rows of one id and different texts are linked each by its own text. Ids may be of any type that has an order. An
 empty table gives an empty result.
 """
 
@@ -24,13 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import texts, written
+from .common import row_key, texts, written
 from .components import components
 
-SLOT_BITS, SKETCH, SHORT_LIST, WORD_CACHE = 20, 128, 12, 500_000
-#: An estimate below the threshold by this many standard deviations rules a pair out.
-DEVIATIONS = 7
+SLOT_BITS, SHORT_LIST, PARTNERS, WORD_CACHE = 20, 12, 256, 200_000
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93]
 _hashes: dict[bytes, int] = {}
 
@@ -64,23 +66,27 @@ def slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _describe(shingle: int):
-    """doc_id, n_shingles and class of each row; then, as rows of their own, what the task counted in each block of slots."""
+def _describe(shingle: int, kind: T.DataType):
+    """row, doc_id, n_shingles, class and set of each row; then, as rows of their own, what the task counted in each block of slots."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = ["row", "doc_id", "n_shingles", "label", "hashes", "part", "counts"]
+    id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = np.zeros(1 << SLOT_BITS, np.int32)
-        kind = pa.int64()
         for b in batches:
-            n, label = [], []
+            n, label, hashes = [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, shingle)
                 n.append(len(s))
-                label.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                hashes.append(s.tobytes() if len(s) else None)
+                label.append(hashlib.blake2b(hashes[-1], digest_size=16).digest() if len(s) else None)
                 np.add.at(counted, slot(s), 1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(label, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n_shingles", "label", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(label, pa.binary()), pa.array(hashes, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         for k in range(16):
-            part = counted[k << SLOT_BITS - 4 : k + 1 << SLOT_BITS - 4]
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()])], names=["doc_id", "n_shingles", "label", "part", "counts"])
+            part = np.minimum(counted[k << SLOT_BITS - 4 : k + 1 << SLOT_BITS - 4], 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, id_type), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([part.tobytes()])], names=names)
 
     return run
 
@@ -96,53 +102,59 @@ def _add_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
 
 
 def retained(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The sketch: the k first values of a set, rarer ones first."""
+    """The sketch: the k least values of a set, in order."""
     k = len(s) - -(-percent * len(s) // 100) + 1
-    order = (levels[slot(s)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-    return s[np.argsort(order, kind="stable")[:k]]
+    return np.sort((levels[slot(s)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)))[:k]
 
 
-def _sketches(shingle: int, percent: int, shared):
+def _sketches(percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            n, ends, values = [], [0], [np.empty(0, np.uint64)]
-            for text in b.column("text").to_pylist():
-                s = shingle_set(text, shingle)
-                values.append(retained(s, levels, percent))
-                n.append(len(s))
-                ends.append(ends[-1] + len(values[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), lists], names=["rep", "n", "sketch"])
+            made = [retained(np.frombuffer(raw, np.uint64), levels, percent).tobytes() for raw in b.column("hashes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.array(made, pa.binary())], names=["node", "n", "sketch"])
 
     return run
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each retained value of a sketch, with its place there."""
+    for b in batches:
+        raws = b.column("sketch").to_pylist()
+        sizes = np.array([len(raw) // 8 for raw in raws], np.int64)
+        at = pa.array(np.repeat(np.arange(len(raws)), sizes))
+        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raws), np.int64)), pa.array(pos.astype(np.int32)), b.column("node").take(at), b.column("n").take(at)], names=["value", "pos", "node", "n"])
+
+
+def possible(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int) -> bool:
+    """Union-sketch estimate as a bound: whether sets of these sketches and sizes can reach the threshold."""
+    end = min(a[-1], b[-1])
+    both = len(np.intersect1d(a, b, assume_unique=False))
+    most = both + min(n_a - np.searchsorted(a, end, "right"), n_b - np.searchsorted(b, end, "right"))
+    return 100 * most >= percent * (n_a + n_b - most)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Union-sketch estimate first, then 100 * intersection >= percent * union on the full sets."""
+    """100 * intersection >= percent * union on the full sets."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    union = np.union1d(a[:SKETCH], b[:SKETCH])[:SKETCH]
-    both = np.count_nonzero(np.isin(union, a[:SKETCH], assume_unique=True) & np.isin(union, b[:SKETCH], assume_unique=True))
-    t = percent / 100
-    if both / len(union) < t - DEVIATIONS * (t * (1 - t) / len(union)) ** 0.5:
-        return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verify(shingle: int, percent: int):
-    """Rows sorted by hub, the hub's own text first: emits the pairs that link."""
+def _compare(percent: int, full: bool):
+    """Rows sorted by hub and share, the hub's own first: the pairs that pass, on sketches or on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, mine = None, None
+        hub, mine, size = None, None, 0
         for b in batches:
             left, right = [], []
-            for h, other, text in zip(b.column("hub").to_pylist(), b.column("rep").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = shingle_set(text, shingle)
+            for h, other, n, raw in zip(b.column("hub").to_pylist(), b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True):
+                s = np.frombuffer(raw, np.uint64)
                 if h == other:
-                    hub, mine = h, s
-                elif h == hub and similar(mine, s, percent):
+                    hub, mine, size = h, s, n
+                elif h == hub and (similar(mine, s, percent) if full else possible(mine, s, size, n, percent)):
                     left.append(h)
                     right.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -150,81 +162,101 @@ def _verify(shingle: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sources: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Verified links among ``pairs`` (hub, rep): each text goes to the hubs it is compared with."""
-    wanted = pairs.union(pairs.select("hub", F.col("hub").alias("rep"))).distinct()
-    rows = wanted.hint("merge").join(sources, "rep").repartition("hub").sortWithinPartitions("hub", F.col("hub") != F.col("rep"))
-    return rows.select("hub", "rep", "text").mapInArrow(_verify(shingle, percent), "a long, b long")
+def _passing(pairs: DataFrame, data: DataFrame, percent: int, full: bool) -> DataFrame:
+    """The pairs (hub, node) that pass, as (a, b). ``data``: node, n, data. A hub's partners are dealt to shares of about ``PARTNERS``."""
+    shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares"))
+    mine = shares.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("hub").alias("node"))
+    others = pairs.hint("merge").join(shares, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), "node")
+    rows = others.union(mine).hint("merge").join(data, "node").repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("hub") != F.col("node"))
+    return rows.select("hub", "node", "n", "data").mapInArrow(_compare(percent, full), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, n_shingles, component_id (least doc_id reachable), kept. Ids are integers; a null one links with nothing."""
+def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links among ``pairs`` (hub, node): those the union sketch leaves, on full sets."""
+    left = written(_passing(pairs, sketches, percent, False).toDF("hub", "node"), "estimated")
+    return written(_passing(left, sets, percent, True), "verified")
+
+
+def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, n_shingles, component_id and kept of each row."""
     spark = docs.sparkSession
-    base = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    described = written(base.mapInArrow(_describe(shingle), "doc_id long, n_shingles long, label binary, part int, counts binary"), "sets")
-    rows = described.filter("part IS NULL").select("doc_id", "n_shingles", "label")
+    base = texts(docs, id_col, text_col).withColumn("row", row_key("doc_id", "text"))
+    kind = base.schema["doc_id"].dataType
+    schema = T.StructType([
+        T.StructField("row", T.StringType()), T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("label", T.BinaryType()),
+        T.StructField("hashes", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType()),
+    ])
+    described = written(base.mapInArrow(_describe(shingle, kind), schema).withColumn("place", F.monotonically_increasing_id()), "sets")
+    rows = described.filter("part IS NULL").select("row", "doc_id", "n_shingles", "label", "place")
     parts = described.filter("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_add_up, "part int, levels binary")
     levels = b"".join(r["levels"] for r in sorted(parts.collect(), key=lambda r: r["part"])) or bytes(1 << SLOT_BITS)
     shared = spark.sparkContext.broadcast(levels)  # one byte a slot: 1 MB, whatever the corpus
 
     known = rows.filter("label IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(known.groupBy("label").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
-    copies = known.join(classes.filter("n_copies > 1"), "label").filter("doc_id != rep").select("doc_id", "rep")
-    sketches = base.filter("doc_id IS NOT NULL").mapInArrow(_sketches(shingle, percent, shared), "rep long, n int, sketch array<long>")
-    sketches = sketches.join(copies.select(F.col("doc_id").alias("rep")).hint("merge"), "rep", "left_anti")
-    entries = sketches.select(F.posexplode("sketch").alias("pos", "value"), "rep", "n")
-    by_value = Window.partitionBy("value")
+    classes = written(known.groupBy("label").agg(F.min("doc_id").alias("least_id"), F.min("place").alias("node")), "classes")
+    one = described.filter("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("place").alias("node"), F.col("n_shingles").alias("n"), "hashes")
+    sketches = written(one.mapInArrow(_sketches(percent, shared), "node long, n long, sketch binary").hint("merge").join(classes.select("node"), "node", "left_semi"), "sketches")
+    entries = sketches.mapInArrow(_entries, "value long, pos int, node long, n long")
+    lists = written(entries.groupBy("value").agg(F.count("*").alias("size"), F.min("n").alias("least_n")).filter("size > 1").drop("size"), "values")
     # A pair is met in the list of the first value the two share, where what follows must still reach the needed overlap.
     # A member that cannot do so even with the list's smallest admissible partner leaves the list.
     smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100.0))
-    rows_of_lists = entries.withColumns({"size": F.count("*").over(by_value), "least_n": F.min("n").over(by_value)}).filter("size > 1")
-    able = rows_of_lists.filter((F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + smallest))
-    members = able.withColumns({"size": F.count("*").over(by_value), "hub": F.min("rep").over(by_value)}).filter("size > 1")
-    members = written(members.select("value", "rep", "n", "pos", "size", "hub"), "lists")
+    able = (F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + smallest)
+    able = written(entries.hint("merge").join(lists, "value").filter(able).drop("least_n"), "members")
+    lists = written(able.groupBy("value").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1"), "values")
+    members = written(able.hint("merge").join(lists, "value"), "lists")
     fits = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n")))
-    short = members.filter(F.col("size") <= SHORT_LIST).select("value", "rep", "n", "pos")
-    pairs = short.alias("a").join(short.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.rep") < F.col("b.rep")) & fits).select(F.col("a.rep").alias("hub"), F.col("b.rep").alias("rep"))
+    short = members.filter(F.col("size") <= SHORT_LIST).select("value", "node", "n", "pos")
+    pairs = short.alias("a").hint("merge").join(short.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node")) & fits).select(F.col("a.node").alias("hub"), F.col("b.node").alias("node"))
     long = members.filter(F.col("size") > SHORT_LIST)
-    pairs = written(pairs.union(long.filter("hub != rep").select("hub", "rep")).distinct(), "pairs")
-    candidates = pairs.select(F.col("hub").alias("rep")).union(pairs.select("rep")).distinct()
-    sources = written(base.withColumnRenamed("doc_id", "rep").join(candidates.hint("merge"), "rep").dropDuplicates(["rep"]), "candidates")
-    links = written(_links(pairs, sources, shingle, percent), "verified")
+    pairs = written(pairs.union(long.filter("hub != node").select("hub", "node")).distinct(), "pairs")
+    sketch_rows = sketches.select("node", "n", F.col("sketch").alias("data"))
+    set_rows = one.withColumnRenamed("hashes", "data")
+    links = _links(pairs, sketch_rows, set_rows, percent)
     found = components(links)
     hubs, done = 1, pairs
-    long = written(long.select("value", "rep", "n", "pos"), "long-lists")
+    long = written(long.select("value", "node", "n", "pos"), "long-lists")
     while True:  # long lists that still hold several components; each turn compares more hubs of theirs, so it ends
-        placed = long.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        value = Window.partitionBy("value")
-        placed = placed.withColumns({"lo": F.min("component").over(value), "hi": F.max("component").over(value)}).filter("lo < hi")
-        placed = written(placed.withColumn("share", F.count("*").over(Window.partitionBy("value", "component"))), "open-lists")
+        placed = long.hint("merge").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        by_value = placed.groupBy("value", "component").agg(F.count("*").alias("share"))
+        several = by_value.groupBy("value").agg(F.count("*").alias("k")).filter("k > 1").select("value")
+        placed = written(placed.hint("merge").join(by_value.join(several, "value"), ["value", "component"]), "open-lists")
         if not placed.head(1):
             break
-        nth = F.row_number().over(Window.partitionBy("value").orderBy("share", F.xxhash64("rep")))
+        nth = F.row_number().over(Window.partitionBy("value").orderBy("share", F.xxhash64("node")))
         chosen = placed.withColumn("nth", nth).filter(F.col("nth") <= hubs)
         more = (
             placed.alias("a")
+            .hint("merge")
             .join(chosen.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.component") != F.col("b.component")) & fits)
-            .select(F.least("a.rep", "b.rep").alias("hub"), F.greatest("a.rep", "b.rep").alias("rep"))
+            .select(F.least("a.node", "b.node").alias("hub"), F.greatest("a.node", "b.node").alias("node"))
             .distinct()
         )
-        more = written(more.join(done, ["hub", "rep"], "left_anti"), "pairs")
+        more = written(more.hint("merge").join(done, ["hub", "node"], "left_anti"), "pairs")
         if more.head(1):
             done = done.union(more)
-            new = written(_links(more, sources, shingle, percent), "verified")
+            new = _links(more, sketch_rows, set_rows, percent)
             if new.head(1):
                 links = links.union(new)
                 found = components(links)
         elif not placed.groupBy("value").count().filter(F.col("count") > hubs).head(1):
             break  # every member of every open list has been a hub: all pairs are settled
         hubs *= 8
-    found = written(found, "components")
-    ids = known.join(classes, "label").select("doc_id", "rep").distinct()
-    placed = ids.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = rows.join(placed.hint("merge"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    placed = classes.hint("merge").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    ids = written(placed.select("label", "component").hint("merge").join(least, "component").select("label", "component_id"), "components")
+    out = rows.hint("merge").join(ids, "label", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.select("row", "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
+    return _judged(docs, shingle, percent, id_col, text_col).drop("row")
 
 
 def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which one stays for each component, with all their columns."""
-    gone = near_duplicates(docs, shingle, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` of which one document stays for each component, with all their columns."""
+    gone = _judged(docs, shingle, percent, id_col, text_col).filter("NOT kept").select("row").distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("doc_id"), text.alias("text")).select("_row", row_key("doc_id", "text").alias("row"))
+    return rows.hint("merge").join(gone, "row", "left_anti").select("_row.*")

@@ -140,6 +140,35 @@ def test_near_duplicates_in_long_lists(spark):
     assert got == roots
 
 
+def test_near_duplicates_of_repeated_and_text_ids(spark):
+    """Rows of one id and different texts are linked each by its own text; ids may be texts."""
+    common.ship(spark)
+    rng = random.Random(41)
+    a, b = prose(rng, 10), prose(rng, 10)
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, prose(rng, 10))]
+    for kind, name in (("long", int), ("string", str)):
+        docs = spark.createDataFrame([(name(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+        assert got == [(name(1), name(1), True), (name(1), name(1), True), (name(2), name(1), False), (name(3), name(3), True)]
+        assert near_dedup.representatives(docs, 4).count() == 3
+
+
+def test_union_sketch_bound_drops_no_link():
+    rng = np.random.default_rng(5)
+    levels = rng.integers(0, 40, 1 << near_dedup.SLOT_BITS).astype(np.uint8)
+    dropped = 0
+    for _ in range(800):
+        n = int(rng.integers(1, 200))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        keep = a[rng.random(len(a)) < rng.random() ** 0.3]
+        b = np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, int(rng.integers(1, n + 1))).astype(np.uint64)]))
+        x, y = (near_dedup.retained(s, levels, 80) for s in (a, b))
+        may = near_dedup.possible(x, y, len(a), len(b), 80)
+        dropped += not may
+        assert may or not near_dedup.similar(a, b, 80)
+    assert dropped > 300
+
+
 def test_pii_matches_expressions(docs, rows):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     digits = lambda s: re.sub(r"\D", "", s)
@@ -157,6 +186,39 @@ def test_pii_matches_expressions(docs, rows):
     assert any(t.startswith("[key] password=[secret] [url]") for t in masked)
 
 
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ('x token = "1eb9c654e721b4f812088970e66a6345cee33dd6"### y', "secret:11:51"),
+        ("Authorization: Bearer abc123def456.ghi", "secret:22:38"),
+        ("api_key: 'k9k9k9k9'", "secret:10:18"),
+        ("the token of the realm; secret: nothing here", ""),
+        ("password=hunter2", "secret:9:16"),
+        ("ghp_" + "a1" * 18, "key:0:40"),
+        ("sk_live_" + "a1" * 12 + " x", "key:0:32"),
+        ("-----BEGIN RSA PRIVATE KEY-----\nMIIE+/=\n-----END RSA PRIVATE KEY-----", "key:0:69"),
+        ("eyJhbGciOiJI.eyJzdWIiOiIx.abc-_1", "key:0:32"),
+        ("at 2001:db8::ff00:42:8329 and ::1, not 12:30 or a::b::c", "ip6:3:25,ip6:30:33"),
+        ("see https://a.b/c?d", "url:4:19"),
+        ("iban GB82WEST12345698765432", "account:5:27"),
+    ],
+)
+def test_pii_anchors(text, spans):
+    assert pii.joined([s for s in pii.find_spans(text, pii._automaton()) if s[0] not in pii.BASE_KINDS]) == spans
+
+
+def test_private_data_of_documents_is_caught(spark):
+    """Documents with a planted pattern are caught, the others are left alone."""
+    import duckdb
+
+    common.ship(spark)
+    found = {r["doc_id"]: r["n_private"] for r in pii.find_pii(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    pattern = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.|token = .[0-9a-f]{20}|password=|AKIA[0-9A-Z]{16}|[0-9]{1,3}(\.[0-9]{1,3}){3}|\+[0-9][ ().0-9-]{8}"
+    planted = dict(duckdb.sql(f"SELECT doc_id, regexp_matches(coalesce(text, ''), '{pattern}') FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    caught = sum(found[i] > 0 for i in planted if planted[i]) / sum(planted.values())
+    assert caught > 0.95 and sum(found[i] == 0 for i in planted if not planted[i]) / sum(not v for v in planted.values()) > 0.99
+
+
 def test_language(spark):
     common.ship(spark)
     rng = random.Random(2)
@@ -169,6 +231,63 @@ def test_language(spark):
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= got[i]["score"] <= 1 for i in got)
 
 
+def test_language_equals_plain_trigram_sets(spark):
+    """Predictions against plain sets of trigrams, one document a language included; the filters' false positives change none."""
+    common.ship(spark)
+    rng = random.Random(22)
+    sounds = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "ei"], "cc": ["eau", "oi", "que"], "one": ["zzy", "vrk", "plu"]}
+    rows = []
+    for i in range(160):
+        lang = sorted(sounds)[i % 3]
+        mix = sounds[lang] + (sounds[sorted(sounds)[(i + 1) % 3]] if i % 4 == 0 else [])
+        rows.append((i, " ".join("".join(rng.choice(mix) for _ in range(3)) for _ in range(40)), lang))
+    only = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 5)
+    rows.append((only, " ".join("".join(rng.choice(sounds["one"]) for _ in range(3)) for _ in range(40)), "one"))
+    got = {r["doc_id"]: r for r in language.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+
+    def grams(t):
+        c = "".join(x if x.isalpha() else " " for x in "  " + t.lower() + "  ")
+        return [c[k : k + 3] for k in range(len(c) - 2) if c[k + 1] != " " and (c[k] != " " or c[k + 2] != " ")]
+
+    counts = {lang: collections.Counter() for lang in sounds}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            counts[lang].update(grams(t))
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    own = {lang: {g for g, r in rate[lang].items() if r >= language.SHARE * max(x.get(g, 0) for x in rate.values())} for lang in rate}
+    for i, t, _ in rows:
+        hits = {lang: sum(g in own[lang] for g in grams(t)) for lang in sorted(own)}
+        assert got[i]["lang_pred"] == max(sorted(hits), key=lambda k: hits[k]), i
+        assert got[i]["score"] == pytest.approx(max(hits.values()) / len(grams(t)), abs=0.02)
+    assert got[only]["lang_pred"] == "one" and got[only]["score"] > 0.9
+
+
+def test_stages_handle_any_rows(spark, tmp_path):
+    """Every stage over nulls, empty and very long texts, repeated rows and columns of clashing names, and over an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    spark.createDataFrame([(1, prose(rng, 20)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key string, key string, _gone string, lang_pred string, score string, _row string, _norm string"
+    clash = ("s", 1, *["x"] * 7)
+    base = [(i, prose(rng, 60), "en" if i % 2 else None, *clash) for i in range(30)]
+    rows = [*base, base[3], base[3], (40, None, "en", *clash), (41, "", "en", *clash), (42, base[5][1] + " ", None, *clash), (None, base[6][1], "en", *clash), (43, prose(rng, 30_000), "en", *clash), (44, "12 34", "en", *clash)]
+    for table, least in ((rows, 25), ([], 0)):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = common.written(stage(spark, docs, str(tmp_path)), name)
+            assert out.columns == docs.columns, name
+            docs = out
+        kept = docs.collect()
+        assert len(kept) >= least and len({r["doc_id"] for r in kept}) == len(kept)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= len(kept)
+    # Alone, the later stages keep null and empty texts.
+    docs = spark.createDataFrame(rows, schema)
+    assert corpus_pipeline.exact(spark, docs, str(tmp_path)).filter("text IS NULL OR text = ''").count() == 1
+    for stage in (corpus_pipeline.near, corpus_pipeline.decontaminate):
+        assert stage(spark, docs, str(tmp_path)).filter("text IS NULL OR text = ''").count() == 2
+
+
 def test_token_counts_and_prefixes(docs, rows):
     library = Encoder.of(VOCABULARY).library
     count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
@@ -306,6 +425,49 @@ def test_decontamination(spark, docs, rows):
     assert not got[500][0]["kept"] and not got[511][0]["kept"] and got[512][0]["kept"]
 
 
+def similarities(text, items):
+    """The best weighted similarity of any window with each item, by trying all starts."""
+    out, dw = {}, words(text)
+    for k, s in items:
+        iw = words(s or "")
+        bag = collections.Counter(shingled(iw))
+        for a in range(max(1, len(dw) - len(iw) + 1)) if iw and dw else ():
+            window = collections.Counter(shingled(dw[a : a + len(iw)]))
+            out[k] = max(out.get(k, 0), sum((window & bag).values()) / sum((window | bag).values()))
+    return out
+
+
+def test_decontamination_tests_every_start(spark):
+    """Words inserted in the middle and changed at both ends: the similar window begins at neither alignment. Recall is 1.0 over all edits."""
+    rng = random.Random(21)
+    items = [(k, prose(rng, n)) for k, n in enumerate([80, 60, 45, 30, 20, 14, 12, 10, 9, 8, 7, 6, 5, 4, 2])]
+    texts = []
+    w = words(items[0][1])
+    first = list(w)
+    first[1], first[78] = "changedone", "changedtwo"
+    texts.append((0, prose(rng, 50) + " " + " ".join([*first[:40], "four", "more", "inserted", "words", *first[40:]]) + " " + prose(rng, 50)))
+    for i in range(1, 240):
+        w = list(words(items[i % len(items)][1]))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w))
+            edit = rng.randrange(4)
+            w = w[:at] + ["new"] * (edit % 3) + w[at + (edit != 1) :] or ["x"]
+        around = rng.choice([0, 0, 25])
+        texts.append((i, prose(rng, around) + " " + " ".join(w) + " " + prose(rng, around)))
+    got = by_id(decontam.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    for i, t in texts:
+        hits = {k: v for k, v in similarities(t, items).items() if v >= 0.8}
+        r = got[i][0]
+        assert (r["kept"], r["n_items"]) == (not hits, len(hits)), (i, hits)
+        assert not hits or r["similarity"] == pytest.approx(max(hits.values()))
+    assert not got[0][0]["kept"] and 20 < sum(not r[0]["kept"] for r in got.values()) < 230
+
+
+def test_radius_by_item_length(spark):
+    got = {r["item_words"]: r["radius"] for r in decontam.with_radius(spark.range(1, 200).selectExpr("cast(id AS int) AS item_words")).collect()}
+    assert [got[n] for n in (1, 4, 5, 8)] == [0, 0, 0, 0] and all(15 < got[n] < 27 for n in range(9, 200))
+
+
 def test_decontamination_of_repeated_phrases(spark):
     """Items that repeat shingles are measured by occurrences, and found by them."""
     rng = random.Random(13)
@@ -327,27 +489,59 @@ def test_decontamination_of_repeated_phrases(spark):
     assert 0 in hits[0] and 1 in hits[2] and not hits[1]
 
 
-def test_lm_scores(spark, docs):
+def plain_score(text, vocabulary, tree, w, counts):
+    """Each token from both sides by plain arithmetic: the walk's decisions, then the word's share of its class."""
+    toks = lm_score.words_of(text)
+    border = len(tree.depth)
+    leaves = [border] * lm_score.SIDE + [vocabulary[x] for x in toks] + [border] * lm_score.SIDE
+    classes = collections.Counter()
+    for x, n in counts.items():
+        if x not in vocabulary:
+            classes[lm_score.ending(x)] += n
+    total = 0.0
+    for i, word in enumerate(toks):
+        at = i + lm_score.SIDE
+        around = [leaves[at + k] for k in (*range(-lm_score.SIDE, 0), *range(1, lm_score.SIDE + 1))]
+        hidden = np.tanh(sum(w["embed"][c].astype(float) * w["gain"][k].astype(float) for k, c in enumerate(around)))
+        for d in range(tree.depth[leaves[at]]):
+            fork = tree.forks[leaves[at], d]
+            total -= math.log1p(math.exp(-float(tree.sides[leaves[at], d]) * (float(hidden @ w["fork"][fork].astype(float)) + float(w["bias"][fork]))))
+        if word not in vocabulary:
+            total += math.log(counts[word] / classes[lm_score.ending(word)])
+    return total
+
+
+def test_lm_scores(spark, docs, rows):
+    """Every token is scored: the operator's sums equal a plain pass over each document. Equal rows score alike."""
     got = by_id(lm_score.score_documents(docs))
     r = got[0]
-    assert len(r) == 2 and r[0]["log_likelihood"] == r[1]["log_likelihood"]
-    assert sum(len(v) for v in got.values()) == docs.count()
-    vocabulary, first = lm_score.train(docs)
-    rng = random.Random(6)
-    pattern = ["the cat sat on a mat and then"] * 200
-    v = lm_score.Vocabulary({w: k for k, w in enumerate(lm_score.words_of(pattern[0]))})
-    w = lm_score.first_weights(np.ones(lm_score.TOKENS))
-
-    def mean(texts):
-        s = [lm_score.forward(w, t, c).mean() for t, c, _ in lm_score.batches_of(texts, v)]
-        return sum(s) / len(s)
-
-    before = mean(pattern)
-    for _ in range(60):
-        for t, c, _ in lm_score.batches_of(pattern, v):
-            lm_score.forward(w, t, c, train=True)
-    shuffled = [" ".join(rng.sample(p.split(), 8)) for p in pattern]
-    assert mean(pattern) > before + 1 and mean(pattern) > mean(shuffled)
+    assert len(r) == 2 and r[0] == r[1] and sum(len(v) for v in got.values()) == docs.count()
+    vocabulary, tree, w = lm_score.train(docs)
+    counts = collections.Counter(x for _, t, *_ in rows for x in lm_score.words_of(t or ""))
+    for i, t in unique(rows):
+        r = got[i][0]
+        assert r["n_tokens"] == len(lm_score.words_of(t))
+        assert r["log_likelihood"] == pytest.approx(plain_score(t, vocabulary, tree, w, counts), rel=1e-4, abs=1e-3)
+    assert got[32][0]["log_likelihood"] == 0 and got[32][0]["mean_log_likelihood"] is None
+    n = len(tree.depth)
+    context = np.random.default_rng(3).integers(0, n + 1, (2 * lm_score.SIDE, 1)).repeat(n, axis=1)
+    assert np.exp(lm_score.forward(w, tree, np.arange(n), context).astype(float)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_learns_order_and_rows_are_scored_alone():
+    pattern = "the cat sat on a mat and then ".encode().split()
+    n = len(pattern) + 3
+    tree = lm_score.Tree(np.ones(n))
+    w, row = lm_score.first_weights(tree), np.array([*[n] * 3, *(list(range(3, n)) * 300), *[n] * 3], "<i2").tobytes()
+    target, context = lm_score.unpacked(row, n)
+    before = lm_score.forward(w, tree, target, context).mean()
+    for turn in range(60):
+        lm_score.forward(w, tree, *lm_score.unpacked(row, n, turn), train=True)
+    after = lm_score.forward(w, tree, target, context)
+    shuffled = np.random.default_rng(1).permutation(context.shape[1])
+    assert after.mean() > before + 1 and after.mean() > lm_score.forward(w, tree, target, context[:, shuffled]).mean() + 1
+    for a, z in ((0, 1), (5, 12), (100, 131), (7, 1000)):
+        assert (lm_score.forward(w, tree, target[a:z], context[:, a:z]) == after[a:z]).all()
 
 
 def test_lm_scores_do_not_depend_on_layout(spark):
@@ -362,25 +556,14 @@ def test_lm_scores_do_not_depend_on_layout(spark):
 
 
 def test_lm_scores_tell_rare_words_apart(spark):
-    """Words beyond the network's own have their share of the class in the whole corpus, by the full word table."""
+    """Words without a leaf have their share of the class in the whole corpus, by the full word table; own words are counted."""
     common.ship(spark)
-    own = [f"w{k}" for k in range(lm_score.WORDS)]
-    texts = [(k, " ".join(own)) for k in range(9)] + [(20 + k, "rareing é rareing") for k in range(3)] + [(30, "w1 w2 rareing w3 w4"), (31, "w1 w2 onceing w3 w4"), (31, "w1 w2 onceing w3 w4"), (32, "w1 w2 w9 w3 w4")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    got = by_id(lm_score.score_documents(docs))
-    assert got[30][0]["log_likelihood"] - got[31][0]["log_likelihood"] == pytest.approx(math.log(7 / 2), abs=1e-4)
-    assert got[31][0] == got[31][1]
-    vocabulary, weights = lm_score.train(docs)
-    counts = collections.Counter(w for _, t in texts for w in lm_score.words_of(t))
-    classes = collections.Counter()
-    for w, n in counts.items():
-        if w not in vocabulary:
-            classes[lm_score.ending(w)] += n
-    assert len(vocabulary) == lm_score.WORDS and len(counts) > len(vocabulary)
-    for i, t in texts:
-        target, context, _ = next(lm_score.batches_of([t], vocabulary))
-        shares = [math.log(counts[w] / classes[lm_score.ending(w)]) for w in lm_score.words_of(t) if w not in vocabulary]
-        assert got[i][0]["log_likelihood"] == pytest.approx(float(lm_score.forward(weights, target, context).astype(float).sum()) + sum(shares), rel=1e-5)
+    own = [f"w{k}" for k in range(300)]
+    texts = [(k, " ".join(own)) for k in range(9)] + [(20 + k, "rareing é rareing") for k in range(2)] + [(30, "w1 w2 rareing w3 w4"), (31, "w1 w2 onceing w3 w4"), (33, "w1 w2 onceing w3 w4"), (32, "w1 twiceing twiceing w2")]
+    got = by_id(lm_score.score_documents(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert got[30][0]["log_likelihood"] - got[31][0]["log_likelihood"] == pytest.approx(math.log(5 / 2), abs=1e-4)
+    assert got[31][0]["log_likelihood"] == got[33][0]["log_likelihood"]
+    assert [got[i][0]["n_own_words"] for i in (0, 20, 30, 31, 33, 32)] == [0, 0, 0, 0, 0, 1]
 
 
 def test_empty_tables(spark, empty):
@@ -429,3 +612,34 @@ def test_pipeline_against_plain_stages(spark):
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in out} == kept["decontamination"]
     assert sum(r["length"] for r in out) == sum(len(ids_of(docs[i])) for i in kept["decontamination"])
+
+
+def test_prefix_table_answers_budgets(spark, docs, rows):
+    library = Encoder.of(VOCABULARY).library
+    table = token_counts.prefix_table(docs.filter("length(text) < 800 OR text IS NULL"))
+    got = by_id(token_counts.within_budget(table, 20))
+    for i, t in unique(rows):
+        if len(t) < 800 and i in got:
+            full = [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
+            r = got[i][0]
+            assert r["prefix_tokens"] == full
+            assert (r["n_tokens"], r["fits"], r["fits_chars"]) == (full[-1], full[-1] <= 20, max(k for k, n in enumerate(full) if n <= 20))
+
+
+def test_single_documents_are_read_by_range(spark, docs, tmp_path):
+    manifest = token_store.write_tokens(docs, str(tmp_path)).collect()
+    have = {(r["doc_id"], r["text"] or "") for r in docs.collect()}
+    for r in manifest:
+        for k, i in enumerate(r["doc_ids"]):
+            assert token_store.read_document(r["file"], k).tobytes() in {ids_of(t).tobytes() for d, t in have if d == i}
+        with pytest.raises(IndexError):
+            token_store.read_document(r["file"], len(r["doc_ids"]))
+
+
+def test_equal_texts_over_many_borders_with_repeated_ids(spark):
+    common.ship(spark)
+    df = spark.range(6000).selectExpr("id % 7 AS doc_id", "concat(repeat(' ', cast(id % 3 AS int)), 'same', CASE WHEN id % 5 = 0 THEN 'x' ELSE '' END) AS text", "id AS _id", "'c' AS _border")
+    rows = exact_dedup.exact_dedup(df).collect()
+    assert len(rows) == 6000 and sum(r["kept"] for r in rows) == 2 and {r["group_size"] for r in rows} == {1200, 4800}
+    out = exact_dedup.distinct_documents(df)
+    assert out.columns == df.columns and sorted(r["text"] for r in out.collect()) == ["  same", "  samex"]
