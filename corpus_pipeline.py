@@ -6,6 +6,7 @@ next stage's documents. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,31 +19,41 @@ LEAST_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known stay."""
+    """Documents whose language is known stay; null and empty texts, and texts without a letter, are in none and go.
+
+    Repeated rows share their result. A tie goes to the language first in order, so it stays.
+    """
     common.ship(spark)
-    scored = language.identify(docs, language.fit(docs))
-    return scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    names = (f"lang_pred_{uuid.uuid4().hex}", f"score_{uuid.uuid4().hex}")  # whatever columns documents have
+    scored = language.identify(docs, language.fit(docs), names=names)
+    return scored.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts (white space aside) stays: the longest, then of least doc_id; of repeated rows one.
+
+    Null and empty texts are equal to each other; a null doc_id comes last.
+    """
     common.ship(spark)
     return exact_dedup.distinct_documents(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates (five words, 0.8) stays: that of least doc_id.
+
+    Null and empty texts link with nothing and stay, and so do rows of a null doc_id.
+    """
     common.ship(spark)
     return near_dedup.representatives(docs, shingle=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; an empty benchmark takes nothing away."""
     return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all that is left, with their places in sequences."""
+    """The pieces of all that is left, with their places in sequences. A null or empty text is its end id; ties go by doc_id and piece."""
     common.ship(spark)
     return packing.pack(docs)
 
