@@ -2,17 +2,21 @@
 
 Every window of ``length`` bytes has an anchor: the first of its k-grams of least hash. Equal windows have equal anchors at equal
 offsets, and neighbouring windows mostly share one, so a text is cut into records: maximal runs of window
-starts with one anchor. Records whose anchor occurs once hold no repeat. Records that are equal in full are
-repeats in full. Only records that share an anchor and differ are laid out as text: in a block of them all window starts are
-put in suffix order (``length`` bytes deep), neighbours are compared for their common prefix, and the previous and
-next smaller positions give the longest previous factor: a window has an earlier match when a smaller
-position lies in its run of common prefixes of at least ``length``, and the first one has a later match when the run
-has another position. Both are marked, so all copies go, as the input stands.
-
-An anchor with more than ``HOT`` different records is not laid out in one block. Its windows are taken by ranges of ``RANGE``
-neighbouring offsets, whose common core is hashed; ranges whose core occurs once hold no repeat, the windows of
-the others are counted by their 128-bit hashes. Any number of tasks can share both counts. Rows are known by id and text hash; repeated rows share
-their result, and are repeats of each other. Null, empty and short texts are left alone.
+starts with one anchor. Records whose anchor occurs once hold no repeat. Records that are equal in full, by a 128-bit BLAKE2
+digest of their bytes, are repeats in full. Records that share an anchor and differ are laid out as text, one of each
+content: in a block of them all window starts are put in suffix order (``length`` bytes deep), the common prefixes of
+neighbours are measured on the bytes, and the previous and next smaller positions give each start's longest previous factor,
+the previous and next larger ones its longest later factor. A start whose factor has ``length`` bytes is a repeat.
+
+A group of more than ``HOT`` different records is split on the way to its blocks: its records are cut into runs of 17, then 5, then 1
+neighbouring offsets, each run grouped anew by the bytes that all its windows have in common. At every step groups of one
+are done, equal runs are repeats in full, and groups that have become small enough go to their blocks; single windows that share all
+bytes are equal. Everything in between is counted by partial aggregates and joins that Spark can split, so a passage
+that a third of all documents share is no task's alone.
+
+``remove_repeats`` marks every copy, or, with ``keep_first``, all but the first in order of id and place. Rows are known by id and
+text hash; repeated rows share their result, and are repeats of each other (with ``keep_first`` they count as one). Ids of any type
+will do. Null, empty and short texts are left alone. Low-entropy texts (one byte over and over) give a record a window, no more.
 """
 
 from __future__ import annotations
@@ -24,10 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import texts, written
 
-GRAM, HOT, BLOCK_WINDOWS, RANGE = 128, 300, 20_000, 17
+GRAM, HOT, BLOCK_WINDOWS, WIDTHS = 128, 300, 20_000, (17, 5, 1)
+#: Any string of so many bytes that another document holds too has a shared gram among those compared.
+PASSAGE = 256
 #: Odd bases of two rolling hashes, and their inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
@@ -84,16 +91,24 @@ def least_positions(h: np.ndarray, window: int) -> np.ndarray:
     return (np.minimum(back[:n], ahead[window - 1 : window - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def records(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """first and last window start, anchor position, anchor hash and content hash of each record of a text."""
-    rolling = Rolling(data)
-    h = rolling.every(GRAM)
-    at = least_positions(h, length - GRAM + 1)
-    cut = np.flatnonzero(np.diff(at)) + 1
-    first = np.concatenate([[0], cut])
-    last = np.concatenate([cut - 1, [len(at) - 1]])
-    anchor = at[first]
-    return first, last, anchor, h[anchor], rolling.of(first, last + length)
+def records(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """first and last window start, anchor position and anchor hash of each record; then, with first -1, the further grams of windows of ``PASSAGE`` bytes."""
+    h = Rolling(np.frombuffer(data, np.uint8)).every(GRAM)
+    first = last = at = np.empty(0, np.int64)
+    if len(data) >= length:
+        anchors = least_positions(h, length - GRAM + 1)
+        cut = np.flatnonzero(np.diff(anchors)) + 1
+        first = np.concatenate([[0], cut])
+        last = np.concatenate([cut - 1, [len(anchors) - 1]])
+        at = anchors[first]
+    more = np.setdiff1d(least_positions(h, PASSAGE - GRAM + 1), at) if len(data) >= PASSAGE else at[:0]
+    none = np.full(len(more), -1)
+    at = np.concatenate([at, more])
+    return np.concatenate([first, none]), np.concatenate([last, none]), at, h[at]
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _runs(length: int):
@@ -101,16 +116,17 @@ def _runs(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got, where = [], []
-            for i, raw in enumerate(b.column("data")):
-                data = np.frombuffer(raw.as_py(), np.uint8)
-                got.append(records(data, length))
+            got, where, content = [], [], []
+            for i, raw in enumerate(b.column("data").to_pylist()):
+                got.append(records(raw, length))
                 where.append(np.full(len(got[-1][0]), i))
+                content += [digest(raw[a : z + length]) if a >= 0 else None for a, z in zip(got[-1][0].tolist(), got[-1][1].tolist(), strict=True)]
             if got:
-                first, last, at, anchor, content = map(np.concatenate, zip(*got, strict=True))
+                first, last, at, anchor = map(np.concatenate, zip(*got, strict=True))
                 rows = pa.array(np.concatenate(where))
+                outside = first < 0
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(rows), b.column("h").take(rows), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(at, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
+                    [b.column("doc_id").take(rows), b.column("h").take(rows), pa.array(first, pa.int32(), mask=outside), pa.array(last, pa.int32(), mask=outside), pa.array(at, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(content, pa.binary())],
                     names=names,
                 )
 
@@ -118,56 +134,81 @@ def _runs(length: int):
 
 
 def _pieces(length: int):
-    """Lays out the wanted records of a text: whole, or as ranges of window hashes under their core's hash where their anchor is hot."""
-    names = ["anchor", "k1", "k2", "w1", "w2", "doc_id", "h", "first", "single", "data"]
+    """Lays out the wanted records of a text."""
+    names = ["g", "doc_id", "h", "first", "at", "c", "m", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hs = b.column("doc_id"), b.column("h")
-            out: list[tuple] = []
-            for i, (raw, wanted) in enumerate(zip(b.column("data"), b.column("wanted").to_pylist(), strict=True)):
-                raw = raw.as_py()
-                rolling: tuple[Rolling, ...] = ()
-                for r in wanted:
-                    if r["m"] <= HOT:
-                        out.append((i, r["anchor"], None, None, None, None, r["first"], r["c"] == 1, raw[r["first"] : r["last"] + length]))
+            for i, (raw, wanted) in enumerate(zip(b.column("data").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
+                rows = pa.array(np.full(len(wanted), i))
+                columns = [pa.array([r[k] for r in wanted], kind) for k, kind in (("first", pa.int32()), ("at", pa.int32()), ("c", pa.int64()), ("m", pa.int64()))]
+                data = pa.array([raw[r["first"] : r["last"] + length] for r in wanted], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r["anchor"] for r in wanted], pa.int64()), b.column("doc_id").take(rows), b.column("h").take(rows), *columns, data], names=names)
+
+    return run
+
+
+def _cut(length: int, width: int):
+    """Cuts pieces into runs of ``width`` offsets from their anchor, under the hash of what the run's windows have in common."""
+    import xxhash
+
+    names = ["g", "content", "doc_id", "h", "first", "at", "c", "data"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, g, content, first, data = [], [], [], [], []
+            for i, (start, at, raw) in enumerate(zip(b.column("first").to_pylist(), b.column("at").to_pylist(), b.column("data").to_pylist(), strict=True)):
+                end = start + len(raw) - length  # the last window start
+                for k in range((at - end) // width, (at - start) // width + 1):  # offsets k * width and on, before the anchor
+                    a, z = max(start, at - k * width - width + 1), min(end, at - k * width)
+                    if a > z:
                         continue
-                    rolling = rolling or tuple(Rolling(np.frombuffer(raw, np.uint8), which) for which in (0, 1))
-                    starts = np.arange(r["first"], r["last"] + 1)
-                    w1, w2 = (x.of(starts, starts + length).view(np.int64) for x in rolling)
-                    part = (r["at"] - starts) // RANGE
-                    for k in np.unique(part):
-                        mine = part == k
-                        a = np.array([r["at"] - RANGE * k])
-                        k1, k2 = (int(x.of(a, a + length - RANGE + 1).view(np.int64)[0]) for x in rolling)
-                        out.append((i, r["anchor"], k1, k2, w1[mine].tolist(), w2[mine].tolist(), int(starts[mine][0]), r["c"] == 1, None))
-                if out and (len(out) > 20_000 or i == b.num_rows - 1):
-                    at, anchor, k1, k2, w1, w2, first, single, data = zip(*out, strict=True)
-                    rows = pa.array(at, pa.int64())
-                    hashes = pa.list_(pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(w1, hashes), pa.array(w2, hashes), ids.take(rows), hs.take(rows), pa.array(first, pa.int32()), pa.array(single, pa.bool_()), pa.array(data, pa.binary())],
-                        names=names,
-                    )
-                    out = []
+                    piece = raw[a - start : z - start + length]
+                    core = raw[at - k * width - start : at - k * width - start + length - width + 1]
+                    row.append(i), first.append(a), data.append(piece), content.append(digest(piece))
+                    g.append(xxhash.xxh3_64_intdigest(core) - (1 << 63))
+            rows = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(content, pa.binary()), b.column("doc_id").take(rows), b.column("h").take(rows), pa.array(first, pa.int32()), b.column("at").take(rows), b.column("c").take(rows), pa.array(data, pa.binary())], names=names)
 
     return run
 
 
-def previous_factors(block: list[bytes], length: int) -> list[np.ndarray]:
-    """For each text of the block, which of its window starts have a match of ``length`` bytes at a smaller or larger position."""
+def nearest_smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place in suffix order the common prefix with the nearest place before it whose position is smaller (0 if none).
+
+    ``common[i]`` is the common prefix of places i - 1 and i. All places jump along each other's pointers at once.
+    """
+    to, least = np.arange(len(position)) - 1, common.copy()
+    open_ = np.flatnonzero(to >= 0)
+    while len(open_):
+        open_ = open_[position[to[open_]] > position[open_]]
+        at = to[open_]
+        least[open_] = np.minimum(least[open_], least[at])
+        to[open_] = to[at]
+        open_ = open_[to[open_] >= 0]
+    least[to < 0] = 0
+    return least
+
+
+def factors(block: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's window starts: each one's text, and the lengths (at most ``length``) of its longest previous and longest later factor."""
     joined = np.frombuffer(b"".join(block), np.uint8)
     ends = np.cumsum([len(x) for x in block])
     starts = np.concatenate([np.arange(e - len(x), e - length + 1) for x, e in zip(block, ends, strict=True)])
-    view = np.lib.stride_tricks.sliding_window_view(joined, length)[starts]
-    keys = np.ascontiguousarray(view).view(f"S{length}").ravel()
-    order = np.argsort(keys, kind="stable")  # suffix order; equal ones by position
-    common = keys[order[1:]] == keys[order[:-1]]  # neighbours' common prefix reaches `length`
-    earlier = np.concatenate([[False], common])  # a previous smaller position within the run
-    later = np.concatenate([common, [False]])  # a next one, for the run's first
-    marked = np.zeros(len(starts), bool)
-    marked[order] = earlier | later
-    return np.split(marked, np.cumsum([len(x) - length + 1 for x in block])[:-1])
+    view = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(joined, length)[starts])
+    order = np.argsort(view.view(f"S{length}").ravel(), kind="stable")  # suffix order; equal ones by position
+    view = view[order]
+    differ = view[1:] != view[:-1]
+    common = np.zeros(len(order) + 1, np.int64)
+    common[1:-1] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    out = []
+    for position in (order, -order):
+        ahead = nearest_smaller(position, common[:-1])
+        behind = nearest_smaller(position[::-1], common[1:][::-1])[::-1]
+        found = np.empty(len(order), np.int64)
+        found[order] = np.maximum(ahead, behind)
+        out.append(found)
+    return np.repeat(np.arange(len(block)), [len(x) - length + 1 for x in block]), *out
 
 
 def stretches(marked: np.ndarray, first: int, length: int) -> list[tuple[int, int]]:
@@ -176,25 +217,29 @@ def stretches(marked: np.ndarray, first: int, length: int) -> list[tuple[int, in
     return [(first + int(a), first + int(z) - 1 + length) for a, z in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _blocks(length: int):
+def _blocks(length: int, keep_first: bool, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # (doc_id, h, first, single, bytes) of whole groups, and of the group still open
+        held: list[tuple] = []  # (doc_id, h, first, c, bytes) of whole groups, and of the group still open
 
         def solved(rows: list[tuple]):
             d, h, s, e = [], [], [], []
-            for (doc, key, first, single, _), marked in zip(rows, previous_factors([r[4] for r in rows], length), strict=True):
-                for a, z in stretches(marked, first, length) if single else ():
-                    d.append(doc), h.append(key), s.append(a), e.append(z)
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "h", "s", "e"])
-
-        open_anchor, begun, windows = None, 0, 0
+            of, earlier, later = factors([r[4] for r in rows], length)
+            marked = earlier >= length if keep_first else (earlier >= length) | (later >= length)
+            cuts = np.searchsorted(of, np.arange(len(rows) + 1))
+            for k, (doc, key, first, c, _) in enumerate(rows):
+                if keep_first or c == 1:  # of several equal ones all are marked already
+                    for a, z in stretches(marked[cuts[k] : cuts[k + 1]], first, length):
+                        d.append(doc), h.append(key), s.append(a), e.append(z)
+            return pa.RecordBatch.from_arrays([pa.array(d, kind), pa.array(h, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "h", "s", "e"])
+
+        open_group, windows = None, 0
         for b in batches:
-            for anchor, *row in zip(*[b.column(c).to_pylist() for c in ("anchor", "doc_id", "h", "first", "single", "data")], strict=True):
-                if anchor != open_anchor:
+            for g, *row in zip(*[b.column(c).to_pylist() for c in ("g", "doc_id", "h", "first", "c", "data")], strict=True):
+                if g != open_group:
                     if windows >= BLOCK_WINDOWS:  # a group has at most HOT records: bounded
                         yield solved(held)
                         held, windows = [], 0
-                    open_anchor = anchor
+                    open_group = g
                 held.append(tuple(row))
                 windows += len(row[4]) - length + 1
         if held:
@@ -224,46 +269,76 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append(n)
             sha.append(out.hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), b.column("n_shared")],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"],
         )
 
 
-def repeated_stretches(base: DataFrame, length: int) -> DataFrame:
-    """doc_id, h, s, e: byte intervals made of repeated windows; ``base`` has doc_id, h and data."""
-    long = base.filter(F.length("data") >= length)
-    runs = long.mapInArrow(_runs(length), "doc_id long, h long, first int, last int, at int, anchor long, content long")
-    runs = written(runs, "records")
-    many = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("n > 1")
-    shared = written(runs.join(many, "anchor").select("doc_id", "h", "first", "last", "at", "anchor", "content", (F.col("lo") == F.col("hi")).alias("equal")), "shared")
-    cover = lambda df: df.select("doc_id", "h", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
-    mixed_rows = shared.filter("NOT equal")
-    contents = written(mixed_rows.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "first", "last", "at")).alias("one")), "contents")
-    twice = mixed_rows.join(contents.filter("c > 1").select("anchor", "content"), ["anchor", "content"])
-    sizes = contents.groupBy("anchor").agg(F.count("*").alias("m"))
+def repeated_stretches(base: DataFrame, length: int, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """doc_id, h, s, e: byte intervals made of repeated windows; and doc_id, h, n_shared: grams that other documents hold too. ``base`` has doc_id, h and data."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = base.schema["doc_id"].dataType
+    made = lambda *rest: T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, t) for n, t in rest]])
+    long_, int_, binary = T.LongType(), T.IntegerType(), T.BinaryType()
+    long = base.filter(F.length("data") >= min(length, PASSAGE))
+    runs = written(long.mapInArrow(_runs(length), made(("h", long_), ("first", int_), ("last", int_), ("at", int_), ("anchor", long_), ("content", binary))), "records")
+    doc = F.struct("doc_id", "h")
+    many = runs.groupBy("anchor").agg(F.count("first").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"), (F.min(doc) != F.max(doc)).alias("across"))
+    many = written(many.filter("n > 1 OR across").select("anchor", "n", (F.col("lo") == F.col("hi")).alias("equal"), "across"), "anchors")
+    shared = written(runs.hint("merge").join(many, "anchor"), "shared")
+    grams = shared.filter("across").groupBy("doc_id", "h").agg(F.count("*").alias("n_shared"))
+    whole = lambda df: df.select("doc_id", "h", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
+
+    def copies(df: DataFrame, of: list[str], carry: list[str]) -> tuple[DataFrame, DataFrame]:
+        """A row per content: how often it occurs, and its first place with ``carry``; and the rows to be removed with all their windows."""
+        place = ["doc_id", "h", "first"]
+        counts = written(df.groupBy(*of).agg(F.count("*").alias("again"), F.min(F.struct(*place, *carry)).alias("one")), "contents")
+        twice = df.hint("merge").join(counts.filter("again > 1").select(*of, F.struct(*[f"one.{c}" for c in place]).alias("one")), of)
+        return counts.select(*of, "again", "one.*"), twice.filter(F.struct(*place) != F.col("one")) if keep_first else twice
+
+    rows = shared.filter("first IS NOT NULL AND n > 1")
+    counts, again = copies(rows, ["anchor", "content"], ["last", "at"])
+    out = whole(again)
+    firsts = counts.hint("merge").join(many.filter("NOT equal").select("anchor"), "anchor").withColumnRenamed("again", "c")
+    sizes = written(firsts.groupBy("anchor").agg(F.count("*").alias("m")), "sizes")
     wanted = (
-        contents.join(sizes, "anchor")
-        .groupBy(F.col("one.doc_id").alias("w_id"), F.col("one.h").alias("w_h"))
-        .agg(F.collect_list(F.struct("anchor", F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.at").alias("at"), "c", "m")).alias("wanted"))  # records of one text
-    )
-    laid = long.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "data", "wanted")
-    pieces = written(laid.mapInArrow(_pieces(length), "anchor long, k1 long, k2 long, w1 array<long>, w2 array<long>, doc_id long, h long, first int, single boolean, data binary"), "pieces")
-    cold = pieces.filter("data IS NOT NULL").select("anchor", "doc_id", "h", "first", "single", "data").repartition("anchor").sortWithinPartitions("anchor")
-    solved = cold.mapInArrow(_blocks(length), "doc_id long, h long, s int, e int")
-    ranges = pieces.filter("data IS NULL").drop("anchor", "data")
-    cores = ranges.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    window = F.posexplode(F.arrays_zip("w1", "w2")).alias("nth", "w")
-    hot = ranges.join(cores, ["k1", "k2"]).select("doc_id", "h", "first", "single", window).select("doc_id", "h", (F.col("first") + F.col("nth")).alias("first"), "single", "w.w1", "w.w2")
-    again = hot.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1")
-    counted = hot.filter("single").join(again, ["w1", "w2"]).select("doc_id", "h", F.col("first").alias("s"), (F.col("first") + length).alias("e"))
-    return cover(shared.filter("equal")).union(cover(twice)).union(solved).union(counted)
-
-
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Ids are integers."""
-    base = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.encode("text", "utf-8").alias("data"))
-    found = written(repeated_stretches(base, length), "stretches")
-    per_row = found.groupBy(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h")).agg(F.collect_set(F.struct("s", "e")).alias("found"))  # stretches of one text
-    rows = base.join(per_row, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")), "left")
-    rows = rows.select("doc_id", F.length("data").cast("long").alias("n_bytes"), "data", "found")
-    return rows.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        firsts.hint("merge").join(sizes, "anchor")
+        .groupBy(F.col("doc_id").alias("w_id"), F.col("h").alias("w_h"))
+        .agg(F.collect_list(F.struct("anchor", "first", "last", "at", "c", "m")).alias("wanted"))  # records of one text
+    )
+    laid = long.hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "data", "wanted")
+    piece = made(("h", long_), ("first", int_), ("at", int_), ("c", long_), ("m", long_), ("data", binary)).add("g", long_)
+    pieces = written(laid.mapInArrow(_pieces(length), T.StructType([piece["g"], *piece.fields[:-1]])), "pieces")
+    small = [pieces.filter(F.col("m") <= HOT)]
+    hot = pieces.filter(F.col("m") > HOT)
+    for width in WIDTHS:
+        if not hot.head(1):
+            break
+        fields = made(("h", long_), ("first", int_), ("at", int_), ("c", long_), ("data", binary)).fields
+        units = hot.mapInArrow(_cut(length, width), T.StructType([T.StructField("g", long_), T.StructField("content", binary), *fields]))
+        units = written(units.withColumn("last", F.col("first") + F.length("data") - length), "runs")
+        counts, again = copies(units, ["g", "content"], ["at", "c", "data"])
+        out = out.union(whole(again if keep_first else again.filter("c = 1")))
+        sizes = written(counts.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
+        left = counts.withColumn("c", F.greatest("c", "again")).hint("merge").join(sizes, "g")
+        left = written(left.select("g", "doc_id", "h", "first", "at", "c", "m", "data"), "left")
+        small.append(left.filter(F.col("m") <= HOT))
+        hot = left.filter(F.col("m") > HOT)
+    for part in small:
+        dealt = part.select("g", "doc_id", "h", "first", "c", "data").repartition("g").sortWithinPartitions("g", "doc_id", "h", "first")
+        out = out.union(dealt.mapInArrow(_blocks(length, keep_first, to_arrow_type(kind)), made(("h", long_), ("s", int_), ("e", int_))))
+    return written(out, "stretches"), grams
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep_first: bool = False) -> DataFrame:
+    """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (128-byte grams found in other documents too)."""
+    base = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("h"), F.encode("text", "utf-8").alias("data"))
+    searched = base.dropDuplicates(["doc_id", "h"]) if keep_first else base
+    found, grams = repeated_stretches(searched, length, keep_first)
+    both = found.select("doc_id", "h", F.struct("s", "e").alias("x"), F.lit(0).cast("long").alias("n")).union(grams.select("doc_id", "h", F.lit(None).cast("struct<s: int, e: int>"), "n_shared"))
+    known = both.groupBy(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h")).agg(F.collect_set("x").alias("found"), F.sum("n").alias("n_shared"))  # stretches of one text
+    rows = base.hint("merge").join(known, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")), "left")
+    rows = rows.select("doc_id", F.length("data").cast("long").alias("n_bytes"), "data", "found", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    names = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("n_shared", T.LongType())]
+    return rows.mapInArrow(_kept, T.StructType([base.schema["doc_id"], *[T.StructField(n, t) for n, t in names]]))

@@ -364,35 +364,95 @@ def test_token_store_round_trip(spark, docs, rows, tmp_path):
         start += len(ids)
 
 
+def brute_repeats(data, length, keep_first=False):
+    """n_bytes, n_removed, n_spans, kept_sha256 of each (id, bytes), windows compared as they stand."""
+    seen, first = collections.Counter(), {}
+    for i, b in sorted(data, key=lambda r: (r[0] is not None, r[0])):
+        for k in range(len(b) - length + 1):
+            seen[b[k : k + length]] += 1
+            first.setdefault(b[k : k + length], (i, k))
+    out = []
+    for i, b in data:
+        cover = np.zeros(len(b) + 1, int)
+        for k in range(len(b) - length + 1):
+            w = b[k : k + length]
+            if first[w] != (i, k) if keep_first else seen[w] > 1:
+                cover[k] += 1
+                cover[k + length] -= 1
+        gone = np.cumsum(cover)[:-1] > 0
+        spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
+        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+def removed(df):
+    return [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect()]
+
+
+def plain_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r))
+
+
 def test_repeated_substrings(docs, rows):
     data = [(i, (t or "").encode()) for i, t, *_ in rows]
-    for length in (400,):
-        seen = collections.Counter(b[k : k + length] for _, b in data for k in range(len(b) - length + 1))
-        got = by_id(substring_dedup.remove_repeats(docs, length))
-        for i, b in data:
-            cover = np.zeros(len(b) + 1, int)
-            for k in range(len(b) - length + 1):
-                if seen[b[k : k + length]] > 1:
-                    cover[k] += 1
-                    cover[k + length] -= 1
-            gone = np.cumsum(cover)[:-1] > 0
-            spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
-            kept = hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
-            assert (len(b), int(gone.sum()), spans, kept) in {(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got[i]}
-
-
-def test_repeated_substrings_with_hot_anchor(spark):
-    """A passage in many different surroundings goes the way of window hashes, with the same result."""
+    assert plain_order(removed(substring_dedup.remove_repeats(docs))) == plain_order(brute_repeats(data, 400))
+
+
+def test_repeated_substrings_of_low_entropy_and_text_ids(spark):
+    """Runs of one byte, periods, zero bytes, passages within one text; all copies, or all but the first."""
+    common.ship(spark)
+    rng = random.Random(17)
+    passage = prose(rng, 90)
+    texts = ["a" * 900, "a" * 450 + "b" + "a" * 399, "ab" * 300, "abc" * 250, "\0" * 500 + "x", passage + prose(rng, 30) + passage, prose(rng, 40) + passage[10:-20] + "\n" + passage, passage[:399], passage[:400], "", "short"]
+    data = [(f"id{k:02d}", t.encode()) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame([(i, t.decode()) for i, t in data], "doc_id string, text string").repartition(3)
+    for keep_first in (False, True):
+        got = removed(substring_dedup.remove_repeats(frame, 400, keep_first=keep_first))
+        assert sorted(got) == sorted(brute_repeats(data, 400, keep_first)), keep_first
+
+
+def test_longest_factors():
+    rng = np.random.default_rng(3)
+    block = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(6, 60, 12)]
+    of, earlier, later = substring_dedup.factors(block, 6)
+    starts = [(k, a) for k, x in enumerate(block) for a in range(len(x) - 5)]
+    assert of.tolist() == [k for k, _ in starts]
+    for n, (k, a) in enumerate(starts):
+        same = lambda m: next((d for d in range(6) if block[k][a + d] != block[starts[m][0]][starts[m][1] + d]), 6)  # noqa: E731, B023
+        assert earlier[n] == max([same(m) for m in range(n)], default=0)
+        assert later[n] == max([same(m) for m in range(n + 1, len(starts))], default=0)
+
+
+def test_repeated_substrings_with_hot_anchor(spark, monkeypatch):
+    """A passage in many different surroundings is split on its way to the blocks, with the same result."""
     common.ship(spark)
     rng = random.Random(9)
-    passage = prose(rng, 140)
-    texts = [(i, prose(rng, 60) + " " + passage + " " + prose(rng, 60)) for i in range(substring_dedup.HOT + 30)]
-    seen = collections.Counter(t[k : k + 400] for _, t in texts for k in range(len(t) - 399))
+    passage, ends = prose(rng, 140), [prose(rng, 60) for _ in range(7)]
+    texts = [(i, f"{prose(rng, 30)} {ends[i % 7][: 1 + i % 40]} {passage}{ends[i % 5][: i % 30]} {prose(rng, 30)}") for i in range(substring_dedup.HOT + 60)]
+    data = [(i, t.encode()) for i, t in texts]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_repeats(data, 400)
+    assert removed(substring_dedup.remove_repeats(frame).orderBy("doc_id")) == want and min(r[2] for r in want) >= len(passage)
+    monkeypatch.setattr(substring_dedup, "HOT", 2)  # everything goes through all splits
+    assert removed(substring_dedup.remove_repeats(frame).orderBy("doc_id")) == want
+    assert removed(substring_dedup.remove_repeats(frame, keep_first=True).orderBy("doc_id")) == brute_repeats(data, 400, True)
+
+
+def test_passages_of_over_fifty_words_are_told(spark):
+    """Passages of 51 to 120 words in other documents are told by the shared grams, though a short one has under 400 bytes."""
+    common.ship(spark)
+    rng = random.Random(19)
+    long_prose = lambda n: " ".join(prose(rng, 1) + "xy" for _ in range(n))
+    planted = {}
+    texts = [(k, long_prose(200)) for k in range(40)]
+    for k in range(0, 40, 4):
+        passage = long_prose(51 + 7 * (k // 4))
+        for i in (k, k + 1):
+            planted[i] = passage
+            texts[i] = (i, long_prose(60) + " " + passage + " " + long_prose(60))
     got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    for i, t in texts:
-        hits = [k for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1]
-        gone = {p for k in hits for p in range(k, k + 400)}
-        assert got[i]["n_removed"] == len(gone) >= len(passage) and got[i]["kept_sha256"] == hashlib.sha256("".join(c for p, c in enumerate(t) if p not in gone).encode()).hexdigest()
+    assert {i for i in got if got[i]["n_shared"]} == set(planted)
+    assert {i for i in got if got[i]["n_removed"]} == {i for i, p in planted.items() if len(p) >= 400}
 
 
 def words(s):
