@@ -19,6 +19,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ from .common import chunks, texts
 from .tokens import PIECES, UNSURE, public_path
 
 #: Bounds of a worker's stored pieces (bytes, by a rough count) and of its answers about pairs; both are emptied when full.
-STORED_BYTES, PAIRS = 60_000_000, 400_000
+STORED_BYTES, PAIRS = 80_000_000, 600_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -39,6 +40,27 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Stored(dict):
+    """piece -> the counts of its prefixes, made when first asked for; emptied between texts once it is large."""
+
+    def __init__(self, counter: PrefixCounter):
+        super().__init__()
+        self.counter, self.held = counter, 0
+
+    def __missing__(self, piece: str) -> bytes | list[int]:
+        counts = self.counter.prefixes(piece.encode("utf-8", "surrogatepass"))
+        if not piece.isascii():
+            counts = [0, *[counts[k] for k in itertools.accumulate(len(c.encode("utf-8", "surrogatepass")) for c in piece)]]
+        self[piece] = counts = bytes(counts) if max(counts) < 256 else counts
+        self.held += 150 + (1 if isinstance(counts, bytes) else 8) * len(counts) + len(piece)
+        return counts
+
+    def trim(self) -> None:
+        if self.held > STORED_BYTES:
+            self.clear()
+            self.held = 0
+
+
 class PrefixCounter:
     """Counts of all prefixes of a text, by the vocabulary and merges of a byte-level BPE file."""
 
@@ -55,11 +77,13 @@ class PrefixCounter:
         self.bytes_of = {i: b for b, i in self.vocabulary.items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.rank = {(self.vocabulary[raw(a)], self.vocabulary[raw(b)]): (k, self.vocabulary[raw(a) + raw(b)]) for k, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocabulary))
+        self.entries = ahocorasick.Automaton()
+        for b, i in self.vocabulary.items():
+            self.entries.add_word(b.decode("latin-1"), (i, len(b)))
+        self.entries.make_automaton()
         # Only token strings that merging really yields can end a prefix.
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.stored: dict[str, bytes | list[int]] = {}
-        self.held = 0
+        self.stored = Stored(self)
         # The same pattern with the full Unicode classes, for texts outside the simple code points.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -86,19 +110,16 @@ class PrefixCounter:
 
     def prefixes(self, data: bytes) -> list[int]:
         """counts[i]: tokens of ``data[:i]`` as a piece of its own."""
-        n, get, pairs, longest = len(data), self.vocabulary.get, self.pairs, self.longest
-        last, counts = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                if (t := get(data[j:i])) is None:
-                    continue
-                if j == 0:
-                    if self.alone(t):
-                        last[i], counts[i] = t, 1
-                        break
-                elif (ok := pairs.get((last[j], t))) or (ok is None and self.stands(last[j], t)):
-                    last[i], counts[i] = t, counts[j] + 1
-                    break
+        pairs = self.pairs
+        last, counts = [-1] * (len(data) + 1), [0] * (len(data) + 1)
+        for end, (t, size) in self.entries.iter(data.decode("latin-1")):  # the vocabulary's entries that end at each byte
+            if counts[end + 1]:
+                continue
+            if size == end + 1:
+                if self.alone(t):
+                    last[end + 1], counts[end + 1] = t, 1
+            elif (ok := pairs.get((last[end + 1 - size], t))) or (ok is None and self.stands(last[end + 1 - size], t)):
+                last[end + 1], counts[end + 1] = t, counts[end + 1 - size] + 1
         return counts
 
     def alone(self, token: int) -> bool:
@@ -116,26 +137,17 @@ class PrefixCounter:
 
     def of_piece(self, piece: str) -> bytes | list[int]:
         """counts[k]: tokens of the piece's first k code points; stored for the pieces to come."""
-        if (known := self.stored.get(piece)) is None:
-            if self.held > STORED_BYTES:
-                self.stored.clear()
-                self.held = 0
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            by_byte = self.prefixes(piece.encode("utf-8", "surrogatepass"))
-            known = by_byte if piece.isascii() else [by_byte[0], *[by_byte[k] for k in itertools.accumulate(len(c.encode("utf-8", "surrogatepass")) for c in piece)]]
-            known = bytes(known) if known[-1] < 256 and max(known) < 256 else known
-            self.stored[piece] = known
-            self.held += 150 + (1 if isinstance(known, bytes) else 8) * len(known) + len(piece)
-        return known
-
-    def totals(self, pieces: list[str]) -> list[int]:
-        of = self.of_piece
-        return [of(p)[-1] for p in pieces]
+        return self.stored[piece]
 
     def count(self, text: str) -> int:
+        self.stored.trim()
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         return sum(1 if p in self.special else sum(self.totals(self.split(p))) for p in self.parts(text))
 
+    def totals(self, pieces: list[str]) -> list[int]:
+        return [counts[-1] for counts in map(self.stored.__getitem__, pieces)]
+
     def _within(self, pieces: list[str], at: int, base: int) -> Iterator[int]:
         """Tokens of the text up to each code point of pieces[at], given the tokens before the piece."""
         piece = pieces[at]
