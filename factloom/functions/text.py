@@ -7,12 +7,23 @@ from pyspark.sql import functions as F
 
 from .dates import strip
 
-#: HTML entities that are undone, and spellings of company forms.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: HTML entities that are undone, and short forms of legal words.
+ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
 FORMS = {
-    "corporation": "corp", "incorporated": "inc", "limited": "ltd", "company": "co", "private": "pvt", "brothers": "bros", "and": "&", "international": "intl",
-    "manufacturing": "mfg", "department": "dept", "university": "univ", "street": "st", "road": "rd", "avenue": "ave", "association": "assn", "technologies": "tech",
-}
+    "corporation": "corp",
+    "corporated": "corp",
+    "incorporated": "inc",
+    "limited": "ltd",
+    "company": "co",
+    "private": "pvt",
+    "brothers": "bros",
+    "international": "intl",
+    "associates": "assoc",
+    "manufacturing": "mfg",
+    "department": "dept",
+    "industries": "ind",
+    "enterprises": "ent",
+}
 TRUE_WORDS, FALSE_WORDS = ("yes", "y", "true", "t", "1"), ("no", "n", "false", "f", "0")
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 
@@ -22,10 +33,10 @@ def collapse(c: Column) -> Column:
 
 
 def fix_syntax(c: Column) -> Column:
-    """Undoes entities, drops control characters, collapses blanks."""
+    """Undoes entities, drops control characters, makes every run of white space one blank, strips."""
     for entity, char in ENTITIES.items():
         c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r" {2,}", " ")
+    return strip(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"(?U)\s+", " "))
 
 
 def canonical(c: Column) -> Column:

@@ -13,6 +13,8 @@ class Limits:
     pivot_levels: int = 60
     vocabulary: int = 2000
     fuzzy_labels: int = 500
+    kendall_cells: int = 5000
+    crosstab_cells: int = 1_000_000
     driver_candidates: int = 40
     reconcile_tolerance: float = 0.005
     near_tie: float = 0.05

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import numeric_columns
+from ..functions.ranks import with_medians
 from ..limits import LIMITS, Refusal
 
 ADDITIVE = ("sum", "count")
@@ -31,7 +32,9 @@ def group_dataset(df: DataFrame, keys: list[str], aggregations: dict[str, str] |
     name = "n_rows"
     while name in (*keys, *aggregations):
         name += "_"
-    return df.groupBy(*keys).agg(*[aggregate(how, F.col(c)).alias(f"{c}_{how}") for c, how in aggregations.items()], F.count("*").alias(name))
+    medians = {c: f"{c}_median" for c, how in aggregations.items() if how == "median"}
+    out = df.groupBy(*keys).agg(*[aggregate(how, F.col(c)).alias(f"{c}_{how}") for c, how in aggregations.items() if c not in medians], F.count("*").alias(name))
+    return with_medians(out, df, keys, medians).select(*keys, *[f"{c}_{how}" for c, how in aggregations.items()], name)
 
 
 def rank_by(df: DataFrame, group_col: str, value_col: str | None = None, how: str = "sum", top: int | None = None, ascending: bool = False, include_null: bool = True) -> DataFrame:
@@ -40,8 +43,12 @@ def rank_by(df: DataFrame, group_col: str, value_col: str | None = None, how: st
     Only the groups, never the rows, pass through the ordered windows.
     """
     rows = df if include_null else df.filter(F.col(group_col).isNotNull())
-    value = F.count("*") if value_col is None else aggregate(how, F.col(value_col))
-    groups = rows.groupBy(F.col(group_col).cast("string").alias("label")).agg(value.cast("double").alias("value"))
+    if value_col is not None and how == "median":
+        rows = rows.select(F.col(group_col).cast("string").alias("label"), value_col)
+        groups = with_medians(rows.select("label").distinct(), rows, ["label"], {value_col: "value"})
+    else:
+        value = F.count("*") if value_col is None else aggregate(how, F.col(value_col))
+        groups = rows.groupBy(F.col(group_col).cast("string").alias("label")).agg(value.cast("double").alias("value"))
     order = [F.asc_nulls_last("value") if ascending else F.desc_nulls_last("value"), F.asc_nulls_last("label")]
     w = Window.orderBy(*order)
     out = groups.withColumn("rank", F.row_number().over(w))

@@ -45,9 +45,13 @@ def check_share(sentence: str, ledger: EvidenceLedger) -> list[str]:
         return []
     x, claimed, found = int(m[1]), float(m[2]), []
     for ranking in ledger.rankings:
-        values = [v for _, v in ranking["order"]]
-        if len(values) >= 5 and ranking["how"] in ("sum", "count") and sum(values):
-            found.append(100 * sum(values[: max(1, round(len(values) * x / 100))]) / sum(values))
+        values, groups = [v for _, v in ranking["order"]], ranking.get("groups") or len(ranking["order"])
+        total, head = ranking.get("total", sum(values)), max(1, round(groups * x / 100))
+        if groups >= 5 and ranking["how"] in ("sum", "count") and total:
+            if head in ranking.get("running", {}):
+                found.append(ranking["running"][head])
+            elif head <= len(values):
+                found.append(100 * sum(values[:head]) / total)
     return [f"the top {x} % make {found[0]:.0f} %, not {claimed:.0f} %"] if found and all(abs(f - claimed) > 5 for f in found) else []
 
 

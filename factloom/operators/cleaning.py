@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..functions.ranks import wide_quantiles, with_medians
 
 
 def is_marker(name: str) -> bool:
@@ -19,7 +20,7 @@ def flag_missing(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def statistic(column: str, how: str) -> Column:
-    return {"median": F.percentile(column, 0.5), "mean": F.avg(column), "mode": F.mode(column, True), "most_frequent": F.mode(column, True)}[how]
+    return {"mean": F.avg(column), "mode": F.mode(column, True), "most_frequent": F.mode(column, True)}[how]
 
 
 def impute(df: DataFrame, columns: list[str], how: str = "median", by: list[str] | None = None, value=None) -> DataFrame:
@@ -27,10 +28,16 @@ def impute(df: DataFrame, columns: list[str], how: str = "median", by: list[str]
     if how == "constant":
         kinds = dict(df.dtypes)
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(value if value is not None else "Unknown" if kinds[c] == "string" else 0)) for c in columns})
-    whole = df.agg(*[statistic(c, how).alias(f"_all_{c}") for c in columns])
-    out = df.crossJoin(whole)  # one row
+    def per(keys: list[str], named: str) -> DataFrame:
+        rows = df.select(*[F.col(k).alias(f"_by_{k}") for k in keys], *columns)
+        keys = [f"_by_{k}" for k in keys]
+        if how == "median":
+            return with_medians(rows.select(*keys).distinct() if keys else df.sparkSession.range(1).select(), rows, keys, {c: f"{named}{c}" for c in columns})
+        return rows.groupBy(*keys).agg(*[statistic(c, how).alias(f"{named}{c}") for c in columns])
+
+    out = df.crossJoin(per([], "_all_"))  # one row
     if by:
-        groups = df.groupBy(*[F.col(k).alias(f"_by_{k}") for k in by]).agg(*[statistic(c, how).alias(f"_own_{c}") for c in columns])
+        groups = per(by, "_own_")
         out = out.join(groups, reduce(Column.__and__, [out[k].eqNullSafe(groups[f"_by_{k}"]) for k in by]), "left")
     fill = lambda c: F.coalesce(F.col(c), F.col(f"_own_{c}"), F.col(f"_all_{c}")) if by else F.coalesce(F.col(c), F.col(f"_all_{c}"))
     return out.select(*[fill(c).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
@@ -119,7 +126,10 @@ def uniform_dates(df: DataFrame, column: str) -> DataFrame:
 
 
 def convert_booleans(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: text.boolean(F.col(c)) for c in columns})
+    """Boolean columns; a column that holds other words too stays text, with those words as they are."""
+    unknown = df.agg(*[F.count_if(F.col(c).isNotNull() & text.boolean(F.col(c)).isNull()).alias(c) for c in columns]).first()
+    left = lambda c: F.coalesce(text.boolean(F.col(c)).cast("string"), F.col(c)) if unknown[c] else text.boolean(F.col(c))
+    return df.withColumns({c: left(c) for c in columns})
 
 
 def harmonize_units(df: DataFrame, column: str, factor: float) -> DataFrame:
@@ -219,7 +229,7 @@ def drift_report(before: DataFrame, after: DataFrame, columns: list[str]) -> Dat
 def heavy_tail(df: DataFrame, column: str) -> DataFrame:
     """Whether positives spread like a log-normal: far above the median, with fewer outliers once logged."""
     pos = df.filter(F.col(column) > 0).select(F.col(column).cast("double").alias("v"), F.log10(column).alias("l"))
-    q = pos.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("qv"), F.percentile("l", F.array(F.lit(0.25), F.lit(0.75))).alias("ql"))
+    q = wide_quantiles(pos, ["v", "l"], [0.25, 0.5, 0.75]).select(F.col("v").alias("qv"), F.array(F.col("l")[0], F.col("l")[2]).alias("ql"))
     rows = pos.crossJoin(q)  # one row
     out = lambda c, q1, q3: F.avg(((F.col(c) < q1 - 1.5 * (q3 - q1)) | (F.col(c) > q3 + 1.5 * (q3 - q1))).cast("double"))
     one = rows.agg(F.count("*").alias("n"), F.count_distinct("v").alias("levels"), (F.max("v") / F.max(F.col("qv")[1])).alias("reach"), out("v", F.col("qv")[0], F.col("qv")[2]).alias("raw_share"), out("l", F.col("ql")[0], F.col("ql")[1]).alias("log_share"))

@@ -8,11 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Typed patterns of the entity extractor.
+#: Typed patterns of the entity extractor. Only the prefix of a reference number ignores case.
 ENTITIES = {
-    "email": r"[\w.+-]+@[\w-]+\.[\w.-]*\w", "phone": r"\+?\d[\d ()-]{8,}\d", "website": r"https?://[^\s<>\"]+", "date": r"\b\d{1,2}[-/.]\d{1,2}[-/.]\d{4}\b|\b\d{4}-\d{2}-\d{2}\b", "amount": r"[$€£₹]\s?\d[\d,]*(?:\.\d+)?",
-    "invoice": r"(?i)\binv(?:oice)?[-#: ]+\w*\d\w*", "pan": r"\b[A-Z]{5}\d{4}[A-Z]\b", "ifsc": r"\b[A-Z]{4}0[A-Z0-9]{6}\b", "gstin": r"\b\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9]Z[A-Z0-9]\b", "po": r"(?i)\bp\.?o\.?[-#: ]+\w*\d\w*",
-}
+    "gstin": r"\b\d{2}[A-Z]{5}\d{4}[A-Z]\d[A-Z\d]Z[A-Z\d]\b",
+    "ifsc_code": r"\b[A-Z]{4}0[A-Z0-9]{6}\b",
+    "pan": r"\b[A-Z]{5}\d{4}[A-Z]\b",
+    "email": r"\b[\w.+-]+@[\w-]+\.[\w.-]*[a-zA-Z]{2,}\b",
+    "phone": r"(?<!\d)(?:\+91[-\s]?)?[6-9]\d{9}(?!\d)",
+    "website": r"\b(?:https?://|www\.)[\w.-]+\.[a-zA-Z]{2,}[\w/.-]*",
+    "invoice_number": r"\b(?i:INV|INVOICE|BILL)(?i:\s*NO\.?)?[-/:\s]?(?=[A-Z0-9\-/]*\d)[A-Z0-9]+(?:[-/][A-Z0-9]+)*\b",
+    "po_number": r"\b(?i:P\.?O\.?)(?i:\s*NO\.?)?[-/:\s]?(?=[A-Z0-9\-/]*\d)[A-Z0-9]+(?:[-/][A-Z0-9]+)*\b",
+    "date": r"(?i)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?,?\s+\d{4})\b",
+    "amount": r"(?:₹|Rs\.?|INR|\$)\s?\d[\d,]*(?:\.\d{1,2})?|\b\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?\b",
+}
 
 
 def entities(df: DataFrame, id_col: str, text_col: str, kinds: list[str] | None = None) -> DataFrame:

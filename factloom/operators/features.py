@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running, wide_quantiles
+
 
 def date_parts(df: DataFrame, column: str) -> DataFrame:
     """year, month, day, day of week (Monday 0) and weekend flag of a date column."""
@@ -28,7 +30,7 @@ def frequency_encode(df: DataFrame, column: str) -> DataFrame:
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median-filled, then centred and scaled by the population deviation (1 where there is none)."""
-    med = df.agg(*[F.percentile(c, 0.5).alias(f"_md_{c}") for c in columns])
+    med = wide_quantiles(df, columns, [0.5]).select(*[F.col(f"`{c}`")[0].alias(f"_md_{c}") for c in columns])
     filled = df.crossJoin(med).withColumns({c: F.coalesce(F.col(c), F.col(f"_md_{c}")) for c in columns}).drop(*[f"_md_{c}" for c in columns])  # one row
     stats = filled.agg(*[x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
     scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in columns}
@@ -37,9 +39,14 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test: float = 0.2) -> DataFrame:
     """``split`` train or test: in each class the share of least hashes is the test part."""
-    w = Window.partitionBy(label)
-    nth = F.row_number().over(w.orderBy(F.md5(F.col(id_col).cast("string")), id_col))
-    return df.withColumn("split", F.when(nth <= F.ceil(F.count("*").over(w) * test), "test").otherwise("train"))
+    # Hashes are spread evenly, so their first two digits deal a class to 256 tasks; counts of the digits before give the rest of a rank.
+    hashed = df.withColumn("_h", F.md5(F.col(id_col).cast("string"))).withColumn("_d", F.conv(F.left("_h", F.lit(2)), 16, 10).cast("int"))
+    counts = hashed.groupBy(F.col(label).alias("_l"), F.col("_d").alias("_e")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("_l").orderBy("_e")  # 256 rows a class
+    counts = counts.withColumns({"_before": F.sum("_c").over(w) - F.col("_c"), "_all": F.sum("_c").over(Window.partitionBy("_l"))})
+    nth = F.row_number().over(Window.partitionBy(label, "_d").orderBy("_h", id_col)) + F.col("_before")
+    rows = hashed.join(counts, F.col(label).eqNullSafe(F.col("_l")) & F.col("_d").eqNullSafe(F.col("_e")))
+    return rows.withColumn("split", F.when(nth <= F.ceil(F.col("_all") * test), "test").otherwise("train")).select(*df.columns, "split")
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -68,15 +75,15 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def roc_points(df: DataFrame, label: Column, score: str) -> DataFrame:
     """One point per distinct score, ties together: threshold, tpr, fpr. Only distinct scores are ordered."""
     by = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n"))
-    w, whole = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return by.select("threshold", F.try_divide(F.sum("p").over(w), F.sum("p").over(whole)).alias("tpr"), F.try_divide(F.sum("n").over(w), F.sum("n").over(whole)).alias("fpr"))
+    placed = running(by, "threshold", ["p", "n"])
+    share = lambda c: F.try_divide(F.col(f"{c}_all") - F.col(f"{c}_before"), F.col(f"{c}_all"))
+    return placed.select("threshold", share("p").alias("tpr"), share("n").alias("fpr"))
 
 
 def auc(df: DataFrame, label: Column, score: str) -> DataFrame:
     """Area under the curve from mid-ranks of distinct scores with counts."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    one = by.withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    one = running(by, "s", ["n"]).withColumnRenamed("n_before", "below").agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return one.select(F.try_divide(F.col("u"), F.col("p") * F.col("n")).alias("auc"))
 
 

@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.frames import same_keys
+from ..functions.frames import NUMBERS, same_keys
 from ..limits import LIMITS, Refusal
 from .aggregate import measures
 
@@ -92,6 +93,33 @@ def key_problems(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def key_kind(df: DataFrame, key: str) -> str:
+    """number, date or text."""
+    kind = df.schema[key].dataType
+    return "number" if isinstance(kind, NUMBERS) else "date" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "text"
+
+
+def key_notes(left: DataFrame, right: DataFrame, a: str, b: str) -> list[str]:
+    """Why keys may not match though they look as if they should: type, zero padding, white space, case, blanks. Over all rows."""
+    notes = []
+    kinds = key_kind(left, a), key_kind(right, b)
+    mine, other = key_problems(left, a).first(), key_problems(right, b).first()
+    if kinds[0] != kinds[1]:
+        notes.append(f"TYPE MISMATCH: left {a} holds {kinds[0]}s, right {b} holds {kinds[1]}s; cast one side first")
+    if kinds == ("text", "text"):
+        padded = [x["padded_share"] or 0.0 for x in (mine, other)]
+        if abs(padded[0] - padded[1]) > 0.2:
+            notes.append(f"ZERO PADDING: {a if padded[0] > padded[1] else b} keeps leading zeros and the other side does not")
+        loose = [x["untrimmed_share"] or 0.0 for x in (mine, other)]
+        if max(loose) > 0.01:
+            notes.append(f"WHITESPACE: {max(loose):.0%} of values in {a if loose[0] >= loose[1] else b} have outer blanks; trim first")
+        overlap = case_only_overlap(left, right, (a, b)).first()
+        if overlap["n_keys"] and not overlap["exact"] and overlap["case_only"]:
+            notes.append(f"CASE: {a} and {b} share no values as written, but {overlap['case_only']} match in lower case")
+    notes += [f"BLANK KEYS: {x['blank_keys']} {side} row(s) have no {k}" for x, side, k in ((mine, "left", a), (other, "right", b)) if x["blank_keys"]]
+    return notes
+
+
 def case_only_overlap(left: DataFrame, right: DataFrame, key: tuple[str, str]) -> DataFrame:
     """Distinct left keys that match as they stand, and only without regard to case."""
     a = left.select(F.col(key[0]).cast("string").alias("k")).dropna().distinct()
@@ -128,13 +156,14 @@ class JoinForecast:
     relationship: str
     impact: list[dict]
     flags: tuple[str, ...]
+    problems: tuple[str, ...] = ()
 
 
 def forecast(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], how: str = "left") -> JoinForecast | Refusal:
     """Counts, relationship, measure impact and risk flags; no overlap at all is refused."""
     rows = forecast_rows(left, right, pairs).first().asDict()
     if rows["inner_rows"] == 0:
-        return Refusal("no key value occurs on both sides")
+        return Refusal("; ".join(["no key value occurs on both sides", *[note for a, b in pairs for note in key_notes(left, right, a, b)]]))
     relationship = key_relationship(left, right, pairs).first()["relationship"]
     impact = [r.asDict() for r in measure_impact(left, right, pairs, how=how).collect()] if measures(left, [a for a, _ in pairs]) else []
     flags = []
@@ -146,7 +175,9 @@ def forecast(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], ho
         flags.append("measure lost")
     if rows["left_orphans"] > 0.99 * rows["n_left"]:
         flags.append("overlap under 1 %")
-    return JoinForecast(how, rows, relationship, impact, tuple(flags))
+    problems = tuple(note for a, b in pairs for note in key_notes(left, right, a, b))
+    flags += sorted({note.split(":")[0].lower() for note in problems})
+    return JoinForecast(how, rows, relationship, impact, tuple(flags), problems)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.frames import date_columns, numeric_columns, text_columns, wide_to_rows
+from ..functions.ranks import wide_quantiles
 from ..limits import LIMITS
 
 #: Formulas tested in one pass over all rows.
@@ -25,8 +26,10 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cells = []
     for c in columns:
         v = F.col(c).cast("double")
-        cells += [F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q")]
-    wide = df.agg(*cells).withColumns({f"{c}__{name}": F.col(f"`{c}__q`")[k] for c in columns for k, name in enumerate(("q1", "median", "q3"))})
+        cells += [F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
+    quartiles = wide_quantiles(df, columns, [0.25, 0.5, 0.75])
+    wide = df.agg(*cells).crossJoin(quartiles.select(*[F.col(f"`{c}`").alias(f"{c}__q") for c in columns]))  # one row each
+    wide = wide.withColumns({f"{c}__{name}": F.col(f"`{c}__q`")[k] for c in columns for k, name in enumerate(("q1", "median", "q3"))})
     return wide_to_rows(wide, columns, ["mean", "std", "min", "q1", "median", "q3", "max"])
 
 
@@ -39,7 +42,7 @@ def top_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
 
 def outlier_fences(df: DataFrame, columns: list[str]) -> DataFrame:
     """q1, q3, fences and rows beyond them; a column without spread has no outliers."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns])
+    q = wide_quantiles(df, columns, [0.25, 0.75])
     q = q.select(*[F.col(c).alias(f"q__{c}") for c in columns])
     rows = df.select(*columns).crossJoin(q)  # one row
     reach = lambda c: LIMITS.iqr_reach * (F.col(f"q__{c}")[1] - F.col(f"q__{c}")[0])
@@ -159,3 +162,38 @@ def placeholder_share(df: DataFrame, column: str, lexicon: list[str]) -> DataFra
     """Share of a column's words (four letters and more) that stand in a closed lexicon of filler."""
     words = df.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"[a-z]{4,}"), F.lit(0))).alias("w"))
     return words.agg(F.count("*").alias("n_words"), F.avg(F.col("w").isin(lexicon).cast("double")).alias("share"))
+
+
+def cleaning_warnings(df: DataFrame) -> DataFrame:
+    """column, kind (imputed from 2 % on, capped from 1 % on) and share, by the markers that cleaning leaves."""
+    marks = [(c, k) for c in numeric_columns(df) for k in ("imputed", "capped") if c.endswith("_was_missing" if k == "imputed" else "_was_capped")]
+    if not marks:
+        return df.sparkSession.createDataFrame([], "column string, kind string, share double")
+    wide = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c, _ in marks])
+    cells = [F.struct(F.lit(c.rsplit("_was_", 1)[0]).alias("column"), F.lit(k).alias("kind"), F.col(c).alias("share")) for c, k in marks]
+    rows = wide.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    return rows.filter(F.col("share") >= F.when(F.col("kind") == "imputed", 0.02).otherwise(0.01))
+
+
+def analyze_dataset(df: DataFrame, target: str | None = None, strong: float = 0.5) -> DataFrame:
+    """One table of what stands out: kind, subject and value.
+
+    Roles, missing shares from 1 % on, columns of one value, whole-row duplicates, cleaning's marks, and correlations of at least
+    ``strong`` (with a target: all of its own), over all rows.
+    """
+    from .statistics import correlations, missing_per_column
+
+    def part(rows: DataFrame, kind: str, subject: Column, value: Column, text: Column | None = None) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), subject.alias("subject"), value.cast("double").alias("value"), (text if text is not None else F.lit(None).cast("string")).alias("text"))
+
+    found = roles(df)
+    out = part(found, "role", F.col("column"), F.lit(None), F.col("role"))
+    out = out.union(part(missing_per_column(df).filter("share >= 0.01"), "missing", F.col("column"), F.col("share")))
+    out = out.union(part(duplicate_rows(df).filter("n_duplicates > 0"), "duplicates", F.lit("rows"), F.col("n_duplicates")))
+    out = out.union(part(cleaning_warnings(df), "cleaning", F.col("column"), F.col("share"), F.col("kind")))
+    numbers = [r["column"] for r in found.filter("role = 'number'").collect() if not r["column"].endswith(("_was_missing", "_was_capped", "_valid"))]  # a row per column
+    if len(numbers) > 1:
+        pairs = correlations(df, numbers)
+        wanted = (F.col("a") == target) | (F.col("b") == target) if target in numbers else F.abs("r") >= strong
+        out = out.union(part(pairs.filter(wanted), "correlation", F.concat_ws(" ~ ", "a", "b"), F.col("r")))
+    return out

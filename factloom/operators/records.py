@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ranks import running
+
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}
 
 
@@ -73,22 +75,39 @@ def run_lengths(df: DataFrame, by: list[str], order: str, flag: Column) -> DataF
     return rows.withColumn("run", F.when(F.col("_flag"), count).otherwise(0)).drop("_flag", "_island")
 
 
+def debug_depth(nodes: DataFrame, by: str | None = None) -> DataFrame:
+    """``nodes`` with ``depth``: how many debug nodes in a row, up the parents, end at this one (0 for other stages and for roots).
+
+    Ancestors are found by pointer jumping: each round doubles the reach, so a chain of n takes log n joins.
+    """
+    keys = [by] if by else []
+    at = nodes.select(*keys, "id", F.when((F.col("stage") == "debug") & F.col("parent_id").isNotNull(), F.col("parent_id")).alias("up")).withColumn("depth", F.col("up").isNotNull().cast("long"))
+    spark = nodes.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    while True:
+        above = at.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        same = [F.col("up") == F.col("_id"), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]]
+        at = at.join(above, same, "left").select(*keys, "id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
+        at = at.checkpoint() if folder else at.cache()  # read by the next round and by the test of its end
+        if not at.filter("up IS NOT NULL").head(1):
+            break
+    return nodes.join(at.drop("up"), [*keys, "id"])
+
+
 def finetune_rows(df: DataFrame, prompt: str, completion: str, order: list[str], share: float = 0.1) -> DataFrame:
-    """Rows with both sides filled, and ``part``: of ten or more the first share validates.
+    """Rows with both sides filled, and ``part``: of ten or more the first share, in order, validates.
 
-    The row number needs one order over all rows; it is taken from counts per range of the leading order column,
-    so no task sees more than its range.
+    Row numbers over all rows come from counts per value of the leading order column (a number), whose running sums no single task takes.
     """
     known = df.filter((F.trim(F.coalesce(prompt, F.lit(""))) != "") & (F.trim(F.coalesce(completion, F.lit(""))) != ""))
     lead = order[0]
-    counts = known.groupBy(lead).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(lead).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.select(F.col(lead).alias("_lead"), before.alias("_before"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    nth = F.row_number().over(Window.partitionBy(lead).orderBy(*order)) + F.col("_before")
-    held = F.when(F.col("_total") >= 10, F.greatest(F.lit(1), F.floor(F.col("_total") * share))).otherwise(0)
-    out = known.join(placed, F.col(lead) == F.col("_lead")).crossJoin(total).withColumn("_nth", nth)  # total: one row
-    return out.withColumn("part", F.when(F.col("_nth") <= held, "validation").otherwise("train")).drop("_lead", "_before", "_total", "_nth")
+    placed = running(known.groupBy(F.col(lead).alias("_lead")).agg(F.count("*").alias("_n")), "_lead", ["_n"])
+    nth = F.row_number().over(Window.partitionBy(lead).orderBy(*order)) + F.col("_n_before")
+    held = F.when(F.col("_n_all") >= 10, F.greatest(F.lit(1), F.floor(F.col("_n_all") * share))).otherwise(0)
+    out = known.join(placed, F.col(lead) == F.col("_lead")).withColumn("_nth", nth)
+    return out.withColumn("part", F.when(F.col("_nth") <= held, "validation").otherwise("train")).select(*df.columns, "part")
 
 
 def upsert(index: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ def kpi_rows(ledger: EvidenceLedger, spark: SparkSession) -> DataFrame:
     for x in ledger.rankings:
         if x["order"]:
             label, value = x["order"][0]
-            total = sum(v for _, v in x["order"])
+            total = x.get("total", sum(v for _, v in x["order"]))
             rows.append((x["group"], label, float(value), 100 * value / total if total and x["how"] in ("sum", "count") else None))
     return spark.createDataFrame(rows, "dimension string, leader string, value double, share_pct double")
 
@@ -63,5 +63,48 @@ def write_report(session, name: str, summary: str) -> str:
     def table(df: DataFrame) -> list[str]:
         return ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join("" if v is None else f"{v:,.4g}" if isinstance(v, float) else str(v) for v in row) + " |" for row in df.collect())]
 
-    parts = [f"# {name}", "", summary, "", "## Key figures", *table(kpi_rows(session.ledger, session.spark)), "", "## Limitations", *table(limitations(session, name)), "", "## Columns", *table(column_summary(session.catalog[name])), "", "## Sources", *table(session.catalog.lineage())]
+    parts = [f"# {name}", "", summary, "", "## Key figures", *table(kpi_rows(session.ledger, session.spark)), "", "## How the table was built", *table(provenance(session, name)), "", "## Limitations", *table(limitations(session, name)), "", "## Columns", *table(column_summary(session.catalog[name])), "", "## Sources", *table(session.catalog.lineage())]
     return "\n".join(parts)
+
+
+def provenance(session, name: str) -> DataFrame:
+    """step and sentence: how the analysed table was built, from its sources on."""
+    rows: list[tuple[str, str]] = []
+    for n in reversed(ancestors(session, name)):
+        meta = session.catalog.meta.get(n)
+        if meta:
+            rows.append(("source", f"{n} comes from {meta.source}, {len(session.catalog[n].columns)} columns"))
+            if meta.truncation:
+                rows.append(("truncation", f"{n} holds {meta.truncation['rows_read']} of {meta.truncation['rows_total']} rows of its source"))
+        for j in session.ledger.of("joins", n):
+            rows.append(("join", f"{n} is the {j['how']} join of {j['left']} and {j['right']}, {j.get('rows', j['predicted'])} rows; {j['lost']} rows of {j['left']} found no partner"))
+    return session.spark.createDataFrame(rows, "step string, sentence string")
+
+
+def intrinsic_limitations(df: DataFrame) -> DataFrame:
+    """kind and sentence for what the table's own values restrict: columns mostly empty or of one value, rows that repeat, marks of cleaning."""
+    from .profile import analyze_dataset
+
+    a = analyze_dataset(df)
+    say = (
+        F.when((F.col("kind") == "missing") & (F.col("value") >= 0.05), F.format_string("%s is empty in %.1f %% of rows", "subject", F.col("value") * 100))
+        .when((F.col("kind") == "role") & (F.col("text") == "constant"), F.concat("subject", F.lit(" holds one value")))
+        .when(F.col("kind") == "duplicates", F.format_string("%.0f rows repeat others in full", "value"))
+        .when(F.col("kind") == "cleaning", F.format_string("%.1f %% of %s is %s", F.col("value") * 100, "subject", "text"))
+    )
+    return a.select("kind", say.alias("sentence")).filter("sentence IS NOT NULL")
+
+
+def html_report(session, name: str, summary: str) -> str:
+    """The report as one page of HTML; everything from the data is escaped."""
+    import html
+
+    def table(title: str, df: DataFrame) -> str:
+        head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
+        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else f'{v:,.4g}' if isinstance(v, float) else str(v))}</td>" for v in r) + "</tr>" for r in df.collect())
+        return f"<h2>{title}</h2><table><tr>{head}</tr>{body}</table>"
+
+    if wrong := claims.review(summary, session.ledger):
+        raise ValueError("the summary contradicts the evidence: " + "; ".join(wrong))
+    parts = [("Key figures", kpi_rows(session.ledger, session.spark)), ("How the table was built", provenance(session, name)), ("Limitations", limitations(session, name)), ("Columns", column_summary(session.catalog[name]))]
+    return f"<html><head><meta charset='utf-8'><title>{html.escape(name)}</title></head><body><h1>{html.escape(name)}</h1><p>{html.escape(summary)}</p>" + "".join(table(t, d) for t, d in parts) + "</body></html>"

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import numeric_columns
-from ..limits import LIMITS
+from ..functions.ranks import quantiles, running
+from ..limits import LIMITS, Refusal
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -22,10 +23,9 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def mid_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with average ranks of ``column``. Ranks are taken over distinct values with their counts, so only those are ordered together."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(column).alias("_v"), (before + (F.col("_c") + 1) / 2.0).cast("double").alias(name))
+    """``df`` with average ranks of ``column``. Ranks are taken over distinct values with their counts, and no task orders them all."""
+    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    ranks = running(counts, "_v", ["_c"]).select("_v", (F.col("_c_before") + (F.col("_c") + 1) / 2.0).cast("double").alias(name))
     return df.join(ranks, df[column] == ranks["_v"]).drop("_v")
 
 
@@ -36,8 +36,11 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.corr("_ra", "_rb").alias("r"), F.count("*").alias("n"))
 
 
-def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """tau-b from distinct value pairs with counts; meant for columns of few levels, as pairs of levels are compared."""
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame | Refusal:
+    """tau-b from distinct value pairs with counts. Pairs of cells are compared, so columns of too many cells are refused."""
+    n = df.select(a, b).dropna().distinct().count()
+    if n > LIMITS.kendall_cells:
+        return Refusal(f"{n} different pairs of {a} and {b}: over {LIMITS.kendall_cells}")
     cells = df.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna().groupBy("x", "y").agg(F.count("*").cast("double").alias("c"))
     p, q = cells.alias("p"), cells.alias("q")
     sign = F.signum(F.col("p.x") - F.col("q.x")) * F.signum(F.col("p.y") - F.col("q.y"))
@@ -100,9 +103,12 @@ def mann_whitney(df: DataFrame, value: str, flag: Column) -> DataFrame:
     return one.select("n1", "n2", "u", ((F.col("u") - n1 * n2 / 2) / spread).alias("z"))
 
 
-def chi2_independence(df: DataFrame, a: Column, b: Column, yates: bool = False) -> DataFrame:
+def chi2_independence(df: DataFrame, a: Column, b: Column, yates: bool = False) -> DataFrame | Refusal:
     """Chi-square statistic of a crosstab and its degrees of freedom."""
     cells = df.select(a.alias("a"), b.alias("b")).dropna().groupBy("a", "b").agg(F.count("*").cast("double").alias("o"))
+    size = cells.agg(F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b")).first()
+    if size["a"] * size["b"] > LIMITS.crosstab_cells:
+        return Refusal(f"{size['a']} by {size['b']} levels: over {LIMITS.crosstab_cells} cells")
     ra, rb = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("rb"))
     total = cells.agg(F.sum("o").alias("n"))
     full = ra.crossJoin(rb).join(cells, ["a", "b"], "left").crossJoin(total).withColumn("e", F.col("ra") * F.col("rb") / F.col("n"))  # levels by levels
@@ -159,7 +165,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles and the rows beyond the fences, for each group."""
-    q = df.groupBy(F.col(group).alias("label")).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(df.withColumn("label", F.col(group)), [value], [0.25, 0.5, 0.75], ["label"])
     q = q.select("label", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = LIMITS.iqr_reach * (F.col("q3") - F.col("q1"))
     out = df.join(q, df[group].eqNullSafe(q["label"])).groupBy("label", "q1", "median", "q3")

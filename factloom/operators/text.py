@@ -12,9 +12,24 @@ from .aggregate import aggregate
 
 #: Wording of instructions hidden in data, by name.
 INJECTIONS = {
-    "override": r"ignore (all |any )?(previous|prior|above) (instructions|prompts)", "disregard": r"disregard (the|your|all) (rules|instructions|system)", "role": r"you are now (a|an|the) ",
-    "reveal": r"(reveal|print|show) (the|your) (system prompt|instructions)", "tool": r"(run|execute) (the following|this) (command|code)", "secret": r"(send|post|upload) .{0,40}(api key|password|secret)",
-}
+    "classic override attempt": r"ignore (all |any )?previous instructions",
+    "instruction override attempt": r"disregard (the )?(system prompt|your instructions)",
+    "role/mode override attempt": r"you are now (in )?(developer|admin|dan|unrestricted) mode",
+    "prompt-extraction attempt": r"reveal (your |the )?(system prompt|instructions)",
+    "covert-action instruction": r"do not (tell|inform|mention).{0,30}(user|person)",
+    "fake-authorization framing": r"this is (a |an )?(test|override).{0,20}(approved|authorized)",
+}
+#: The names of failures by kind, in the order they are tried.
+FAILURES = {
+    "syntax": ("SyntaxError", "IndentationError", "TabError"),
+    "import": ("ImportError", "ModuleNotFoundError", "No module named"),
+    "file": ("FileNotFoundError", "No such file or directory", "IsADirectoryError"),
+}
+RUNTIME_ERRORS = ("TypeError", "NameError", "AttributeError", "ValueError", "RuntimeError", "KeyError", "IndexError", "AssertionError")
+OTHER_ERRORS = (
+    "UnboundLocalError", "NotADirectoryError", "PermissionError", "FileExistsError", "RecursionError", "MemoryError", "ZeroDivisionError", "StopIteration", "OverflowError",
+)
+EXIT = r"\[exit(?:\s+code)?\s+[1-9]\d*\]"
 
 
 def quoted(sep: str) -> str:
@@ -28,17 +43,20 @@ def values_of(c: Column, sep: str) -> Column:
 
 
 def multivalue_detect(df: DataFrame, column: str) -> DataFrame:
-    """For each separator: share of values that hold it, and whether the column packs lists by it."""
-    rows = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    out = None
-    for sep in (",", ";", "|"):
-        parts = rows.withColumn("parts", values_of(F.col("v"), sep))
-        one = parts.agg(F.count("*").alias("n"), F.avg(F.contains("v", F.lit(sep)).cast("double")).alias("share"), F.count_distinct(F.size("parts")).alias("part_counts"))
-        words = parts.select(F.explode("parts").alias("w")).agg(F.count_distinct("w").alias("vocabulary"))
-        packed = (F.col("n") >= 10) & (F.col("share") >= 0.5) & (F.col("vocabulary") <= 100) & (F.col("part_counts") >= 2)
-        got = one.crossJoin(words).select(F.lit(sep).alias("sep"), "share", "part_counts", "vocabulary", packed.alias("packed"))  # one row each
-        out = got if out is None else out.union(got)
-    return out
+    """For each separator: share of values that hold it, and whether the column packs lists by it. One pass over the values, one over their parts.
+
+    Packed lists recur in combination: at least twice as many different combinations as single values speak for a list.
+    """
+    seps = F.array(*[F.lit(s) for s in (",", ";", "|")])
+    rows = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"), F.explode(seps).alias("sep"))
+    parts = F.expr(r"filter(transform(split(v, concat('\\Q', sep, '\\E')), x -> trim(x)), x -> x != '')")
+    rows = rows.withColumn("parts", parts)
+    one = rows.groupBy("sep").agg(
+        F.count("*").alias("n"), F.avg(F.contains("v", F.col("sep")).cast("double")).alias("share"), F.count_distinct(F.size("parts")).alias("part_counts"), F.count_distinct(F.when(F.size("parts") > 1, F.array_join(F.array_sort("parts"), "\x1f"))).alias("combinations"),
+    )
+    words = rows.select("sep", F.explode("parts").alias("w")).groupBy("sep").agg(F.count_distinct("w").alias("vocabulary"))
+    packed = (F.col("n") >= 10) & (F.col("share") >= 0.5) & (F.col("vocabulary") <= 100) & (F.col("part_counts") >= 2)
+    return one.join(words, "sep", "left").select("sep", "share", "part_counts", F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"), F.coalesce(packed, F.lit(False)).alias("packed"))
 
 
 def analyze_multivalue(df: DataFrame, column: str, sep: str = ",", value_col: str | None = None, how: str = "mean", min_rows: int | None = None) -> DataFrame:
@@ -93,7 +111,7 @@ def cosine_topk(df: DataFrame, id_col: str, vector_col: str, target: DataFrame,
     return df.crossJoin(target).select(F.col(id_col).alias("id"), cosine(F.col(vector_col), F.col("target")).alias("score")).orderBy(F.desc("score"), "id").limit(k)  # one row
 
 
-def page_budget_select(df: DataFrame, by: list[str], page: str, text_col: str, query: list[str], budget: int) -> DataFrame:
+def page_budget_select(df: DataFrame, by: list[str], page: str, text_col: str, query: list[str], budget: int = 60_000) -> DataFrame:
     """Pages by term hits until the budget of characters is passed, at least one for each document; all of them where they fit."""
     hits = sum((F.size(F.regexp_extract_all(F.lower(text_col), F.lit(re.escape(q)), F.lit(0))) for q in query), F.lit(0))
     rows = df.select(*by, page, (F.length(text_col) + 1).alias("size"), hits.alias("hits"))
@@ -134,13 +152,23 @@ def session_metrics(df: DataFrame, session: str, kind: str, time: str) -> DataFr
     return df.groupBy(session).agg(F.count("*").alias("n_steps"), F.count_distinct(kind).alias("n_kinds"), F.max(time).alias("last"), F.min(time).alias("first"))
 
 
+def is_error(c: Column, tool: Column | str | None = None) -> Column:
+    """Whether a tool's result tells of a failure: a traceback, an error prefix, a bad exit code, a timeout, or an exception's name before a colon or line end."""
+    names = [n for kind in ("syntax", "import", "file") for n in FAILURES[kind] if " " not in n] + [*RUNTIME_ERRORS, *OTHER_ERRORS]
+    found = F.contains(c, F.lit("Traceback (most recent call last)")) | c.startswith("Error: ") | c.startswith("Error executing") | c.rlike(EXIT)
+    found = found | F.contains(F.lower(c), F.lit("timed out after")) | c.rlike("(" + "|".join(names) + ")(:|\n)")
+    return found | c.startswith(F.concat(F.lit("Error running '"), tool if isinstance(tool, Column) else F.col(tool), F.lit("'"))) if tool is not None else found
+
+
 def error_class(c: Column) -> Column:
-    """The kind of failure a result's text tells of; null where it tells of none."""
-    kinds = [("syntax", r"SyntaxError|IndentationError"), ("import", r"ModuleNotFoundError|ImportError"), ("file", r"FileNotFoundError|No such file"), ("timeout", r"TimeoutError|timed out"), ("shell", r"command not found|exit code [1-9]"), ("runtime", r"Traceback|TypeError|ValueError|KeyError")]
-    out = F.when(c.rlike(kinds[0][1]), kinds[0][0])
-    for name, p in kinds[1:]:
-        out = out.when(c.rlike(p), name)
-    return out.when(c.rlike(r"^Error"), "generic")
+    """The kind of failure a result's text tells of; the first kind that fits, else generic. For results that are errors."""
+    out = None
+    for kind, names in FAILURES.items():
+        test = c.rlike("|".join(names))
+        out = F.when(test, kind) if out is None else out.when(test, kind)
+    out = out.when(F.contains(F.lower(c), F.lit("timed out")), "timeout")
+    out = out.when(c.rlike("Traceback|(" + "|".join(RUNTIME_ERRORS) + "):"), "runtime").when(c.rlike(EXIT), "shell")
+    return F.when(c.isNotNull(), out.otherwise("generic"))
 
 
 def playbook_dedupe(df: DataFrame, by: list[str], order: str, text_col: str, budget: int, width: int = 300) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import with_medians
 from .aggregate import aggregate
 
 #: Frequency -> (truncation unit, step, periods in a year).
@@ -74,5 +75,8 @@ def duration_stats(df: DataFrame, start: str, end: str, unit: str = "days", by:
     """n, mean, median, range and negative gaps; negative ones stay in the mean unless excluded."""
     gaps = df.withColumn("_gap", duration(F.col(start), F.col(end), unit)).filter(F.col("_gap").isNotNull())
     gaps = gaps.filter("_gap >= 0") if exclude_negative else gaps
-    out = [F.count("*").alias("n"), F.avg("_gap").alias("mean"), F.percentile("_gap", 0.5).alias("median"), F.min("_gap").alias("min"), F.max("_gap").alias("max"), F.count_if(F.col("_gap") < 0).alias("n_negative")]
-    return gaps.groupBy(F.col(by).alias("label")).agg(*out) if by else gaps.agg(*out)
+    out = [F.count("*").alias("n"), F.avg("_gap").alias("mean"), F.min("_gap").alias("min"), F.max("_gap").alias("max"), F.count_if(F.col("_gap") < 0).alias("n_negative")]
+    if by is None:
+        return with_medians(gaps.agg(*out), gaps, [], {"_gap": "median"})
+    gaps = gaps.select(F.col(by).alias("label"), "_gap")
+    return with_medians(gaps.groupBy("label").agg(*out), gaps, ["label"], {"_gap": "median"})

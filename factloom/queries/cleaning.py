@@ -124,10 +124,11 @@ def uniform_dates(t):
     return C.uniform_dates(t("orders").select(K, F.date_format("o_orderdate", "d/M/yyyy").alias("d")), "d")
 
 
-@query(f"SELECT {K}, CASE {K} % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM orders")
+@query(f"SELECT {K}, CASE {K} % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'maybe' END AS flag, {K} % 2 = 0 AS known FROM orders")
 def convert_booleans(t):
+    """A column with another word stays text; one without becomes boolean."""
     k = F.col(K) % 3
-    return C.convert_booleans(t("orders").select(K, F.when(k == 0, " Yes").when(k == 1, "F").otherwise("maybe").alias("flag")), ["flag"])
+    return C.convert_booleans(t("orders").select(K, F.when(k == 0, " Yes").when(k == 1, "F").otherwise("maybe").alias("flag"), F.when(F.col(K) % 2 == 0, "t").otherwise("NO ").alias("known")), ["flag", "known"])
 
 
 @query("SELECT p_partkey, CAST(p_size * 2.54 AS DOUBLE) AS size FROM part")

@@ -59,19 +59,24 @@ def kpi_rows(t):
     return r(r(R.kpi_rows(ledger_of(t), t("orders").sparkSession), 2, "value"), 4, "share_pct")
 
 
-@query()
+@query("""WITH g AS (SELECT sum(n - 1) AS extra FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)) SELECT 'grain' AS kind, 'lineitem repeats l_orderkey: ' || extra || ' extra rows' AS sentence FROM g WHERE extra > 0
+    UNION ALL SELECT 'marker', 'tax_was_missing holds in ' || printf('%.1f', 100 * avg(CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END)) || ' % of rows' FROM lineitem""")
 def limitations(t):
     s = EngineSession(t("orders").sparkSession)
-    s.catalog.register("lineitem", t("lineitem"), "parquet:lineitem")
-    A_ = A.grain_violations(t("lineitem"), ["l_orderkey", "l_linenumber"]).first()
-    s.ledger.note("grains", dataset="lineitem", keys=["l_orderkey", "l_linenumber"], passed=A_["repeated_keys"] == 0, extra_rows=A_["extra_rows"])
+    s.catalog.register("lineitem", t("lineitem").withColumn("tax_was_missing", (F.col("l_linenumber") == 3).cast("int")), "parquet:lineitem")
+    s.check_grain("lineitem", ["l_orderkey"])
     return R.limitations(s, "lineitem")
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def scan_csv_roundtrip(t):
     df = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     path = f"{base}/roundtrip-{abs(hash(str(df.inputFiles()[:1])))}.csv"
     tables.save(df, path)
     return tables.load_csv(df.sparkSession, path, schema=df.schema)
@@ -90,7 +95,8 @@ def preview(t):
     return tables.preview(t("orders").select("o_orderkey", "o_totalprice"), 10, ["o_orderkey", "o_totalprice"])
 
 
-@query("SELECT * FROM (VALUES ('impute', 'price'), ('impute', 'status')) v(action, \"column\") WHERE (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0) > 0")
+@query("""WITH h AS (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status FROM orders), n AS (SELECT count(*) - count(price) AS price, count(*) - count(status) AS status FROM h)
+    SELECT 'impute' AS action, 'price' AS "column" FROM n WHERE price > 0 UNION ALL SELECT 'impute', 'status' FROM n WHERE status > 0""")
 def diagnose_plan(t):
     from .cleaning import holes
 
@@ -111,3 +117,22 @@ def replay_plan(t):
 @query("SELECT 'o_totalprice' AS \"column\", 'double' AS dtype, count(o_totalprice) AS filled, count(DISTINCT o_totalprice) AS n_distinct FROM orders UNION ALL SELECT 'o_orderstatus', 'string', count(o_orderstatus), count(DISTINCT o_orderstatus) FROM orders")
 def column_summary(t):
     return R.column_summary(t("orders").select("o_totalprice", "o_orderstatus"))
+
+
+@query("""SELECT 'source' AS step, 'orders comes from parquet:orders, 6 columns' AS sentence UNION ALL SELECT 'source', 'customer comes from parquet:customer, ' || (SELECT count(*) FROM (DESCRIBE customer)) || ' columns'
+    UNION ALL SELECT 'source', 'both comes from join:orders+customer, ' || ((SELECT count(*) FROM (DESCRIBE customer)) + 6) || ' columns'
+    UNION ALL SELECT 'join', 'both is the left join of orders and customer, ' || (SELECT count(*) FROM orders LEFT JOIN customer ON o_custkey = c_custkey) || ' rows; 0 rows of orders found no partner'""")
+def provenance(t):
+    """How a joined table was built, after a join that was forecast, approved and counted."""
+    s = EngineSession(t("orders").sparkSession, approver=lambda card: "yes")
+    s.catalog.register("orders", t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), "parquet:orders")
+    s.catalog.register("customer", t("customer"), "parquet:customer")
+    s.join("orders", "customer", "both", how="left", left_on=["o_custkey"], right_on=["c_custkey"])
+    return R.provenance(s, "both")
+
+
+@query("""SELECT 'missing' AS kind, 'price is empty in ' || printf('%.1f', 100 * avg(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END)) || ' % of rows' AS sentence FROM orders UNION ALL SELECT 'role', 'currency holds one value'
+    UNION ALL SELECT 'cleaning', printf('%.1f', 100 * avg(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END)) || ' % of size is imputed' FROM orders""")
+def intrinsic_limitations(t):
+    k = F.col("o_orderkey")
+    return R.intrinsic_limitations(t("orders").select("o_orderkey", F.when(k % 7 != 0, F.col("o_totalprice")).alias("price"), F.lit("EUR").alias("currency"), F.col("o_custkey").alias("size"), (k % 3 == 0).cast("int").alias("size_was_missing")))

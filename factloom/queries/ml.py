@@ -76,7 +76,7 @@ def auc(t):
     return r(M.auc(scored(t), F.col("y"), "s"), 6, "auc")
 
 
-@query("SELECT count(DISTINCT o_totalprice) AS levels, 'regression' AS task FROM orders")
+@query("SELECT count(DISTINCT o_totalprice) AS levels, CASE WHEN count(DISTINCT o_totalprice) = 2 THEN 'binary' WHEN count(DISTINCT o_totalprice) > 20 OR max(o_totalprice) - min(o_totalprice) > 20 THEN 'regression' ELSE 'multiclass' END AS task FROM orders")
 def task_detection(t):
     return M.task_kind(t("orders"), "o_totalprice")
 
@@ -90,3 +90,30 @@ def ml_linear(t):
 def ml_random_forest(t):
     df = t("labels").join(t("documents"), "doc_id").select("doc_id", F.col("quality").cast("string").alias("quality"), F.col("n_chars").cast("double").alias("n_chars"), F.col("toxic").cast("double").alias("toxic"))
     return models.train(df, "quality", ["n_chars", "toxic"], "binary", "doc_id", ["forest"])[1]
+
+
+def quality(t):
+    return t("labels").join(t("documents"), "doc_id").select("doc_id", F.col("quality").cast("string").alias("quality"), F.col("n_chars").cast("double").alias("n_chars"), F.col("toxic").cast("double").alias("toxic"))
+
+
+@query()
+def ml_cross_validate(t):
+    """Five folds of a linear model at two settings; tests hold it against plain least squares."""
+    return models.cross_validate(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "regression", "linear", grid={"regParam": [0.0, 0.1]})[1]
+
+
+@query()
+def ml_importance(t):
+    return models.feature_importance(models.train(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "regression", "l_orderkey", ["linear"])[0]["linear"])
+
+
+@query()
+def ml_predict(t):
+    df = quality(t)
+    made = models.train(df, "quality", ["n_chars", "toxic"], "binary", "doc_id", ["logistic"])[0]["logistic"]
+    return models.predict(made, df).select("doc_id", "predicted")
+
+
+@query()
+def ml_mlp(t):
+    return models.train(quality(t), "quality", ["n_chars", "toxic"], "binary", "doc_id", ["mlp"])[1]

@@ -81,3 +81,11 @@ def row_counter(t):
 def text_shapes(t):
     df = t("orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.concat(F.lit("0"), F.col("o_orderkey").cast("string")).alias("code"))
     return r(P.text_shapes(df), 6, "year")
+
+
+@query("""WITH o AS (SELECT l_quantity, l_extendedprice, l_discount FROM lineitem) SELECT 'l_extendedprice ~ l_quantity' AS subject, round(corr(l_quantity, l_extendedprice), 6) AS value FROM o
+    UNION ALL SELECT 'l_discount ~ l_quantity', round(corr(l_quantity, l_discount), 6) FROM o""")
+def analyze_dataset(t):
+    """What a target moves with, out of one analysis of the table."""
+    a = P.analyze_dataset(t("lineitem").select("l_discount", "l_extendedprice", "l_quantity"), target="l_quantity").filter("kind = 'correlation'")
+    return a.select("subject", F.round("value", 6).alias("value"))

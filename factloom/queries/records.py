@@ -29,10 +29,19 @@ def journal_buggy_leaves(t):
 
 @query("""WITH i AS (SELECT *, sum(CASE WHEN event_type = 'click' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events)
     SELECT user_id, event_id, CAST(CASE WHEN event_type = 'click' THEN sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY event_id) ELSE 0 END AS BIGINT) AS run FROM i""")
-def debug_depth(t):
+def error_runs(t):
     return R.run_lengths(t("events"), ["user_id"], "event_id", F.col("event_type") == "click").select("user_id", "event_id", "run")
 
 
+@query("""WITH RECURSIVE n AS (SELECT user_id, event_id AS id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS parent_id, event_type IN ('click', 'view') AS debug FROM events),
+    m AS MATERIALIZED (SELECT *, sum(CASE WHEN debug AND parent_id IS NOT NULL THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY id) AS island FROM n)
+    SELECT user_id, id, CAST(sum(CASE WHEN debug AND parent_id IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY id) AS BIGINT) AS depth FROM m""")
+def debug_depth(t):
+    """Each event's parent is the one before, so SQL can count by islands; the operator walks the parents."""
+    n = nodes(t).join(t("events").select(F.col("event_id").alias("id"), F.when(F.col("event_type").isin("click", "view"), "debug").otherwise("draft").alias("stage")), "id")
+    return R.debug_depth(n, "user_id").select("user_id", "id", "depth")
+
+
 @query("""WITH p AS (SELECT conv_id, turn, text AS prompt, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS completion, role FROM conversations), k AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS n, count(*) OVER () AS total FROM p WHERE role = 'user' AND trim(coalesce(prompt, '')) <> '' AND trim(coalesce(completion, '')) <> '')
     SELECT conv_id, turn, CASE WHEN total >= 10 AND n <= greatest(1, floor(total * 0.1)) THEN 'validation' ELSE 'train' END AS part FROM k""")
 def finetune_split(t):
@@ -40,12 +49,11 @@ def finetune_split(t):
     return R.finetune_rows(c, "text", "completion", ["conv_id", "turn"]).select("conv_id", "turn", "part")
 
 
-@query("SELECT l_orderkey, l_linenumber, true AS holds FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 2 = 0 UNION ALL SELECT l_orderkey, l_linenumber, false FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 2 = 1")
+@query("SELECT l_orderkey, l_linenumber, l_orderkey % 2 = 0 AS holds FROM lineitem")
 def arithmetic_check(t):
-    li = t("lineitem").filter("l_linenumber = 1")
     expression = F.concat(F.col("l_quantity").cast("string"), F.lit(" * ("), F.col("l_partkey").cast("string"), F.lit(" + 1)"))
     claim = F.col("l_quantity") * (F.col("l_partkey") + 1) * F.when(F.col("l_orderkey") % 2 == 0, 1.0).otherwise(1.5)
-    return R.check_arithmetic(li.select("l_orderkey", "l_linenumber", expression.alias("e"), claim.alias("c")), "e", "c").select("l_orderkey", "l_linenumber", "holds")
+    return R.check_arithmetic(t("lineitem").select("l_orderkey", "l_linenumber", expression.alias("e"), claim.alias("c")), "e", "c").select("l_orderkey", "l_linenumber", "holds")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM documents")

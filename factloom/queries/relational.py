@@ -13,6 +13,22 @@ def r(df, digits=4, *columns):
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
 
 
+KEYED = "SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS k FROM customer"
+
+
+@query(f"""SELECT 'blank keys' AS flag UNION ALL SELECT 'whitespace' WHERE (SELECT avg(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) FROM orders WHERE o_orderkey % 10 <> 3) > 0.01
+    UNION ALL SELECT 'zero padding' WHERE (SELECT avg(CASE WHEN k LIKE '0%' THEN 1 ELSE 0 END) FROM ({KEYED})) > 0.2
+    UNION ALL SELECT 'rows lost' WHERE EXISTS (SELECT * FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 10 = 3)""")
+def join_card(t):
+    """The card of a join whose text keys are padded on one side, blank or with outer blanks on the other."""
+    customers = t("customer").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("k"), "c_name").union(t("customer").select(F.col("c_custkey").cast("string"), "c_name").limit(0))
+    plain = F.col("o_custkey").cast("string")
+    orders = t("orders").select(F.when(F.col("o_orderkey") % 10 == 3, None).when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit(" "), plain)).when(F.col("o_orderkey") % 40 == 1, F.lpad(plain, 8, "0")).otherwise(plain).alias("k"), "o_totalprice")
+    card = J.forecast(orders, customers, [("k", "k")], "inner")
+    keep = [x for x in card.flags if x in ("blank keys", "whitespace", "zero padding", "rows lost", "type mismatch", "case")]
+    return t("orders").sparkSession.createDataFrame([(x,) for x in keep], "flag string")
+
+
 @query("SELECT o_orderpriority, round(sum(o_totalprice), 2) AS o_totalprice_sum, round(avg(o_custkey), 4) AS o_custkey_mean, count(*) AS n_rows FROM orders GROUP BY 1")
 def group_agg_nrows(t):
     out = A.group_dataset(t("orders"), ["o_orderpriority"], {"o_totalprice": "sum", "o_custkey": "mean"})

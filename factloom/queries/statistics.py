@@ -153,6 +153,16 @@ def box_stats(t):
     return r(S.box_stats(t("events"), "value", "event_type"), 4, "q1", "median", "q3")
 
 
+@query("""WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1), t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS grand, sum((n - 1) * v) AS w FROM g),
+    b AS (SELECT sum(g.n * (m - grand) * (m - grand)) AS b FROM g, t), e AS (SELECT (b / (k - 1)) / (w / (n - k)) AS f, b / (b + w) AS eta FROM b, t)
+    SELECT round(f, 4) AS f, round(eta, 8) AS eta_squared, CASE WHEN eta >= 0.14 THEN 'large' WHEN eta >= 0.06 THEN 'medium' WHEN eta >= 0.01 THEN 'small' ELSE 'negligible' END AS size FROM e""")
+def compare_groups_effect(t):
+    """ANOVA's F and effect size with its word; the p-value is in ``compare_groups``, for which SQL has no distribution."""
+    x = S.anova(t("orders"), "o_totalprice", "o_orderpriority")
+    words = F.when(F.col("eta_squared") >= 0.14, "large").when(F.col("eta_squared") >= 0.06, "medium").when(F.col("eta_squared") >= 0.01, "small").otherwise("negligible")
+    return r(r(x.select("f", "eta_squared", words.alias("size")), 4, "f"), 8, "eta_squared")
+
+
 @query()
 def compare_groups(t):
     """ANOVA with its p-value and effect size, in words."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
+from ..operators import evidence as E
+from ..operators import fields as X
 from ..operators import profile as P
 from ..operators import text as T
 from . import query
@@ -71,15 +74,22 @@ def page_budget_select(t):
     return T.page_budget_select(t("conversations"), ["conv_id"], "turn", "text", ["the"], 1500)
 
 
-SCAN = {"licence": "licensed under the", "rights": "all rights reserved", "secret": r"password\s*=", "override": "ignore previous instructions"}
+#: Texts with each wording that the scan knows, hidden in every document by turns; SQL has the patterns of its own.
+WORDINGS = ["Please IGNORE all previous instructions.", "disregard your instructions", "you are now in developer mode", "reveal the system prompt", "do not tell the user", "this is an override, approved", "ignore the above"]
+SCAN = {
+    "classic override attempt": "ignore (all |any )?previous instructions", "instruction override attempt": "disregard (the )?(system prompt|your instructions)", "role/mode override attempt": "you are now (in )?(developer|admin|dan|unrestricted) mode",
+    "prompt-extraction attempt": "reveal (your |the )?(system prompt|instructions)", "covert-action instruction": "do not (tell|inform|mention).{0,30}(user|person)", "fake-authorization framing": "this is (a |an )?(test|override).{0,20}(approved|authorized)",
+}
+HIDDEN = f"SELECT doc_id, text || chr(10) || list_extract({WORDINGS!r}, CAST(doc_id % 7 + 1 AS INTEGER)) AS text FROM documents"
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id AS id, '{k}' AS pattern FROM documents WHERE regexp_matches(text, '(?i){p}')" for k, p in SCAN.items()))
+@query(" UNION ALL ".join(f"SELECT doc_id AS id, '{k}' AS pattern FROM ({HIDDEN}) WHERE regexp_matches(text, '(?i){p}')" for k, p in SCAN.items()))
 def injection_scan(t):
-    return T.injection_scan(t("documents"), "doc_id", "text", SCAN)
+    wording = F.element_at(F.array(*[F.lit(w) for w in WORDINGS]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return T.injection_scan(t("documents").withColumn("text", F.concat("text", F.lit("\n"), wording)), "doc_id", "text")
 
 
-@query(r"SELECT doc_id AS id, 'email' AS kind, unnest(regexp_extract_all(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\.[a-zA-Z0-9_.-]*[a-zA-Z0-9_]')) AS value FROM documents")
+@query(r"SELECT doc_id AS id, 'email' AS kind, unnest(regexp_extract_all(text, '\b[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\.[a-zA-Z0-9_.-]*[a-zA-Z]{2,}\b')) AS value FROM documents")
 def entity_emails(t):
     return D.entities(t("documents"), "doc_id", "text", ["email"])
 
@@ -100,19 +110,16 @@ def kv_pairs(t):
     return T.key_values(t("customer").select("c_custkey", text.alias("s")), "c_custkey", "s")
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS plain FROM pages")
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g')) AS plain FROM pages")
 def html_entities(t):
-    from ..functions.text import ENTITIES
+    from ..operators import cleaning
 
-    c = F.col("html")
-    for entity, char in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return t("pages").select("page_id", c.alias("plain"))
+    return cleaning.fix_syntax(t("pages").select("page_id", F.col("html").alias("plain")), ["plain"])
 
 
-@query("SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1")
-def session_turn_counts(t):
-    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.sum(F.length("text")).alias("n_chars"))
+@query("SELECT conv_id, count(*) AS n_steps, count(DISTINCT role) AS n_kinds, max(turn) AS last, min(turn) AS first FROM conversations GROUP BY 1")
+def session_metrics(t):
+    return T.session_metrics(t("conversations"), "conv_id", "role", "turn")
 
 
 @query("""WITH l AS (SELECT user_id, event_id, event_type AS s, lag(event_type, 1) OVER w AS a, lag(event_type, 2) OVER w AS b, lag(event_type, 3) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
@@ -127,15 +134,24 @@ def playbook_dedupe(t):
     return T.playbook_dedupe(t("conversations"), ["conv_id"], "turn", "text", 600)
 
 
-@query("SELECT event_type AS s, CASE event_type WHEN 'error' THEN 'generic' END AS kind, count(*) AS n FROM events GROUP BY 1, 2")
+#: Results of tools, dealt to events by turns: what they are and of which kind.
+RESULTS = [
+    ("fine", None), ("  File x\nIndentationError: unexpected indent", "syntax"), ("ModuleNotFoundError: No module named 'x'", "import"), ("IsADirectoryError: d", "file"), ("The job Timed out after 60 s", "timeout"),
+    ("Traceback (most recent call last)\n[exit code 1]", "runtime"), ("NameError: x", "runtime"), ("make: failed [exit code 2]", "shell"), ("Error: it failed", "generic"), ("KeyError inside a sentence", None),
+]
+KINDS_SQL = "list_extract([" + ", ".join("NULL" if k is None else f"'{k}'" for _, k in RESULTS) + "], CAST(event_id % 10 + 1 AS INTEGER))"
+
+
+@query(f"SELECT event_type AS s, {KINDS_SQL} AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def error_classes(t):
-    e = t("events").withColumn("result", F.when(F.col("event_type") == "error", "Error: it failed").otherwise("fine"))
-    return e.groupBy(F.col("event_type").alias("s"), T.error_class(F.col("result")).alias("kind")).agg(F.count("*").alias("n"))
+    result = F.element_at(F.array(*[F.lit(x) for x, _ in RESULTS]), (F.col("event_id") % 10 + 1).cast("int"))
+    e = t("events").withColumn("result", result).withColumn("kind", F.when(T.is_error(F.col("result")), T.error_class(F.col("result"))))
+    return e.groupBy(F.col("event_type").alias("s"), "kind").agg(F.count("*").alias("n"))
 
 
 # Words on pages, laid out from lineitem: a line per order line, columns far apart.
 def words(t):
-    li = t("lineitem").filter("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey").dropDuplicates(["l_orderkey", "l_linenumber"])
+    li = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey").dropDuplicates(["l_orderkey", "l_linenumber"])
     cells = F.array(*[F.struct(F.lit(k).alias("k"), c.cast("string").alias("text")) for k, c in enumerate((F.col("l_linenumber"), F.lit("flag"), F.lit("status")))])
     return li.select("l_orderkey", "l_linenumber", F.explode(cells).alias("c")).select(
         F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), (F.col("l_linenumber") * 10 + F.col("c.k")).alias("word_idx"), F.col("c.text").alias("text"), (F.col("c.k") * 40.0 + F.when(F.col("c.k") == 2, 100.0).otherwise(0.0)).alias("left"),
@@ -143,7 +159,7 @@ def words(t):
     )
 
 
-LINES = "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS doc_id, l_linenumber FROM lineitem WHERE l_linenumber <= 3"
+LINES = "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS doc_id, l_linenumber FROM lineitem"
 
 
 @query(f"WITH l AS ({LINES}), n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY l_linenumber) AS line FROM l) SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(3 AS BIGINT) AS n_words FROM n")
@@ -163,34 +179,103 @@ def column_bands(t):
 
 
 def cells(t):
-    """A small grid for each nation: a header, then its suppliers' first three, by key."""
-    from pyspark.sql import Window
-
-    s = t("supplier").withColumn("row", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).filter("row <= 3")
-    body = s.select(F.col("s_nationkey").alias("table_id"), "row", F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("s_name").alias("text")), F.struct(F.lit(1).alias("col"), F.when(F.col("row") == 2, "").otherwise(F.col("s_suppkey").cast("string")).alias("text")))).alias("c")).select("table_id", "row", "c.*")
-    head = s.select(F.col("s_nationkey").alias("table_id")).distinct().select("table_id", F.lit(0).alias("row"), F.explode(F.array(F.struct(F.lit(0).alias("col"), F.lit("name").alias("text")), F.struct(F.lit(1).alias("col"), F.lit("key").alias("text")))).alias("c")).select("table_id", "row", "c.*")
+    """A grid for each nation: a header, then its suppliers, by key; the second row has no key."""
+    s = t("supplier").withColumn("row", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    cell = lambda k, c: F.struct(F.lit(k).alias("col"), c.alias("text"))
+    body = s.select(F.col("s_nationkey").alias("table_id"), "row", F.explode(F.array(cell(0, F.col("s_name")), cell(1, F.when(F.col("row") == 2, "").otherwise(F.col("s_suppkey").cast("string"))))).alias("c")).select("table_id", "row", "c.*")
+    head = s.select(F.col("s_nationkey").alias("table_id")).distinct().select("table_id", F.lit(0).alias("row"), F.explode(F.array(cell(0, F.lit("name")), cell(1, F.lit("key")))).alias("c")).select("table_id", "row", "c.*")
     return head.union(body)
 
 
-FIRST3 = "SELECT s_nationkey AS table_id, s_name, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS row FROM supplier QUALIFY row <= 3"
+GRID = "SELECT s_nationkey AS table_id, s_name, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS row FROM supplier"
 
 
-@query(f"SELECT table_id, row, s_name AS name, CASE WHEN row = 2 THEN '' ELSE CAST(s_suppkey AS VARCHAR) END AS key FROM ({FIRST3})")
+@query(f"SELECT table_id, row, s_name AS name, CASE WHEN row = 2 THEN '' ELSE CAST(s_suppkey AS VARCHAR) END AS key FROM ({GRID})")
 def table_records(t):
     return D.table_records(cells(t)).select("table_id", "row", F.col("record")["name"].alias("name"), F.col("record")["key"].alias("key"))
 
 
-@query(f"""WITH n AS (SELECT table_id, count(*) AS k FROM ({FIRST3}) GROUP BY 1) SELECT table_id, k + 1 AS n_rows, CASE WHEN k + 1 = 2 OR k + 1 >= 3 THEN 1.0 ELSE 1.0 END::DOUBLE AS median_fill, CASE WHEN k = 2 THEN CASE WHEN 2.0 / 3 >= 0.6 THEN 1.0 ELSE 0.5 END ELSE 1.0 END::DOUBLE AS steady_columns, k + 1 >= 3 AS tabular FROM n""")
+@query(f"""WITH f AS (SELECT table_id, CASE WHEN row = 2 THEN 0.5 ELSE 1.0 END AS fill FROM ({GRID}) UNION ALL SELECT DISTINCT table_id, 1.0 FROM ({GRID})),
+    k AS (SELECT table_id, count(*) AS n, list_sort(list(fill)) AS fills, avg(CASE WHEN fill = 1 THEN 1 ELSE 0 END) AS present FROM f GROUP BY 1)
+    SELECT table_id, n AS n_rows, CAST(fills[CAST(n // 2 AS INTEGER) + 1] AS DOUBLE) AS median_fill, CASE WHEN present >= 0.6 THEN 1.0 ELSE 0.5 END::DOUBLE AS steady_columns,
+        n >= 3 AND fills[CAST(n // 2 AS INTEGER) + 1] >= 0.6 AND CASE WHEN present >= 0.6 THEN 1.0 ELSE 0.5 END >= 0.6 AS tabular FROM k""")
 def grid_tabular_test(t):
     return D.tabular_test(cells(t))
 
 
-@query("SELECT doc_id AS quote_id, doc_id, CAST(1 AS INTEGER) AS page, CAST(1 AS INTEGER) AS line, true AS cited FROM documents WHERE length(regexp_replace(lower(string_split(text, chr(10))[1]), '[\\s,|]+', '', 'g')) > 0")
+def document_lines(t):
+    """All lines of all documents, numbered, in one column."""
+    d = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return d.select("doc_id", F.lit(1).alias("page"), (F.col("pos") + 1).cast("int").alias("nth"), F.lit(1).alias("column"), "text")
+
+
+ALL_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS text, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS nth FROM documents"
+WANT = "regexp_replace(lower({}), '[\\s,|]+', '', 'g')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, nth, text, {WANT.format('text')} AS w FROM ({ALL_LINES})), q AS (SELECT doc_id, nth, w FROM l WHERE nth = (SELECT max(m.nth) FROM l m WHERE m.doc_id = l.doc_id AND m.w <> '') AND w <> '')
+    SELECT q.doc_id AS quote_id, q.doc_id, CAST(1 AS INTEGER) AS page, (SELECT arg_min(l.nth, (length(l.text), l.nth)) FROM l WHERE l.doc_id = q.doc_id AND contains(l.w, q.w)) AS line, true AS cited FROM q""")
 def evidence_line_match(t):
-    d = t("documents").select("doc_id", F.split("text", "\n")[0].alias("text"))
-    lines = d.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("line"), "text")
-    quotes = d.select("doc_id", F.col("doc_id").alias("quote_id"), F.upper(F.expr("substring(text, 1, 1)")).alias("u"), F.col("text").alias("quote"), F.lit(1).alias("page")).drop("u")
-    return D.evidence_on_lines(lines, quotes).drop("text")
+    """Each document's last line that says something, in capitals, looked for among all its lines."""
+    lines = document_lines(t)
+    said = lines.filter(D.normalise_quote(F.col("text")) != "")
+    quotes = said.groupBy("doc_id").agg(F.max_by("text", "nth").alias("quote")).select("doc_id", F.col("doc_id").alias("quote_id"), "quote", F.lit(1).alias("page"))
+    return D.evidence_on_lines(lines.withColumnRenamed("nth", "line"), quotes).drop("text")
+
+
+@query(f"""WITH l AS (SELECT doc_id, nth, {WANT.format('text')} AS w, lead({WANT.format('text')}) OVER (PARTITION BY doc_id ORDER BY nth) AS w2 FROM ({ALL_LINES}))
+    SELECT doc_id * 1000000 + nth AS quote_id, doc_id, nth, CAST(CASE WHEN contains(w, w || coalesce(w2, '')) THEN 1 ELSE 2 END AS INTEGER) AS n_lines FROM l WHERE w || coalesce(w2, '') <> ''""")
+def evidence_across_lines(t):
+    """Quotes that run from every line over its break into the next."""
+    lines = document_lines(t)
+    after = F.lead("text").over(Window.partitionBy("doc_id").orderBy("nth"))
+    quotes = lines.select((F.col("doc_id") * 1_000_000 + F.col("nth")).alias("quote_id"), "doc_id", "page", "nth", F.concat_ws(" ", "text", after).alias("quote"))
+    return E.evidence_across_lines(lines, quotes).select("quote_id", "doc_id", "nth", "n_lines")
+
+
+@query(f"SELECT s_suppkey AS quote_id, table_id, row, CASE WHEN row = 2 THEN [0] ELSE [0, 1] END AS columns FROM ({GRID})")
+def evidence_in_tables(t):
+    """A quote for each supplier's row as a reader writes it: name, the header of the key, the key."""
+    grid = cells(t).select(F.lit(1).alias("doc_id"), (F.col("table_id") + 1).cast("int").alias("page"), "table_id", "row", "col", "text")
+    s = t("supplier").withColumn("row", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    quote = F.concat(F.upper("s_name"), F.lit(" | key "), F.when(F.col("row") == 2, "").otherwise(F.col("s_suppkey").cast("string")))
+    quotes = s.select(F.col("s_suppkey").alias("quote_id"), F.lit(1).alias("doc_id"), (F.col("s_nationkey") + 1).cast("int").alias("page"), quote.alias("quote"))
+    return E.evidence_in_tables(grid, quotes).select("quote_id", "table_id", "row", "columns")
+
+
+@query(f"WITH l AS ({LINES}), n AS (SELECT doc_id, l_linenumber, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_linenumber) AS INTEGER) AS nth, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS k FROM l) SELECT doc_id, 'p1:L' || nth AS line_id, CAST(1 AS INTEGER) AS \"column\", l_linenumber || ' flag' AS text FROM n UNION ALL SELECT doc_id, 'p1:L' || (k + nth), 2, 'status' FROM n")
+def store_lines(t):
+    """Two columns far apart, read one after the other."""
+    return E.store_lines(D.segment_texts(D.segments(D.group_lines(words(t)))), page_width=400.0).select("doc_id", "line_id", "column", "text")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE n_chars END AS n FROM documents")
+def reply_json(t):
+    """JSON in replies: bare, fenced, after thinking, and none."""
+    body = F.to_json(F.struct("lang", F.col("n_chars").alias("n")))
+    k = F.col("doc_id") % 4
+    reply = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone."))).when(k == 2, F.concat(F.lit("<think>{not this}</think> It is "), body, F.lit("."))).otherwise("no {json} here")
+    j = X.json_text(reply)
+    return t("documents").select("doc_id", F.get_json_object(j, "$.lang").alias("lang"), F.get_json_object(j, "$.n").cast("long").alias("n"))
+
+
+@query("SELECT o_orderkey AS id, 'status' AS name, o_orderstatus AS value, CAST(0.9 AS DOUBLE) AS confidence FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority, 0.5 FROM orders")
+def payload_fields(t):
+    """Fields of a payload, a repeated one among them, of which the surer stays."""
+    field = lambda n, v, c: F.struct(F.lit(n).alias("name"), v.alias("value"), F.lit(c).alias("confidence"))
+    fields = F.array(field("status", F.lower("o_orderstatus"), 0.4), field("priority", F.col("o_orderpriority"), 0.5), field("Status", F.col("o_orderstatus"), 0.9), field(" ", F.col("o_orderstatus"), 0.9))
+    rows = t("orders").select("o_orderkey", F.to_json(F.struct(fields.alias("fields"))).alias("j"))
+    return X.dedupe_fields(X.payload_fields(rows, "o_orderkey", "j")).select("id", F.lower("name").alias("name"), "value", "confidence")
+
+
+@query(r"SELECT doc_id, regexp_replace(source, '[^A-Za-z0-9._-]+', '_', 'g') || '-' || left(sha256(text), 12) AS id FROM documents")
+def content_ids(t):
+    return t("documents").select("doc_id", X.content_id(F.concat("source", F.lit(".txt")), F.col("text")).alias("id"))
+
+
+@query(r"SELECT doc_id, CASE WHEN t = '' THEN '(blank)' WHEN length(t) > 42 THEN left(t, 41) || '…' ELSE t END AS label FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)")
+def clean_labels(t):
+    return t("documents").select("doc_id", X.clean_label(F.col("text")).alias("label"))
 
 
 def sized_lines(t):

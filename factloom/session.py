@@ -50,15 +50,22 @@ class EngineSession:
     def rank_by(self, name: str, group: str, value: str | None = None, how: str = "sum") -> DataFrame:
         df = self.catalog[name]
         ranked = aggregate.rank_by(df, group, value, how)
-        top = ranked.orderBy("rank").limit(1000).collect()
-        self.ledger.note_ranking(name, group, value, "count" if value is None else how, [(r["label"] or "(blank)", r["value"] or 0.0) for r in top])
+        top = ranked.orderBy("rank").limit(1000).collect()  # what claims may name; shares are of the total over all groups
+        whole = ranked.agg(F.sum("value").alias("total"), F.count("*").alias("groups")).first()
+        heads = sorted({max(1, round(whole["groups"] * x / 100)) for x in range(1, 101)})
+        running = {r["rank"]: r["cumulative_pct"] for r in ranked.filter(F.col("rank").isin(heads)).collect()} if "cumulative_pct" in ranked.columns else {}  # 100 rows
+        self.ledger.note_ranking(name, group, value, "count" if value is None else how, [(r["label"] or "(blank)", r["value"] or 0.0) for r in top], whole["total"] or 0.0, whole["groups"], running)
         u = aggregate.uniformity(df, group).first()
         if u["groups"] >= 2 and u["n"] >= 5 * u["groups"]:
             self.ledger.rankings[-1]["p_counts"] = P.chi2_upper(self.spark, u["statistic"], u["dof"])
         return ranked
 
     def join(self, left: str, right: str, output: str, on: list[str] | None = None, how: str = "left", **keys) -> DataFrame | Refusal:
-        """Forecast, approval, join, and a note of what was lost."""
+        """Forecast, approval, join, and a note of what was lost. Without an approver nothing is joined: the refusal holds the card.
+
+        A reply is ``yes``, ``how=<kind>`` for another kind of join, or anything else to leave it. Afterwards the rows are counted
+        against the forecast.
+        """
         a, b = self.catalog[left], self.catalog[right]
         pairs = join.resolve_keys(a, b, on, **keys)
         if isinstance(pairs, Refusal):
@@ -66,14 +73,20 @@ class EngineSession:
         card = join.forecast(a, b, pairs, how)
         if isinstance(card, Refusal):
             return card
-        reply = self.approver(str(card)) if self.approver else "yes"
+        if self.approver is None:
+            return Refusal(f"not approved; the forecast: {card}")
+        reply = self.approver(str(card)).strip().lower()
         if reply.startswith("how="):
-            how = reply[4:]
-        elif reply != "yes":
+            how = reply[4:].strip()
+            if how not in join.HOWS:
+                return Refusal(f"how is one of {', '.join(join.HOWS)}, not {how!r}")
+        elif reply not in ("yes", "y"):
             return Refusal("not approved")
+        joined = join.join_datasets(a, b, pairs, how, (left, right))
+        predicted, made = card.rows[f"{how}_rows"], joined.count()
         lost = card.rows["left_orphans"] if how in ("inner", "right") else 0
-        self.ledger.note("joins", dataset=output, left=left, right=right, how=how, lost=lost, predicted=card.rows[f"{how}_rows"])
-        return self.catalog.register(output, join.join_datasets(a, b, pairs, how, (left, right)), f"join:{left}+{right}", (left, right))
+        self.ledger.note("joins", dataset=output, left=left, right=right, how=how, lost=lost, predicted=predicted, rows=made, as_predicted=predicted == made, flags=list(card.flags))
+        return self.catalog.register(output, joined, f"join:{left}+{right}", (left, right))
 
     def clean(self, name: str, target: str | None = None, reply: str | None = None) -> tuple[list[cleaning.CleaningOp], list[tuple[str, str]]]:
         """Diagnoses; with a reply (or an approver) applies what is approved under the same name."""

@@ -154,9 +154,14 @@ def test_session_records_and_refuses(spark, pair):
     s = EngineSession(spark)
     s.catalog.register("orders", pair[0], truncation={"rows_read": 4, "rows_total": 9, "strategy": "first rows"})
     s.catalog.register("customers", pair[1])
+    refused = s.join("orders", "customers", "both", on=["customer_id"], how="inner")
+    assert isinstance(refused, Refusal) and "inner_rows" in refused.reason and "both" not in s.catalog.meta  # nobody approved
+    s.approver = lambda card: "how=sideways"
+    assert isinstance(s.join("orders", "customers", "both", on=["customer_id"]), Refusal)
+    s.approver = lambda card: "how=inner"
     out = s.join("orders", "customers", "both", on=["customer_id"], how="inner")
     assert out.count() == 5 and s.catalog.meta["both"].truncation["rows_total"] == 9
-    assert s.ledger.joins[0]["lost"] == 1
+    assert s.ledger.joins[0]["lost"] == 1 and s.ledger.joins[0]["as_predicted"] and s.ledger.joins[0]["rows"] == 5
     assert s.sql("SELECT count(*) AS n FROM both").first()["n"] == 5
     assert isinstance(EngineSession.join(s, "orders", "customers", "x", on=["nope"]), Refusal)
 
@@ -207,3 +212,105 @@ def test_all_measures_and_columns_are_tested(spark):
     df = spark.createDataFrame(df.collect(), df.schema)
     assert measures(df, ["id"]) == cols
     assert [tuple(r) for r in P.derived_formulas(df, cols).collect()] == [("m44", "m42", "*", "m43")]
+
+
+def test_quantiles_and_running_sums_are_exact(spark):
+    import numpy as np
+
+    from factloom.functions import ranks
+
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(round(v, 1)) if rng.random() > 0.1 else None) for g, v in zip(rng.integers(0, 4, 3000), rng.lognormal(3, 1, 3000), strict=True)]
+    df = spark.createDataFrame(rows + [(9, None), (None, 5.0)], "g int, v double")
+    got = {r["g"]: r["q"] for r in ranks.quantiles(df, ["v"], [0.0, 0.25, 0.5, 0.9, 1.0], ["g"]).collect()}
+    for g in range(4):
+        assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], [0.0, 0.25, 0.5, 0.9, 1.0]))
+    assert got[None] == [5.0] * 5 and 9 not in got
+    counts = df.dropna().groupBy("v").agg(F.count("*").alias("c"))
+    for r in ranks.running(counts, "v", ["c"]).collect():
+        below = [v for k, v in rows if v is not None and v < r["v"]]
+        assert r["c_before"] == len(below) and r["c_all"] == sum(v is not None for _, v in rows)
+    plan = ranks.running(counts, "v", ["c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(v" not in plan  # no window over all values at once
+
+
+def test_debug_depth_follows_parents(spark):
+    from factloom.operators import records as R
+
+    nodes = spark.createDataFrame([(1, "a", None, "draft"), (1, "b", "a", "debug"), (1, "c", "b", "debug"), (1, "d", "c", "improve"), (1, "e", "d", "debug"), (1, "f", "b", "debug"), (2, "a", None, "debug"), (2, "b", "a", "debug")], "run int, id string, parent_id string, stage string")
+    assert {(r["run"], r["id"]): r["depth"] for r in R.debug_depth(nodes, "run").collect()} == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): 0, (1, "e"): 1, (1, "f"): 2, (2, "a"): 0, (2, "b"): 1}
+
+
+def test_error_kinds_and_fixed_wordings(spark):
+    from factloom.operators import text as T
+
+    rows = [("TabError: x", True, "syntax"), ("all fine", False, "generic"), ("Traceback (most recent call last)\n[exit code 1]", True, "runtime"), ("x [exit 3]", True, "shell"), ("Error: odd", True, "generic"), ("Timed out after 3 s", True, "timeout"), ("PermissionError: p", True, "generic")]
+    df = spark.createDataFrame(rows, "s string, e boolean, k string")
+    assert df.filter((T.is_error(F.col("s")) != F.col("e")) | (T.error_class(F.col("s")) != F.col("k"))).count() == 0
+    assert text.FORMS["industries"] == "ind" and "street" not in text.FORMS
+
+
+def test_join_card_tells_key_problems(spark):
+    left = spark.createDataFrame([("007", 1.0), ("008", 2.0), (" 9", 3.0), (None, 4.0)], "k string, v double")
+    assert {n.split(":")[0] for n in J.key_notes(left, spark.createDataFrame([(7,)], "k int"), "k", "k")} == {"TYPE MISMATCH", "BLANK KEYS"}
+    assert {n.split(":")[0] for n in J.key_notes(left, spark.createDataFrame([("7",), ("8",)], "k string"), "k", "k")} == {"ZERO PADDING", "WHITESPACE", "BLANK KEYS"}
+    assert [n.split(":")[0] for n in J.key_notes(spark.createDataFrame([("AB",)], "k string"), spark.createDataFrame([("ab",)], "k string"), "k", "k")] == ["CASE"]
+    assert isinstance(J.forecast(left, spark.createDataFrame([("x",)], "k string"), [("k", "k")]), Refusal)
+
+
+def test_evidence_on_lines_across_lines_and_in_tables(spark):
+    from factloom.operators import evidence as E
+
+    lines = spark.createDataFrame([("d", 1, 1, 1, "Revenue rose to"), ("d", 1, 2, 1, "1,200 in spring"), ("d", 1, 3, 2, "other column")], "doc_id string, page int, nth int, column int, text string")
+    grid = [(0, ["Event", "Level"]), (1, ["Cross-Functional Team Bonus (3+ departments)", "CC 5"]), (2, ["Lone Bonus", "CC 1"])]
+    cells = spark.createDataFrame([("d", 2, "t", r, c, x) for r, row in grid for c, x in enumerate(row)], "doc_id string, page int, table_id string, row int, col int, text string")
+    quotes = [(1, "d", 1, 1, "rose TO"), (2, "d", 1, 1, "rose to 1200"), (3, "d", 1, 2, "spring other"), (4, "d", 1, 1, "Cross-Functional Team Bonus Level CC 5"), (5, "d", 1, 1, "Cross-Functional Team Bonus CC 1"), (6, "d", 1, 1, "Event Level")]
+    q = spark.createDataFrame(quotes, "quote_id int, doc_id string, page int, nth int, quote string")
+    assert {r["quote_id"]: r["strategy"] for r in E.resolve_evidence(lines, cells, q).collect()} == {1: "line", 2: "multiline", 3: "none", 4: "table", 5: "none", 6: "none"}
+    assert [tuple(r) for r in E.evidence_in_tables(cells, q).collect()] == [(4, "d", 2, "t", 1, [0, 1])]
+
+
+def test_stored_lines_keep_rows_and_columns(spark):
+    from factloom.operators import evidence as E
+
+    segs = spark.createDataFrame([("d", 1, 1, 0, "TEAM", 0.0, 0.0, 100.0, 10.0), ("d", 1, 1, 1, "MENTOR", 700.0, 0.0, 800.0, 10.0), ("d", 1, 2, 0, "Ann", 0.0, 20.0, 50.0, 30.0), ("d", 1, 2, 1, "Bob", 700.0, 20.0, 760.0, 30.0), ("d", 2, 1, 0, "a", 0.0, 0.0, 50.0, 10.0), ("d", 2, 1, 1, "b", 600.0, 0.0, 650.0, 10.0)], "doc_id string, page int, line int, segment int, text string, left double, top double, right double, bottom double")
+    tables = spark.createDataFrame([("d", 2, 0, 0.0, 0.0, 700.0, 20.0)], "doc_id string, page int, table int, x0 double, y0 double, x1 double, y1 double")
+    got = [(r["page"], r["line_id"], r["text"]) for r in E.store_lines(segs, tables).orderBy("page", "nth").collect()]
+    assert got == [(1, "p1:L1", "TEAM"), (1, "p1:L2", "Ann"), (1, "p1:L3", "MENTOR"), (1, "p1:L4", "Bob"), (2, "p2:L1", "a | b")]
+
+
+def test_replies_and_labels(spark):
+    from factloom.operators import fields as X
+
+    assert X.parse_group_spec("region, month: sum(sales), Mean(unit price)") == (["region", "month"], {"sales": "sum", "unit price": "mean"})
+    df = spark.createDataFrame([(1, '<think>{"a": 0}</think> {"a": 1}'), (2, "no"), (3, 'x ```json\n{"fields": [{"name": "n", "value": "v", "confidence": 0.5}, {"name": "N", "value": "V ", "confidence": 0.9}]}\n```')], "id int, s string")
+    got = [(r["id"], r["name"], r["value"], r["confidence"]) for r in X.dedupe_fields(X.payload_fields(df, "id", "s")).orderBy("id").collect()]
+    assert got == [(1, "a", "1", None), (3, "N", "V ", 0.9)]
+    assert X.plot_sample(spark.range(100), "id", 10).agg(F.count("*").alias("n"), F.max("sampled_of").alias("m")).first() == (10, 100)
+
+
+def test_models_are_stored_compared_and_explained(spark, tmp_path):
+    import numpy as np
+
+    from factloom.operators import models as M
+
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(b), float(3 * a - b + 1), "yes" if a > b else "no") for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y double, c string")
+    made, board = M.train(df, "y", ["a", "b"], "regression", "id", ["linear"])
+    assert board.first()["value"] < 1e-3
+    store = M.ModelStore(spark, str(tmp_path / "models"))
+    store.save("line", made["linear"], target="y", rows=300)
+    again = store.load("line")
+    assert [tuple(r) for r in store.listing().collect()] == [("line", '{"rows": 300, "target": "y"}')]
+    out = M.predict(again, df).agg(F.max(F.abs(F.col("predicted") - F.col("y"))).alias("e")).first()
+    assert out["e"] < 1e-3 and isinstance(M.predict(again, df.drop("a")), Refusal)
+    assert [r["feature"] for r in M.feature_importance(again).collect()] == ["a", "b"]
+    best, folds = M.cross_validate(df, "y", ["a", "b"], "regression", "linear", 3, {"regParam": [0.0, 1.0]})
+    means = {r["params"]: r["mean"] for r in folds.collect()}
+    assert means['{"regParam": 0.0}'] < 1e-3 < means['{"regParam": 1.0}']
+    classes, board = M.train(df, "c", ["a", "b"], "binary", "id", ["logistic", "mlp"])
+    assert min(r["value"] for r in board.collect()) > 0.9
+    agree = M.predict(classes["logistic"], df).agg(F.avg((F.col("predicted") == F.col("c")).cast("double")).alias("s")).first()["s"]
+    assert agree > 0.95 and M.compare({"one": board}).columns == ["artefact", "model", "metric", "value"]
+    assert store.delete("line") and store.listing().count() == 0 and isinstance(store.load("line"), Refusal)
