@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARTS = 64
 
@@ -28,6 +29,18 @@ def running(counts: DataFrame, value: str, sums: list[str], by: list[str] | None
     return out.drop("_part", "_marks", "_of", *[f"_{c}" for c in sums], *[f"_by_{k}" for k in by])
 
 
+def in_parts(df: DataFrame, order_by: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` with ``_part``: parts of the order of a number, date or timestamp, within ``by``; texts are left in one part."""
+    by = by or []
+    kind = df.schema[order_by].dataType
+    if isinstance(kind, T.StringType):
+        return df.withColumn("_part", F.lit(0))
+    number = F.unix_date(F.col(order_by)) if isinstance(kind, T.DateType) else F.col(order_by).cast("timestamp").cast("double") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else F.col(order_by)
+    rows = df.withColumn("_number", number.cast("double"))
+    marks = rows.groupBy(*by).agg(F.percentile_approx("_number", [k / PARTS for k in range(1, PARTS)], F.lit(10_000)).alias("_marks"))
+    return _attach(rows, marks, by).withColumn("_part", F.coalesce(F.size(F.filter("_marks", lambda m: m <= F.col("_number"))), F.lit(0))).drop("_marks", "_number")
+
+
 def _attach(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
     """Each row with the row of ``few`` for its ``by`` (the only one, without)."""
     if not by:

@@ -51,12 +51,13 @@ def rank_by(df: DataFrame, group_col: str, value_col: str | None = None, how: st
         groups = rows.groupBy(F.col(group_col).cast("string").alias("label")).agg(value.cast("double").alias("value"))
     order = [F.asc_nulls_last("value") if ascending else F.desc_nulls_last("value"), F.asc_nulls_last("label")]
     w = Window.orderBy(*order)
-    out = groups.withColumn("rank", F.row_number().over(w))
+    ranked = groups.orderBy(*order).limit(top) if top else groups  # with ``top`` each task passes on its own first groups only
+    out = ranked.withColumn("rank", F.row_number().over(w))
     if value_col is None or how in ADDITIVE:
         running = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        total = F.sum("value").over(Window.partitionBy())
-        out = out.withColumns({"share_pct": F.try_divide(F.col("value") * 100, total), "cumulative_pct": F.try_divide(running * 100, total)})
-    return out.filter(F.col("rank") <= top) if top else out
+        out = out.withColumn("_running", running).crossJoin(groups.agg(F.sum("value").alias("_total")))  # one row
+        out = out.withColumns({"share_pct": F.try_divide(F.col("value") * 100, F.col("_total")), "cumulative_pct": F.try_divide(F.col("_running") * 100, F.col("_total"))}).drop("_running", "_total")
+    return out
 
 
 def near_tie(ranked: DataFrame, top: int) -> DataFrame:

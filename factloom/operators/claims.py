@@ -73,9 +73,19 @@ def check_noise(sentence: str, ledger: EvidenceLedger) -> list[str]:
     return [f"the ranking by {r['group']} is within noise" for r in noise if any(_names(label, sentence) for label, _ in r["order"])]
 
 
+def check_imputed(sentence: str, ledger: EvidenceLedger) -> list[str]:
+    """A group named whose values were all filled in: the cleaner made them, so they say nothing of the group."""
+    out = []
+    for note in ledger.imputed_groups:
+        label = F.col(note["groups"].columns[0]).cast("string")
+        named = note["groups"].filter(F.contains(F.lower(F.lit(sentence)), F.lower(label)) & (F.length(label) > 1))
+        out += [f"all values of {r[0]} were filled in ({note['column']})" for r in named.select(label).distinct().limit(20).collect() if _names(r[0], sentence)]
+    return out
+
+
 def review(text: str, ledger: EvidenceLedger) -> list[str]:
     sentences = re.split(r"(?<=[.!?])\s+", text)
-    return [x for s in sentences for check in (check_trend, check_top_n, check_share, check_duration, check_noise) for x in check(s, ledger)]
+    return [x for s in sentences for check in (check_trend, check_top_n, check_share, check_duration, check_noise, check_imputed) for x in check(s, ledger)]
 
 
 def pairing_laggards(df: DataFrame, a: str, b: str, value: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..functions.ranks import wide_quantiles, with_medians
+from ..functions.ranks import in_parts, wide_quantiles, with_medians
 
 
 def is_marker(name: str) -> bool:
@@ -43,32 +43,47 @@ def impute(df: DataFrame, columns: list[str], how: str = "median", by: list[str]
     return out.select(*[fill(c).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
 
-def _window(order_by: str, by: list[str] | None) -> Window:
-    return Window.partitionBy(*(by or [])).orderBy(order_by)
+def _nearest(df: DataFrame, column: str, order_by: str, by: list[str] | None, numbered: bool = False) -> DataFrame:
+    """``df`` with ``_back`` and ``_ahead``: the nearest known value on either side (the row's own, where known), each with its place ``at``.
+
+    The order is cut into parts (``functions.ranks``), so neither a table nor a large group is one task's; of each part only its count of rows
+    and its first and last known value are carried over to the others.
+    """
+    by = by or []
+    rows = in_parts(df, order_by, by)
+    w = Window.partitionBy(*by, "_part").orderBy(order_by)
+    rows = rows.withColumn("_at", F.row_number().over(w))
+    known = F.when(F.col(column).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(column).alias("v")))
+    rows = rows.withColumn("_known", known)
+    parts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min_by("_known", "_known.at").alias("_first"), F.max_by("_known", "_known.at").alias("_last"))
+    across = Window.partitionBy(*by).orderBy("_part")
+    moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.at") + F.col("_before")).alias("at"), F.col(f"{c}.v").alias("v")))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.withColumns({"_first": moved("_first"), "_last": moved("_last")})
+    parts = parts.withColumns({"_prev": F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)), "_next": F.first("_first", True).over(across.rowsBetween(1, Window.unboundedFollowing))})
+    few = parts.select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col("_part").alias("_of"), "_before", "_prev", "_next")
+    rows = rows.join(few, reduce(Column.__and__, [F.col("_part") == F.col("_of"), *[F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]]))
+    rows = rows.withColumns({"_known": moved("_known"), "_at": F.col("_at") + F.col("_before")})
+    back = F.last("_known", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("_known", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return rows.withColumns({"_back": F.coalesce(back, "_prev"), "_ahead": F.coalesce(ahead, "_next")})
 
 
 def ffill(df: DataFrame, column: str, order_by: str, by: list[str] | None = None) -> DataFrame:
-    w = _window(order_by, by).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
+    return _nearest(df, column, order_by, by).withColumn(column, F.col("_back.v")).select(*df.columns)
 
 
 def bfill(df: DataFrame, column: str, order_by: str, by: list[str] | None = None) -> DataFrame:
-    w = _window(order_by, by).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(column, F.first(column, ignorenulls=True).over(w))
+    return _nearest(df, column, order_by, by).withColumn(column, F.col("_ahead.v")).select(*df.columns)
 
 
 def interpolate(df: DataFrame, column: str, order_by: str, by: list[str] | None = None) -> DataFrame:
     """Linear by position; both ends take the nearest value."""
-    w = _window(order_by, by)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = F.row_number().over(w)
-    known = F.when(F.col(column).isNotNull(), F.col("_at"))
-    out = df.withColumn("_at", at).withColumn("_known", known)
-    a, z = F.last(column, True).over(back), F.first(column, True).over(ahead)
-    i, j = F.last("_known", True).over(back), F.first("_known", True).over(ahead)
-    out = out.withColumns({"_a": a, "_z": z, "_i": i, "_j": j})
-    line = F.when(F.col("_j") > F.col("_i"), F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_at") - F.col("_i")) / (F.col("_j") - F.col("_i")))
-    return out.withColumn(column, F.coalesce(F.col(column), line, F.col("_a"), F.col("_z"))).drop("_at", "_known", "_a", "_z", "_i", "_j")
+    rows = _nearest(df, column, order_by, by)
+    a, z = F.col("_back"), F.col("_ahead")
+    between = a["v"] + (z["v"] - a["v"]) * (F.col("_at") - a["at"]) / (z["at"] - a["at"])
+    value = F.when(F.col(column).isNotNull(), F.col(column)).when(a.isNull(), z["v"]).when(z.isNull(), a["v"]).otherwise(between)
+    return rows.withColumn(column, value).select(*df.columns)
 
 
 def deduplicate(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ class EngineSession:
         cut = tables.truncation_of(whole, row_cap) if row_cap else None
         if cut:
             self.ledger.note("truncations", dataset=name, **cut)
-        return self.catalog.register(name, whole.limit(row_cap) if cut else whole, f"csv:{path}", truncation=cut)
+        return self.catalog.register(name, tables.first_rows(whole, row_cap) if cut else whole, f"csv:{path}", truncation=cut)
 
     def load_json(self, path: str, name: str) -> DataFrame:
         return self.catalog.register(name, tables.load_json(self.spark, path), f"json:{path}")
@@ -130,5 +130,5 @@ class EngineSession:
 
     def null_groups(self, name: str, group: str, marker: str) -> DataFrame:
         out = aggregate.imputed_share(self.catalog[name], group, marker)
-        self.ledger.note("imputed_groups", dataset=name, column=marker, groups=[r[group] for r in out.filter(F.col("imputed") == "fully").limit(1000).collect()])
+        self.ledger.note("imputed_groups", dataset=name, column=marker, groups=out.filter(F.col("imputed") == "fully").select(group))  # a table: there may be many
         return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.frames import nan_to_null
@@ -12,7 +13,14 @@ def load_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     """Header row expected; types are inferred unless a schema is given. ``row_cap`` keeps as many rows, for a record of truncation."""
     reader = spark.read.option("header", True)
     df = nan_to_null((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path))
-    return df.limit(row_cap) if row_cap else df
+    return first_rows(df, row_cap) if row_cap else df
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first rows of files read: by file name, place in the file, and order of reading."""
+    place = ["_file", "_block", "_place"]
+    rows = df.withColumns({"_file": F.input_file_name(), "_block": F.input_file_block_start(), "_place": F.monotonically_increasing_id()})
+    return rows.orderBy(*place).limit(n).drop(*place)
 
 
 def truncation_of(whole: DataFrame, row_cap: int) -> dict | None:

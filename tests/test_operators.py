@@ -314,3 +314,44 @@ def test_models_are_stored_compared_and_explained(spark, tmp_path):
     agree = M.predict(classes["logistic"], df).agg(F.avg((F.col("predicted") == F.col("c")).cast("double")).alias("s")).first()["s"]
     assert agree > 0.95 and M.compare({"one": board}).columns == ["artefact", "model", "metric", "value"]
     assert store.delete("line") and store.listing().count() == 0 and isinstance(store.load("line"), Refusal)
+
+
+def test_fills_over_parts_equal_plain_ones(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    values = [float(v) if rng.random() > 0.6 else None for v in rng.normal(size=500)]
+    df = spark.createDataFrame([(int(k), int(k) % 3, v) for k, v in enumerate(values)], "k int, g int, v double").repartition(5)
+
+    def plain(vs, kind):
+        known = [i for i, v in enumerate(vs) if v is not None]
+        out = []
+        for i in range(len(vs)):
+            a, z = max((j for j in known if j <= i), default=None), min((j for j in known if j >= i), default=None)
+            if kind == "interpolate":
+                out.append(vs[z] if a is None else vs[a] if z is None or a == z else vs[a] + (vs[z] - vs[a]) * (i - a) / (z - a))
+            else:
+                j = a if kind == "ffill" else z
+                out.append(None if j is None else vs[j])
+        return out
+
+    for kind in ("ffill", "bfill", "interpolate"):
+        got = {r["k"]: r["v"] for r in getattr(C, kind)(df, "v", "k").collect()}
+        assert [got[k] for k in range(500)] == pytest.approx(plain(values, kind))
+        got = {r["k"]: r["v"] for r in getattr(C, kind)(df, "v", "k", ["g"]).collect()}
+        for g in range(3):
+            assert [got[k] for k in range(g, 500, 3)] == pytest.approx(plain(values[g::3], kind))
+
+
+def test_first_rows_and_imputed_claims(spark, tmp_path):
+    from factloom.sources import tables
+
+    for k in range(3):
+        (tmp_path / f"f{k}.csv").write_text("x\n" + "\n".join(str(10 * k + i) for i in range(10)) + "\n")
+    assert [r["x"] for r in tables.load_csv(spark, str(tmp_path), row_cap=12).collect()] == list(range(12))
+    s = EngineSession(spark)
+    s.catalog.register("d", spark.createDataFrame([("north", 1), ("north", 1), ("south", 0)], "region string, v_was_missing int"))
+    s.null_groups("d", "region", "v_was_missing")
+    assert claims.review("North leads by far.", s.ledger) == ["all values of north were filled in (v_was_missing)"] and not claims.review("South leads.", s.ledger)
+    top = A.rank_by(spark.createDataFrame([(f"g{k}", float(k)) for k in range(50)], "g string, v double"), "g", "v", top=3).collect()
+    assert [(r["rank"], r["label"]) for r in top] == [(1, "g49"), (2, "g48"), (3, "g47")] and top[2]["cumulative_pct"] == pytest.approx(100 * 144 / 1225)
