@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Typed patterns of the entity extractor. Only the prefix of a reference number ignores case.
 ENTITIES = {
     "gstin": r"\b\d{2}[A-Z]{5}\d{4}[A-Z]\d[A-Z\d]Z[A-Z\d]\b",
@@ -131,6 +133,8 @@ def transcript_windows(df: DataFrame, by: str, start: str, text_col: str, second
     """Transcript parts in windows anchored at their first part; the anchor moves on, so each recording is scanned in order."""
     import pandas as pd
 
+    ship(df.sparkSession)
+
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, anchor = [], None
         for s, x in pdf.sort_values(start)[[start, text_col]].itertuples(index=False):

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .documents import column_bands, normalise_quote
 
 #: Lines that a quote may run over; share of a page's width from which two segments are columns, not cells; words of prose;
@@ -113,7 +114,8 @@ def evidence_in_tables(cells: DataFrame, quotes: DataFrame) -> DataFrame:
             found = [spent(list(w), [list(c) for c in cs], [list(h) for h in hs]) for w, cs, hs in zip(f["want"], f["cells"], f["heads"], strict=True)]
             yield f.assign(columns=found).loc[[x is not None for x in found], ["quote_id", *key, "row", "q_page", "columns"]]
 
-    kinds = {name: kind for name, kind in pairs.dtypes}
+    ship(cells.sparkSession)
+    kinds = dict(pairs.dtypes)
     hits = pairs.mapInPandas(walk, ", ".join(f"{c} {kinds[c]}" for c in ("quote_id", *key, "row", "q_page")) + ", columns array<int>")
     order = Window.partitionBy("quote_id").orderBy((F.col("page") == F.col("q_page")).desc(), "page", "table_id", "row")
     return hits.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("quote_id", *key, "row", "columns")

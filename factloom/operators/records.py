@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranks import running
+from ..shipping import ship
 
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}
 
@@ -42,6 +43,8 @@ def evaluate(expression: str | None) -> float | None:
 def check_arithmetic(df: DataFrame, expression: str, claim: str, tolerance: float = 0.01) -> DataFrame:
     """``df`` with ``value`` and ``holds``: the claim is within the tolerance, as it stands or read as per cent."""
 
+    ship(df.sparkSession)
+
     @F.pandas_udf(T.DoubleType())
     def value(e: pd.Series) -> pd.Series:
         return e.map(evaluate)
