@@ -1,7 +1,8 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
-A text's words (ASCII lower case, ASCII white space) give its set of distinct w-word shingles, hashed to 64 bits and written
-once; all that follows reads these sets. Equal sets are one class from the start, and one set of each is compared. A set's sketch
+A text's words (ASCII lower case, ASCII white space) give its set of distinct w-word shingles, hashed to 64 bits; hashing is a
+few numpy passes over a text's bytes, so sets are made again where they are needed rather than written (they would take
+twice the corpus's room). Equal sets are one class from the start, and one set of each is compared. A set's sketch
 retains its k least values of one function of a shingle: a byte for how common it is, by a counting table of fixed size over
 all documents, then 56 bits of its hash. With k = n - ceil(0.8 n) + 1, two sets of similarity 0.8 or more share a
 retained value, whatever the function: no link can be missed. The inverted lists of retained values generate overlaps.
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, texts, written
+from .common import WHITESPACE, row_key, texts, written
 from .components import components
 
-SLOT_BITS, SHORT_LIST, PARTNERS, WORD_CACHE = 20, 12, 256, 200_000
+SLOT_BITS, SHORT_LIST, PARTNERS, BASE = 20, 12, 256, 0x9E3779B97F4A7C15
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93]
-_hashes: dict[bytes, int] = {}
+_tables: dict[str, np.ndarray] = {}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -43,18 +44,34 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept and grown as texts need."""
+    if "up" not in _tables or len(_tables["up"]) < n:
+        for name, b in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            p = np.full(max(n, 1 << 17), b, np.uint64)
+            p[0] = 1
+            _tables[name] = np.multiply.accumulate(p)
+    return _tables["up"], _tables["down"]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of lower-cased bytes, in order: differences of one running sum, so no word is touched alone."""
+    if "bytes" not in _tables:
+        _tables["bytes"] = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIERS[0]))
+        _tables["space"] = np.isin(np.arange(256), list(WHITESPACE.encode()))
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _tables["space"][raw], [True]]).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    up, down = powers(len(raw) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_tables["bytes"][raw] * up[: len(raw)], dtype=np.uint64)])
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(MULTIPLIERS[1]))
+
+
 def shingle_set(text: str, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_hashes) > WORD_CACHE:
-        _hashes.clear()
-    for w in set(words).difference(_hashes):
-        _hashes[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text.encode("utf-8", "surrogatepass").lower())
+    if not len(h):
+        return h
     width = min(shingle, len(h))
     total = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
@@ -62,31 +79,34 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def label_of(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def _describe(shingle: int, kind: T.DataType):
-    """row, doc_id, n_shingles, class and set of each row; then, as rows of their own, what the task counted in each block of slots."""
+    """row, doc_id, n_shingles and class of each row; then, as rows of their own, what the task counted in each block of slots."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    names = ["row", "doc_id", "n_shingles", "label", "hashes", "part", "counts"]
+    names = ["row", "doc_id", "n_shingles", "label", "part", "counts"]
     id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = np.zeros(1 << SLOT_BITS, np.int32)
         for b in batches:
-            n, label, hashes = [], [], []
+            n, label = [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, shingle)
                 n.append(len(s))
-                hashes.append(s.tobytes() if len(s) else None)
-                label.append(hashlib.blake2b(hashes[-1], digest_size=16).digest() if len(s) else None)
+                label.append(label_of(s))
                 np.add.at(counted, slot(s), 1)
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(label, pa.binary()), pa.array(hashes, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(label, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         for k in range(16):
             part = np.minimum(counted[k << SLOT_BITS - 4 : k + 1 << SLOT_BITS - 4], 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, id_type), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([part.tobytes()])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, id_type), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([part.tobytes()])], names=names)
 
     return run
 
@@ -107,12 +127,13 @@ def retained(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return np.sort((levels[slot(s)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)))[:k]
 
 
-def _sketches(percent: int, shared):
+def _sketches(shingle: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            made = [retained(np.frombuffer(raw, np.uint64), levels, percent).tobytes() for raw in b.column("hashes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.array(made, pa.binary())], names=["node", "n", "sketch"])
+            sets = [shingle_set(text, shingle) for text in b.column("text").to_pylist()]
+            made = [retained(s, levels, percent).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary())], names=["row", "n", "sketch"])
 
     return run
 
@@ -143,18 +164,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _compare(percent: int, full: bool):
-    """Rows sorted by hub and share, the hub's own first: the pairs that pass, on sketches or on full sets."""
+def _compare(percent: int, shingle: int):
+    """Rows sorted by hub and share, the hub's own first: the pairs that pass, on sketches or, with ``shingle``, on full sets of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, mine, size = None, None, 0
         for b in batches:
             left, right = [], []
             for h, other, n, raw in zip(b.column("hub").to_pylist(), b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True):
-                s = np.frombuffer(raw, np.uint64)
+                s = shingle_set(raw, shingle) if shingle else np.frombuffer(raw, np.uint64)
                 if h == other:
                     hub, mine, size = h, s, n
-                elif h == hub and (similar(mine, s, percent) if full else possible(mine, s, size, n, percent)):
+                elif h == hub and (similar(mine, s, percent) if shingle else possible(mine, s, size, n, percent)):
                     left.append(h)
                     right.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -162,19 +183,19 @@ def _compare(percent: int, full: bool):
     return run
 
 
-def _passing(pairs: DataFrame, data: DataFrame, percent: int, full: bool) -> DataFrame:
+def _passing(pairs: DataFrame, data: DataFrame, percent: int, shingle: int = 0) -> DataFrame:
     """The pairs (hub, node) that pass, as (a, b). ``data``: node, n, data. A hub's partners are dealt to shares of about ``PARTNERS``."""
     shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares"))
     mine = shares.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("hub").alias("node"))
     others = pairs.hint("merge").join(shares, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), "node")
     rows = others.union(mine).hint("merge").join(data, "node").repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("hub") != F.col("node"))
-    return rows.select("hub", "node", "n", "data").mapInArrow(_compare(percent, full), "a long, b long")
+    return rows.select("hub", "node", "n", "data").mapInArrow(_compare(percent, shingle), "a long, b long")
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sketches: DataFrame, sources: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Verified links among ``pairs`` (hub, node): those the union sketch leaves, on full sets."""
-    left = written(_passing(pairs, sketches, percent, False).toDF("hub", "node"), "estimated")
-    return written(_passing(left, sets, percent, True), "verified")
+    left = written(_passing(pairs, sketches, percent).toDF("hub", "node"), "estimated")
+    return written(_passing(left, sources, percent, shingle), "verified")
 
 
 def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -184,18 +205,20 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     kind = base.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("row", T.StringType()), T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("label", T.BinaryType()),
-        T.StructField("hashes", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType()),
+        T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType()),
     ])
-    described = written(base.mapInArrow(_describe(shingle, kind), schema).withColumn("place", F.monotonically_increasing_id()), "sets")
-    rows = described.filter("part IS NULL").select("row", "doc_id", "n_shingles", "label", "place")
+    described = written(base.mapInArrow(_describe(shingle, kind), schema), "sets")
+    rows = described.filter("part IS NULL").select("row", "doc_id", "n_shingles", "label")
     parts = described.filter("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_add_up, "part int, levels binary")
     levels = b"".join(r["levels"] for r in sorted(parts.collect(), key=lambda r: r["part"])) or bytes(1 << SLOT_BITS)
     shared = spark.sparkContext.broadcast(levels)  # one byte a slot: 1 MB, whatever the corpus
 
     known = rows.filter("label IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(known.groupBy("label").agg(F.min("doc_id").alias("least_id"), F.min("place").alias("node")), "classes")
-    one = described.filter("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("place").alias("node"), F.col("n_shingles").alias("n"), "hashes")
-    sketches = written(one.mapInArrow(_sketches(percent, shared), "node long, n long, sketch binary").hint("merge").join(classes.select("node"), "node", "left_semi"), "sketches")
+    classes = known.groupBy("label").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered as it is written
+    one = classes.select("row", "node")
+    sketches = base.select("row", "text").mapInArrow(_sketches(shingle, percent, shared), "row string, n long, sketch binary").filter("n > 0")
+    sketches = written(sketches.hint("merge").join(one, "row").select("node", "n", "sketch"), "sketches")
     entries = sketches.mapInArrow(_entries, "value long, pos int, node long, n long")
     lists = written(entries.groupBy("value").agg(F.count("*").alias("size"), F.min("n").alias("least_n")).filter("size > 1").drop("size"), "values")
     # A pair is met in the list of the first value the two share, where what follows must still reach the needed overlap.
@@ -210,9 +233,11 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     pairs = short.alias("a").hint("merge").join(short.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node")) & fits).select(F.col("a.node").alias("hub"), F.col("b.node").alias("node"))
     long = members.filter(F.col("size") > SHORT_LIST)
     pairs = written(pairs.union(long.filter("hub != node").select("hub", "node")).distinct(), "pairs")
-    sketch_rows = sketches.select("node", "n", F.col("sketch").alias("data"))
-    set_rows = one.withColumnRenamed("hashes", "data")
-    links = _links(pairs, sketch_rows, set_rows, percent)
+    sketch_rows = sketches.select("node", "n", F.col("sketch").alias("data")).dropDuplicates(["node"])
+    candidates = pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct().hint("merge").join(one, "node")
+    sources = base.select("row", F.col("text").alias("data")).hint("merge").join(candidates, "row").select("node", F.lit(0).cast("long").alias("n"), "data").dropDuplicates(["node"])
+    sources = written(sources, "candidates")
+    links = _links(pairs, sketch_rows, sources, percent, shingle)
     found = components(links)
     hubs, done = 1, pairs
     long = written(long.select("value", "node", "n", "pos"), "long-lists")
@@ -235,7 +260,7 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         more = written(more.hint("merge").join(done, ["hub", "node"], "left_anti"), "pairs")
         if more.head(1):
             done = done.union(more)
-            new = _links(more, sketch_rows, set_rows, percent)
+            new = _links(more, sketch_rows, sources, percent, shingle)
             if new.head(1):
                 links = links.union(new)
                 found = components(links)
