@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import chunks, written
 
-SLOTS, BLOCK, SHARE, PER_LANGUAGE = 1 << 18, 1 << 13, 0.3, 1500
+SLOTS, BLOCK, SHARE, PER_LANGUAGE, SAMPLE_IDS = 1 << 18, 1 << 13, 0.3, 1500, 500_000
 #: Odd multipliers of the trigram hash, and of its three slots.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SLOT_MIX = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], np.uint64)
@@ -101,12 +101,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
     """Filters from at most ``per_language`` labelled documents of each language, held-out ones left out."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # Of large languages only hashes under a bound are ranked, about four times as many as wanted: no task sees a whole language.
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     spread = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
     few = known.select("id", "lang").join(sizes, "lang").filter(spread <= 4.0 * per_language / F.col("n"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = few.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("id", "lang").distinct()
-    sample = known.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
+    # per_language ids a language: broadcast while that is under SAMPLE_IDS, else the texts are shuffled to them.
+    small = F.broadcast(chosen) if sizes.count() * per_language <= SAMPLE_IDS else chosen
+    sample = known.join(small, ["id", "lang"], "left_semi").select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "trigrams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
