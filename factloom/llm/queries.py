@@ -69,6 +69,24 @@ def op10_lm_scoring(spark, sf_dir):
     return score_documents(_docs(spark, sf_dir))
 
 
+def op11_substring_dedup(spark, sf_dir):
+    from .suffix_trees import remove_repeated_passages
+
+    return remove_repeated_passages(_docs(spark, sf_dir)).drop("spans")
+
+
+def op12_ranked_search(spark, sf_dir):
+    from .ranked_search import search
+
+    return search(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -80,6 +98,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_store": op9_token_store,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -102,4 +123,26 @@ ORACLE_SQL = {
         e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
         SELECT r.doc_id, any_value(n.n) AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY 1""",
+    "op11_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        p AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+        s AS MATERIALIZED (SELECT doc_id, i, sha256(array_to_string(w[i : i + 19], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS i FROM d)),
+        r AS MATERIALIZED (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM s),
+        c AS (SELECT doc_id, i, word, coalesce(bool_or(coalesce(again, false)) OVER (PARTITION BY doc_id ORDER BY i ROWS 19 PRECEDING), false) AS gone FROM p LEFT JOIN r USING (doc_id, i)),
+        a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
+    "op12_ranked_search": r"""
+        WITH t AS MATERIALIZED (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        q AS MATERIALIZED (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+        k AS MATERIALIZED (SELECT count(*) AS documents, sum(n)::BIGINT AS terms FROM n),
+        p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+        w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, k GROUP BY 1),
+        s AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // terms))))::BIGINT AS score
+            FROM q JOIN p USING (term) JOIN w USING (term) JOIN n USING (doc_id), k GROUP BY 1, 2),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10""",
 }
