@@ -82,4 +82,5 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A key of a row that tells rows of one id (or a null one) but different texts apart; equal rows share it, and all results."""
-    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.xxhash64(text_col).cast("string"))
+    known = F.when(F.col(id_col).isNotNull(), F.concat(F.lit("="), F.col(id_col).cast("string")))  # a null id is like no text
+    return F.concat_ws(":", F.coalesce(known, F.lit("~")), F.xxhash64(text_col).cast("string"))

@@ -1,17 +1,17 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
-A text's words (ASCII lower case, ASCII white space) give its set of distinct w-word shingles, hashed to 64 bits; hashing is a
-few numpy passes over a text's bytes, so sets are made again where they are needed rather than written (they would take
-twice the corpus's room). Equal sets are one class from the start, and one set of each is compared. A set's sketch
+A text's words (ASCII lower case, ASCII white space) give its set of distinct w-word shingles, hashed to 64 bits by keyed hashes of the
+words; sets are made again where they are needed rather than written (they would take twice the corpus's room). Equal sets are one class from the start, and one set of each is compared. A set's sketch
 retains its k least values of one function of a shingle: a byte for how common it is, by a counting table of fixed size over
 all documents, then 56 bits of its hash. With k = n - ceil(0.8 n) + 1, two sets of similarity 0.8 or more share a
 retained value, whatever the function: no link can be missed. The inverted lists of retained values generate overlaps.
 
 Short lists give all their pairs. A longer list is compared with hubs, not with itself: its least member first, then, while it still
-holds several components, growing numbers of members of its smallest components, until none is left to compare. Each pair is first
+holds several components, growing shares of the members outside its largest component, until all of those have been hubs: of two components' members
+one is outside the largest, so no pair is left out. A pair that shares several long lists is met in the first of them only. Each pair is first
 estimated on the sketch of the union: below the smaller of the two sketches' ends both are known in full, so what they share there and
 what is left of either beyond bounds the intersection, and pairs that cannot reach the threshold are dropped before any set is
-fetched. The others are verified on full sets. A hub with many partners is dealt to several tasks, each with its set.
+fetched. The others are verified on full sets, by a second, independent hash. A hub with many partners is dealt to several tasks, each with its set.
 Links are joined into components in Spark. Sides that grow with the corpus are merge-joined at every size, never broadcast.
 
 Null, empty and blank texts have an empty set, link with nothing and stay; so does a row of a null id. Repeated rows are equal
@@ -23,19 +23,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITESPACE, row_key, texts, written
+from . import words
+from .common import chunks, row_key, texts, written
 from .components import components
 
-SLOT_BITS, SHORT_LIST, PARTNERS, BASE = 20, 12, 256, 0x9E3779B97F4A7C15
+SLOT_BITS, SHORT_LIST, PARTNERS, EARLIER = 20, 12, 256, 16
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93]
-_tables: dict[str, np.ndarray] = {}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -44,43 +45,40 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept and grown as texts need."""
-    if "up" not in _tables or len(_tables["up"]) < n:
-        for name, b in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            p = np.full(max(n, 1 << 17), b, np.uint64)
-            p[0] = 1
-            _tables[name] = np.multiply.accumulate(p)
-    return _tables["up"], _tables["down"]
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of lower-cased bytes, in order: differences of one running sum, so no word is touched alone."""
-    if "bytes" not in _tables:
-        _tables["bytes"] = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIERS[0]))
-        _tables["space"] = np.isin(np.arange(256), list(WHITESPACE.encode()))
-    raw = np.frombuffer(data, np.uint8)
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], _tables["space"][raw], [True]]).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    up, down = powers(len(raw) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_tables["bytes"][raw] * up[: len(raw)], dtype=np.uint64)])
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(MULTIPLIERS[1]))
-
-
-def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    h = word_hashes(text.encode("utf-8", "surrogatepass").lower())
-    if not len(h):
-        return h
-    width = min(shingle, len(h))
-    total = np.full(len(h) - width + 1, width, np.uint64)
+def shingle_sets(texts_: list[str], shingle: int, lane: int = 0, labels: bool = False) -> tuple[list[np.ndarray], list[bytes | None]]:
+    """The sorted distinct hashes of each text's shingles, by the words' first or second code (``lane``); with ``labels`` also a digest
+    of each set by both codes. The words of all the texts are coded together."""
+    found = [words.split(t.encode("utf-8", "surrogatepass").lower()) for t in texts_]
+    codes = words.codes(list(chain.from_iterable(found)))
+    sets, made, at = [], [], 0
+    for w in found:
+        n, width = len(w), min(shingle, len(w))
+        if not n:
+            sets.append(np.empty(0, np.uint64))
+            made.append(None)
+            continue
+        both = [hashed(codes[k][at : at + n], width) for k in ((0, 1) if labels else (lane,))]
+        at += n
+        if labels:
+            s, first = np.unique(both[0], return_index=True)
+            made.append(hashlib.blake2b(s.tobytes() + both[1][first].sum().tobytes(), digest_size=16).digest())
+        else:
+            s = np.unique(both[0])
+        sets.append(s)
+    return sets, made
+
+
+def hashed(code: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every ``width`` neighbouring words."""
+    total = np.full(len(code) - width + 1, width, np.uint64)
     for k in range(width):
-        total += h[k : k + len(total)] * np.uint64(MULTIPLIERS[k % 6] + 2 * (k // 6))
-    return np.unique(mixed(total))
+        total += code[k : k + len(total)] * np.uint64(MULTIPLIERS[k % 6] + 2 * (k // 6))
+    return mixed(total)
 
 
-def label_of(s: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+def in_parts(values: list[str], shingle: int, lane: int = 0) -> Iterator[np.ndarray]:
+    for part in chunks(values):
+        yield from shingle_sets(part, shingle, lane)[0]
 
 
 def slot(h: np.ndarray) -> np.ndarray:
@@ -98,11 +96,11 @@ def _describe(shingle: int, kind: T.DataType):
         counted = np.zeros(1 << SLOT_BITS, np.int32)
         for b in batches:
             n, label = [], []
-            for text in b.column("text").to_pylist():
-                s = shingle_set(text, shingle)
-                n.append(len(s))
-                label.append(label_of(s))
-                np.add.at(counted, slot(s), 1)
+            for part in chunks(b.column("text").to_pylist()):
+                sets, made = shingle_sets(part, shingle, labels=True)
+                n += map(len, sets)
+                label += made
+                counted += np.bincount(slot(np.concatenate(sets)), minlength=len(counted)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(label, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         for k in range(16):
             part = np.minimum(counted[k << SLOT_BITS - 4 : k + 1 << SLOT_BITS - 4], 255).astype(np.uint8)
@@ -131,7 +129,7 @@ def _sketches(shingle: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            sets = [shingle_set(text, shingle) for text in b.column("text").to_pylist()]
+            sets = list(in_parts(b.column("text").to_pylist(), shingle))
             made = [retained(s, levels, percent).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary())], names=["row", "n", "sketch"])
 
@@ -171,8 +169,9 @@ def _compare(percent: int, shingle: int):
         hub, mine, size = None, None, 0
         for b in batches:
             left, right = [], []
-            for h, other, n, raw in zip(b.column("hub").to_pylist(), b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True):
-                s = shingle_set(raw, shingle) if shingle else np.frombuffer(raw, np.uint64)
+            raw = b.column("data").to_pylist()
+            sets = in_parts(raw, shingle, 1) if shingle else (np.frombuffer(x, np.uint64) for x in raw)
+            for h, other, n, s in zip(b.column("hub").to_pylist(), b.column("node").to_pylist(), b.column("n").to_pylist(), sets, strict=True):
                 if h == other:
                     hub, mine, size = h, s, n
                 elif h == hub and (similar(mine, s, percent) if shingle else possible(mine, s, size, n, percent)):
@@ -240,20 +239,24 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     links = _links(pairs, sketch_rows, sources, percent, shingle)
     found = components(links)
     hubs, done = 1, pairs
-    long = written(long.select("value", "node", "n", "pos"), "long-lists")
+    # A member's first long lists: a pair that shares one of them before this list is met there.
+    firsts = long.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "value"))), 1, EARLIER).alias("firsts"))  # of one sketch
+    earlier = F.transform(F.filter("firsts", lambda x: x["pos"] < F.col("pos")), lambda x: x["value"])
+    long = written(long.select("value", "node", "n", "pos").hint("merge").join(firsts, "node").withColumn("earlier", earlier).drop("firsts"), "long-lists")
     while True:  # long lists that still hold several components; each turn compares more hubs of theirs, so it ends
         placed = long.hint("merge").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         by_value = placed.groupBy("value", "component").agg(F.count("*").alias("share"))
-        several = by_value.groupBy("value").agg(F.count("*").alias("k")).filter("k > 1").select("value")
-        placed = written(placed.hint("merge").join(by_value.join(several, "value"), ["value", "component"]), "open-lists")
-        if not placed.head(1):
+        several = by_value.groupBy("value").agg(F.count("*").alias("k"), F.max(F.struct("share", "component"))["component"].alias("largest"), (F.sum("share") - F.max("share")).alias("outside"))
+        placed = written(placed.hint("merge").join(several.filter("k > 1").drop("k"), "value"), "open-lists")
+        most = placed.agg(F.max("outside")).first()[0]
+        if most is None:
             break
-        nth = F.row_number().over(Window.partitionBy("value").orderBy("share", F.xxhash64("node")))
-        chosen = placed.withColumn("nth", nth).filter(F.col("nth") <= hubs)
+        share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("outside") < F.lit(hubs << 20)  # about ``hubs`` of a list, or all
+        chosen = placed.filter((F.col("component") != F.col("largest")) & ((F.col("outside") <= hubs) | share))
         more = (
             placed.alias("a")
             .hint("merge")
-            .join(chosen.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.component") != F.col("b.component")) & fits)
+            .join(chosen.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.component") != F.col("b.component")) & fits & ~F.arrays_overlap("a.earlier", "b.earlier"))
             .select(F.least("a.node", "b.node").alias("hub"), F.greatest("a.node", "b.node").alias("node"))
             .distinct()
         )
@@ -264,8 +267,8 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
             if new.head(1):
                 links = links.union(new)
                 found = components(links)
-        elif not placed.groupBy("value").count().filter(F.col("count") > hubs).head(1):
-            break  # every member of every open list has been a hub: all pairs are settled
+        elif most <= hubs:
+            break  # all members outside the largest component of every open list have been hubs: all pairs are settled
         hubs *= 8
     placed = classes.hint("merge").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from factloom.llm import common, ranked_search, suffix_trees, whitening
+from factloom.llm import common, near_dedup, ranked_search, suffix_trees, whitening
 
 
 def prose(rng, n, vocabulary=400):
@@ -195,3 +195,37 @@ def test_bit_planes_give_exact_products():
     for i in range(5):
         for j in range(i, 5):
             assert got[i][j] == sum(int(a) * int(b) for a, b in zip(x[:, i], x[:, j], strict=True))
+
+
+def test_near_duplicates_share_words_not_forms(spark):
+    """Two words of one polynomial hash modulo 2**64 at any odd base (Thue-Morse over two letters and its complement) stay apart."""
+    common.ship(spark)
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    got = near_dedup.near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_near_duplicates_of_a_group_around_the_threshold(spark, monkeypatch):
+    """Many copies of one text whose edits leave some pairs above 0.8 and some below: components as by all pairs, with short lists and few hubs."""
+    common.ship(spark)
+    monkeypatch.setattr(near_dedup, "SHORT_LIST", 2)
+    rng = random.Random(8)
+    base = prose(rng, 120, 5000).split()
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(117)} for i, t in rows}
+    least = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == least
+    assert 1 < len(set(least.values())) < 70
