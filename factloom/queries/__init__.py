@@ -26,4 +26,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import cleaning, grids, ledger, ml, outline, profile, records, relational, statistics, text, time  # noqa: F401
+    from . import cleaning, grids, ledger, ml, outline, profile, records, relational, spans, statistics, text, time  # noqa: F401
