@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .documents import column_bands, normalise_quote
 
 #: Lines that a quote may run over; share of a page's width from which two segments are columns, not cells; words of prose;
 #: tokens of a quote that is looked for in tables, and the share of them that cells (not headers) must give.
-LINE_SPAN, COLUMN_GAP, PROSE_WORDS, TABLE_TOKENS, CELL_SHARE = 4, 0.25, 6, 2, 0.5
+LINE_SPAN, COLUMN_GAP, PROSE_WORDS, TABLE_TOKENS, CELL_SHARE = 4, 0.40, 6, 2, 0.5
+#: In place of a cell's number where a header stands: larger than any.
+NO_CELL = 1 << 30
 
 
 def store_lines(segs: DataFrame, tables: DataFrame | None = None, page_width: float = 1000.0) -> DataFrame:
@@ -41,7 +39,8 @@ def store_lines(segs: DataFrame, tables: DataFrame | None = None, page_width: fl
     parts = F.transform(F.array_sort(F.collect_list(F.struct("left", "segment", "text"))), lambda x: x["text"])
     lines = rows.groupBy(*key, "line", "_row").agg(F.array_join(parts, " | ").alias("text"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("table").isNotNull().alias("_tabled"))
     bands = column_bands(lines, page_width).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("band").alias("_band"), F.col("left").alias("_left"))
-    placed = lines.join(bands, [*[F.col(k) == F.col(f"_{k}") for k in key], F.col("left") >= F.col("_left")]).groupBy(*key, "line", "_row", "text", "left", "top", "_tabled").agg(F.max("_band").alias("band"))
+    placed = lines.join(bands, [F.col(k) == F.col(f"_{k}") for k in key]).groupBy(*key, "line", "_row", "text", "left", "top", "_tabled")
+    placed = placed.agg(F.min_by("_band", F.struct(F.abs(F.col("left") - F.col("_left")), "_band")).alias("band"))  # the nearest; a page has few bands
     column = F.when(F.max("_tabled").over(Window.partitionBy(*key)), 1).otherwise(F.col("band"))
     placed = placed.withColumn("column", column.cast("int"))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("column", "top", "line", "left"))
@@ -65,58 +64,57 @@ def evidence_across_lines(lines: DataFrame, quotes: DataFrame, span: int = LINE_
     return hits.select("quote_id", "doc_id", "page", "nth", F.col("hits")[0]["n"].alias("n_lines"), F.col("hits")[0]["text"].alias("text"))
 
 
-def spent(quote: list[str], cells: list[list[str]], heads: list[list[str]]) -> list[int] | None:
-    """The cells that a quote's tokens are made of, or None. Tokens are spent from the left: on the longest start of a cell, on a whole header, or
-    on a cell that holds all that is left."""
-    used, by_cells, at = [], 0, 0
-    while at < len(quote):
-        rest = quote[at:]
-        best, cell = 0, None
-        for k, c in enumerate(cells):
-            n = next((i for i, (a, b) in enumerate(zip(rest, c, strict=False)) if a != b), min(len(rest), len(c)))
-            if any(c[i : i + len(rest)] == rest for i in range(len(c) - len(rest) + 1)):
-                n = len(rest)
-            if n > best:
-                best, cell = n, k
-        for h in heads:
-            if h and rest[: len(h)] == h and len(h) > best:
-                best, cell = len(h), None
-        if not best:
-            return None
-        if cell is not None:
-            by_cells += best
-            if cell not in used:
-                used.append(cell)
-        at += best
-    return used if used and by_cells >= CELL_SHARE * len(quote) else None
-
-
-def tokens(c):
-    return F.filter(F.split(F.lower(F.regexp_replace(c, r"[,|]", "")), r"\s+"), lambda x: x != "")
+def tokens(c: Column) -> Column:
+    """Runs of letters a-z and digits, in lower case."""
+    return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda x: x != "")
+
+
+def spelled(want: Column, cells: Column, heads: Column) -> Column:
+    """The cells (places from 0) that a quote's tokens are made of, null if they are not.
+
+    What can stand at each place of the quote is worked out for all places at once: of every cell the longest beginning that is written there, or all that is
+    left if the cell holds it anywhere, and of headers whole ones. The longest counts, a cell before a header. From the first place on these lengths lead to the
+    end, or the quote is not made of this row; half of its tokens at least must come from cells.
+    """
+    inside = lambda cell, rest: F.contains(F.concat(F.lit(" "), F.array_join(cell, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(rest, " "), F.lit(" ")))
+
+    def at(p: Column) -> Column:
+        rest = F.slice(want, p, F.size(want))
+        begun = lambda c: F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(c), F.size(rest))), lambda k: F.slice(rest, 1, k) == F.slice(c, 1, k)))
+        by_cell = F.transform(cells, lambda c, i: F.struct(F.when(F.size(c) == 0, 0).when(inside(c, rest), F.size(rest)).otherwise(begun(c)).alias("n"), (-i).alias("place")))
+        whole = F.transform(F.filter(heads, lambda h: (F.size(h) > 0) & (F.slice(rest, 1, F.size(h)) == h)), lambda h: F.struct(F.size(h).alias("n"), F.lit(-NO_CELL).alias("place")))
+        return F.array_max(F.concat(by_cell, whole))
+
+    steps = F.transform(F.sequence(F.lit(1), F.size(want)), at)
+    start = F.struct(F.lit(1).alias("p"), F.lit(0).alias("given"), F.array().cast("array<int>").alias("used"))
+
+    def go(got: Column, i: Column) -> Column:
+        step = F.get(steps, got["p"] - 1)
+        here, cell = (got["p"] == i) & (step["n"] > 0), step["place"] > -NO_CELL
+        used = F.when(cell & ~F.array_contains(got["used"], -step["place"]), F.concat(got["used"], F.array(-step["place"]))).otherwise(got["used"])
+        return F.when(here, F.struct((got["p"] + step["n"]).alias("p"), (got["given"] + F.when(cell, step["n"]).otherwise(0)).alias("given"), used.alias("used"))).otherwise(got)
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(want)), start, go, lambda got: F.when((got["p"] == F.size(want) + 1) & (F.size(got["used"]) > 0) & (got["given"] >= CELL_SHARE * F.size(want)), got["used"]))
 
 
 def evidence_in_tables(cells: DataFrame, quotes: DataFrame) -> DataFrame:
     """quotes(quote_id, doc_id, page, quote) made of one row's cells: quote_id, doc_id, page, table_id, row, columns.
 
-    ``cells(doc_id, page, table_id, row, col, text)``, row 0 the header. Cited pages come first, then pages, tables and rows in order. Rows whose
-    tokens cannot spell the quote are left out by a join before any row is walked.
+    ``cells(doc_id, page, table_id, row, col, text)``, row 0 the header. Cited pages come first, then pages, tables and rows in order. A quote meets
+    only the rows of its document that have the rarest of its tokens (in a cell or a header): every token of a quote has to be in its row.
     """
     key = ["doc_id", "page", "table_id"]
     listed = F.transform(F.array_sort(F.collect_list(F.struct("col", tokens(F.col("text")).alias("t")))), lambda x: x["t"])
     heads = cells.filter("row = 0").groupBy(*key).agg(listed.alias("heads"))
     rows = cells.filter("row > 0").groupBy(*key, "row").agg(listed.alias("cells")).join(heads, key, "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<array<string>>")))
-    q = quotes.select("quote_id", F.col("doc_id").alias("q_doc"), F.col("page").alias("q_page"), tokens(F.col("quote")).alias("want")).filter(F.size("want") >= TABLE_TOKENS)
-    may = F.size(F.array_except("want", F.flatten(F.concat("cells", "heads")))) == 0
-    pairs = rows.join(q, F.col("doc_id") == F.col("q_doc")).filter(may).select("quote_id", *key, "row", "q_page", "want", "cells", "heads")
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [spent(list(w), [list(c) for c in cs], [list(h) for h in hs]) for w, cs, hs in zip(f["want"], f["cells"], f["heads"], strict=True)]
-            yield f.assign(columns=found).loc[[x is not None for x in found], ["quote_id", *key, "row", "q_page", "columns"]]
-
-    ship(cells.sparkSession)
-    kinds = dict(pairs.dtypes)
-    hits = pairs.mapInPandas(walk, ", ".join(f"{c} {kinds[c]}" for c in ("quote_id", *key, "row", "q_page")) + ", columns array<int>")
+    q = quotes.select("quote_id", "doc_id", F.col("page").alias("q_page"), tokens(F.col("quote")).alias("want")).filter(F.size("want") >= TABLE_TOKENS)
+    posted = rows.select(*key, "row", F.explode(F.array_distinct(F.flatten(F.concat("cells", "heads")))).alias("token"))
+    asked = q.select("quote_id", "doc_id", F.explode(F.array_distinct("want")).alias("token"))
+    often = posted.join(asked.select("doc_id", "token").distinct(), ["doc_id", "token"], "left_semi").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, ["doc_id", "token"]).groupBy("quote_id", "doc_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    pairs = posted.join(rarest, ["doc_id", "token"]).drop("token").join(q.drop("doc_id"), "quote_id").join(rows, [*key, "row"])
+    pairs = pairs.filter(F.size(F.array_except("want", F.flatten(F.concat("cells", "heads")))) == 0)
+    hits = pairs.withColumn("columns", spelled(F.col("want"), F.col("cells"), F.col("heads"))).filter("columns IS NOT NULL")
     order = Window.partitionBy("quote_id").orderBy((F.col("page") == F.col("q_page")).desc(), "page", "table_id", "row")
     return hits.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("quote_id", *key, "row", "columns")
 

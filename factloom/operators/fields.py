@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def parse_group_spec(spec: str) -> tuple[list[str], dict[str, str]]:
-    """``region,month:sum(sales),mean(price)`` -> keys and aggregations by column."""
-    keys, _, rest = spec.partition(":")
-    found = re.findall(r"(?:^|,)\s*(\w+)\s*\(\s*([^()]+?)\s*\)\s*(?=,|$)", rest)
-    return [k.strip() for k in keys.split(",") if k.strip()], {column: how.lower() for how, column in found}
+    """``region,month:sum(sales),mean(price)`` -> keys and aggregations by column. Names may hold anything but the marks ``: , ( )``; what cannot be
+    read is an error that says where."""
+    parts, depth, text = [], 0, ""  # (closing mark, text) of every stretch between marks, in order
+    for at, mark in enumerate(spec + ","):
+        if mark not in ":,()":
+            text += mark
+            continue
+        depth += {"(": 1, ")": -1}.get(mark, 0)
+        if depth not in (0, 1) or (depth and mark in ":,"):
+            raise ValueError(f"misplaced {mark!r} at {at} of {spec!r}")
+        parts.append((mark, text.strip()))
+        text = ""
+    ends = [i for i, (mark, _) in enumerate(parts) if mark == ":"]
+    if len(ends) > 1:
+        raise ValueError(f"more than one ':' in {spec!r}")
+    cut = ends[0] + 1 if ends else len(parts)
+    keys, how = [name for _, name in parts[:cut] if name], {}
+    if any(mark in "()" for mark, _ in parts[:cut]):
+        raise ValueError(f"brackets among the keys of {spec!r}")
+    rest = [p for p in parts[cut:] if p != (",", "")]
+    for (opening, function), (closing, column) in zip(rest[::2], rest[1::2], strict=False):
+        if (opening, closing) != ("(", ")") or not function or not column:
+            raise ValueError(f"no aggregation like sum(sales) in {function or column!r} of {spec!r}")
+        how[column] = function.lower()
+    if len(rest) % 2:
+        raise ValueError(f"no aggregation like sum(sales) in {rest[-1][1]!r} of {spec!r}")
+    return keys, how
 
 
 def clean_label(c: Column, width: int = 42) -> Column:
@@ -22,7 +43,7 @@ def clean_label(c: Column, width: int = 42) -> Column:
     return F.when(flat == "", "(blank)").otherwise(cut)
 
 
-def plot_sample(df: DataFrame, id_col: str, limit: int = 5000) -> DataFrame:
+def plot_sample(df: DataFrame, id_col: str, limit: int = 20_000) -> DataFrame:
     """At most ``limit`` rows, those of least hash, with ``sampled_of``: how many there are in all. A chart's sample always says so."""
     total = df.agg(F.count("*").alias("sampled_of"))
     return df.orderBy(F.xxhash64(id_col), id_col).limit(limit).crossJoin(total)  # one row
@@ -35,14 +56,40 @@ def content_id(name: Column, content: Column) -> Column:
     return F.concat(F.when(stem == "", "document").otherwise(stem), F.lit("-"), F.left(F.sha2(content, 256), F.lit(12)))
 
 
+#: A JSON string, whole; and what is no part of any object once strings are blanked.
+JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def json_objects(text: Column) -> Column:
+    """The outermost balanced objects of a text, in order; braces inside of strings do not count.
+
+    Strings are blanked (as long as they were), so that depth is a running count of braces. An object runs from a brace that opens at depth 0 to
+    the one that closes it; a brace that never closes is skipped.
+    """
+    blank = F.array_join(F.transform(
+        F.split(F.regexp_replace(F.translate(text, "\x01\x02", "  "), JSON_STRING, "\x01$0\x02"), "[\x01\x02]"),
+        lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit("_"), F.length(p))).otherwise(p)), "")
+    bits = F.filter(F.transform(F.split(blank, ""), lambda c, i: F.struct((i + 1).alias("at"), F.when(c == "{", 1).when(c == "}", -1).otherwise(0).alias("d"))), lambda x: x["d"] != 0)
+    begin = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<b: int, e: int>>").alias("found"))
+
+    def step(got: Column, x: Column) -> Column:
+        opened = F.concat(got["open"], F.array(x["at"]))
+        last = F.element_at(got["open"], -1)
+        inner = F.filter(got["found"], lambda o: o["b"] < last)  # what the object that closes here holds is part of it
+        closed = F.struct(F.slice(got["open"], 1, F.size(got["open"]) - 1).alias("open"), F.concat(inner, F.array(F.struct(last.alias("b"), x["at"].alias("e")))).alias("found"))
+        return F.when(x["d"] == 1, F.struct(opened.alias("open"), got["found"].alias("found"))).when(F.size(got["open"]) == 0, got).otherwise(closed)
+
+    spans = F.aggregate(bits, begin, step, lambda got: got["found"])
+    return F.transform(spans, lambda o: F.substring(text, o["b"], o["e"] - o["b"] + 1))
+
+
 def json_text(c: Column) -> Column:
-    """The JSON object in a reply: thinking blocks off, then a fenced block, else the outermost braces; null if there is none that parses."""
+    """The JSON object in a reply: thinking blocks off, then that of a fenced block, else the last balanced one that parses; null if there is none."""
     plain = F.trim(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
     fenced = F.regexp_extract(plain, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    inner = F.when(fenced != "", fenced).otherwise(plain)
-    braces = F.regexp_extract(inner, r"(?s)\{.*\}", 0)
-    valid = lambda x: F.when(F.try_parse_json(x).isNotNull() & x.startswith("{"), x)
-    return F.coalesce(valid(inner), valid(braces))
+    good = lambda text: F.filter(json_objects(text), lambda x: F.try_parse_json(x).isNotNull())
+    last = lambda found: F.when(F.size(found) > 0, F.element_at(found, -1))
+    return F.coalesce(last(good(fenced)), last(good(plain)))
 
 
 def payload_fields(df: DataFrame, id_col: str, json_col: str) -> DataFrame:

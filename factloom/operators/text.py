@@ -148,6 +148,11 @@ def repetition_runs(df: DataFrame, by: list[str], order: str, signature: Column)
     return rows.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(*by, order, "kind")
 
 
+def session_turns(df: DataFrame, session: str, role: str, text_col: str) -> DataFrame:
+    """Turns of each session, the user's among them, and characters said."""
+    return df.groupBy(session).agg(F.count("*").alias("n_turns"), F.count_if(F.col(role) == "user").alias("n_user"), F.sum(F.length(text_col)).alias("n_chars"))
+
+
 def session_metrics(df: DataFrame, session: str, kind: str, time: str) -> DataFrame:
     return df.groupBy(session).agg(F.count("*").alias("n_steps"), F.count_distinct(kind).alias("n_kinds"), F.max(time).alias("last"), F.min(time).alias("first"))
 

@@ -119,7 +119,7 @@ def html_entities(t):
 
 @query("SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1")
 def session_turn_counts(t):
-    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.sum(F.length("text")).alias("n_chars"))
+    return T.session_turns(t("conversations"), "conv_id", "role", "text")
 
 
 @query("SELECT conv_id, count(*) AS n_steps, count(DISTINCT role) AS n_kinds, max(turn) AS last, min(turn) AS first FROM conversations GROUP BY 1")
@@ -241,25 +241,35 @@ def evidence_across_lines(t):
 @query(f"SELECT s_suppkey AS quote_id, table_id, row, CASE WHEN row = 2 THEN [0] ELSE [0, 1] END AS columns FROM ({GRID})")
 def evidence_in_tables(t):
     """A quote for each supplier's row as a reader writes it: name, the header of the key, the key."""
-    grid = cells(t).select(F.lit(1).alias("doc_id"), (F.col("table_id") + 1).cast("int").alias("page"), "table_id", "row", "col", "text")
+    grid = cells(t).select(F.col("table_id").alias("doc_id"), (F.col("table_id") + 1).cast("int").alias("page"), "table_id", "row", "col", "text")
     s = t("supplier").withColumn("row", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
     quote = F.concat(F.upper("s_name"), F.lit(" | key "), F.when(F.col("row") == 2, "").otherwise(F.col("s_suppkey").cast("string")))
-    quotes = s.select(F.col("s_suppkey").alias("quote_id"), F.lit(1).alias("doc_id"), (F.col("s_nationkey") + 1).cast("int").alias("page"), quote.alias("quote"))
+    quotes = s.select(F.col("s_suppkey").alias("quote_id"), F.col("s_nationkey").alias("doc_id"), (F.col("s_nationkey") + 1).cast("int").alias("page"), quote.alias("quote"))
     return E.evidence_in_tables(grid, quotes).select("quote_id", "table_id", "row", "columns")
 
 
 @query(f"WITH l AS ({LINES}), n AS (SELECT doc_id, l_linenumber, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_linenumber) AS INTEGER) AS nth, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS k FROM l) SELECT doc_id, 'p1:L' || nth AS line_id, CAST(1 AS INTEGER) AS \"column\", l_linenumber || ' flag' AS text FROM n UNION ALL SELECT doc_id, 'p1:L' || (k + nth), 2, 'status' FROM n")
 def store_lines(t):
     """Two columns far apart, read one after the other."""
-    return E.store_lines(D.segment_texts(D.segments(D.group_lines(words(t)))), page_width=400.0).select("doc_id", "line_id", "column", "text")
+    return E.store_lines(D.segment_texts(D.segments(D.group_lines(words(t)))), page_width=250.0).select("doc_id", "line_id", "column", "text")
+
+
+@query(f"""WITH l AS ({LINES}), n AS (SELECT doc_id, l_linenumber, CAST(row_number() OVER w AS INTEGER) AS nth, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS k, doc_id::BIGINT % 2 = 0 AS tabled FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY l_linenumber))
+    SELECT doc_id, 'p1:L' || nth AS line_id, CAST(1 AS INTEGER) AS "column", l_linenumber || ' flag' || CASE WHEN tabled THEN ' | status' ELSE '' END AS text FROM n UNION ALL SELECT doc_id, 'p1:L' || (k + nth), 2, 'status' FROM n WHERE NOT tabled""")
+def store_lines_in_tables(t):
+    """The same lines; on even pages a ruled grid holds both columns, so they are cells of one row."""
+    segs = D.segment_texts(D.segments(D.group_lines(words(t))))
+    even = segs.filter(F.col("doc_id").cast("long") % 2 == 0).select("doc_id", "page").distinct()
+    tables = even.select("doc_id", "page", F.lit(0).alias("table"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(250.0).alias("x1"), F.lit(1000.0).alias("y1"))
+    return E.store_lines(segs, tables, page_width=250.0).select("doc_id", "line_id", "column", "text")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE n_chars END AS n FROM documents")
 def reply_json(t):
-    """JSON in replies: bare, fenced, after thinking, and none."""
+    """JSON in replies: bare, fenced, the last of two after thinking (braces in a string, a brace left open), and none."""
     body = F.to_json(F.struct("lang", F.col("n_chars").alias("n")))
     k = F.col("doc_id") % 4
-    reply = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone."))).when(k == 2, F.concat(F.lit("<think>{not this}</think> It is "), body, F.lit("."))).otherwise("no {json} here")
+    reply = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone."))).when(k == 2, F.concat(F.lit("<think>{not this}</think> First {\"lang\": \"}x{\"} but it is "), body, F.lit(" {so."))).otherwise("no {json} here")
     j = X.json_text(reply)
     return t("documents").select("doc_id", F.get_json_object(j, "$.lang").alias("lang"), F.get_json_object(j, "$.n").cast("long").alias("n"))
 
