@@ -28,10 +28,10 @@ class EvidenceLedger:
             first, second = sorted((a, b))
             self.note("correlations", dataset=dataset, a=first, b=second, method=method, r=float(r))
 
-    def note_ranking(self, dataset: str, group: str, value: str | None, how: str, order: list[tuple[str, float]], total: float | None = None, groups: int | None = None, running: dict[int, float] | None = None) -> None:
-        """``order`` may be its head only; ``total`` and ``groups`` are of all groups, ``running`` the running share in per cent at the first so many of them."""
+    def note_ranking(self, dataset: str, group: str, value: str | None, how: str, order: list[tuple[str, float]], total: float | None = None, groups: int | None = None, running: dict[int, float] | None = None, table: DataFrame | None = None) -> None:
+        """``order`` may be its head only; ``total`` and ``groups`` are of all groups, ``running`` the running share in per cent at the first so many of them, ``table`` (label, rank) the whole ranking."""
         self.rankings = [r for r in self.rankings if (r["dataset"], r["group"], r["value"], r["how"]) != (dataset, group, value, how)]
-        self.note("rankings", dataset=dataset, group=group, value=value, how=how, order=order, total=sum(v for _, v in order) if total is None else total, groups=groups or len(order), running=running or {})
+        self.note("rankings", dataset=dataset, group=group, value=value, how=how, order=order, total=sum(v for _, v in order) if total is None else total, groups=groups or len(order), running=running or {}, table=table)
 
     def of(self, kind: str, dataset: str) -> list[dict[str, Any]]:
         return [x for x in getattr(self, kind) if x.get("dataset") == dataset]

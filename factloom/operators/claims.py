@@ -26,6 +26,17 @@ def check_trend(sentence: str, ledger: EvidenceLedger) -> list[str]:
     return [f"{c['a']} and {c['b']} hardly move together (r = {c['r']:.2f})" for c in weak]
 
 
+def places(ranking: dict, sentence: str) -> list[tuple[int, str]]:
+    """Rank and label of what a sentence names in a ranking. Beyond the head that the ledger holds, the whole ranking is a table, and what it has
+    that the sentence holds is looked up there."""
+    known = [(k, label) for k, (label, _) in enumerate(ranking["order"], 1)]
+    if ranking.get("table") is not None and ranking["groups"] > len(known):
+        label = F.col("label").cast("string")
+        held = F.contains(F.lower(F.lit(sentence)), F.lower(label)) & (F.length(label) > 1)
+        known = [(r["rank"], r["label"]) for r in ranking["table"].filter(held).select("rank", label.alias("label")).collect()]
+    return [(k, label) for k, label in known if _names(label, sentence)]
+
+
 def check_top_n(sentence: str, ledger: EvidenceLedger) -> list[str]:
     """Labels called top N that no recorded ranking has there; quiet unless at least two labels are named."""
     if not (m := TOP_N.search(sentence)):
@@ -33,9 +44,8 @@ def check_top_n(sentence: str, ledger: EvidenceLedger) -> list[str]:
     n = int(m[1])
     named: dict[str, int] = {}
     for ranking in ledger.rankings:
-        for k, (label, _) in enumerate(ranking["order"], 1):
-            if _names(label, sentence):
-                named[label] = min(k, named.get(label, k))
+        for k, label in places(ranking, sentence):
+            named[label] = min(k, named.get(label, k))
     return [f"{label} ranks {k}, not within {n}" for label, k in named.items() if k > n] if len(named) >= 2 else []
 
 
@@ -70,16 +80,16 @@ def check_noise(sentence: str, ledger: EvidenceLedger) -> list[str]:
     if NEGATED.search(sentence) or not re.search(r"\b(best|worst|leads?|highest|lowest)\b", sentence, re.IGNORECASE):
         return []
     noise = [r for r in ledger.rankings if r.get("p_counts", 0) > 0.05 and (r["how"] == "count" or r.get("p_values", 0) > 0.05) and "p_counts" in r]
-    return [f"the ranking by {r['group']} is within noise" for r in noise if any(_names(label, sentence) for label, _ in r["order"])]
+    return [f"the ranking by {r['group']} is within noise" for r in noise if places(r, sentence)]
 
 
 def check_imputed(sentence: str, ledger: EvidenceLedger) -> list[str]:
-    """A group named whose values were all filled in: the cleaner made them, so they say nothing of the group."""
+    """A group named whose values were all filled in: the cleaner made them, so they say nothing of the group. Only groups that the sentence names are collected."""
     out = []
     for note in ledger.imputed_groups:
         label = F.col(note["groups"].columns[0]).cast("string")
         named = note["groups"].filter(F.contains(F.lower(F.lit(sentence)), F.lower(label)) & (F.length(label) > 1))
-        out += [f"all values of {r[0]} were filled in ({note['column']})" for r in named.select(label).distinct().limit(20).collect() if _names(r[0], sentence)]
+        out += [f"all values of {r[0]} were filled in ({note['column']})" for r in named.select(label).distinct().collect() if _names(r[0], sentence)]
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import ast
 import operator
 
@@ -81,21 +82,25 @@ def run_lengths(df: DataFrame, by: list[str], order: str, flag: Column) -> DataF
 def debug_depth(nodes: DataFrame, by: str | None = None) -> DataFrame:
     """``nodes`` with ``depth``: how many debug nodes in a row, up the parents, end at this one (0 for other stages and for roots).
 
-    Ancestors are found by pointer jumping: each round doubles the reach, so a chain of n takes log n joins.
+    Ancestors are found by pointer jumping: each round doubles the reach, so a chain of n takes log n joins, and after as many rounds as the number of
+    nodes has bits only nodes that are their own ancestors, or stand below such, still point up: they lie on a cycle and have a null depth.
     """
     keys = [by] if by else []
     at = nodes.select(*keys, "id", F.when((F.col("stage") == "debug") & F.col("parent_id").isNotNull(), F.col("parent_id")).alias("up")).withColumn("depth", F.col("up").isNotNull().cast("long"))
     spark = nodes.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    while True:
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    for _ in range(nodes.count().bit_length() + 1):
         above = at.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
         same = [F.col("up") == F.col("_id"), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]]
         at = at.join(above, same, "left").select(*keys, "id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
-        at = at.checkpoint() if folder else at.cache()  # read by the next round and by the test of its end
+        at = at.checkpoint()  # read by the next round and by the test of its end
         if not at.filter("up IS NOT NULL").head(1):
             break
+    at = at.withColumn("depth", F.when(F.col("up").isNull(), F.col("depth")))
     return nodes.join(at.drop("up"), [*keys, "id"])
 
 

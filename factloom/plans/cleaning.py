@@ -65,7 +65,7 @@ def diagnose(df: DataFrame, target: str | None = None) -> list[CleaningOp]:
         if loose:
             propose("trim_text", loose, "outer white space")
         for c in words:
-            if checks[f"{c}__spellings"] > 0 and profile[c]["distinct"] <= 200:
+            if checks[f"{c}__spellings"] > 0:
                 propose("standardize_categories", [c], f"{checks[f'{c}__spellings']} spellings of {c} repeat others")
     for c, r in profile.items():
         if r["nulls"] and c not in sparse and c != target and not C.is_marker(c):
@@ -85,8 +85,9 @@ def approve(reply: str, ops: list[CleaningOp]) -> list[CleaningOp]:
     """``all`` (what is recommended), ``none``, ids, and ids with parameters: ``op4:factor=2.54;how=mean``."""
     known = {o.id: o for o in ops}
     chosen: dict[str, CleaningOp] = {}
-    for word in re.split(r"[\s,]+", reply.strip().lower()):
+    for word in re.split(r"[\s,]+", reply.strip()):
         name, _, params = word.partition(":")
+        name = name.lower()  # parameters keep their case
         if name == "none":
             return []
         if name == "all":

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..ledger import EvidenceLedger
 from ..operators import aggregate as A
 from ..operators import claims
+from ..operators import pairings as P
 from ..operators import report as R
 from ..plans import cleaning as plan
 from ..session import EngineSession
@@ -136,3 +137,19 @@ def provenance(t):
 def intrinsic_limitations(t):
     k = F.col("o_orderkey")
     return R.intrinsic_limitations(t("orders").select("o_orderkey", F.when(k % 7 != 0, F.col("o_totalprice")).alias("price"), F.lit("EUR").alias("currency"), F.col("o_custkey").alias("size"), (k % 3 == 0).cast("int").alias("size_was_missing")))
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS a, n_name AS b, count(*)::DOUBLE AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+    g AS (SELECT x.a, y.b, coalesce(c.v, 0) AS v FROM (SELECT DISTINCT a FROM c) x CROSS JOIN (SELECT DISTINCT b FROM c) y LEFT JOIN c ON c.a = x.a AND c.b = y.b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY v DESC, a) AS pa, count(*) OVER (PARTITION BY b) AS la, first_value(a) OVER (PARTITION BY b ORDER BY v DESC, a) AS fa, row_number() OVER (PARTITION BY a ORDER BY v DESC, b) AS pb, count(*) OVER (PARTITION BY a) AS lb, first_value(b) OVER (PARTITION BY a ORDER BY v DESC, b) AS fb FROM g),
+    s AS (SELECT c_custkey, c_mktsegment AS a, n_name AS b FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    p AS (SELECT c_custkey AS id, 0 AS unit, a, b FROM s UNION ALL SELECT c_custkey, 1, 'MACHINERY', b FROM s)
+    SELECT id, CAST(unit AS INTEGER) AS unit, a, b, CASE WHEN la >= 3 AND pa > greatest(3, (la + 1) // 2) THEN a ELSE b END AS laggard, CAST(CASE WHEN la >= 3 AND pa > greatest(3, (la + 1) // 2) THEN pa ELSE pb END AS INTEGER) AS position,
+        CASE WHEN la >= 3 AND pa > greatest(3, (la + 1) // 2) THEN fa ELSE fb END AS leader
+    FROM p JOIN r USING (a, b) WHERE (la >= 3 AND pa > greatest(3, (la + 1) // 2)) OR (lb >= 3 AND pb > greatest(3, (lb + 1) // 2))""")
+def pairing_claims(t):
+    """A bullet for each customer: a clause in front of its pairing, then a second pairing of another segment; a label of two clauses is not paired across."""
+    both = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.concat(F.lit("For "), F.initcap("n_name"), F.lit(", stock "), F.lower("c_mktsegment"), F.lit(" goods; push Machinery in "), "n_name", F.lit("; nothing else"))
+    lines = both.select(F.col("c_custkey").alias("id"), text.alias("text"))
+    return P.pairing_claims(lines, both, "c_mktsegment", "n_name").select("id", "unit", "a", "b", "laggard", "position", "leader")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
+from .functions import frames
 from .functions import statistics as P
 from .ledger import EvidenceLedger
 from .limits import Refusal
@@ -50,14 +51,18 @@ class EngineSession:
     def rank_by(self, name: str, group: str, value: str | None = None, how: str = "sum") -> DataFrame:
         df = self.catalog[name]
         ranked = aggregate.rank_by(df, group, value, how)
-        top = ranked.orderBy("rank").limit(1000).collect()  # what claims may name; shares are of the total over all groups
+        top = ranked.orderBy("rank").limit(1000).collect()  # the head; claims look others up in the table, and shares are of the total over all groups
         whole = ranked.agg(F.sum("value").alias("total"), F.count("*").alias("groups")).first()
         heads = sorted({max(1, round(whole["groups"] * x / 100)) for x in range(1, 101)})
         running = {r["rank"]: r["cumulative_pct"] for r in ranked.filter(F.col("rank").isin(heads)).collect()} if "cumulative_pct" in ranked.columns else {}  # 100 rows
-        self.ledger.note_ranking(name, group, value, "count" if value is None else how, [(r["label"] or "(blank)", r["value"] or 0.0) for r in top], whole["total"] or 0.0, whole["groups"], running)
+        self.ledger.note_ranking(name, group, value, "count" if value is None else how, [(r["label"] or "(blank)", r["value"] or 0.0) for r in top], whole["total"] or 0.0, whole["groups"], running, ranked.select("label", "rank"))
         u = aggregate.uniformity(df, group).first()
         if u["groups"] >= 2 and u["n"] >= 5 * u["groups"]:
             self.ledger.rankings[-1]["p_counts"] = P.chi2_upper(self.spark, u["statistic"], u["dof"])
+            if value is not None and value in frames.numeric_columns(df):  # whether the values of a row differ by group, whatever their spread
+                k = statistics.kruskal(df, value, group).first()
+                if k["groups"] >= 2 and k["h"] is not None:
+                    self.ledger.rankings[-1]["p_values"] = P.chi2_upper(self.spark, k["h"], k["groups"] - 1)
         return ranked
 
     def join(self, left: str, right: str, output: str, on: list[str] | None = None, how: str = "left", **keys) -> DataFrame | Refusal:
