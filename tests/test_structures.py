@@ -1,0 +1,194 @@
+"""Layout, outlines, spans and claims against plain versions on small random inputs."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.functions import pairs as P
+from factloom.operators import evidence as E
+from factloom.operators import fields as X
+from factloom.operators import grids as G
+from factloom.operators import outline as O
+from factloom.operators import pairings as C
+from factloom.operators import records as R
+from factloom.operators import spans as S
+from factloom.plans import cleaning as plan
+
+
+def test_least_ranges_and_bands_against_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(t, float(a), float(a + w)) for t in range(40) for a, w in ((rng.randint(0, 30), rng.randint(1, 12)) for _ in range(rng.randint(1, 14)))]
+    df = spark.createDataFrame(rows, "k int, x0 double, x1 double").repartition(5)
+    got = {tuple(r) for r in G.least_ranges(df, ["k"]).collect()}
+    every = set(rows)
+    assert got == {r for r in every if not any(o != r and o[0] == r[0] and r[1] <= o[1] and o[2] <= r[2] for o in every)}
+    got = {tuple(r) for r in G.bands(df, ["k"], "x0", "x1").collect()}
+    want = set()
+    for t in range(40):
+        kept = []
+        for lo, hi in sorted({r[1:] for r in every if r[0] == t}, key=lambda b: (b[0], -b[1])):
+            if not any(lo < o[1] and o[0] < hi for o in kept):
+                kept.append((lo, hi))
+        want |= {(t, *b) for b in kept}
+    assert got == want
+
+
+def words_of(rows):
+    return [(d, 1, i, t, left, top, width, 8.0) for i, (d, t, left, top, width) in enumerate(rows)]
+
+
+WORD = "doc_id string, page int, word_idx int, text string, left double, top double, width double, height double"
+
+
+def test_ruled_tables_need_columns_rows_and_words(spark):
+    rects = [("d", 1, 0, r, x, 10.0 + 20 * r, x + 80.0, 28.0 + 20 * r) for r in range(3) for x in (0.0, 90.0)]
+    rects += [("box", 1, 0, 0, 0.0, 10.0, 200.0, 30.0), ("none", 1, 0, 0, 0.0, 10.0, 50.0, 30.0), ("none", 1, 0, 1, 60.0, 40.0, 90.0, 60.0)]
+    words = words_of([("d", "Name", 5.0, 12.0, 20.0), ("d", "", 95.0, 12.0, 5.0), ("d", "Ann", 5.0, 32.0, 20.0), ("d", "7", 100.0, 32.0, 5.0), ("d", "Bob", 5.0, 52.0, 20.0), ("box", "note", 5.0, 12.0, 20.0)])
+    cells = G.ruled_tables(spark.createDataFrame(rects, "doc_id string, page int, table_id int, row int, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(words, WORD))
+    got = {(r["row"], r["col"]): (r["column"], r["text"], r["x0"], r["y1"]) for r in cells.collect()}
+    assert {r["doc_id"] for r in cells.collect()} == {"d"}  # a box of one cell and an empty grid are no tables
+    assert got[1, 1] == ("col2", "7", 100.0, 40.0) and got[1, 0][:2] == ("col1", "Ann")  # a header with a blank cell names nothing
+    assert got[2, 1] == ("col2", "", 90.0, 68.0)  # no word: the rectangle
+
+
+def test_merge_drops_repeated_headers_only(spark):
+    rows = [(1, ["a", "b"]), (1, ["1", "x"]), (2, ["a", "b"]), (2, ["2", "y"]), (3, ["c", "b"]), (3, ["3", "z"]), (4, ["c", "b", "d"])]
+    cells = [("d", p, 0, i, c, t) for i, (p, row) in enumerate(rows) for c, t in enumerate(row)]
+    cells = spark.createDataFrame(cells, "doc_id string, page int, table_id int, row int, col int, text string")
+    kinds = lambda k: spark.createDataFrame([("d", p, 0, k) for p in range(1, 5)], "doc_id string, page int, table_id int, strategy string")
+    ruled = [(r["part"], r["row"], r["cells"]) for r in G.merge_grids(cells, kinds("ruled")).orderBy("part", "row").collect()]
+    assert ruled == [(1, 0, ["a", "b"]), (1, 1, ["1", "x"]), (1, 2, ["2", "y"]), (2, 0, ["c", "b"]), (2, 1, ["3", "z"]), (3, 0, ["c", "b", "d"])]
+    text = [(r["part"], r["cells"]) for r in G.merge_grids(cells, kinds("text")).orderBy("part", "row").collect()]
+    assert text == [(1, ["a", "b"]), (1, ["1", "x"]), (1, ["2", "y"]), (1, ["c", "b"]), (1, ["3", "z"]), (2, ["c", "b", "d"])]
+
+
+def test_tree_and_blocks_of_random_documents(spark):
+    rng = random.Random(6)
+    rows = []
+    for d in range(12):
+        for i in range(60):
+            size = rng.choice([10.0] * 6 + [12.0, 14.0, 18.0])
+            rows.append((d, i // 9 + 1, i % 9, f"line {i} of the body text here" if size == 10 else f"Heading {i}", size, False, i % 9 * 12.0, 10.0))
+    lines = spark.createDataFrame(rows, "doc_id int, page int, line int, text string, size double, bold boolean, top double, height double").repartition(4)
+    got = {(r["doc_id"], r["section"]): (r["heading"], r["level"], r["parent"], r["path"]) for r in O.document_tree(lines).collect()}
+    want = {}
+    for d in range(12):
+        mine = [r for r in rows if r[0] == d]
+        levels = {s: k for k, s in enumerate(sorted({r[4] for r in mine if r[4] > 10}, reverse=True), 1)}
+        stack, n = [], 0
+        if mine[0][4] == 10:
+            want[d, 0] = (None, 0, None, [])
+        for r in mine:
+            if r[4] > 10:
+                n += 1
+                level = levels[r[4]]
+                stack = [x for x in stack if x[1] < level]
+                want[d, n] = (r[3], level, stack[-1][0] if stack else None, [x[2] for x in stack] + [r[3]])
+                stack.append((n, level, r[3]))
+    assert got == want
+    assert O.document_tree(lines.limit(0)).count() == 0 and O.line_blocks(lines.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ("Bill Month | : JUL-2026 | Power Factor | : 0.99", [("Bill Month", "JUL-2026"), ("Power Factor", "0.99")]), ("देय / Due Date: 1 May", [("Due Date", "1 May")]), ("Net / Gross: 5", [("Net / Gross", "5")]),
+        ("There was one conclusion: go on", []), ("Note: It was. But not so", []), ("12: 30", []), ("https://x.y", [("https", "//x.y")]), ("a b c d e f: g", []), ("Key:", []), ("Label:: value", [("Label", "value")]), ("", []), (None, None),
+    ],
+)
+def test_pairs_of_a_line(spark, line, want):
+    got = spark.createDataFrame([(line,)], "t string").select(P.pairs(F.col("t")).alias("p")).first()["p"]
+    assert (None if got is None else [tuple(x) for x in got]) == want
+
+
+def test_unwrapped_lines(spark):
+    row = spark.createDataFrame([(["a bro-", "ken word", "a dash -", "and --", "end"],)], "t array<string>")
+    assert row.select(P.unwrapped(F.col("t")).alias("x")).first()["x"] == "a broken word a dash - and -- end"
+
+
+def test_shortest_run_against_all_runs(spark):
+    rng = random.Random(9)
+    words, quotes, want = [], [], {}
+    for d in range(60):
+        line = [rng.choice(["1", "12", "121", "a", "b", "ab", "1,2", "|"]) for _ in range(rng.randint(1, 9))]
+        words += [(str(d), 1, 1, i, t, 10.0 * i, 5.0, 8.0, 4.0) for i, t in enumerate(line)]
+        quote = rng.choice(["12", "1 2 1", "AB", "a,b1", "zz", " | "])
+        quotes.append((d, str(d), 1, 1, quote))
+        norm = lambda s: re.sub(r"[\s,|]", "", s).lower()
+        runs = [(b - a, a) for a in range(len(line)) for b in range(a, len(line)) if norm(quote) and norm(quote) in norm("".join(line[a : b + 1]))]
+        if runs:
+            more, a = min(runs)
+            want[d] = (more + 1, " ".join(line[a : a + more + 1]), 10.0 * a, 10.0 * (a + more) + 8)
+    w = spark.createDataFrame(words, "doc_id string, page int, line int, word_idx int, text string, left double, top double, width double, height double")
+    found = S.quote_box(w, spark.createDataFrame(quotes, "quote_id int, doc_id string, page int, line int, quote string"))
+    assert {r["quote_id"]: (r["n_words"], r["text"], r["box"]["xmin"], r["box"]["xmax"]) for r in found.collect()} == want
+
+
+def test_spelled_quotes(spark):
+    def cells(want, cells, heads):
+        row = spark.createDataFrame([(want.split(), [c.split() for c in cells], [h.split() for h in heads])], "w array<string>, c array<array<string>>, h array<array<string>>")
+        return row.select(E.spelled(F.col("w"), F.col("c"), F.col("h")).alias("x")).first()["x"]
+
+    assert cells("early bird cc 5", ["early bird", "5"], ["trigger", "cc"]) == [0, 1]
+    assert cells("bird early", ["early bird"], []) is None  # order counts
+    assert cells("bird catches", ["the early bird catches"], []) == [0]  # all that is left, inside of a cell
+    assert cells("cc trigger 5", ["early", "5"], ["trigger", "cc"]) is None  # most of it headers
+    assert cells("5 5", ["5", ""], []) == [0]
+
+
+def test_json_objects_and_group_specs(spark):
+    text = lambda s: spark.createDataFrame([(s,)], "t string").select(X.json_text(F.col("t")).alias("j")).first()["j"]
+    assert text('first {"a":1} then {"a":2}') == '{"a":2}'
+    assert text('open { brace {"a": "}{"} and {bad}') == '{"a": "}{"}'
+    assert text('{"a": {"b": [1, {"c": 2}]}}') == '{"a": {"b": [1, {"c": 2}]}}'
+    assert text('{"a": "say \\"hi\\" }"}') == '{"a": "say \\"hi\\" }"}'
+    assert text("none") is None and text("}{") is None
+    assert X.parse_group_spec("a,b: sum(x y), Mean(z)") == (["a", "b"], {"x y": "sum", "z": "mean"}) and X.parse_group_spec("a") == (["a"], {})
+    for bad in ("a:sum x", "a:sum(x", "a:sum(x(y))", "a:b:c", "(a)", "a:(x)"):
+        with pytest.raises(ValueError):
+            X.parse_group_spec(bad)
+
+
+def test_replies_keep_their_case():
+    ops = [plan.CleaningOp("op1", "fill", ["c"], {}, "", True)]
+    chosen = plan.approve("OP1:value=Unknown;rule=[A-Z]+", ops)
+    assert chosen[0].extra == {"value": "Unknown", "rule": "[A-Z]+"} and plan.approve("NONE", ops) == []
+
+
+def test_cycles_of_parents_have_no_depth(spark):
+    rows = [(1, None, "draft"), (2, 1, "debug"), (3, 2, "debug"), (4, 5, "debug"), (5, 4, "debug"), (6, 5, "debug"), (7, 7, "debug")]
+    got = R.debug_depth(spark.createDataFrame(rows, "id int, parent_id int, stage string")).collect()
+    assert {r["id"]: r["depth"] for r in got} == {1: 0, 2: 1, 3: 2, 4: None, 5: None, 6: None, 7: None}
+
+
+def test_pairing_claims_of_both_orientations(spark):
+    v = {("Colors", "Holi"): 90, ("Colors", "Diwali"): 5, ("Sweets", "Holi"): 40, ("Sweets", "Diwali"): 80, ("Cakes", "Holi"): 30, ("Cakes", "Diwali"): 70, ("Gifts", "Holi"): 20, ("Gifts", "Diwali"): 60}
+    cells = spark.createDataFrame([(a, b, float(x)) for (a, b), x in v.items()], "a string, b string, v double")
+    lines = [(1, "Stock Colors ahead of Holi, and Gifts ahead of Diwali"), (2, "For Diwali, stock colors"), (3, "Colors and Diwali are words"), (4, "Gifts for Holi; nothing"), (5, "Colorsx for Diwali"), (6, None)]
+    labels = lambda c: cells.select(F.col(c).alias("label")).distinct()
+    pairs = C.claimed_pairs(spark.createDataFrame(lines, "id int, text string"), labels("a"), labels("b"))
+    assert {(r["id"], r["a"], r["b"]) for r in pairs.collect()} == {(1, "Colors", "Holi"), (1, "Gifts", "Diwali"), (2, "Colors", "Diwali"), (4, "Gifts", "Holi")}
+    got = {(r["id"], r["laggard"], r["within"], r["position"], r["leader"]) for r in C.judged_pairings(pairs, cells).collect()}
+    assert got == {(2, "Colors", "Diwali", 4, "Sweets"), (4, "Gifts", "Holi", 4, "Colors")}
+    assert C.column_aliases("Customer_ID") == sorted(["customer_id", "customer id", "customer", "customer_ids", "customer ids", "customers"])
+
+
+def test_fields_are_resolved(spark):
+    box = lambda x0, y0, x1, y1: (x0, y0, x1, y1)
+    rows = [
+        ("d", 1, "captain", "Team Captain: Ann Lee", "stacked", 0.7, box(0.1, 0.1, 0.9, 0.2)), ("d", 1, "captain", "Ann Lee", "labelled", 0.9, box(0.3, 0.1, 0.6, 0.2)), ("d", 1, "captain", "ann lee", "labelled", 0.8, box(0.3, 0.5, 0.6, 0.6)),
+        ("d", 1, "date", "9 May 2026", "loose", 0.62, box(0.2, 0.31, 0.4, 0.39)), ("d", 1, "submit_by", "9 May 2026, 10 PM", "labelled", 0.9, box(0.1, 0.3, 0.5, 0.4)), ("d", 1, "amount", "$5", "loose", 0.62, box(0.1, 0.7, 0.2, 0.8)),
+        ("d", 1, "amount", "$7", "loose", 0.62, box(0.1, 0.6, 0.2, 0.65)), ("d", 1, "team_name", "Ann Lee", "stacked", 0.7, box(0.3, 0.1, 0.6, 0.2)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id string, page int, name string, value string, rule string, confidence double, box struct<xmin: double, ymin: double, xmax: double, ymax: double>")
+    assert {(r["name"], r["value"]) for r in S.resolve_fields(df).collect()} == {("captain", "Ann Lee"), ("submit_by", "9 May 2026, 10 PM"), ("amount_1", "$7"), ("amount_2", "$5")}
+
+
+def test_entity_spans_claim_once(spark):
+    df = spark.createDataFrame([("GSTIN 27ABCDE1234F12Z5, INV-2024-01-15 of 2024-01-15 \x01 $1,200.50",), (None,), ("",)], "t string")
+    got = [r["s"] for r in df.select(S.entity_spans(F.col("t")).alias("s")).collect()]
+    text = df.first()["t"]
+    assert [(x["kind"], x["value"]) for x in got[0]] == [("gstin", "27ABCDE1234F12Z5"), ("invoice_number", "INV-2024-01-15"), ("date", "2024-01-15"), ("amount", "$1,200.50")]
+    assert all(text[x["b"] : x["e"]] == x["value"] for x in got[0]) and got[2] == []
