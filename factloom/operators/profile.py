@@ -173,27 +173,3 @@ def cleaning_warnings(df: DataFrame) -> DataFrame:
     cells = [F.struct(F.lit(c.rsplit("_was_", 1)[0]).alias("column"), F.lit(k).alias("kind"), F.col(c).alias("share")) for c, k in marks]
     rows = wide.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
     return rows.filter(F.col("share") >= F.when(F.col("kind") == "imputed", 0.02).otherwise(0.01))
-
-
-def analyze_dataset(df: DataFrame, target: str | None = None, strong: float = 0.5) -> DataFrame:
-    """One table of what stands out: kind, subject and value.
-
-    Roles, missing shares from 1 % on, columns of one value, whole-row duplicates, cleaning's marks, and correlations of at least
-    ``strong`` (with a target: all of its own), over all rows.
-    """
-    from .statistics import correlations, missing_per_column
-
-    def part(rows: DataFrame, kind: str, subject: Column, value: Column, text: Column | None = None) -> DataFrame:
-        return rows.select(F.lit(kind).alias("kind"), subject.alias("subject"), value.cast("double").alias("value"), (text if text is not None else F.lit(None).cast("string")).alias("text"))
-
-    found = roles(df)
-    out = part(found, "role", F.col("column"), F.lit(None), F.col("role"))
-    out = out.union(part(missing_per_column(df).filter("share >= 0.01"), "missing", F.col("column"), F.col("share")))
-    out = out.union(part(duplicate_rows(df).filter("n_duplicates > 0"), "duplicates", F.lit("rows"), F.col("n_duplicates")))
-    out = out.union(part(cleaning_warnings(df), "cleaning", F.col("column"), F.col("share"), F.col("kind")))
-    numbers = [r["column"] for r in found.filter("role = 'number'").collect() if not r["column"].endswith(("_was_missing", "_was_capped", "_valid"))]  # a row per column
-    if len(numbers) > 1:
-        pairs = correlations(df, numbers)
-        wanted = (F.col("a") == target) | (F.col("b") == target) if target in numbers else F.abs("r") >= strong
-        out = out.union(part(pairs.filter(wanted), "correlation", F.concat_ws(" ~ ", "a", "b"), F.col("r")))
-    return out

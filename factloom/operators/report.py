@@ -83,16 +83,14 @@ def provenance(session, name: str) -> DataFrame:
 
 def intrinsic_limitations(df: DataFrame) -> DataFrame:
     """kind and sentence for what the table's own values restrict: columns mostly empty or of one value, rows that repeat, marks of cleaning."""
-    from .profile import analyze_dataset
-
-    a = analyze_dataset(df)
-    say = (
-        F.when((F.col("kind") == "missing") & (F.col("value") >= 0.05), F.format_string("%s is empty in %.1f %% of rows", "subject", F.col("value") * 100))
-        .when((F.col("kind") == "role") & (F.col("text") == "constant"), F.concat("subject", F.lit(" holds one value")))
-        .when(F.col("kind") == "duplicates", F.format_string("%.0f rows repeat others in full", "value"))
-        .when(F.col("kind") == "cleaning", F.format_string("%.1f %% of %s is %s", F.col("value") * 100, "subject", "text"))
-    )
-    return a.select("kind", say.alias("sentence")).filter("sentence IS NOT NULL")
+    from .profile import cleaning_warnings, duplicate_rows, profile
+    from .statistics import missing_per_column
+
+    part = lambda rows, kind, say: rows.select(F.lit(kind).alias("kind"), say.alias("sentence"))
+    out = part(missing_per_column(df).filter("share >= 0.05"), "missing", F.format_string("%s is empty in %.1f %% of rows", "column", F.col("share") * 100))
+    out = out.union(part(profile(df).filter("distinct <= 1"), "role", F.concat("column", F.lit(" holds one value"))))
+    out = out.union(part(duplicate_rows(df).filter("n_duplicates > 0"), "duplicates", F.format_string("%d rows repeat others in full", "n_duplicates")))
+    return out.union(part(cleaning_warnings(df), "cleaning", F.format_string("%.1f %% of %s is %s", F.col("share") * 100, "column", "kind")))
 
 
 def html_report(session, name: str, summary: str) -> str:

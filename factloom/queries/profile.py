@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
+from ..operators.overview import analyze_dataset as analyze
 from . import query
 from .relational import r
 
@@ -83,9 +84,40 @@ def text_shapes(t):
     return r(P.text_shapes(df), 6, "year")
 
 
-@query("""WITH o AS (SELECT l_quantity, l_extendedprice, l_discount FROM lineitem) SELECT 'l_extendedprice ~ l_quantity' AS subject, round(corr(l_quantity, l_extendedprice), 6) AS value FROM o
-    UNION ALL SELECT 'l_discount ~ l_quantity', round(corr(l_quantity, l_discount), 6) FROM o""")
+def overview(t):
+    """Orders with everything that can stand out: blanks in the same rows, copies, a constant, a code, lists, a rare label, many labels, a lopsided and an outlying number."""
+    o = t("orders").select(
+        "o_orderkey", "o_orderdate", "o_totalprice", F.lit("x").alias("same"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 11 * 1.5).alias("a"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("t"), (F.col("o_orderkey") % 3).cast("string"))).alias("b"), F.when(F.col("o_orderkey") % 20 == 0, "rare").otherwise("usual").alias("flag"),
+        F.when(F.col("o_orderkey") % 3 == 0, "red, blue").when(F.col("o_orderkey") % 3 == 1, "red").otherwise("blue, green, red").alias("tags"), (F.col("o_orderkey") % 4 * 100 + 200).alias("http_status"),
+        (F.pow(F.col("o_orderkey") % 7, 3) + 1.5).alias("lopsided"), F.when(F.col("o_orderkey") % 50 == 0, F.lit(9999.5)).otherwise(F.col("o_orderkey") % 10 + 0.5).alias("wild"),
+    )
+    return o.union(o.filter("o_orderkey % 1000 = 1"))
+
+
+OVERVIEW = """d0 AS (SELECT o_orderkey AS k, o_orderdate, o_totalprice, o_custkey FROM orders), d AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE k % 1000 = 1),
+    n AS (SELECT count(*)::DOUBLE AS n FROM d)"""
+
+
+@query(f"""WITH {OVERVIEW},
+    w AS (SELECT k % 11 * 1.5 AS a, k, o_totalprice AS p, (k % 7) ** 3 + 1.5 AS l, CASE WHEN k % 50 = 0 THEN 9999.5 ELSE k % 10 + 0.5 END AS w FROM d),
+    f AS (SELECT quantile_cont(p, 0.25) AS q1, quantile_cont(p, 0.75) AS q3 FROM w)
+    SELECT 'role' AS kind, unnest(['o_orderkey', 'o_orderdate', 'o_totalprice', 'same', 'customer', 'a', 'b', 'flag', 'tags', 'http_status', 'lopsided', 'wild']) AS subject, NULL::DOUBLE AS value,
+        unnest(['number', 'date', 'number', 'constant', 'category', 'number', 'category', 'category', 'category', 'code', 'number', 'number']) AS text
+    UNION ALL SELECT 'empty', unnest(['a', 'b']), count(*) FILTER (k % 4 = 0) / count(*), NULL FROM d
+    UNION ALL SELECT 'block', 'a, b', count(*) FILTER (k % 4 = 0), NULL FROM d
+    UNION ALL SELECT 'duplicates', 'rows', (SELECT n FROM n) - count(*), NULL FROM d0
+    UNION ALL SELECT 'outliers', 'wild', count(*) FILTER (k % 50 = 0), NULL FROM d
+    UNION ALL SELECT 'lopsided', 'lopsided', round(avg(l) / median(l), 6), NULL FROM w
+    UNION ALL SELECT 'outliers', 'o_totalprice', count(*), NULL FROM w, f WHERE p < q1 - 1.5 * (q3 - q1) OR p > q3 + 1.5 * (q3 - q1) HAVING count(*) >= 0.01 * (SELECT n FROM n)
+    UNION ALL SELECT 'list', 'tags', 3, ','
+    UNION ALL SELECT 'imbalance', 'flag', round(count(*) FILTER (k % 20 <> 0) / count(*), 6), 'usual; ' || count(*) FILTER (k % 20 = 0) || ' other rows' FROM d
+    UNION ALL SELECT 'cardinality', 'customer', count(DISTINCT o_custkey), NULL FROM d
+    UNION ALL SELECT 'correlation', x.s, round(x.r, 6), NULL FROM (SELECT unnest(['o_orderkey ~ o_totalprice', 'o_totalprice ~ a', 'o_totalprice ~ lopsided', 'o_totalprice ~ wild']) AS s,
+        unnest([corr(k, p), corr(p, CASE WHEN k % 4 <> 0 THEN a END), corr(p, l), corr(p, w)]) AS r FROM w) x
+    UNION ALL SELECT 'from', 'o_orderdate', NULL, strftime(min(o_orderdate), '%Y-%m-%d') FROM d UNION ALL SELECT 'until', 'o_orderdate', NULL, strftime(max(o_orderdate), '%Y-%m-%d') FROM d
+    UNION ALL SELECT 'next', unnest(['1', '2', '3', '4', '5', '6', '7']), unnest([1, 2, 3, 4, 5, 6, 7]), unnest(['clean_dataset', 'plot_column o_orderkey', 'analyze_multivalue tags', 'plot_relationship b o_orderkey', 'analyze_over_time o_orderdate o_orderkey', 'analyze_correlations', 'analyze_missing'])""")
 def analyze_dataset(t):
-    """What a target moves with, out of one analysis of the table."""
-    a = P.analyze_dataset(t("lineitem").select("l_discount", "l_extendedprice", "l_quantity"), target="l_quantity").filter("kind = 'correlation'")
-    return a.select("subject", F.round("value", 6).alias("value"))
+    """Everything that stands out in a table where all of it occurs."""
+    a = analyze(overview(t), target="o_totalprice")
+    return a.withColumn("value", F.round("value", 6))
