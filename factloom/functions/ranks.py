@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PARTS = 64
+#: Rows of a group that are looked at whole; half a bracket's width as a share of the rows, for groups too small for a narrow one; places that a bracket must reach beyond its quantile.
+FEW, WIDE, PLACES = 2_000, 0.0015, 3
 
 
 def running(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None) -> DataFrame:
@@ -50,21 +52,37 @@ def _attach(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: list[str], shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """by, column and q: exact interpolated quantiles of each column (of nulls only: no row)."""
+    """by, column and q: exact interpolated quantiles of each column (of nulls only: no row).
+
+    A sketch gives two marks around each quantile, further apart than its error and the two places an interpolation looks at. What lies below the lower mark
+    is counted, what lies between is counted by value, and the quantile is found among those few: nothing but they is shuffled. Groups of up to
+    ``FEW`` rows are their own bracket.
+    """
     by = by or []
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
     values = df.select(*[F.col(f"`{k}`") for k in by], F.explode(cells).alias("_x")).select(*by, "_x.*").filter("v IS NOT NULL")
-    counts = values.groupBy(*by, "column", "v").agg(F.count("*").alias("c"))
-    placed = running(counts, "v", ["c"], [*by, "column"])
+    accuracy = 10_000 if by else 100_000
+    reach = (WIDE, 5 / accuracy)
+    ends = [min(1.0, max(0.0, s + sign * r)) for s in shares for sign in (-1, 1) for r in reach]
+    marks = values.groupBy(*by, "column").agg(F.count("*").alias("n"), F.percentile_approx("v", ends, F.lit(accuracy)).alias("_m"))
+    mark = lambda at: F.when(F.col("n") * reach[1] >= PLACES, F.col("_m")[at + 1]).otherwise(F.col("_m")[at])
+    low = F.array(*[F.when(F.col("n") <= FEW, float("-inf")).otherwise(mark(4 * k)) for k in range(len(shares))])
+    high = F.array(*[F.when(F.col("n") <= FEW, float("nan")).otherwise(mark(4 * k + 2)) for k in range(len(shares))])  # not-a-number is the largest
+    marks = marks.select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col("column").alias("_column"), "n", F.arrays_zip(low.alias("lo"), high.alias("hi")).alias("_m"))
+    rows = values.join(marks, [F.col("column") == F.col("_column"), *[F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]])
+    rows = rows.select(*by, "column", "n", "v", F.posexplode("_m").alias("k", "m")).filter(F.col("v") <= F.col("m.hi"))
+    counts = rows.groupBy(*by, "column", "n", "k", F.when(F.col("v") >= F.col("m.lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy(*by, "column", "n", "k").orderBy(F.asc_nulls_first("v"))
+    placed = counts.withColumn("before", F.sum("c").over(order) - F.col("c"))
 
     def at(place: Column) -> Column:
         """The value that stands at a place, from 0, in order."""
-        return F.max(F.when((F.col("c_before") <= place) & (place < F.col("c_before") + F.col("c")), F.col("v")))
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("c")), F.col("v")))
 
-    spots = [(F.col("c_all") - 1) * s for s in shares]
-    wide = placed.groupBy(*by, "column").agg(F.max("c_all").alias("n"), *[x for k, s in enumerate(spots) for x in (at(F.floor(s)).alias(f"a{k}"), at(F.ceil(s)).alias(f"b{k}"))])
-    spot = lambda s: (F.col("n") - 1) * s
-    return wide.select(*by, "column", F.array(*[F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * (spot(s) - F.floor(spot(s))) for k, s in enumerate(shares)]).alias("q"))
+    spot = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(s)) for s in shares]), F.col("k") + 1)
+    found = placed.groupBy(*by, "column", "n", "k").agg(at(F.floor(spot)).alias("a"), at(F.ceil(spot)).alias("b"))
+    found = found.select(*by, "column", "k", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (spot - F.floor(spot))).alias("q"))
+    return found.groupBy(*by, "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("q"))  # a value a share
 
 
 def wide_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:

@@ -96,8 +96,8 @@ def pivot_dataset(df: DataFrame, rows: list[str], columns: list[str], value: str
     cell = F.count(F.lit(1)) if value is None else aggregate(how, F.col(value))
     out = known.groupBy(*rows).pivot("_column", names).agg(cell).fillna(0)
     if percent:
-        total = F.sum(sum(F.col(f"`{n}`") for n in names)).over(Window.partitionBy())
-        out = out.withColumns({n: F.round(F.try_divide(F.col(f"`{n}`") * 100.0, total), 2) for n in names})
+        out = out.crossJoin(out.agg(F.sum(sum(F.col(f"`{n}`") for n in names)).alias("_total")))  # one row
+        out = out.withColumns({n: F.round(F.try_divide(F.col(f"`{n}`") * 100.0, F.col("_total")), 2) for n in names}).drop("_total")
     return out
 
 

@@ -24,7 +24,7 @@ def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
 def frequency_encode(df: DataFrame, column: str) -> DataFrame:
     """Each value's share of the non-null rows; null gets 0."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    share = counts.select("_v", (F.col("_c") / F.sum("_c").over(Window.partitionBy())).alias("_f"))
+    share = counts.crossJoin(df.agg(F.count(column).alias("_all"))).select("_v", (F.col("_c") / F.col("_all")).alias("_f"))  # one row
     return df.join(share, df[column] == share["_v"], "left").withColumn(f"{column}_freq", F.coalesce("_f", F.lit(0.0))).drop("_v", "_f")
 
 

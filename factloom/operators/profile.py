@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -36,8 +36,8 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def top_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     """value, rows and share of all rows of the most frequent values."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), "value").limit(n)
+    few = counts.orderBy(F.desc("n"), "value").limit(n)
+    return few.crossJoin(df.agg(F.count("*").alias("_all"))).withColumn("share", F.col("n") / F.col("_all")).drop("_all").orderBy(F.desc("n"), "value")  # one row
 
 
 def outlier_fences(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -83,8 +83,7 @@ def coded_column(df: DataFrame, column: str) -> DataFrame:
     The values are counted once; only their counts are judged. One row: n, levels, recurring levels, range, coded.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    total = F.sum("c").over(Window.partitionBy())
-    kept = counts.withColumn("n", total).withColumn("floor", F.greatest(F.lit(2), F.floor(F.col("n") * 0.001)))
+    kept = counts.crossJoin(df.agg(F.count(column).alias("n"))).withColumn("floor", F.greatest(F.lit(2), F.floor(F.col("n") * 0.001)))  # one row
     one = kept.agg(
         F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.count("*").alias("levels"), F.count_if(F.col("c") >= F.col("floor")).alias("recurring"),
         F.max(F.when(F.col("c") >= F.col("floor"), F.col("v"))).alias("hi"), F.min(F.when(F.col("c") >= F.col("floor"), F.col("v"))).alias("lo"), F.coalesce(F.max(F.col("v") != F.floor("v")), F.lit(False)).alias("fractional"),

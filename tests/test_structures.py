@@ -192,3 +192,19 @@ def test_entity_spans_claim_once(spark):
     text = df.first()["t"]
     assert [(x["kind"], x["value"]) for x in got[0]] == [("gstin", "27ABCDE1234F12Z5"), ("invoice_number", "INV-2024-01-15"), ("date", "2024-01-15"), ("amount", "$1,200.50")]
     assert all(text[x["b"] : x["e"]] == x["value"] for x in got[0]) and got[2] == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 1999, 2001, 30_000, 90_000])
+def test_quantiles_against_numpy(spark, n):
+    import numpy as np
+
+    from factloom.functions import ranks
+
+    rng = np.random.default_rng(n)
+    made = {"flat": rng.integers(0, 5, n).astype(float), "wide": rng.lognormal(size=n) * 1e6, "mixed": np.where(rng.random(n) < 0.5, 7.0, rng.normal(size=n))}
+    df = spark.createDataFrame([(int(i % 2), *map(float, row)) for i, row in enumerate(zip(*made.values(), strict=True))], "g int, flat double, wide double, mixed double").repartition(3)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for r in ranks.quantiles(df, list(made), shares).collect():
+        assert np.allclose(r["q"], np.quantile(made[r["column"]], shares), rtol=1e-12), r["column"]
+    for r in ranks.quantiles(df, ["wide"], [0.5], ["g"]).collect():
+        assert np.isclose(r["q"][0], np.quantile(made["wide"][r["g"] :: 2], 0.5), rtol=1e-12)
