@@ -15,7 +15,7 @@ from .limits import Refusal
 from .operators import aggregate, join, statistics
 from .operators import time as periods
 from .plans import cleaning
-from .sources import tables
+from .sources import sheets, tables
 
 
 class EngineSession:
@@ -34,6 +34,13 @@ class EngineSession:
             self.ledger.note("truncations", dataset=name, **cut)
         return self.catalog.register(name, tables.first_rows(whole, row_cap) if cut else whole, f"csv:{path}", truncation=cut)
 
+    def load_excel(self, path: str, name: str, sheet: str | None = None, columns: list[str] | None = None, row_cap: int | None = None) -> DataFrame:
+        df, known = sheets.load_sheet(self.spark, path, sheet, columns, row_cap)
+        cut = {"rows_read": row_cap, "rows_total": known["rows"], "strategy": "first rows"} if known["truncated"] else None
+        if cut:
+            self.ledger.note("truncations", dataset=name, **cut)
+        return self.catalog.register(name, df, f"excel:{path}#{sheet or ''}", truncation=cut)
+
     def load_json(self, path: str, name: str) -> DataFrame:
         return self.catalog.register(name, tables.load_json(self.spark, path), f"json:{path}")
 

@@ -140,18 +140,3 @@ class WorkbookSource(DataSource):
 def load_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     spark.dataSource.register(WorkbookSource)
     return spark.read.format("workbook").option("path", path).option("sheet", sheet).load()
-
-
-def load_workbook(session, path: str, prefix: str) -> list[str]:
-    """Every sheet as ``<prefix>_<sheet>`` (the prefix alone for a book of one); a sheet that fails does not sink the rest."""
-    with zipfile.ZipFile(path) as book:
-        names = list(sheet_paths(book))
-    made = []
-    for s in names:
-        name = prefix if len(names) == 1 else f"{prefix}_{safe_name(s)}"
-        try:
-            session.catalog.register(name, load_sheet(session.spark, path, s), f"excel:{path}#{s}")
-            made.append(name)
-        except Exception:  # noqa: BLE001
-            continue
-    return made

@@ -17,7 +17,7 @@ from factloom.operators import profile as P
 from factloom.operators import statistics as S
 from factloom.plans import cleaning as plan
 from factloom.session import EngineSession
-from factloom.sources import workbook
+from factloom.sources import sheets, workbook
 
 
 def test_p_values_against_tables(spark):
@@ -183,9 +183,9 @@ def test_workbook_is_read_with_formulas(spark, tmp_path):
         z.writestr("xl/worksheets/s1.xml", sheet([cell("A1", "key") + cell("C1", "value"), cell("A2", "x") + '<c r="C2"><f>SUM(\'2024 Rates\'!A1:B2)</f><v>7</v></c>']))
         z.writestr("xl/worksheets/s2.xml", sheet([cell("A1", "Key "), cell("A2", "x")]))
     s = EngineSession(spark)
-    assert workbook.load_workbook(s, path, "book") == ["book_sales", "book_s_2024_rates"]
-    assert [tuple(r) for r in s.catalog["book_sales"].collect()] == [("x", None, "7")]
-    assert s.catalog["book_sales"].columns == ["key", "col1", "value"]
+    assert sheets.load_workbook(s, path, "book") == (["book_sales", "book_s_2024_rates"], {})
+    assert [tuple(r) for r in s.catalog["book_sales"].collect()] == [("x", None, 7)]
+    assert s.catalog["book_sales"].columns == ["key", "col2", "value"]
     _, formulas, links = workbook.inspect(spark, path)
     assert [tuple(r) for r in links.collect()] == [("Sales", "2024 Rates")] and formulas.first()["functions"] == ["SUM"]
     assert workbook.shared_columns(path, spark).first()["header"] == "key"
