@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import records as R
+from ..sources.store import DocumentStore
 from . import query
 
 
@@ -61,3 +65,23 @@ def index_upsert(t):
     d = t("documents")
     old, new = d.select("doc_id", F.lit("old").alias("version")), d.filter("doc_id % 5 = 0").select("doc_id", F.lit("new").alias("version"))
     return R.upsert(old, new, "doc_id")
+
+
+@query(r"""WITH f AS (SELECT DISTINCT 'page' || page_id || '.html' AS name, html AS content FROM pages UNION SELECT DISTINCT source || doc_id || '.txt', text FROM documents WHERE text IS NOT NULL)
+    SELECT name, left(sha256(content), 12) AS digest, CAST(len(string_split_regex(content, '\r?\n')) AS BIGINT) AS n_lines, CAST(CASE WHEN name LIKE 'page%.html' THEN 1 ELSE 2 END AS INTEGER) AS round FROM f""")
+def document_store(t):
+    """Pages are ingested first, then pages and documents together, of which only the documents are parsed, then all once more."""
+    spark = t("pages").sparkSession
+    pages = t("pages").select(F.concat(F.lit("page"), "page_id", F.lit(".html")).alias("name"), F.col("html").alias("content"))
+    both = pages.union(t("documents").filter("text IS NOT NULL").select(F.concat("source", "doc_id", F.lit(".txt")), "text"))
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    store = DocumentStore(spark, f"{base}/store-{uuid.uuid4().hex}")
+    for files in (pages, both, both):
+        store.ingest(files)
+    runs = store.documents().groupBy("run").agg(F.min("at").alias("at")).withColumn("round", F.row_number().over(Window.orderBy("at")))  # a row per ingest
+    kept = store.documents().join(F.broadcast(runs.drop("at")), "run").select("doc_id", "name", F.left("sha256", F.lit(12)).alias("digest"), "round")
+    return kept.join(store.lines().groupBy("doc_id").agg(F.count("*").alias("n_lines")), "doc_id").select("name", "digest", "n_lines", "round")

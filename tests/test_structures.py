@@ -208,3 +208,64 @@ def test_quantiles_against_numpy(spark, n):
         assert np.allclose(r["q"], np.quantile(made[r["column"]], shares), rtol=1e-12), r["column"]
     for r in ranks.quantiles(df, ["wide"], [0.5], ["g"]).collect():
         assert np.isclose(r["q"][0], np.quantile(made["wide"][r["g"] :: 2], 0.5), rtol=1e-12)
+
+
+def test_store_parses_once_and_publishes_last(spark, tmp_path):
+    from factloom.sources.store import DocumentStore
+
+    parsed = []
+
+    def parser(files):
+        parsed.append(sorted(r["name"] for r in files.select("name").collect()))
+        from factloom.sources.store import plain_lines
+
+        return plain_lines(files)
+
+    store = DocumentStore(spark, str(tmp_path / "store"), parser)
+    files = lambda rows: spark.createDataFrame(rows, "name string, content string")
+    assert store.documents().count() == 0 and store.lines().count() == 0
+    assert store.ingest(files([("a.txt", "one\ntwo\fthree"), ("b.txt", ""), ("a.txt", "one\ntwo\fthree")])) == {"given": 2, "new": 2, "known": 0}
+    assert store.ingest(files([("a.txt", "one\ntwo\fthree")])) == {"given": 1, "new": 0, "known": 1}
+    assert store.ingest(files([("a.txt", "changed"), ("b.txt", "")])) == {"given": 2, "new": 1, "known": 1}
+    assert parsed == [["a.txt", "b.txt"], ["a.txt"]]
+    known = {r["name"]: (r["n_pages"], r["n_lines"]) for r in store.documents().collect() if r["n_lines"] > 1}
+    assert known == {"a.txt": (2, 3)} and store.documents().count() == 3
+    spark.createDataFrame([("lost", 1, 1, "x")], "doc_id string, page int, line int, text string").write.parquet(str(tmp_path / "store" / "lines" / "run=lost"))
+    assert store.lines().filter("doc_id = 'lost'").count() == 0  # a run that was never published
+    old = next(r["doc_id"] for r in store.documents().collect() if r["n_pages"] == 2)
+    assert [(r["page"], r["line"], r["text"]) for r in store.lines([old]).orderBy("page", "line").collect()] == [(1, 1, "one"), (1, 2, "two"), (2, 1, "three")]
+    store.forget([old])
+    assert old not in {r["doc_id"] for r in store.documents().collect()}
+    assert store.ingest(files([("a.txt", "one\ntwo\fthree")]))["new"] == 1 and store.documents().count() == 3  # parsed anew once forgotten
+
+
+def test_search_repeats_and_beats_a_grid():
+    from factloom.operators import search as H
+
+    space = {"x": H.Number(0, 1), "lr": H.Number(1e-4, 1, log=True), "k": H.Number(1, 9, whole=True), "kind": H.Choice(("a", "b", "c"))}
+
+    def loss(p):
+        if p["kind"] == "c":
+            raise ValueError("cannot be fitted")
+        import math
+
+        return (p["x"] - 0.37) ** 2 + (math.log10(p["lr"]) + 2.3) ** 2 / 4 + abs(p["k"] - 6) / 20 + (p["kind"] == "a") * 0.3
+
+    runs = [H.search(space, loss, 60, seed=5) for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 60
+    grid = min(loss({"x": x, "lr": lr, "k": k, "kind": kind}) for x in (0.0, 0.5, 1.0) for lr in (1e-4, 1e-2, 1.0) for k in (1, 5, 9) for kind in ("a", "b"))
+    assert min(v for _, v in runs[0]) < grid
+    late, early = ([v for _, v in runs[0][a:b] if v < float("inf")] for a, b in ((40, 60), (0, 8)))
+    assert sum(late) / len(late) < sum(early) / len(early) / 2
+
+
+def test_tuned_model_is_the_best_trial(spark):
+    from factloom.operators import search as H
+
+    rows = [(i, float(i % 17), float(i % 5), 3.0 * (i % 17) - (i % 5) + 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, t double")
+    model, board = H.tune(df, "t", ["a", "b"], "regression", "linear", "id", trials=4, space={"regParam": H.Number(1e-6, 100, log=True)})
+    found = board.collect()
+    assert len(found) == 4 and all(r["metric"] == "rmse" for r in found)
+    held = model.transform(df)
+    assert held.selectExpr("max(abs(prediction - t)) AS e").first()["e"] < 30 * min(r["value"] for r in found) + 1
