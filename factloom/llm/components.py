@@ -34,3 +34,16 @@ def components(links: DataFrame) -> DataFrame:
         total = sign
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component) with more ``links`` (a, b): only the components they join are worked on. Nodes that are new come with them."""
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    ends = links.hint("merge").join(of("a"), "a", "left").hint("merge").join(of("b"), "b", "left")
+    ends = ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
+    ends = written(ends, "joining")
+    step = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("old", "new")
+    fresh = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().hint("merge").join(found, "node", "left_anti")
+    known = found.union(fresh.select("node", F.col("node").alias("component")))
+    out = known.hint("merge").join(step, known["component"] == step["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+    return written(out, "components")

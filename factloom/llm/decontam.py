@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash of item-sized windows; DataFrame operations only.
 
-Words are the lower-cased runs of letters and digits; a shingle is five words (a shorter item is one shingle). A window of an
+Words are the lower-cased runs of letters (with their combining marks) and digits; a shingle is five words (a shorter item is one shingle). A window of an
 item's size in words is similar to it when their bags of shingles have a weighted Jaccard similarity of 0.8 or more.
 
 Windows are laid where they can be similar. Moving a window to the right until its first shingle is one of the item's loses
@@ -13,7 +13,8 @@ weighted similarity of bags is the similarity of feature sets. ``blocks`` is the
 block more, so by the pigeonhole principle every fingerprint pair within the radius agrees in a block. The radius follows from
 the item's length: for its count of shingles the largest angle that the threshold allows, as a share of 64 bits, and
 ``DEVIATIONS`` standard deviations more (items of under five shingles must be equal: radius 0). At most about one in 10,000 of the
-windows exactly at the threshold lies beyond. Pairs of windows and items that the blocks yield are verified by exact similarity.
+windows exactly at the threshold lies beyond. A window meets only the items it is laid for, so there are no more pairs than windows laid, however many items
+are of one length. Pairs that the blocks yield are verified by exact similarity.
 
 Null and empty texts and items hold nothing and are clean. Repeated rows share their result. Documents shorter
 than an item are one window. Ties go to the item that sorts first. Empty tables give empty results, or clean documents.
@@ -34,7 +35,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
 def shingles(df: DataFrame, array: str, keep: list[str], width: int = SHINGLE) -> DataFrame:
@@ -103,10 +104,11 @@ def contamination(
     # Per document and item: the document's places that hold one of the item's shingles. A window has m shingles, the item n.
     n, m = f"greatest(1, item_words - {SHINGLE - 1})", f"greatest(1, least(item_words, doc_words) - {SHINGLE - 1})"
     found = hits.groupBy("key", "item_id", "item_words", "doc_words").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    found = found.select("key", "item_words", "places", F.expr(n).alias("n"), F.greatest(F.col("doc_words") - F.col("item_words"), F.lit(0)).alias("latest"), F.expr(f"cast(ceil({threshold / (1 + threshold)!r}D * ({n} + {m}) - 1e-9D) AS int)").alias("need"))
+    found = found.select("key", "item_id", "item_words", "places", F.expr(n).alias("n"), F.greatest(F.col("doc_words") - F.col("item_words"), F.lit(0)).alias("latest"), F.expr(f"cast(ceil({threshold / (1 + threshold)!r}D * ({n} + {m}) - 1e-9D) AS int)").alias("need"))
     starts = "transform(filter(sequence(0, greatest(0, size(places) - need)), i -> get(places, i + need - 1) - places[i] <= n - 1), i -> least(places[i], latest))"
-    windows = found.filter(F.size("places") >= F.col("need")).select("key", "item_words", F.explode(F.expr(starts)).alias("start")).distinct()
-    lists = written(windows.groupBy("key").agg(F.collect_list(F.struct("item_words", "start")).alias("windows")), "windows")
+    seeds = found.filter(F.size("places") >= F.col("need")).select("key", "item_id", "item_words", F.explode(F.expr(starts)).alias("start")).distinct()
+    seeds = written(seeds, "windows")  # a window and the item it is laid for
+    lists = seeds.groupBy("key").agg(F.collect_set(F.struct("item_words", "start")).alias("windows"))
     cut = (
         base.join(lists, "key")
         .dropDuplicates(["key"])
@@ -119,8 +121,8 @@ def contamination(
     item_prints = with_radius(simhash(item_features, ["item_id", "item_words"]), threshold)
     index = blocks(item_prints, ["item_id", "item_words", F.col("size").alias("item_size"), F.col("fingerprint").alias("item_print"), "radius"])
     near = (
-        blocks(prints, [*key, "size", "fingerprint"])
-        .join(index, ["item_words", "block", "value"])
+        blocks(prints.join(seeds, key), [*key, "item_id", "size", "fingerprint"])
+        .join(index, ["item_id", "item_words", "block", "value"])
         .filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= F.col("radius"))
         .select(*key, "size", "item_id", "item_size")
         .distinct()

@@ -27,13 +27,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
 from .common import chunks, row_key, texts, written
-from .components import components
+from .components import components, joined
 
 SLOT_BITS, SHORT_LIST, PARTNERS, EARLIER = 20, 12, 256, 16
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93]
@@ -240,9 +240,9 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     found = components(links)
     hubs, done = 1, pairs
     # A member's first long lists: a pair that shares one of them before this list is met there.
-    firsts = long.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "value"))), 1, EARLIER).alias("firsts"))  # of one sketch
-    earlier = F.transform(F.filter("firsts", lambda x: x["pos"] < F.col("pos")), lambda x: x["value"])
-    long = written(long.select("value", "node", "n", "pos").hint("merge").join(firsts, "node").withColumn("earlier", earlier).drop("firsts"), "long-lists")
+    firsts = F.slice(F.array_sort(F.collect_list(F.struct("pos", "value")).over(Window.partitionBy("node"))), 1, EARLIER)  # of one sketch
+    earlier = F.transform(F.filter(firsts, lambda x: x["pos"] < F.col("pos")), lambda x: x["value"])
+    long = written(long.select("value", "node", "n", "pos", earlier.alias("earlier")), "long-lists")
     while True:  # long lists that still hold several components; each turn compares more hubs of theirs, so it ends
         placed = long.hint("merge").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         by_value = placed.groupBy("value", "component").agg(F.count("*").alias("share"))
@@ -265,8 +265,7 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
             done = done.union(more)
             new = _links(more, sketch_rows, sources, percent, shingle)
             if new.head(1):
-                links = links.union(new)
-                found = components(links)
+                found = joined(found, new)
         elif most <= hubs:
             break  # all members outside the largest component of every open list have been hubs: all pairs are settled
         hubs *= 8

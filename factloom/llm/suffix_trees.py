@@ -16,7 +16,7 @@ with the least hash. Neighbouring windows mostly share their anchor and form a r
 The first place is that of the least doc_id, then start; windows are judged on the input. Rows are known by id and text hash, so rows of one
 id with different texts are two documents (in the order of those hashes), repeated rows share their result and do not make each other repeats. A null id
 comes before the others. Null and blank texts have no words; short ones no window. Stretches of a few words over and over repeat
-within their own text; such records are found where the text is read and not sent on. An empty table gives an empty result.
+within their own text; such records are found where the text is read and sent on as one row a stretch. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,73 +51,73 @@ def _window_codes(code: np.ndarray, n: int, which: int) -> np.ndarray:
     return mixed((sums[n:] - sums[:-n]) * down[: len(sums) - n])
 
 
-def records(first: np.ndarray, second: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of each record: first and last window start, place of its anchor, the anchor's code, two codes of all its words, and
-    whether an earlier record of this text has the same words. ``first`` and ``second`` are the words' codes."""
-    if len(first) < length:
-        none = np.empty(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), np.empty(0, bool)
-    gram = gram_of(length)
-    grams = _window_codes(first, gram, 0)
-    anchors = least_positions(grams, length - gram + 1)
-    cut = np.flatnonzero(np.diff(anchors)) + 1
-    start = np.concatenate([[0], cut])
-    last = np.concatenate([cut - 1, [len(anchors) - 1]])
-    end = last + length
-    found = []
-    for code, which in ((first, 0), (second, 1)):
-        up, down = powers(len(code) + 1, which)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(code * up[: len(code)], dtype=np.uint64)])
-        found.append(mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
-    again = np.ones(len(start), bool)
-    again[np.unique(found[0] ^ mixed(found[1]), return_index=True)[1]] = False
-    at = anchors[start]
-    return start, last, at, grams[at], found[0], found[1], again
-
-
-def _parts(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]], list[tuple[np.ndarray, np.ndarray]]]]:
-    """Place of the first text, words of some texts together, and their codes."""
-    at, held, size = 0, [], 0
+class Records:
+    """The records of some texts together. ``codes``: of their words one after the other; ``sizes``: how many each text has.
+
+    ``text``, ``first``, ``last`` (window starts within the text), ``at`` (place of the anchor) and ``anchor`` (its code) of each; with a second code
+    of the words also ``c1`` and ``c2``, codes of all of a record's words, and ``again``: whether an earlier record of the text has the same ones.
+    """
+
+    def __init__(self, codes: list[np.ndarray], sizes: np.ndarray, length: int):
+        gram, ends = gram_of(length), np.cumsum(sizes)
+        begins = ends - sizes
+        text = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
+        start = np.arange(len(text)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0)) + begins[text]
+        grams = _window_codes(codes[0], gram, 0) if len(start) else np.empty(0, np.uint64)
+        anchors = least_positions(grams, length - gram + 1)[start] if len(start) else start
+        cut = np.flatnonzero(np.diff(anchors, prepend=-1))  # an anchor lies within its window, so texts differ in theirs
+        self.text, first, at = text[cut], start[cut], anchors[cut]
+        last = start[np.concatenate([cut[1:], [len(start)]]) - 1] if len(cut) else first
+        self.anchor = grams[at]
+        self.first, self.last, self.at = first - begins[self.text], last - begins[self.text], at - begins[self.text]
+        if len(codes) > 1:
+            self.c1, self.c2 = (_stretch_codes(code, first, last + length, k) for k, code in enumerate(codes))
+            self.again = np.ones(len(cut), bool)
+            self.again[np.unique(mixed(self.c1 ^ mixed(self.c2)) + self.text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]] = False
+
+
+def _stretch_codes(code: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    up, down = powers(len(code) + 1, which)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(code * up[: len(code)], dtype=np.uint64)])
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
-    def coded():
-        first, second = words_.codes(list(chain.from_iterable(held)))
-        cuts = np.cumsum([len(w) for w in held])[:-1]
-        return held, list(zip(np.split(first, cuts), np.split(second, cuts), strict=True))
 
+def _parts(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Place of the first text, and the words of some texts together."""
+    at, held, size = 0, [], 0
     for i, raw in enumerate(column):
         data = raw.as_py()
         held.append(words_.split(data))
         size += len(data)
         if size >= CHUNK_BYTES:
-            yield at, *coded()
+            yield at, held
             at, held, size = i + 1, [], 0
     if held:
-        yield at, *coded()
+        yield at, held
+
+
+def _coded(held: list[list[bytes]], lanes: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+    return words_.codes(list(chain.from_iterable(held)), lanes), np.array([len(w) for w in held], np.int64)
 
 
 def _grams(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for _, _, code in _parts(b.column("data")):
-            found = []
-            for first, second in code:
-                _, _, _, anchor, _, _, again = records(first, second, length)
-                found.append(anchor[~again])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["g"])
+        for _, held in _parts(b.column("data")):
+            yield pa.RecordBatch.from_arrays([pa.array(Records(*_coded(held, 1), length).anchor.view(np.int64))], names=["g"])
 
 
 def _records(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    names = ["g", "c1", "c2", "doc_id", "h", "first", "last", "at"]
+    """All records; of neighbouring ones that repeat within their text one row with ``again``, which need not be compared with anything."""
+    names = ["g", "c1", "c2", "doc_id", "h", "first", "last", "at", "again"]
     for b in batches:
-        for place, _, code in _parts(b.column("data")):
-            found, row = [], []
-            for i, (first, second) in enumerate(code):
-                start, last, at, anchor, c1, c2, again = records(first, second, length)
-                new = ~again
-                found.append([anchor[new].view(np.int64), c1[new].view(np.int64), c2[new].view(np.int64), start[new], last[new], at[new]])
-                row.append(np.full(len(found[-1][0]), place + i))
-            g, c1, c2, start, last, at = (np.concatenate(c) for c in zip(*found, strict=True))
-            rows = pa.array(np.concatenate(row))
-            columns = [pa.array(g), pa.array(c1), pa.array(c2), b.column("doc_id").take(rows), b.column("h").take(rows), *[pa.array(c.astype(np.int32)) for c in (start, last, at)]]
+        for place, held in _parts(b.column("data")):
+            r = Records(*_coded(held), length)
+            follows = r.again & np.concatenate([[False], r.again[:-1] & (r.text[1:] == r.text[:-1])]) if len(r.text) else r.again
+            head = np.flatnonzero(~follows)
+            last = r.last[np.concatenate([head[1:], [len(follows)]]) - 1] if len(head) else r.last
+            rows = pa.array(place + r.text[head])
+            columns = [pa.array(c[head].view(np.int64)) for c in (r.anchor, r.c1, r.c2)] + [b.column("doc_id").take(rows), b.column("h").take(rows)]
+            columns += [pa.array(c.astype(np.int32)) for c in (r.first[head], last, r.at[head])] + [pa.array(r.again[head])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -252,32 +252,36 @@ def _whole_groups(group: np.ndarray) -> Iterator[tuple[int, int]]:
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Every window of a record with the codes of all its words: prefixes of the full depth."""
     for b in batches:
-        for place, _, code in _parts(b.column("data")):
-            first = b.column("first").to_numpy()
-            w1, w2 = (np.concatenate([_window_codes(c[k], length, k) for c in code]) for k in (0, 1))
-            n = np.array([len(c[0]) - length + 1 for c in code])
-            row = np.repeat(np.arange(place, place + len(code)), n)
-            start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), b.column("doc_id").take(rows), b.column("h").take(rows), pa.array(start.astype(np.int32))], names=["w1", "w2", "doc_id", "h", "s"])
+        first = b.column("first").to_numpy()
+        for place, held in _parts(b.column("data")):
+            codes, sizes = _coded(held)
+            n = sizes - length + 1
+            row = np.repeat(np.arange(len(held)), n)
+            within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = (np.cumsum(sizes) - sizes)[row] + within
+            w1, w2 = (_stretch_codes(code, at, at + length, k) for k, code in enumerate(codes))
+            rows = pa.array(place + row)
+            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), b.column("doc_id").take(rows), b.column("h").take(rows), pa.array((first[place + row] + within).astype(np.int32))], names=["w1", "w2", "doc_id", "h", "s"])
 
 
 def repeated_windows(base: DataFrame, length: int) -> DataFrame:
-    """doc_id, h, s, e: stretches of words (end exclusive) made of windows that have an earlier place, but for records that repeat within
-    their own text. ``base`` has doc_id, h and data (UTF-8)."""
+    """doc_id, h, s, e: stretches of words (end exclusive) made of windows that have an earlier place. ``base`` has doc_id, h and data (UTF-8)."""
     made = lambda *rest: T.StructType([base.schema["doc_id"], *[T.StructField(n, t) for n, t in rest]])
     long_, int_, binary = T.LongType(), T.IntegerType(), T.BinaryType()
     long = base.filter(F.length("data") >= 2 * length - 1)  # words and blanks of one window
     grams = long.select("data").mapInArrow(partial(_grams, length=length), "g long").groupBy("g").count()
     grams = written(grams.filter("count > 1").select("g"), "grams")
-    schema = T.StructType([T.StructField(n, long_) for n in ("g", "c1", "c2")] + made(("h", long_), ("first", int_), ("last", int_), ("at", int_)).fields)
-    shared = written(long.mapInArrow(partial(_records, length=length), schema).hint("merge").join(grams, "g"), "shared")
+    schema = T.StructType([T.StructField(n, long_) for n in ("g", "c1", "c2")] + made(("h", long_), ("first", int_), ("last", int_), ("at", int_), ("again", T.BooleanType())).fields)
+    found = long.mapInArrow(partial(_records, length=length), schema).hint("merge").join(grams, "g")  # the gram of a repeat within a text occurs twice
+    found = written(found, "shared")
+    shared = found.filter("NOT again")
     place = F.struct("doc_id", "h", "first")
     leaves = shared.groupBy("g", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "h", "first", "last", "at")).alias("one"))
     leaves = written(leaves, "leaves")
     several = leaves.filter("copies > 1").select("g", "c1", "c2", F.struct("one.doc_id", "one.h", "one.first").alias("one"))
+    inner = found.filter("again").select("doc_id", "h", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
     copies = shared.hint("merge").join(several, ["g", "c1", "c2"]).filter(place != F.col("one"))
-    marks = copies.select("doc_id", "h", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
+    marks = inner.union(copies.select("doc_id", "h", F.col("first").alias("s"), (F.col("last") + length).alias("e")))
     sizes = written(leaves.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
     wanted = leaves.select("g", "one.*").hint("merge").join(sizes, "g")
     wanted = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("h").alias("w_h")).agg(F.collect_list(F.struct("g", "first", "last", "at", "m")).alias("wanted"))  # records of one text
@@ -295,15 +299,13 @@ def repeated_windows(base: DataFrame, length: int) -> DataFrame:
     return marks
 
 
-def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = b.column("found").to_pylist()
         total, removed, sha, spans = [], [], [], []
-        for place, texts_, code in _parts(b.column("data")):
-            for i, (words, (first, second)) in enumerate(zip(texts_, code, strict=True)):
-                start, last, _, _, _, _, again = records(first, second, length)
-                s = np.concatenate([start[again], [r["s"] for r in found[place + i] or ()]]).astype(np.int64)
-                e = np.concatenate([last[again] + length, [r["e"] for r in found[place + i] or ()]]).astype(np.int64)
+        for place, held in _parts(b.column("data")):
+            for i, words in enumerate(held):
+                s, e = (np.array([r[k] for r in found[place + i] or ()], np.int64) for k in ("s", "e"))
                 change = np.bincount(s, minlength=len(words) + 1) - np.bincount(e, minlength=len(words) + 1)
                 gone = np.cumsum(change)[: len(words)] > 0
                 total.append(len(words))
@@ -324,4 +326,4 @@ def remove_repeated_passages(docs: DataFrame, length: int = 20, id_col: str = "d
     rows = base.hint("merge").join(known, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")), "left").select("doc_id", "data", "found")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     names = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("spans", span)]
-    return rows.mapInArrow(partial(_kept, length=length), T.StructType([base.schema["doc_id"], *[T.StructField(n, t) for n, t in names]]))
+    return rows.mapInArrow(_kept, T.StructType([base.schema["doc_id"], *[T.StructField(n, t) for n, t in names]]))

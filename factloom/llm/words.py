@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 #: Keys of two keyed hashes (SipHash): no polynomial, so unequal words do not meet by their form.
 KEYS = ("factloom-words-a", "factloom-words-b")
@@ -14,12 +15,10 @@ def split(data: bytes) -> list[bytes]:
     return data.split()
 
 
-def codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit codes of each word; a word is hashed once however often it occurs in the list."""
+def codes(words: list[bytes], lanes: int = 2) -> list[np.ndarray]:
+    """``lanes`` independent 64-bit codes of each word; a word is hashed once however often it occurs in the list."""
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    column = np.empty(len(words), object)
-    column[:] = words
-    at, distinct = pd.factorize(column)
-    first, second = (pd.util.hash_array(distinct, hash_key=key, categorize=False) for key in KEYS)
-    return first[at], second[at]
+        return [np.empty(0, np.uint64)] * lanes
+    known = pa.array(words, pa.binary()).dictionary_encode()
+    at, distinct = known.indices.to_numpy(), np.array([*known.dictionary.to_pylist(), None], object)[:-1]
+    return [pd.util.hash_array(distinct, hash_key=key, categorize=False)[at] for key in KEYS[:lanes]]

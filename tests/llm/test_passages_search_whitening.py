@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from factloom.llm import common, near_dedup, ranked_search, suffix_trees, whitening
+from factloom.llm import common, decontam, near_dedup, ranked_search, suffix_trees, whitening
 
 
 def prose(rng, n, vocabulary=400):
@@ -229,3 +229,16 @@ def test_near_duplicates_of_a_group_around_the_threshold(spark, monkeypatch):
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == least
     assert 1 < len(set(least.values())) < 70
+
+
+def test_decontamination_pairs_grow_with_windows_not_items(spark):
+    """A thousand items of one length: a window is compared with those it shares shingles with, and marks stay in words."""
+    common.ship(spark)
+    rng = random.Random(12)
+    items = [(i, " ".join(f"q{rng.randrange(5000)}" for _ in range(12))) for i in range(1000)]
+    held = [(k, f"{prose(rng, 30)} {items[k * 37][1]} {prose(rng, 30)}") for k in range(20)] + [(100 + k, prose(rng, 80)) for k in range(20)]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    got = {r["doc_id"]: (r["kept"], r["item_id"]) for r in decontam.decontaminate(spark.createDataFrame(held, "doc_id long, text string"), bench).collect()}
+    assert got == {k: (False, k * 37) for k in range(20)} | {100 + k: (True, None) for k in range(20)}
+    hindi = "यह एक लंबा वाक्य है जिसमें कई शब्द हैं"
+    assert [len(r["w"]) for r in spark.createDataFrame([(hindi,)], "t string").select(decontam.words(decontam.F.col("t")).alias("w")).collect()] == [len(hindi.split())]
