@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import numeric_columns
 from ..functions.ranks import quantiles, running
+from ..functions.statistics import chi2_upper, normal_two_sided
 from ..limits import LIMITS, Refusal
 
 
@@ -170,3 +171,80 @@ def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     reach = LIMITS.iqr_reach * (F.col("q3") - F.col("q1"))
     out = df.join(q, df[group].eqNullSafe(q["label"])).groupBy("label", "q1", "median", "q3")
     return out.agg(F.count_if((F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach)).alias("n_outliers"))
+
+
+#: Level of all tests of one column together, rows a test needs on either side, rows and labels of a crosstab.
+DRIVER_ALPHA, DRIVER_ROWS, CROSSTAB_ROWS, DRIVER_LABELS = 0.05, 10, 20, 50
+
+
+def missing_drivers(df: DataFrame, column: str, candidates: list[str] | None = None) -> DataFrame:
+    """What tells whether ``column`` is blank: driver, kind, statistic, p, drives, high, low, label.
+
+    All candidates (every other column that is not a mark of cleaning) are tested in one pass of counts each for numbers and texts: ranks of numbers of blank rows
+    against the others (tie-corrected normal score; ``high`` and ``low`` are the medians of blank and other rows), crosstabs of labels with blanks, null a label of its own
+    (chi-square, corrected for two by two; ``label`` is blank most often, at rate ``high``, ``low`` is the lowest rate). A column drives at the
+    level of 0.05 divided by the number of candidates. Candidates with too few rows, one value or over 50 labels are left out.
+    """
+    spark = df.sparkSession
+    names = [c for c in candidates or df.columns if c != column and not c.endswith(("_was_missing", "_was_capped", "_valid"))]
+    kinds = dict.fromkeys(numeric_columns(df), "number")
+    flag = F.col(f"`{column}`").isNull()
+    alpha, found = DRIVER_ALPHA / max(1, len(names)), []
+    numbers, labels = [c for c in names if c in kinds], [c for c in names if c not in kinds]
+    if numbers:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in numbers])
+        rows = df.select(flag.alias("blank"), F.explode(cells).alias("x")).select("blank", "x.*").filter("v IS NOT NULL")
+        counts = rows.groupBy("column", "v").agg(F.count("*").alias("c"), F.count_if("blank").alias("b"))
+        ranked = running(counts, "v", ["c"], ["column"])
+        sums = ranked.groupBy("column").agg(F.sum("c").alias("n"), F.sum("b").alias("n1"), F.sum(F.col("b") * (F.col("c_before") + (F.col("c") + 1) / 2.0)).alias("r1"), F.sum(F.pow(F.col("c").cast("double"), 3) - F.col("c")).alias("ties"), F.count("*").alias("levels"))
+        medians = {(r["column"], r["blank"]): r["q"][0] for r in quantiles(rows.select(F.col("column").alias("of"), "blank", "v"), ["v"], [0.5], ["of", "blank"]).drop("column").withColumnRenamed("of", "column").collect()}  # two a column
+        for r in sums.collect():  # a row per column
+            n, n1 = float(r["n"]), float(r["n1"])
+            n2 = n - n1
+            if min(n1, n2) < DRIVER_ROWS or r["levels"] < 2:
+                continue
+            spread = (n1 * n2 / 12 * (n + 1 - r["ties"] / (n * (n - 1)))) ** 0.5
+            # The normal score with the half step towards the middle.
+            u = r["r1"] - n1 * (n1 + 1) / 2
+            z = (abs(u - n1 * n2 / 2) - 0.5) / spread if spread else 0.0
+            p = normal_two_sided(max(z, 0.0))
+            found.append((r["column"], "number", z, p, p < alpha, medians[r["column"], True], medians[r["column"], False], None))
+    if labels:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("(blank)")).alias("v")) for c in labels])
+        counts = df.select(flag.alias("blank"), F.explode(cells).alias("x")).select("blank", "x.*").groupBy("column", "v").agg(F.count("*").cast("double").alias("c"), F.count_if("blank").cast("double").alias("b"))
+        totals = counts.groupBy("column").agg(F.sum("c").alias("n"), F.sum("b").alias("nb"), F.count("*").alias("k")).filter(f"k BETWEEN 2 AND {DRIVER_LABELS} AND n >= {CROSSTAB_ROWS} AND nb > 0 AND nb < n")
+        both = counts.join(totals, "column")
+        step = F.when(F.col("k") == 2, 0.5).otherwise(0.0)  # two by two
+        off = lambda o, e: F.pow(F.greatest(F.abs(o - e) - step, F.lit(0.0)), 2) / e
+        e1, e2 = F.col("c") * F.col("nb") / F.col("n"), F.col("c") * (F.col("n") - F.col("nb")) / F.col("n")
+        rate = F.col("b") / F.col("c")
+        per = both.groupBy("column").agg(F.sum(off(F.col("b"), e1) + off(F.col("c") - F.col("b"), e2)).alias("x"), F.max("k").alias("k"), F.max(F.struct(rate.alias("r"), "v")).alias("hi"), F.min(rate).alias("lo"))
+        for r in per.collect():  # a row per column
+            p = chi2_upper(spark, r["x"], r["k"] - 1)
+            found.append((r["column"], "label", r["x"], p, p < alpha, r["hi"]["r"], r["lo"], r["hi"]["v"]))
+    found.sort(key=lambda x: (x[3], x[0]))
+    return spark.createDataFrame(found, "driver string, kind string, statistic double, p double, drives boolean, high double, low double, label string")
+
+
+def simpson(df: DataFrame, outcome: str, contender: str, by: list[str]) -> DataFrame | Refusal:
+    """Does the level of ``contender`` that is best overall also win inside every group? A row per column of ``by`` and group of enough rows:
+    by, label, n, winner, loser, winner_rate, loser_rate, reversed, and the column's verdict: paradox, reverses, holds or unchecked.
+
+    The best and the worst level by the mean of ``outcome`` over complete rows are compared; groups that lack one of them are left out, and fewer
+    than two groups check nothing. Over 50 levels are refused.
+    """
+    out = None
+    for column in by:
+        rows = df.select(F.col(outcome).cast("double").alias("y"), F.col(contender).cast("string").alias("c"), F.col(column).cast("string").alias("label")).dropna()
+        levels = rows.groupBy("c").agg(F.avg("y").alias("m"))
+        size = levels.agg(F.count("*").alias("n"), F.max(F.struct("m", "c"))["c"].alias("winner"), F.min(F.struct("m", "c"))["c"].alias("loser")).first()
+        if size["n"] > LIMITS.high_cardinality:
+            return Refusal(f"{size['n']} levels of {contender}: over {LIMITS.high_cardinality}")
+        rate = lambda k: F.avg(F.when(F.col("c") == k, F.col("y")))  # noqa: B023, E731
+        per = rows.groupBy("label").agg(F.count("*").alias("n"), rate(size["winner"]).alias("winner_rate"), rate(size["loser"]).alias("loser_rate")).filter(F.col("n") >= LIMITS.subgroup_min_rows).dropna(subset=["winner_rate", "loser_rate"])
+        per = per.withColumn("reversed", F.col("loser_rate") > F.col("winner_rate"))
+        one = per.agg(F.count("*").alias("groups"), F.count_if("reversed").alias("against"))
+        verdict = F.when(F.col("groups") < 2, "unchecked").when(F.col("against") == F.col("groups"), "paradox").when(F.col("against") > 0, "reverses").otherwise("holds")
+        part = per.crossJoin(one).select(F.lit(column).alias("by"), "label", "n", F.lit(size["winner"]).alias("winner"), F.lit(size["loser"]).alias("loser"), "winner_rate", "loser_rate", "reversed", verdict.alias("verdict"))  # one row
+        out = part if out is None else out.union(part)
+    return out

@@ -171,3 +171,45 @@ def compare_groups(t):
     p = P.f_upper(df.sparkSession, x["f"], x["dof_between"], x["dof_within"])
     row = (x["f"], p, x["eta_squared"], P.eta_size(x["eta_squared"]), p < 0.05)
     return df.sparkSession.createDataFrame([row], "f double, p double, eta_squared double, size string, significant boolean")
+
+
+def gaps(t):
+    """Scores that are blank for most large orders and for every twentieth."""
+    blank = ((F.col("o_totalprice") > 200_000) & (F.col("o_orderkey") % 3 != 0)) | (F.col("o_orderkey") % 20 == 0)
+    return t("orders").select("o_totalprice", "o_custkey", "o_orderpriority", F.when(F.col("o_totalprice") > 200_000, "large").otherwise("small").alias("size"), F.when(~blank, F.col("o_orderkey") * 1.0).alias("score"))
+
+
+#: Four tests together at 0.05: the normal score and the chi-squares (of one and four degrees) beyond which each is below 0.0125.
+BEYOND = {"z": 2.497705474, "one": 6.238532637, "four": 12.761851398}
+GAPS = "g AS (SELECT o_totalprice, o_custkey::DOUBLE AS o_custkey, o_orderpriority, CASE WHEN o_totalprice > 200000 THEN 'large' ELSE 'small' END AS size, (o_totalprice > 200000 AND o_orderkey % 3 <> 0) OR o_orderkey % 20 = 0 AS blank FROM orders)"
+
+
+def _ranked(c: str) -> str:
+    return f"""(SELECT '{c}' AS driver, 'number' AS kind, (abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) AS statistic, hi AS high, lo AS low, NULL AS label FROM (
+        SELECT count(*)::DOUBLE AS n, (count(*) FILTER (blank))::DOUBLE AS n1, (count(*) FILTER (NOT blank))::DOUBLE AS n2, sum(mid) FILTER (blank) AS r1, median({c}) FILTER (blank) AS hi, median({c}) FILTER (NOT blank) AS lo,
+            (SELECT sum(k ** 3 - k) FROM (SELECT count(*)::DOUBLE AS k FROM g GROUP BY {c})) AS ties FROM (SELECT *, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS mid FROM g)))"""
+
+
+def _crossed(c: str, step: float) -> str:
+    return f"""(SELECT '{c}', 'label', sum(greatest(abs(b - c * nb / n) - {step}, 0) ** 2 / (c * nb / n) + greatest(abs(c - b - c * (n - nb) / n) - {step}, 0) ** 2 / (c * (n - nb) / n)), max(b / c), min(b / c), arg_max({c}, (b / c, {c})) FROM (
+        SELECT {c}, count(*)::DOUBLE AS c, (count(*) FILTER (blank))::DOUBLE AS b FROM g GROUP BY 1), (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (blank))::DOUBLE AS nb FROM g))"""
+
+
+@query(f"""WITH {GAPS}, a AS ({_ranked('o_totalprice')} UNION ALL {_ranked('o_custkey')} UNION ALL {_crossed('o_orderpriority', 0)} UNION ALL {_crossed('size', 0.5)})
+    SELECT driver, kind, round(statistic, 6) AS statistic, statistic > CASE driver WHEN 'size' THEN {BEYOND['one']} WHEN 'o_orderpriority' THEN {BEYOND['four']} ELSE {BEYOND['z']} END AS drives, round(high, 6) AS high, round(low, 6) AS low, label FROM a""")
+def missing_drivers(t):
+    """What blanks depend on, at one level for all candidates together."""
+    return r(S.missing_drivers(gaps(t), "score").drop("p"), 6, "statistic", "high", "low")
+
+
+def _simpson(by: str) -> str:
+    return f"""(WITH o AS (SELECT l_returnflag AS c, avg(l_quantity) AS m FROM lineitem GROUP BY 1), e AS (SELECT arg_max(c, m) AS winner, arg_min(c, m) AS loser FROM o),
+        p AS (SELECT CAST({by} AS VARCHAR) AS label, count(*) AS n, avg(l_quantity) FILTER (l_returnflag = winner) AS w, avg(l_quantity) FILTER (l_returnflag = loser) AS l, any_value(winner) AS winner, any_value(loser) AS loser FROM lineitem, e GROUP BY 1)
+        SELECT '{by}' AS "by", label, n, winner, loser, round(w, 6) AS winner_rate, round(l, 6) AS loser_rate, l > w AS reversed,
+            CASE WHEN count(*) OVER () < 2 THEN 'unchecked' WHEN count(*) FILTER (l > w) OVER () = count(*) OVER () THEN 'paradox' WHEN count(*) FILTER (l > w) OVER () > 0 THEN 'reverses' ELSE 'holds' END AS verdict FROM p WHERE n >= 30 AND w IS NOT NULL AND l IS NOT NULL)"""
+
+
+@query(f"{_simpson('l_linestatus')} UNION ALL {_simpson('l_linenumber')}")
+def simpson(t):
+    """Whether the flag of the largest mean quantity also wins inside every status and every line number."""
+    return r(S.simpson(t("lineitem"), "l_quantity", "l_returnflag", ["l_linestatus", "l_linenumber"]), 6, "winner_rate", "loser_rate")

@@ -269,3 +269,25 @@ def test_tuned_model_is_the_best_trial(spark):
     assert len(found) == 4 and all(r["metric"] == "rmse" for r in found)
     held = model.transform(df)
     assert held.selectExpr("max(abs(prediction - t)) AS e").first()["e"] < 30 * min(r["value"] for r in found) + 1
+
+
+def test_simpson_finds_the_winner_and_the_verdict(spark):
+    from factloom.operators import statistics as T
+
+    rows = [("new", "easy", int(i % 100 < 93)) for i in range(600)] + [("new", "hard", int(i % 100 < 50)) for i in range(100)] + [("old", "easy", int(i % 100 < 97)) for i in range(100)] + [("old", "hard", int(i % 100 < 60)) for i in range(600)]
+    df = spark.createDataFrame(rows, "method string, difficulty string, success int").withColumn("one", F.lit("x"))
+    got = T.simpson(df, "success", "method", ["difficulty", "one"]).collect()
+    assert {(r["by"], r["label"], r["winner"], r["reversed"], r["verdict"]) for r in got} == {("difficulty", "easy", "new", True, "paradox"), ("difficulty", "hard", "new", True, "paradox"), ("one", "x", "new", False, "unchecked")}
+
+
+def test_missing_drivers_are_quiet_on_random_blanks(spark):
+    from factloom.operators import statistics as T
+
+    rng = random.Random(1)
+    rows = [(rng.gauss(40, 10), rng.choice("nsew"), rng.random()) for _ in range(500)]
+    df = spark.createDataFrame(rows, "age double, region string, x double")
+    by_age = df.withColumn("income", F.when(F.col("age") <= 55, F.col("x"))).drop("x")
+    at_random = df.withColumn("income", F.when(F.col("x") > 0.2, F.col("x"))).drop("x")
+    assert {r["driver"]: r["drives"] for r in T.missing_drivers(by_age, "income").collect()} == {"age": True, "region": False}
+    assert not any(r["drives"] for r in T.missing_drivers(at_random, "income").collect())
+    assert T.missing_drivers(df, "age").count() == 0  # nothing is blank
