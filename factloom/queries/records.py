@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import journal as N
 from ..operators import records as R
 from ..sources.store import DocumentStore
 from . import query
@@ -85,3 +86,30 @@ def document_store(t):
     runs = store.documents().groupBy("run").agg(F.min("at").alias("at")).withColumn("round", F.row_number().over(Window.orderBy("at")))  # a row per ingest
     kept = store.documents().join(F.broadcast(runs.drop("at")), "run").select("doc_id", "name", F.left("sha256", F.lit(12)).alias("digest"), "round")
     return kept.join(store.lines().groupBy("doc_id").agg(F.count("*").alias("n_lines")), "doc_id").select("name", "digest", "n_lines", "round")
+
+
+@query("""WITH n AS (SELECT user_id, event_id, event_type, value, event_type = 'error' AS bad, user_id % 2 = 0 AS lower FROM events),
+    p AS (SELECT *, CASE WHEN bad THEN 1 WHEN value IS NOT NULL THEN 0 END AS part FROM n), b AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY event_id DESC) AS back, count(*) FILTER (part = 0) OVER (PARTITION BY user_id) AS good FROM p WHERE part IS NOT NULL),
+    k AS (SELECT * FROM b WHERE back <= CASE part WHEN 0 THEN 12 ELSE greatest(2, 12 - least(12, good)) END)
+    SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY part, back DESC) AS INTEGER) AS place, 'attempt ' || event_id || ' [' || event_type || ']' || CASE part WHEN 0 THEN CASE WHEN lower THEN ' (lower better)' ELSE '' END || ': plan ' || event_id ELSE ' FAILED: out ' || event_id END AS line FROM k""")
+def journal_summary(t):
+    """The last attempts of each user's run; the metric's digits are left to the test."""
+    e = t("events").select("user_id", F.col("event_id").alias("id"), F.col("event_id").alias("step"), F.col("event_type").alias("stage"), F.col("value").alias("metric"), (F.col("event_type") == "error").alias("is_buggy"), (F.col("user_id") % 2 == 0).alias("lower_is_better"))
+    e = e.withColumns({"plan": F.concat(F.lit("plan "), "id"), "analysis": F.lit(""), "term_out": F.concat(F.lit("out "), "id")})
+    return N.journal_summary(e, "user_id").withColumn("line", F.regexp_replace("line", r" metric=[-0-9.Ee]+", ""))
+
+
+@query("""WITH e AS (SELECT user_id AS session, event_id AS x, CASE WHEN event_type = 'error' THEN 'correction' WHEN event_type = 'purchase' THEN 'end' WHEN event_type = 'view' THEN 'task' ELSE 'call' END AS kind, event_type || ' ' || event_id || ' and what it was about at that time' AS text FROM events)
+    SELECT session, min(x) AS began, max(x) FILTER (kind = 'end') - min(x) AS duration, count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind = 'correction') AS corrections, arg_max(text, x) FILTER (kind = 'end') AS outcome,
+        left(coalesce(arg_min(text, x) FILTER (kind = 'task'), ''), 36) AS task FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def list_sessions(t):
+    e = t("events").withColumn("text", F.concat("event_type", F.lit(" "), "event_id", F.lit(" and what it was about at that time")))
+    kind = F.when(F.col("event_type") == "error", "correction").when(F.col("event_type") == "purchase", "end").when(F.col("event_type") == "view", "task").otherwise("call")
+    return N.list_sessions(e, "user_id", "event_id", kind, F.col("text"))
+
+
+@query(r"""SELECT CAST(conv_id + 1000 AS VARCHAR) AS session, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place, '[' || role || '] ' || left(trim(regexp_replace(text, '\s+', ' ', 'g')), 300) AS line FROM conversations WHERE CAST(conv_id + 1000 AS VARCHAR) LIKE '1001%'""")
+def recall_session(t):
+    c = t("conversations").withColumn("session", (F.col("conv_id") + 1000).cast("string"))
+    return N.recall_session(c, "session", "turn", "role", "text", "1001")
+

@@ -89,6 +89,14 @@ def injection_scan(t):
     return T.injection_scan(t("documents").withColumn("text", F.concat("text", F.lit("\n"), wording)), "doc_id", "text")
 
 
+@query(f"""SELECT source AS tool, pattern, count(*) AS n, min(wording) AS first FROM ({" UNION ALL ".join(f"SELECT source, '{k}' AS pattern, regexp_extract(text, '(?i){p}') AS wording FROM (SELECT h.*, d.source FROM ({HIDDEN}) h JOIN documents d USING (doc_id)) WHERE regexp_matches(text, '(?i){p}')" for k, p in SCAN.items())}) GROUP BY 1, 2""")
+def guardrail_summary(t):
+    from ..operators.journal import guardrail_summary as summary
+
+    wording = F.element_at(F.array(*[F.lit(w) for w in WORDINGS]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return summary(t("documents").withColumn("text", F.concat("text", F.lit("\n"), wording)), "source", "text")
+
+
 @query(r"SELECT doc_id AS id, 'email' AS kind, unnest(regexp_extract_all(text, '\b[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\.[a-zA-Z0-9_.-]*[a-zA-Z]{2,}\b')) AS value FROM documents")
 def entity_emails(t):
     return D.entities(t("documents"), "doc_id", "text", ["email"])
