@@ -52,6 +52,25 @@ def chunk_lines(t):
     return T.chunk_lines(t("documents"), "doc_id", "text")
 
 
+CODE = "'import os' || chr(10) || chr(10) || 'class C' || doc_id || ':' || chr(10) || '    def m(self):' || chr(10) || '        return ' || n_chars || chr(10) || chr(10) || 'async def f():' || chr(10) || '    x = C' || doc_id || '()' || chr(10)"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, doc_id, n_chars, {CODE} AS code FROM documents)
+    SELECT id, 'module_header' AS kind, 'header' AS name, CAST(1 AS INTEGER) AS start_line, CAST(8 AS INTEGER) AS end_line, rtrim(code, chr(10)) AS content FROM d WHERE id % 5 <> 0
+    UNION ALL SELECT id, 'ClassDef', 'C' || id, 3, 5, 'class C' || id || ':' || chr(10) || '    def m(self):' || chr(10) || '        return ' || n_chars FROM d WHERE id % 5 <> 0
+    UNION ALL SELECT id, 'FunctionDef', 'm', 4, 5, 'def m(self):' || chr(10) || '        return ' || n_chars FROM d WHERE id % 5 <> 0
+    UNION ALL SELECT id, 'AsyncFunctionDef', 'f', 7, 8, 'async def f():' || chr(10) || '    x = C' || id || '()' FROM d WHERE id % 5 <> 0
+    UNION ALL SELECT id, 'text_chunk', NULL, 1, 9, code || 'class' FROM d WHERE id % 5 = 0""")
+def python_chunks(t):
+    """A module for each document, one in five of which breaks off and is cut by lines."""
+    from ..operators.code import python_chunks as chunks
+
+    lines = ["import os", "", F.concat(F.lit("class C"), "doc_id", F.lit(":")), "    def m(self):", F.concat(F.lit("        return "), "n_chars"), "", "async def f():", F.concat(F.lit("    x = C"), "doc_id", F.lit("()")), F.when(F.col("doc_id") % 5 == 0, "\nclass").otherwise("")]
+    code = F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines[:-1]])
+    code = F.concat(code, F.lit("\n"), F.when(F.col("doc_id") % 5 == 0, F.lit("class")).otherwise(F.lit("")))
+    return chunks(t("documents").select("doc_id", code.alias("code")), "doc_id", "code")
+
+
 BM = ["license", "reserved", "rights", "trash"]
 
 
