@@ -67,7 +67,7 @@ def packed_lists(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, int,
     rows = rows.withColumn("parts", parts).withColumn("holds", F.contains("v", F.col("sep")))
     one = rows.groupBy("column", "sep").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("holds"), F.col("c")).otherwise(0)).alias("held"), F.count_distinct(F.size("parts")).alias("sizes"), F.count("*").alias("combinations"))
     words = rows.select("column", "sep", F.explode("parts").alias("w")).groupBy("column", "sep").agg(F.count_distinct("w").alias("singles"))
-    fits = (F.col("n") >= LIST_ROWS) & (F.col("held") >= LIST_SHARE * F.col("n")) & (F.col("singles") <= LIST_WORDS) & (F.col("sizes") >= 2)
+    fits = (F.col("n") >= LIST_ROWS) & (F.col("held") >= LIST_SHARE * F.col("n")) & (F.col("singles") <= LIST_WORDS) & ((F.col("sizes") >= 2) | (F.col("combinations") >= 2 * F.col("singles")))
     found = one.join(words, ["column", "sep"]).filter(fits).groupBy("column").agg(F.max(F.struct("held", "sep", "combinations", "singles")).alias("m")).collect()  # a row per column
     return {r["column"]: (r["m"]["sep"], r["m"]["combinations"], r["m"]["singles"]) for r in found}
 

@@ -55,6 +55,44 @@ def check_arithmetic(df: DataFrame, expression: str, claim: str, tolerance: floa
     return df.withColumn("value", value(expression)).withColumn("holds", F.coalesce(near(c) | near(c * 100) | near(c / 100), F.lit(False)))
 
 
+#: Fixed value: how far a stated result may be off, as a share of the larger of the two.
+STATED_TOLERANCE = 0.01
+
+
+def check_computations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, status and wrong of computations in words like ``a + b = 3; c / d = 0.25 = 25%``.
+
+    Parts between semicolons are claims; the first side of a claim's equals signs is the expression (commas and per cent signs off), the others state its result: the
+    first number in each, in per cent if a sign follows it, which then may state the value or a hundred times it. A claim is verified when any of its statements is
+    right, wrong when none is, and says nothing if it has no number or no arithmetic. A row is ``mismatch`` if a claim is wrong (``wrong`` lists them),
+    ``verified`` if one is right, else empty. Each distinct expression is evaluated once.
+    """
+    ship(df.sparkSession)
+    parts = df.select(F.col(id_col).alias("id"), F.explode(F.split(text_col, ";")).alias("part")).filter(F.contains("part", F.lit("=")))
+    sides = F.transform(F.split("part", "="), lambda x: F.trim(x))
+    claims = parts.select("id", F.trim("part").alias("part"), F.regexp_replace(sides[0], "[,%]", "").alias("expression"), F.filter(F.slice(sides, 2, F.size(sides)), lambda x: x != "").alias("stated"))
+
+    @F.pandas_udf(T.DoubleType())
+    def value(e: pd.Series) -> pd.Series:
+        return e.map(evaluate)
+
+    known = claims.select("expression").distinct().withColumn("actual", value("expression")).filter("actual IS NOT NULL")
+
+    def read(x: Column) -> Column:
+        plain = F.regexp_replace(x, ",", "")
+        number = F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0)
+        return F.struct(number.try_cast("double").alias("v"), (F.locate("%", plain) > F.instr(plain, number)).alias("percent"))
+
+    near = lambda a, v: F.abs(a - v) / F.greatest(F.abs(a), F.abs(v), F.lit(1e-9)) <= STATED_TOLERANCE
+    numbers = claims.join(known, "expression").withColumn("read", F.filter(F.transform("stated", read), lambda s: s["v"].isNotNull())).filter(F.size("read") > 0)
+    actual = F.col("actual")
+    judged = numbers.withColumn("right", F.exists("read", lambda s: near(actual, s["v"]) | (s["percent"] & near(actual * 100, s["v"]))))
+    per = judged.groupBy("id").agg(F.bool_and("right").alias("all"), F.array_sort(F.collect_list(F.when(~F.col("right"), F.col("part")))).alias("wrong"))
+    out = df.select(F.col(id_col).alias("id")).distinct().join(per, "id", "left")
+    status = F.when(F.col("all").isNull(), "").when(F.col("all"), "verified").otherwise("mismatch")
+    return out.select("id", status.alias("status"), F.coalesce("wrong", F.array().cast("array<string>")).alias("wrong"))
+
+
 def best_nodes(nodes: DataFrame, by: str, n: int = 1) -> DataFrame:
     """The best finished nodes of each run; whether lower is better goes by the majority of the run's nodes."""
     good = nodes.filter(~F.col("is_buggy") & F.col("metric").isNotNull())

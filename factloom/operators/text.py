@@ -45,17 +45,17 @@ def values_of(c: Column, sep: str) -> Column:
 def multivalue_detect(df: DataFrame, column: str) -> DataFrame:
     """For each separator: share of values that hold it, and whether the column packs lists by it. One pass over the values, one over their parts.
 
-    Packed lists recur in combination: at least twice as many different combinations as single values speak for a list.
+    A list has parts in varying number, or else at least twice as many different combinations as single values.
     """
     seps = F.array(*[F.lit(s) for s in (",", ";", "|")])
     rows = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"), F.explode(seps).alias("sep"))
     parts = F.expr(r"filter(transform(split(v, concat('\\Q', sep, '\\E')), x -> trim(x)), x -> x != '')")
     rows = rows.withColumn("parts", parts)
     one = rows.groupBy("sep").agg(
-        F.count("*").alias("n"), F.avg(F.contains("v", F.col("sep")).cast("double")).alias("share"), F.count_distinct(F.size("parts")).alias("part_counts"), F.count_distinct(F.when(F.size("parts") > 1, F.array_join(F.array_sort("parts"), "\x1f"))).alias("combinations"),
+        F.count("*").alias("n"), F.avg(F.contains("v", F.col("sep")).cast("double")).alias("share"), F.count_distinct(F.size("parts")).alias("part_counts"), F.count_distinct("v").alias("combinations"),
     )
     words = rows.select("sep", F.explode("parts").alias("w")).groupBy("sep").agg(F.count_distinct("w").alias("vocabulary"))
-    packed = (F.col("n") >= 10) & (F.col("share") >= 0.5) & (F.col("vocabulary") <= 100) & (F.col("part_counts") >= 2)
+    packed = (F.col("n") >= 10) & (F.col("share") >= 0.5) & (F.col("vocabulary") <= 100) & ((F.col("part_counts") >= 2) | (F.col("combinations") >= 2 * F.col("vocabulary")))
     return one.join(words, "sep", "left").select("sep", "share", "part_counts", F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"), F.coalesce(packed, F.lit(False)).alias("packed"))
 
 

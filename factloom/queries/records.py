@@ -61,6 +61,17 @@ def arithmetic_check(t):
     return R.check_arithmetic(t("lineitem").select("l_orderkey", "l_linenumber", expression.alias("e"), claim.alias("c")), "e", "c").select("l_orderkey", "l_linenumber", "holds")
 
 
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'verified' ELSE '' END AS status,
+    CASE WHEN o_orderkey % 4 = 1 THEN [o_orderkey || ' + 1 = ' || (o_orderkey * 2 + 5)] ELSE [] END AS wrong FROM orders""")
+def computation_check(t):
+    """Compound claims of every order: right ones with thousands commas, a wrong one beside a right one, a ratio in per cent, and nothing to check."""
+    k, key = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    right = F.concat(F.lit("total = 2; "), key, F.lit(" * 1,000 = "), F.format_number(F.col("o_orderkey") * 1000, 0), F.lit("; 7 - 2 = 5 (about)"))
+    wrong = F.concat(key, F.lit(" + 1 = "), (F.col("o_orderkey") * 2 + 5).cast("string"), F.lit("; 1 + 1 = 2"))
+    text = F.when(k == 0, right).when(k == 1, wrong).when(k == 2, F.lit("(5 - 4) / 4 = 0.25 = 25%; 1 / 4 * 100 = 25.0 %")).otherwise(F.lit("it rose; x = y; 5 = "))
+    return R.check_computations(t("orders").select("o_orderkey", text.alias("s")), "o_orderkey", "s")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM documents")
 def index_upsert(t):
     d = t("documents")
