@@ -7,7 +7,7 @@ the false positives that the filter's fill predicts; the language with most corr
 A trigram belongs to a language when it is at least ``SHARE`` times as frequent there as where it is most
 frequent. The filters are fitted on a bounded sample: at most ``per_language`` labelled documents of least
 hash for each language, whole texts, outside the held-out fifth. Executors build the filters' bits, block by block of
-slots; their size is ``SLOTS`` bits a language, whatever the corpus. Texts that are null or have no letter give ``und``
+slots; they have 8 bits for each trigram of the language with the most (``SLOTS`` at least), so a filter is filled to a third at most, and the sample bounds them, whatever the corpus. Texts that are null or have no letter give ``und``
 with score 0; so does a model without any labelled document. Ties go to the language first in order.
 """
 
@@ -54,8 +54,9 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, borders, has
 
 
-def slots(h: np.ndarray) -> list[np.ndarray]:
-    shift = np.uint64(64 - SLOTS.bit_length() + 1)
+def slots(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """The three slots of each trigram; ``size`` is a power of two."""
+    shift = np.uint64(64 - size.bit_length() + 1)
     return [((h * m) >> shift).astype(np.int64) for m in SLOT_MIX]
 
 
@@ -78,13 +79,13 @@ class Filters:
     def __init__(self, names: list[str], bits: np.ndarray):
         self.names, self.bits = names, bits
         fill = [np.mean(self.bits[k >> 6] >> np.uint64(k & 63) & np.uint64(1)) for k in range(len(names))]
-        self.false = np.minimum(np.array(fill) ** 3, 0.99)
+        self.fill, self.false = fill, np.array(fill) ** 3
 
     def decide(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.names or not texts:
             return ["und"] * len(texts), [0.0] * len(texts)
         h, borders, has = trigrams(texts)
-        where, n = slots(h), np.diff(borders)
+        where, n = slots(h, self.bits.shape[1]), np.diff(borders)
         hits = np.zeros((len(self.names), len(texts)))
         for w, bits in enumerate(self.bits):
             mask = bits[where[0]] & bits[where[1]] & bits[where[2]]
@@ -118,11 +119,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
     place = {name: k for k, name in enumerate(names)}
     words = max(1, len(names) + 63 >> 6)
 
+    most = own.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    size = max(SLOTS, 1 << (8 * most - 1).bit_length()) if most else SLOTS
+
     def to_slots(batches):
         for b in batches:
             h = b.column("gram").to_numpy().view(np.uint64)
             k = np.array([place[x] for x in b.column("lang").to_pylist()], np.int64)
-            at = np.concatenate(slots(h))
+            at = np.concatenate(slots(h, size))
             yield pa.RecordBatch.from_arrays([pa.array(at // BLOCK), pa.array(at % BLOCK), pa.array(np.tile(k, 3))], names=["block", "slot", "k"])
 
     def to_bits(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,15 +137,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
 
     marks = own.select("lang", "gram").mapInArrow(to_slots, "block long, slot long, k long").distinct()
-    bits = np.zeros((words, SLOTS // BLOCK, BLOCK), np.uint64)
-    for r in marks.groupBy("block").applyInArrow(to_bits, "block long, bits binary").collect():  # SLOTS / BLOCK rows: SLOTS bits a language
+    bits = np.zeros((words, size // BLOCK, BLOCK), np.uint64)
+    for r in marks.groupBy("block").applyInArrow(to_bits, "block long, bits binary").collect():  # size / BLOCK rows: size bits a language
         bits[:, r["block"]] = np.frombuffer(r["bits"], np.uint64).reshape(words, BLOCK)
-    return Filters(names, bits.reshape(words, SLOTS))
+    return Filters(names, bits.reshape(words, size))
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with two columns more, the language and its score (named by ``names``; columns of these names in ``docs`` give way); every whole text is read."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS x languages bits: bounded
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # its size x languages bits: bounded by the sample
     kept = [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

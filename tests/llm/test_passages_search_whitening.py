@@ -4,11 +4,12 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 
-from factloom.llm import common, decontam, near_dedup, ranked_search, suffix_trees, whitening
+from factloom.llm import common, decontam, language, near_dedup, ranked_search, suffix_trees, whitening
 
 
 def prose(rng, n, vocabulary=400):
@@ -242,3 +243,17 @@ def test_decontamination_pairs_grow_with_windows_not_items(spark):
     assert got == {k: (False, k * 37) for k in range(20)} | {100 + k: (True, None) for k in range(20)}
     hindi = "यह एक लंबा वाक्य है जिसमें कई शब्द हैं"
     assert [len(r["w"]) for r in spark.createDataFrame([(hindi,)], "t string").select(decontam.words(decontam.F.col("t")).alias("w")).collect()] == [len(hindi.split())]
+
+
+def test_language_filters_grow_with_rich_scripts(spark, monkeypatch):
+    """More trigrams than a small filter holds: the filter grows, is filled to a third at most, and still tells the languages."""
+    common.ship(spark)
+    rng = random.Random(21)
+    rich = lambda: "".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(900))
+    rows = [(i, rich() if i % 2 else " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(60)), "zh" if i % 2 else "xx") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "SLOTS", 1 << 13)
+    filters = language.fit(docs)
+    assert filters.bits.shape[1] > 1 << 18 and max(filters.fill) < 0.4
+    got = language.identify(docs, filters).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5)
