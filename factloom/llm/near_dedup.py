@@ -7,7 +7,7 @@ all documents, then 56 bits of its hash. With k = n - ceil(0.8 n) + 1, two sets
 retained value, whatever the function: no link can be missed. The inverted lists of retained values generate overlaps.
 
 Short lists give all their pairs. A longer list is compared with hubs, not with itself: its least member first, then, while it still
-holds several components, growing shares of the members outside its largest component, until all of those have been hubs: of two components' members
+holds several components, one member of each with one of the largest, a few times over, then growing shares of the members outside its largest component, until all of those have been hubs: of two components' members
 one is outside the largest, so no pair is left out. A pair that shares several long lists is met in the first of them only. Each pair is first
 estimated on the sketch of the union: below the smaller of the two sketches' ends both are known in full, so what they share there and
 what is left of either beyond bounds the intersection, and pairs that cannot reach the threshold are dropped before any set is
@@ -35,7 +35,7 @@ from . import words
 from .common import chunks, row_key, texts, written
 from .components import components, joined
 
-SLOT_BITS, SHORT_LIST, PARTNERS, EARLIER = 20, 12, 256, 16
+SLOT_BITS, SHORT_LIST, PARTNERS, EARLIER, SPARING = 20, 12, 256, 16, 4
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93]
 
 
@@ -230,20 +230,19 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     fits = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n")))
     short = members.filter(F.col("size") <= SHORT_LIST).select("value", "node", "n", "pos")
     pairs = short.alias("a").hint("merge").join(short.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node")) & fits).select(F.col("a.node").alias("hub"), F.col("b.node").alias("node"))
-    long = members.filter(F.col("size") > SHORT_LIST)
-    pairs = written(pairs.union(long.filter("hub != node").select("hub", "node")).distinct(), "pairs")
+    # A member's first long lists: a pair that shares one of them before this list is met there.
+    firsts = F.slice(F.array_sort(F.collect_list(F.struct("pos", "value")).over(Window.partitionBy("node"))), 1, EARLIER)  # of one sketch
+    earlier = F.transform(F.filter(firsts, lambda x: x["pos"] < F.col("pos")), lambda x: x["value"])
+    long = written(members.filter(F.col("size") > SHORT_LIST).select("value", "node", "n", "pos", "hub", earlier.alias("earlier")), "long-lists")
+    pairs = written(pairs.union(long.filter((F.size("earlier") == 0) & (F.col("hub") != F.col("node"))).select("hub", "node")).distinct(), "pairs")
     sketch_rows = sketches.select("node", "n", F.col("sketch").alias("data")).dropDuplicates(["node"])
-    candidates = pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct().hint("merge").join(one, "node")
+    candidates = pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).union(long.select("node")).distinct().hint("merge").join(one, "node")
     sources = base.select("row", F.col("text").alias("data")).hint("merge").join(candidates, "row").select("node", F.lit(0).cast("long").alias("n"), "data").dropDuplicates(["node"])
     sources = written(sources, "candidates")
     links = _links(pairs, sketch_rows, sources, percent, shingle)
     found = components(links)
-    hubs, done = 1, pairs
-    # A member's first long lists: a pair that shares one of them before this list is met there.
-    firsts = F.slice(F.array_sort(F.collect_list(F.struct("pos", "value")).over(Window.partitionBy("node"))), 1, EARLIER)  # of one sketch
-    earlier = F.transform(F.filter(firsts, lambda x: x["pos"] < F.col("pos")), lambda x: x["value"])
-    long = written(long.select("value", "node", "n", "pos", earlier.alias("earlier")), "long-lists")
-    while True:  # long lists that still hold several components; each turn compares more hubs of theirs, so it ends
+    done, turn, sparing, hubs = pairs, 0, True, 1
+    while True:  # long lists that still hold several components; in the end all outside the largest have been hubs, so it ends
         placed = long.hint("merge").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         by_value = placed.groupBy("value", "component").agg(F.count("*").alias("share"))
         several = by_value.groupBy("value").agg(F.count("*").alias("k"), F.max(F.struct("share", "component"))["component"].alias("largest"), (F.sum("share") - F.max("share")).alias("outside"))
@@ -251,24 +250,35 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         most = placed.agg(F.max("outside")).first()[0]
         if most is None:
             break
-        share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("outside") < F.lit(hubs << 20)  # about ``hubs`` of a list, or all
-        chosen = placed.filter((F.col("component") != F.col("largest")) & ((F.col("outside") <= hubs) | share))
+        if sparing:  # one member of each component, another every turn, with one of the largest: few pairs that join most
+            one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "pos", "earlier")).alias("m")
+            others = placed.groupBy("value", "component", "largest").agg(one).select("value", "component", "largest", "m.*")
+            chosen = others.filter(F.col("component") == F.col("largest"))
+        else:  # about ``hubs`` members of a list from outside its largest component, or all of them, with all members of others
+            share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("outside") < F.lit(hubs << 20)
+            others, chosen = placed, placed.filter((F.col("component") != F.col("largest")) & ((F.col("outside") <= hubs) | share))
         more = (
-            placed.alias("a")
+            others.alias("a")
             .hint("merge")
             .join(chosen.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.component") != F.col("b.component")) & fits & ~F.arrays_overlap("a.earlier", "b.earlier"))
             .select(F.least("a.node", "b.node").alias("hub"), F.greatest("a.node", "b.node").alias("node"))
             .distinct()
         )
         more = written(more.hint("merge").join(done, ["hub", "node"], "left_anti"), "pairs")
+        joins = False
         if more.head(1):
             done = done.union(more)
             new = _links(more, sketch_rows, sources, percent, shingle)
-            if new.head(1):
+            joins = bool(new.head(1))
+            if joins:
                 found = joined(found, new)
-        elif most <= hubs:
+        elif not sparing and most <= hubs:
             break  # all members outside the largest component of every open list have been hubs: all pairs are settled
-        hubs *= 8
+        turn += 1
+        if sparing:
+            sparing = joins and turn < SPARING
+        else:
+            hubs *= 8
     placed = classes.hint("merge").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     ids = written(placed.select("label", "component").hint("merge").join(least, "component").select("label", "component_id"), "components")
