@@ -94,7 +94,9 @@ def normalise_quote(c: Column) -> Column:
 
 def evidence_on_lines(lines: DataFrame, quotes: DataFrame) -> DataFrame:
     """quotes(doc_id, quote_id, quote, page) found within one line of lines(doc_id, page, line, text): the shortest line, cited pages first."""
-    hit = lines.alias("l").join(quotes.alias("q"), F.col("l.doc_id") == F.col("q.doc_id")).filter(F.contains(normalise_quote(F.col("l.text")), normalise_quote(F.col("q.quote"))) & (normalise_quote(F.col("q.quote")) != ""))
+    said = lines.withColumn("_said", normalise_quote(F.col("text"))).alias("l")  # once a line, not once a pair
+    asked = quotes.withColumn("_asked", normalise_quote(F.col("quote"))).filter("_asked <> ''").alias("q")
+    hit = said.join(asked, F.col("l.doc_id") == F.col("q.doc_id")).filter(F.contains("_said", F.col("_asked")))
     order = Window.partitionBy("quote_id").orderBy(F.col("cited").desc(), F.length("text"), "page", "line")
     rows = hit.select("q.quote_id", "l.doc_id", "l.page", "l.line", "l.text", (F.col("l.page") == F.col("q.page")).alias("cited"))
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
