@@ -275,6 +275,19 @@ def evidence_in_tables(t):
     return E.evidence_in_tables(grid, quotes).select("quote_id", "table_id", "row", "columns")
 
 
+@query(f"""SELECT s_suppkey * 4 + k AS quote_id, CASE k WHEN 0 THEN 'line' WHEN 1 THEN CASE WHEN last THEN 'line' ELSE 'multiline' END WHEN 2 THEN 'table' ELSE 'none' END AS strategy
+    FROM (SELECT s_suppkey, row = max(row) OVER (PARTITION BY table_id) AS last, unnest([0, 1, 2, 3]) AS k FROM ({GRID}))""")
+def resolve_evidence(t):
+    """Four quotes for each supplier: its own line, that and the next, its row of the grid with a header in between, and words that stand nowhere."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = t("supplier").select(F.col("s_nationkey").alias("doc_id"), F.lit(1).alias("page"), F.row_number().over(w).alias("nth"), "s_suppkey", "s_name", F.lead("s_name").over(w).alias("after"))
+    lines = s.select("doc_id", "page", "nth", F.lit(1).alias("column"), F.col("s_name").alias("text"))
+    grid = cells(t).select(F.col("table_id").alias("doc_id"), F.lit(1).alias("page"), "table_id", "row", "col", "text")
+    said = F.array(F.col("s_name"), F.concat_ws("\n", "s_name", "after"), F.concat(F.upper("s_name"), F.lit(" | key "), F.when(F.col("nth") == 2, "").otherwise(F.col("s_suppkey").cast("string"))), F.lit("words that stand nowhere"))
+    quotes = s.select("doc_id", "page", "nth", "s_suppkey", F.posexplode(said).alias("k", "quote")).select((F.col("s_suppkey") * 4 + F.col("k")).alias("quote_id"), "doc_id", "page", "nth", "quote")
+    return E.resolve_evidence(lines, grid, quotes).select("quote_id", "strategy")
+
+
 @query(f"WITH l AS ({LINES}), n AS (SELECT doc_id, l_linenumber, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_linenumber) AS INTEGER) AS nth, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS k FROM l) SELECT doc_id, 'p1:L' || nth AS line_id, CAST(1 AS INTEGER) AS \"column\", l_linenumber || ' flag' AS text FROM n UNION ALL SELECT doc_id, 'p1:L' || (k + nth), 2, 'status' FROM n")
 def store_lines(t):
     """Two columns far apart, read one after the other."""
