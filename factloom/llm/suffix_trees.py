@@ -189,7 +189,7 @@ def _trees(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     def solved(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         group, first, at = (table.column(c).to_numpy() for c in ("g", "first", "at"))
-        lists = pc.split_pattern(table.column("data").cast(pa.large_string()), " ").combine_chunks()
+        lists = pc.split_pattern(table.column("data").cast(pa.large_binary()), " ").combine_chunks()
         lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
         ends = np.asarray(lists.offsets)
         number = np.asarray(lists.values.dictionary_encode().indices)
