@@ -7,7 +7,7 @@ all documents, then 56 bits of its hash. With k = n - ceil(0.8 n) + 1, two sets
 retained value, whatever the function: no link can be missed. The inverted lists of retained values generate overlaps.
 
 Short lists give all their pairs. A longer list is compared with hubs, not with itself: its least member first, then, while it still
-holds several components, one member of each with one of the largest, a few times over, then growing shares of the members outside its largest component, until all of those have been hubs: of two components' members
+holds several components, one member of each with one of the largest, then growing shares of the members outside its largest component, until all of those have been hubs: of two components' members
 one is outside the largest, so no pair is left out. A pair that shares several long lists is met in the first of them only. Each pair is first
 estimated on the sketch of the union: below the smaller of the two sketches' ends both are known in full, so what they share there and
 what is left of either beyond bounds the intersection, and pairs that cannot reach the threshold are dropped before any set is
@@ -35,7 +35,7 @@ from . import words
 from .common import chunks, row_key, texts, written
 from .components import components, joined
 
-SLOT_BITS, SHORT_LIST, PARTNERS, EARLIER, SPARING = 20, 12, 256, 16, 4
+SLOT_BITS, SHORT_LIST, PARTNERS, EARLIER = 20, 12, 256, 16
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93]
 
 
@@ -241,7 +241,7 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     sources = written(sources, "candidates")
     links = _links(pairs, sketch_rows, sources, percent, shingle)
     found = components(links)
-    done, turn, sparing, hubs = pairs, 0, True, 1
+    done, sparing, hubs = pairs, True, 8
     while True:  # long lists that still hold several components; in the end all outside the largest have been hubs, so it ends
         placed = long.hint("merge").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         by_value = placed.groupBy("value", "component").agg(F.count("*").alias("share"))
@@ -250,8 +250,8 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         most = placed.agg(F.max("outside")).first()[0]
         if most is None:
             break
-        if sparing:  # one member of each component, another every turn, with one of the largest: few pairs that join most
-            one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "pos", "earlier")).alias("m")
+        if sparing:  # one member of each component with one of the largest: few pairs that join most
+            one = F.min(F.struct(F.xxhash64("node").alias("order"), "node", "n", "pos", "earlier")).alias("m")
             others = placed.groupBy("value", "component", "largest").agg(one).select("value", "component", "largest", "m.*")
             chosen = others.filter(F.col("component") == F.col("largest"))
         else:  # about ``hubs`` members of a list from outside its largest component, or all of them, with all members of others
@@ -265,20 +265,16 @@ def _judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
             .distinct()
         )
         more = written(more.hint("merge").join(done, ["hub", "node"], "left_anti"), "pairs")
-        joins = False
         if more.head(1):
             done = done.union(more)
             new = _links(more, sketch_rows, sources, percent, shingle)
-            joins = bool(new.head(1))
-            if joins:
+            if new.head(1):
                 found = joined(found, new)
         elif not sparing and most <= hubs:
             break  # all members outside the largest component of every open list have been hubs: all pairs are settled
-        turn += 1
-        if sparing:
-            sparing = joins and turn < SPARING
-        else:
+        if not sparing:
             hubs *= 8
+        sparing = False
     placed = classes.hint("merge").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     ids = written(placed.select("label", "component").hint("merge").join(least, "component").select("label", "component_id"), "components")
