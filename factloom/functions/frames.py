@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is named several times there: as a lambda's argument it is computed once, not wherever it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def same_keys(pairs: list[tuple[str, str]], null_safe: bool = True) -> Column:
     """Equality of the keys of two frames aliased ``l`` and ``r``."""
     eq = [F.col(f"l.`{a}`").eqNullSafe(F.col(f"r.`{b}`")) if null_safe else F.col(f"l.`{a}`") == F.col(f"r.`{b}`") for a, b in pairs]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pairs as P
+from ..functions.frames import once
 from .documents import ENTITIES, normalise_quote
 
 #: How sure each rule is; kinds whose matches need a label to be sure.
@@ -90,45 +91,49 @@ def in_capitals(text: Column) -> Column:
     return (text == F.upper(text)) & (text != F.lower(text))
 
 
-def stacked_captions(segs: DataFrame, page_width: float) -> DataFrame:
+def stacked_captions(segs: DataFrame, page_width: float, carry: list[str] | None = None) -> DataFrame:
     """doc_id, page, caption_line, caption_segment, caption, line, segment, value, gap: each caption with the nearest segment below it.
 
     ``segs(doc_id, page, line, segment, text, left, top, bottom, height, size)``. Below is: left edges within 6 % of the page's width, and from a fifth of the
     caption's line height above its bottom to four heights under it; of equally near ones the first in reading order. The nearest must
-    also look like a value: not in capitals under a caption in capitals, or set larger. Left edges are joined by buckets as wide as the drift.
+    also look like a value: not in capitals under a caption in capitals, or set larger. Left edges are joined by buckets as wide as the drift; the captions,
+    fewer than the segments, go to their own and both next to it. Columns to ``carry`` come along from the value's segment. The join is a merge join at
+    every size: estimates made before segments are exploded out of rows are too small by far to broadcast a side by.
     """
     drift = STACK_DRIFT * page_width
-    segs = segs.withColumn("_bucket", F.floor(F.col("left") / drift))
-    near = segs.select("doc_id", "page", *[F.col(c).alias(f"v_{c}") for c in ("line", "segment", "text", "left", "top", "size")], F.explode(F.array(*[F.col("_bucket") + k for k in (-1, 0, 1)])).alias("_bucket"))
+    carry = carry or []
+    bucket = F.floor(F.col("left") / drift)
+    near = segs.select("doc_id", "page", *[F.col(c).alias(f"v_{c}") for c in ("line", "segment", "text", "left", "top", "size", *carry)], bucket.alias("_bucket"))
+    heads = segs.filter(is_caption(F.col("text"))).select("doc_id", "page", "line", "segment", "text", "left", "bottom", "height", "size", F.explode(F.array(*[bucket + k for k in (-1, 0, 1)])).alias("_bucket"))
     gap = F.col("v_top") - F.col("bottom")
     below = (gap >= -STACK_OVERLAP * F.col("height")) & (gap <= STACK_GAP * F.col("height")) & (F.abs(F.col("v_left") - F.col("left")) <= drift)
     other = (F.col("line") != F.col("v_line")) | (F.col("segment") != F.col("v_segment"))
-    pairs = segs.filter(is_caption(F.col("text"))).join(near, ["doc_id", "page", "_bucket"]).filter(below & other)
-    best = pairs.groupBy("doc_id", "page", "line", "segment").agg(F.min(F.struct(gap.alias("gap"), "v_line", "v_segment", "v_text", "v_size", "text", "size")).alias("b"))
+    pairs = heads.hint("merge").join(near, ["doc_id", "page", "_bucket"]).filter(below & other)
+    best = pairs.groupBy("doc_id", "page", "line", "segment").agg(F.min(F.struct(gap.alias("gap"), "v_line", "v_segment", "v_text", "v_size", "text", "size", *[f"v_{c}" for c in carry])).alias("b"))
     marked = (in_capitals(F.col("b.text")) & ~in_capitals(F.col("b.v_text"))) | (F.col("b.size") < SMALLER * F.col("b.v_size"))
     return best.filter(marked & (F.trim("b.v_text") != "")).select(
         "doc_id", "page", F.col("line").alias("caption_line"), F.col("segment").alias("caption_segment"), F.col("b.text").alias("caption"),
-        F.col("b.v_line").alias("line"), F.col("b.v_segment").alias("segment"), F.col("b.v_text").alias("value"), F.col("b.gap").alias("gap"),
+        F.col("b.v_line").alias("line"), F.col("b.v_segment").alias("segment"), F.col("b.v_text").alias("value"), F.col("b.gap").alias("gap"), *[F.col(f"b.v_{c}").alias(c) for c in carry],
     )
 
 
 def entity_spans(text: Column, kinds: list[str] | None = None) -> Column:
     """Structs (prio, b, e, kind, value) of the typed patterns' matches, without those inside a match of a kind before theirs.
 
-    Matches of a pattern are marked in the text and the text is cut at the marks; positions are sums of the pieces' lengths. A match inside another
+    Matches of a pattern are marked in the text and the text is cut at the marks (one character: no pattern is compiled for a row); positions are sums of the pieces' lengths. A match inside another
     that is itself inside a third is inside the third, so nothing depends on which have been taken out before.
     """
     clean = F.translate(text, "\x01\x02", "  ")
 
     def matches(prio: int, kind: str) -> Column:
-        pieces = F.transform(F.split(F.regexp_replace(clean, ENTITIES[kind], "\x01$0\x02"), "[\x01\x02]"), lambda p: F.struct(p.alias("t")))
-        placed = F.arrays_zip(pieces.alias("p"), offsets(pieces, "t", 0).alias("o"))
+        pieces = F.transform(F.split(F.regexp_replace(clean, ENTITIES[kind], "\x01$0\x01"), "\x01"), lambda p: F.struct(p.alias("t")))
+        placed = once(pieces, lambda x: F.arrays_zip(x.alias("p"), offsets(x, "t", 0).alias("o")))
         inside = F.filter(placed, lambda _, i: i % 2 == 1)
         return F.transform(inside, lambda x: F.struct(F.lit(prio).alias("prio"), x["o"]["b"].alias("b"), x["o"]["e"].alias("e"), F.lit(kind).alias("kind"), x["p"]["t"].alias("value")))
 
     found = F.flatten(F.array(*[matches(i, k) for i, k in enumerate(kinds or ENTITIES)]))
     outer = lambda m, o: (o["prio"] < m["prio"]) & (o["b"] <= m["b"]) & (m["e"] <= o["e"])
-    return F.filter(found, lambda m: ~F.exists(found, lambda o: outer(m, o)))
+    return once(found, lambda f: F.filter(f, lambda m: ~F.exists(f, lambda o: outer(m, o))))
 
 
 def segment_fields(words: DataFrame, page_width: float, page_height: float) -> DataFrame:

@@ -56,7 +56,8 @@ def entity_claims(t):
     """Dates inside an address and inside a number are theirs; the one that stands alone is a date."""
     d = F.date_format("o_orderdate", "yyyy-MM-dd")
     text = F.concat(F.lit("See www.x"), "o_custkey", F.lit(".com/"), d, F.lit(" and INV/"), d, F.lit(" due "), d, F.lit("."))
-    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.explode(S.entity_spans(text)).alias("m"))
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition("o_orderkey")  # patterns are dear and the file is small: all cores get rows
+    rows = orders.select(F.col("o_orderkey").alias("id"), F.explode(S.entity_spans(text)).alias("m"))
     return rows.select("id", "m.kind", "m.value", "m.b")
 
 
