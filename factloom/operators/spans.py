@@ -157,12 +157,12 @@ def segment_fields(words: DataFrame, page_width: float, page_height: float) -> D
     none = F.array().cast("array<struct<name: string, value: string, rule: string, ws: array<struct<left: double, word_idx: int, text: string, top: double, width: double, height: double, conf: double>>>>")
     rows = segs.select("doc_id", "page", F.explode(F.concat(typed, F.coalesce(said, none), kind)).alias("f")).select("doc_id", "page", "f.*")
     flat = segs.select("doc_id", "page", "line", "segment", "text", F.array_min(F.transform("ws", lambda x: x["left"])).alias("left"), F.array_min(F.transform("ws", lambda x: x["top"])).alias("top"),
-                       F.array_max(F.transform("ws", lambda x: x["top"] + x["height"])).alias("bottom"), F.array_max(F.transform("ws", lambda x: x["height"])).alias("height"), "size")
-    stacked = stacked_captions(flat, page_width).join(segs.select("doc_id", "page", "line", "segment", "ws"), ["doc_id", "page", "line", "segment"])
+                       F.array_max(F.transform("ws", lambda x: x["top"] + x["height"])).alias("bottom"), F.array_max(F.transform("ws", lambda x: x["height"])).alias("height"), "size", "ws")
+    stacked = stacked_captions(flat, page_width, ["ws"])
     rows = rows.unionByName(stacked.select("doc_id", "page", snake_case(F.col("caption")).alias("name"), "value", F.lit("stacked").alias("rule"), "ws"))
-    sizes = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("size")).alias("_z"))  # of one page
-    sizes = sizes.select("doc_id", "page", F.element_at("_z", -1).alias("_most"), F.get("_z", F.floor(F.size("_z") / 2).cast("int")).alias("_mid")).filter(F.col("_most") >= TITLE_SIZE * F.col("_mid"))
-    large = words.join(sizes, ["doc_id", "page"]).filter(F.col("size") >= TITLE_SHARE * F.col("_most"))
+    whole = Window.partitionBy("doc_id", "page")
+    large = words.withColumn("_z", F.array_sort(F.collect_list("size").over(whole)))  # of one page
+    large = large.withColumns({"_most": F.element_at("_z", -1), "_mid": F.get("_z", F.floor(F.size("_z") / 2).cast("int"))}).filter((F.col("_most") >= TITLE_SIZE * F.col("_mid")) & (F.col("size") >= TITLE_SHARE * F.col("_most")))
     title = large.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(word)).alias("ws"))
     title = title.groupBy("doc_id", "page").agg(F.min_by("ws", "line").alias("ws"))
     rows = rows.unionByName(title.select("doc_id", "page", F.lit("document_title").alias("name"), F.array_join(F.transform("ws", lambda x: x["text"]), " ").alias("value"), F.lit("heading").alias("rule"), "ws"))
@@ -182,17 +182,19 @@ def resolve_fields(fields: DataFrame) -> DataFrame:
     page = ["doc_id", "page"]
     place = [F.col("box.ymin"), F.col("box.xmin"), F.col("name"), F.col("value")]
     first = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*page, *by).orderBy(F.desc("confidence"), *place))).filter("_n = 1").drop("_n")
-    rows = first(fields.withColumn("_v", F.lower("value")), ["name", "_v"])
+    rows = fields.select(*page, "name", "value", "rule", "confidence", "box", F.lower("value").alias("_v"))
+    rows = first(rows.repartition(*page), ["name", "_v"])  # dealt by page once: whatever follows is within a page
     # Of one name: taken by falling confidence, each unless it holds, or is held by, one that is taken.
     item = F.struct((-F.col("confidence")).alias("c"), F.col("box.ymin").alias("y"), F.col("box.xmin").alias("x"), "_v")
     clash = lambda got, v: F.exists(got, lambda k: F.contains(k, v) | F.contains(v, k))
     taken = F.aggregate(F.array_sort(F.collect_list(item)), F.array().cast("array<string>"), lambda got, x: F.when(clash(got, x["_v"]), got).otherwise(F.concat(got, F.array(x["_v"]))))
-    kept = rows.groupBy(*page, "name").agg(taken.alias("_taken"))
-    rows = rows.join(kept, [*page, "name"]).filter(F.array_contains("_taken", F.col("_v"))).drop("_taken")
+    one = F.struct("name", "value", "rule", "confidence", "box", "_v")
+    kept = rows.groupBy(*page, "name").agg(taken.alias("_taken"), F.collect_list(one).alias("_f")).select(*page, "_taken", F.explode("_f").alias("_f"))
+    rows = kept.filter(F.array_contains("_taken", F.col("_f._v"))).select(*page, "_f.*")
     rows = first(rows, ["_v"])
-    others = rows.groupBy(*page).agg(F.collect_list(F.struct("name", "_v", "box")).alias("_all"))  # the fields of one page
     holds = lambda o: (F.struct(o["name"], o["_v"]) != F.struct("name", "_v")) & F.contains(o["_v"], F.col("_v")) & (o["box"]["xmin"] <= F.col("box.xmin")) & (F.col("box.xmax") <= o["box"]["xmax"]) & (o["box"]["ymin"] <= F.col("box.ymin")) & (F.col("box.ymax") <= o["box"]["ymax"])
-    rows = rows.join(others, page).filter(~(F.col("name").isin(*LOOSE) & F.exists("_all", holds)))
+    rows = rows.groupBy(*page).agg(F.collect_list(one).alias("_all")).select(*page, "_all", F.explode("_all").alias("_f")).select(*page, "_all", "_f.*")  # the fields of one page
+    rows = rows.filter(~(F.col("name").isin(*LOOSE) & F.exists("_all", holds)))
     same = Window.partitionBy(*page, "name")
     numbered = F.when(F.count("*").over(same) > 1, F.concat("name", F.lit("_"), F.row_number().over(same.orderBy(*place[:2], "value")))).otherwise(F.col("name"))
     return rows.select(*page, numbered.alias("name"), "value", "rule", "confidence", "box")
