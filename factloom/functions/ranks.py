@@ -19,28 +19,44 @@ def running(counts: DataFrame, value: str, sums: list[str], by: list[str] | None
     """``counts`` (a row per distinct number ``value``, within ``by``) with ``<c>_before``, the sum of c over smaller values, and ``<c>_all`` over all."""
     by = by or []
     cuts = [k / PARTS for k in range(1, PARTS)]
-    marks = counts.groupBy(*by).agg(F.percentile_approx(value, cuts, F.lit(10_000)).alias("_marks"), *[F.sum(c).alias(f"{c}_all") for c in sums])
+    marks = counts.groupBy(*by).agg(F.percentile_approx(value, cuts, F.lit(10_000)).alias("_marks"))
     rows = _attach(counts, marks, by).withColumn("_part", F.size(F.filter("_marks", lambda m: m <= F.col(value))))
-    parts = rows.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])  # PARTS rows, for each of ``by``
+    parts = rows.groupBy(*by, "_part").agg(F.min(value).alias("_lo"), *[F.sum(c).alias(f"_{c}") for c in sums])  # PARTS rows, for each of ``by``
     order = Window.partitionBy(*by).orderBy("_part")
-    parts = parts.select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col("_part").alias("_of"), *[(F.sum(f"_{c}").over(order) - F.col(f"_{c}")).alias(f"_{c}") for c in sums])
-    same = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]
+    parts = parts.withColumns({f"_b{c}": F.sum(f"_{c}").over(order) - F.col(f"_{c}") for c in sums} | {f"_a{c}": F.sum(f"_{c}").over(Window.partitionBy(*by)) for c in sums})
+    out = by_parts(counts, F.col(value), parts, [x for c in sums for x in (f"_b{c}", f"_a{c}")], by)
     within = Window.partitionBy(*by, "_part").orderBy(value)
-    out = rows.join(parts, [F.col("_part") == F.col("_of"), *same])
-    out = out.withColumns({f"{c}_before": F.col(f"_{c}") + F.sum(c).over(within) - F.col(c) for c in sums})
-    return out.drop("_part", "_marks", "_of", *[f"_{c}" for c in sums], *[f"_by_{k}" for k in by])
+    out = out.withColumns({f"{c}_all": F.col(f"_of._a{c}") for c in sums} | {f"{c}_before": F.col(f"_of._b{c}") + F.sum(c).over(within) - F.col(c) for c in sums})
+    return out.drop("_part", "_of")
 
 
-def in_parts(df: DataFrame, order_by: str, by: list[str] | None = None) -> DataFrame:
-    """``df`` with ``_part``: parts of the order of a number, date or timestamp, within ``by``; texts are left in one part."""
-    by = by or []
+def by_parts(rows: DataFrame, number: Column, parts: DataFrame, keep: list[str], by: list[str]) -> DataFrame:
+    """``rows`` with ``_part`` and, in ``_of``, what is kept of their part. ``parts``: a row per part (within ``by``), with ``_lo``, its least number.
+
+    Sketches differ from one evaluation to the next (by the order in which they are merged), and a plan that names ``_part`` twice may evaluate them twice:
+    rows would then be summed in one part and looked up in another. So parts are made once, and rows find theirs by the least numbers that came out.
+    """
+    few = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_lo", *keep))).alias("_parts"))
+    place = F.greatest(F.size(F.filter("_parts", lambda p: p["_lo"].isNull() | (p["_lo"] <= number))), F.lit(1))
+    out = _attach(rows, few, by).withColumn("_part", place)
+    return out.withColumn("_of", F.element_at("_parts", F.col("_part"))).drop("_parts")
+
+
+def number_of(df: DataFrame, order_by: str) -> Column:
+    """A number, date or timestamp as a double in the same order; null for texts, which are left in one part."""
     kind = df.schema[order_by].dataType
     if isinstance(kind, T.StringType):
-        return df.withColumn("_part", F.lit(0))
+        return F.lit(None).cast("double")
     number = F.unix_date(F.col(order_by)) if isinstance(kind, T.DateType) else F.col(order_by).cast("timestamp").cast("double") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else F.col(order_by)
-    rows = df.withColumn("_number", number.cast("double"))
+    return number.cast("double")
+
+
+def in_parts(df: DataFrame, order_by: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` with ``_part`` and ``_number``: parts of the order of a number, date or timestamp, within ``by``. Evaluate it once (``by_parts`` says why)."""
+    by = by or []
+    rows = df.withColumn("_number", number_of(df, order_by))
     marks = rows.groupBy(*by).agg(F.percentile_approx("_number", [k / PARTS for k in range(1, PARTS)], F.lit(10_000)).alias("_marks"))
-    return _attach(rows, marks, by).withColumn("_part", F.coalesce(F.size(F.filter("_marks", lambda m: m <= F.col("_number"))), F.lit(0))).drop("_marks", "_number")
+    return _attach(rows, marks, by).withColumn("_part", F.coalesce(F.size(F.filter("_marks", lambda m: m <= F.col("_number"))), F.lit(0))).drop("_marks")
 
 
 def _attach(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..functions.ranks import in_parts, wide_quantiles, with_medians
+from ..functions.ranks import by_parts, in_parts, number_of, wide_quantiles, with_medians
 
 
 def is_marker(name: str) -> bool:
@@ -50,23 +50,20 @@ def _nearest(df: DataFrame, column: str, order_by: str, by: list[str] | None, nu
     and its first and last known value are carried over to the others.
     """
     by = by or []
-    rows = in_parts(df, order_by, by)
     w = Window.partitionBy(*by, "_part").orderBy(order_by)
-    rows = rows.withColumn("_at", F.row_number().over(w))
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(column).alias("v")))
-    rows = rows.withColumn("_known", known)
-    parts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min_by("_known", "_known.at").alias("_first"), F.max_by("_known", "_known.at").alias("_last"))
+    numbered = lambda rows: rows.withColumn("_at", F.row_number().over(w)).withColumn("_known", known)
+    parts = numbered(in_parts(df, order_by, by)).groupBy(*by, "_part").agg(F.min("_number").alias("_lo"), F.count("*").alias("_n"), F.min_by("_known", "_known.at").alias("_first"), F.max_by("_known", "_known.at").alias("_last"))
     across = Window.partitionBy(*by).orderBy("_part")
-    moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.at") + F.col("_before")).alias("at"), F.col(f"{c}.v").alias("v")))
+    moved = lambda c, by_: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.at") + F.col(by_)).alias("at"), F.col(f"{c}.v").alias("v")))
     parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    parts = parts.withColumns({"_first": moved("_first"), "_last": moved("_last")})
+    parts = parts.withColumns({"_first": moved("_first", "_before"), "_last": moved("_last", "_before")})
     parts = parts.withColumns({"_prev": F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)), "_next": F.first("_first", True).over(across.rowsBetween(1, Window.unboundedFollowing))})
-    few = parts.select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col("_part").alias("_of"), "_before", "_prev", "_next")
-    rows = rows.join(few, reduce(Column.__and__, [F.col("_part") == F.col("_of"), *[F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]]))
-    rows = rows.withColumns({"_known": moved("_known"), "_at": F.col("_at") + F.col("_before")})
-    back = F.last("_known", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_known", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumns({"_back": F.coalesce(back, "_prev"), "_ahead": F.coalesce(ahead, "_next")})
+    rows = numbered(by_parts(df, number_of(df, order_by), parts, ["_before", "_prev", "_next"], by))
+    rows = rows.withColumns({"_known": moved("_known", "_of._before"), "_at": F.col("_at") + F.col("_of._before")})
+    # Both sides are running values: a frame from a row to the end would be gone through anew for every row.
+    near = lambda order: F.last("_known", True).over(Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns({"_back": F.coalesce(near(F.asc("_at")), "_of._prev"), "_ahead": F.coalesce(near(F.desc("_at")), "_of._next")})
 
 
 def ffill(df: DataFrame, column: str, order_by: str, by: list[str] | None = None) -> DataFrame:

@@ -355,3 +355,14 @@ def test_first_rows_and_imputed_claims(spark, tmp_path):
     assert claims.review("North leads by far.", s.ledger) == ["all values of north were filled in (v_was_missing)"] and not claims.review("South leads.", s.ledger)
     top = A.rank_by(spark.createDataFrame([(f"g{k}", float(k)) for k in range(50)], "g string, v double"), "g", "v", top=3).collect()
     assert [(r["rank"], r["label"]) for r in top] == [(1, "g49"), (2, "g48"), (3, "g47")] and top[2]["cumulative_pct"] == pytest.approx(100 * 144 / 1225)
+
+
+def test_parts_are_sketched_once(spark):
+    """Two evaluations of a sketch may differ, so no plan names the parts of one twice; and no fill goes from each row to the end."""
+    from factloom.functions.ranks import running
+
+    df = spark.range(50).select(F.col("id").alias("v"), F.lit(1).alias("n"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("x"))
+    for made in (running(df, "v", ["n"]), C.bfill(df, "x", "v")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("percentile_approx(") == 1
+        assert "currentrow$(), unboundedfollowing$()" not in plan
