@@ -22,16 +22,21 @@ def least_ranges(ranges: DataFrame, key: list[str], lo: str = "x0", hi: str = "x
     return ranges.select(*key, lo, hi).distinct().withColumn("_least", F.min(hi).over(before)).filter(F.col("_least").isNull() | (F.col("_least") > F.col(hi))).drop("_least")
 
 
+def kept_bands(ordered: Column) -> Column:
+    """Of ranges (lo, up: the end, negative) in order, each that begins at or after the end of the last kept."""
+    return F.aggregate(
+        ordered, F.array().cast("array<struct<lo: double, up: double>>"),
+        lambda got, x: F.when((F.size(got) == 0) | (x["lo"] >= -F.element_at(got, -1)["up"]), F.concat(got, F.array(x))).otherwise(got),
+    )
+
+
 def bands(ranges: DataFrame, key: list[str], lo: str = "y0", hi: str = "y1") -> DataFrame:
     """Ranges taken from the top, the tallest of those that begin together, each kept if it begins at or after the end of the last kept.
 
     The rows of one key (a table on a page) are folded in order.
     """
     ordered = F.array_sort(F.collect_set(F.struct(F.col(lo).alias("lo"), (-F.col(hi)).alias("up"))))
-    kept = F.aggregate(
-        ordered, F.array().cast("array<struct<lo: double, up: double>>"),
-        lambda got, x: F.when((F.size(got) == 0) | (x["lo"] >= -F.element_at(got, -1)["up"]), F.concat(got, F.array(x))).otherwise(got),
-    )
+    kept = kept_bands(ordered)
     rows = ranges.withColumns({lo: F.col(lo).cast("double"), hi: F.col(hi).cast("double")}).groupBy(*key).agg(kept.alias("_kept"))
     return rows.select(*key, F.explode("_kept").alias("_b")).select(*key, F.col("_b.lo").alias(lo), (-F.col("_b.up")).alias(hi))
 
@@ -46,29 +51,39 @@ def ruled_tables(rects: DataFrame, words: DataFrame) -> DataFrame:
     text when every cell of the first row has some, else col1, col2, ... Cells without words have their own rectangle as box.
     """
     near = lambda c: F.round(c, 1)
-    box = rects.groupBy(*KEY).agg(F.min("x0").alias("tx0"), F.min("y0").alias("ty0"), F.max("x1").alias("tx1"), F.max("y1").alias("ty1"))
-    w = words.select(F.col("doc_id").alias("w_doc"), F.col("page").alias("w_page"), "word_idx", "text", "left", "top", (F.col("left") + F.col("width")).alias("right"), (F.col("top") + F.col("height")).alias("bottom"))
-    inside = (F.col("doc_id") == F.col("w_doc")) & (F.col("page") == F.col("w_page")) & F.col("top").between(F.col("ty0") - 1, F.col("ty1") + 1)
-    w = box.join(w, inside).withColumn("centre", (F.col("left") + F.col("right")) / 2).drop("w_doc", "w_page")
-    columns = least_ranges(rects.filter(F.col("x1") - F.col("x0") > COLUMN_WIDTH).select(*KEY, near("x0").alias("x0"), near("x1").alias("x1")), KEY)
-    rows = bands(rects.groupBy(*KEY, "row").agg(near(F.min("y0")).alias("y0"), near(F.max("y1")).alias("y1")), KEY)
-    in_column = F.col("centre").between(F.col("x0") - 0.5, F.col("x1") + 0.5)
-    in_row = F.col("top").between(F.col("y0") - 1, F.col("y1") + 1)
-    by_column = w.join(columns, KEY).filter(in_column)
-    columns = by_column.select(*KEY, "x0", "x1").distinct().withColumn("col", F.row_number().over(Window.partitionBy(*KEY).orderBy("x0", "x1")) - 1)
+    page = ["doc_id", "page"]
+    # Ranges of one table, in one row; the words of a page meet its tables, and all that follows stays within the page: one shuffle of either side.
+    wide = F.collect_set(F.when(F.col("x1") - F.col("x0") > COLUMN_WIDTH, F.struct((-near(F.col("x0").cast("double"))).alias("lo"), near(F.col("x1").cast("double")).alias("hi"))))
+    ranges = rects.repartition(*page).groupBy(*KEY, "row").agg(near(F.min("y0")).cast("double").alias("y0"), near(F.max("y1")).cast("double").alias("y1"), F.min("x0").alias("tx0"), F.min("y0").alias("ty0"), F.max("x1").alias("tx1"), F.max("y1").alias("ty1"), wide.alias("_wide"))
+    tall = F.array_sort(F.collect_set(F.struct(F.col("y0").alias("lo"), (-F.col("y1")).alias("up"))))
+    box = ranges.groupBy(*KEY).agg(F.min("tx0").alias("tx0"), F.min("ty0").alias("ty0"), F.max("tx1").alias("tx1"), F.max("ty1").alias("ty1"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_wide")))).alias("_wide"), tall.alias("_tall"))
+    none = F.struct(F.lit(None).cast("double").alias("least"), F.array().cast("array<struct<x0: double, x1: double>>").alias("kept"))
+    holds = lambda got, x: F.coalesce(got["least"] <= x["hi"], F.lit(False))  # noqa: E731  (in order of falling start: ``least_ranges`` says why)
+    kept = lambda got, x: F.when(holds(got, x), got["kept"]).otherwise(F.concat(got["kept"], F.array(F.struct((-x["lo"]).alias("x0"), x["hi"].alias("x1")))))
+    least = F.aggregate("_wide", none, lambda got, x: F.struct(F.least(got["least"], x["hi"]).alias("least"), kept(got, x).alias("kept")), lambda got: got["kept"])
+    box = box.select(*KEY, "tx0", "ty0", "tx1", "ty1", least.alias("_columns"), F.transform(kept_bands(F.col("_tall")), lambda x: F.struct(x["lo"].alias("y0"), (-x["up"]).alias("y1"))).alias("_rows"))
+    w = words.select(*page, "word_idx", "text", "left", "top", (F.col("left") + F.col("width")).alias("right"), (F.col("top") + F.col("height")).alias("bottom"))
+    w = box.hint("merge").join(w, page).filter(F.col("top").between(F.col("ty0") - 1, F.col("ty1") + 1)).withColumn("centre", (F.col("left") + F.col("right")) / 2)
+    in_columns = F.filter("_columns", lambda c: F.col("centre").between(c["x0"] - 0.5, c["x1"] + 0.5))
+    in_rows = F.filter("_rows", lambda r: F.col("top").between(r["y0"] - 1, r["y1"] + 1))
     across = F.col("centre").between(F.col("tx0") - 0.5, F.col("tx1") + 0.5)
-    rows = w.filter(across).join(rows, KEY).filter(in_row).select(*KEY, "y0", "y1").distinct().withColumn("row", F.row_number().over(Window.partitionBy(*KEY).orderBy("y0", "y1")) - 1)
-    count = lambda df, name: df.groupBy(*KEY).agg(F.count("*").alias(name))
-    good = count(columns, "n_cols").join(count(rows, "n_rows"), KEY).filter((F.col("n_cols") >= LEAST_COLUMNS) & (F.col("n_rows") >= LEAST_ROWS)).select(*KEY)
-    frame = good.join(columns, KEY).join(rows, KEY)
-    held = by_column.join(columns, [*KEY, "x0", "x1"]).join(rows, KEY).filter(in_row)
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "word_idx", "text"))), lambda x: x["text"]), " ")
-    texts = held.groupBy(*KEY, "row", "col").agg(said.alias("text"), F.min("left").alias("wx0"), F.min("top").alias("wy0"), F.max("right").alias("wx1"), F.max("bottom").alias("wy1"))
-    cells = frame.join(texts, [*KEY, "row", "col"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    heads = cells.filter("row = 0").select(*KEY, "col", F.col("text").alias("head"), (F.min(F.length(F.trim("text"))).over(Window.partitionBy(*KEY)) > 0).alias("named"))
-    name = F.when(F.col("named"), F.col("head")).otherwise(F.concat(F.lit("col"), F.col("col") + 1))
-    edge = lambda c: F.round(F.coalesce(f"w{c}", c), 2).alias(c)
-    return cells.join(heads, [*KEY, "col"]).select(*KEY, "row", "col", name.alias("column"), "text", *[edge(c) for c in ("x0", "y0", "x1", "y1")])
+    said = ["word_idx", "text", "left", "top", "right", "bottom"]
+    w = w.select(*KEY, *said, across.alias("_across"), in_columns.alias("_columns"), in_rows.alias("_rows"))
+    w = w.select(*KEY, *said, "_across", "_rows", F.explode_outer("_columns").alias("_c")).select(*KEY, *said, "_across", "_c", F.explode_outer("_rows").alias("_r"))
+    # A column or row is numbered among those that hold a word; a word outside of the columns still makes a row.
+    table, number = Window.partitionBy(*KEY), lambda c: F.when(F.col(c).isNotNull(), F.dense_rank().over(Window.partitionBy(*KEY).orderBy(F.asc_nulls_last(c))) - 1)
+    w = w.withColumn("_r", F.when(F.max(F.col("_across")).over(Window.partitionBy(*KEY, "_r")), F.col("_r")))
+    w = w.withColumns({"col": number("_c"), "row": number("_r")})
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "word_idx", "text"))), lambda x: x["text"]), " ")
+    cells = w.groupBy(*KEY, "row", "_r", "col", "_c").agg(line.alias("text"), F.min("left").alias("wx0"), F.min("top").alias("wy0"), F.max("right").alias("wx1"), F.max("bottom").alias("wy1"))
+    cells = cells.withColumns({"n_cols": F.max("col").over(table) + 1, "n_rows": F.max("row").over(table) + 1, "_all": F.array_sort(F.collect_set(F.when(F.col("col").isNotNull(), F.struct("col", "_c"))).over(table))})
+    good = cells.filter((F.col("n_cols") >= LEAST_COLUMNS) & (F.col("n_rows") >= LEAST_ROWS) & F.col("row").isNotNull())
+    lines = good.groupBy(*KEY, "row", "_r").agg(F.first("_all").alias("_all"), F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", "text", "wx0", "wy0", "wx1", "wy1"))).alias("_said"))
+    whole = F.transform("_all", lambda c: F.struct(c["col"].alias("col"), c["_c"].alias("c"), F.get(F.filter("_said", lambda x: x["col"] == c["col"]), 0).alias("w")))
+    cells = lines.select(*KEY, "row", "_r", F.explode(whole).alias("_x")).select(*KEY, "row", F.col("_x.col").alias("col"), F.coalesce("_x.w.text", F.lit("")).alias("text"), *[F.round(F.coalesce(f"_x.w.w{e}", f"{of}.{e}"), 2).alias(e) for e, of in (("x0", "_x.c"), ("y0", "_r"), ("x1", "_x.c"), ("y1", "_r"))])
+    named = F.min(F.when(F.col("row") == 0, F.length(F.trim("text")))).over(table) > 0
+    head = F.max(F.when(F.col("row") == 0, F.col("text"))).over(Window.partitionBy(*KEY, "col"))
+    return cells.select(*KEY, "row", "col", F.when(named, head).otherwise(F.concat(F.lit("col"), F.col("col") + 1)).alias("column"), "text", "x0", "y0", "x1", "y1")
 
 
 def normalise_grid(cells: DataFrame, key: list[str] = KEY) -> DataFrame:

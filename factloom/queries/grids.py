@@ -13,7 +13,8 @@ ONCE = "SELECT l_orderkey, l_linenumber, any_value(l_partkey) AS l_partkey, any_
 
 
 def order_lines(t):
-    li = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_linestatus").alias("l_linestatus"))
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus").repartition("l_orderkey")  # dealt by order once, for all that follows
+    li = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_linestatus").alias("l_linestatus"))
     return li.withColumn("nth", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
 
 
