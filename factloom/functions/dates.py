@@ -21,10 +21,21 @@ def dashed(c: Column) -> Column:
     return F.regexp_replace(strip(c), r"(?<=\d)[/.](?=\d)", "-")
 
 
+def shape(layout: str) -> str:
+    """A pattern that every text of a layout has: its separators, and in their place its year of four digits or more."""
+    day, _, clock = layout.replace("'T'", " ").partition(" ")
+    day = "-".join(r"[+-]?\d{4,}" if part == "yyyy" else r"[+-]?\d+" for part in day.split("-"))
+    between = "[Tt]" if "T" in layout else " "
+    return f"^{day}{between}{':'.join([r'[+-]?\d+'] * len(clock.split(':')))}$" if clock else f"^{day}$"
+
+
 def parse_date(c: Column, day_first: bool) -> Column:
-    """A timestamp, or null; ISO layouts, then the given convention. Clock times are never dates."""
+    """A timestamp, or null; ISO layouts, then the given convention. Clock times are never dates.
+
+    A layout is tried on texts of its shape only: a try that fails costs an exception.
+    """
     text = dashed(c)
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in (*ISO, *(DAY_FIRST if day_first else MONTH_FIRST))]
+    tries = [F.when(text.rlike(shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in (*ISO, *(DAY_FIRST if day_first else MONTH_FIRST))]
     return F.when(~c.rlike(CLOCK), F.coalesce(*tries))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 PARTS = 64
 #: Rows of a group that are looked at whole; half a bracket's width as a share of the rows, for groups too small for a narrow one; places that a bracket must reach beyond its quantile.
 FEW, WIDE, PLACES = 2_000, 0.0015, 3
+#: Rows of a group from which its marks are broadcast: one row of marks for each so many rows of the input, at most.
+MANY = 100_000
 
 
 def running(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None) -> DataFrame:
@@ -72,7 +74,8 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float], by: list[s
 
     A sketch gives two marks around each quantile, further apart than its error and the two places an interpolation looks at. What lies below the lower mark
     is counted, what lies between is counted by value, and the quantile is found among those few: nothing but they is shuffled. Groups of up to
-    ``FEW`` rows are their own bracket.
+    ``FEW`` rows are their own bracket. Rows meet their marks where they are read, so no task gets a whole column or group; only the rows of groups under
+    ``MANY`` rows are shuffled to theirs.
     """
     by = by or []
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
@@ -85,7 +88,12 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float], by: list[s
     low = F.array(*[F.when(F.col("n") <= FEW, float("-inf")).otherwise(mark(4 * k)) for k in range(len(shares))])
     high = F.array(*[F.when(F.col("n") <= FEW, float("nan")).otherwise(mark(4 * k + 2)) for k in range(len(shares))])  # not-a-number is the largest
     marks = marks.select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col("column").alias("_column"), "n", F.arrays_zip(low.alias("lo"), high.alias("hi")).alias("_m"))
-    rows = values.join(marks, [F.col("column") == F.col("_column"), *[F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]])
+    same = [F.col("column") == F.col("_column"), *[F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]]
+    if by:
+        large = F.broadcast(marks.filter(F.col("n") >= MANY))  # at most a row for each MANY values
+        rows = values.join(large, same).unionByName(values.join(large, same, "left_anti").join(marks.filter(F.col("n") < MANY), same))
+    else:
+        rows = values.join(F.broadcast(marks), same)  # a row per column
     rows = rows.select(*by, "column", "n", "v", F.posexplode("_m").alias("k", "m")).filter(F.col("v") <= F.col("m.hi"))
     counts = rows.groupBy(*by, "column", "n", "k", F.when(F.col("v") >= F.col("m.lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
     order = Window.partitionBy(*by, "column", "n", "k").orderBy(F.asc_nulls_first("v"))
