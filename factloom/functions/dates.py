@@ -32,11 +32,11 @@ def shape(layout: str) -> str:
 def parse_date(c: Column, day_first: bool) -> Column:
     """A timestamp, or null; ISO layouts, then the given convention. Clock times are never dates.
 
-    A layout is tried on texts of its shape only: a try that fails costs an exception.
+    A layout is tried on texts of its shape only: a try that fails costs an exception. Separators are made dashes once, not once a try.
     """
-    text = dashed(c)
-    tries = [F.when(text.rlike(shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in (*ISO, *(DAY_FIRST if day_first else MONTH_FIRST))]
-    return F.when(~c.rlike(CLOCK), F.coalesce(*tries))
+    layouts = (*ISO, *(DAY_FIRST if day_first else MONTH_FIRST))
+    read = lambda text: F.coalesce(*[F.when(text.rlike(shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in layouts])
+    return F.when(~c.rlike(CLOCK), F.transform(F.array(dashed(c)), read)[0])
 
 
 def convention_counts(df: DataFrame, column: str) -> DataFrame:

@@ -105,10 +105,12 @@ def date_pair_score(t):
     """Of the readings of two date columns, the one with fewest negative gaps, then fewest unread, then least median gap."""
     df = t("orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("s"), F.date_format(F.date_add("o_orderdate", 3), "dd-MM-yyyy").alias("e"))
     tries = [(a, b) for a in (False, True) for b in (False, True)]
+    read = df.select(*[D.parse_date(F.col(c), first).alias(f"{c}{int(first)}") for c in ("s", "e") for first in (False, True)])  # each reading once a row
+    gaps = read.select(*[T.duration(F.col(f"s{int(a)}"), F.col(f"e{int(b)}")).alias(f"gap{k}") for k, (a, b) in enumerate(tries)])
     scored = []
-    for k, (a, b) in enumerate(tries):
-        gap = T.duration(D.parse_date(F.col("s"), a), D.parse_date(F.col("e"), b))
+    for k in range(len(tries)):
+        gap = F.col(f"gap{k}")
         scored += [F.count_if(gap < 0).alias(f"neg{k}"), F.count_if(gap.isNull()).alias(f"bad{k}"), F.percentile(F.abs(gap), 0.5).alias(f"mid{k}")]
-    wide = df.agg(*scored)  # all four readings in one pass
+    wide = gaps.agg(*scored)  # all four readings in one pass
     cells = [F.struct(F.col(f"neg{k}").alias("n_negative"), F.col(f"bad{k}").alias("n_unread"), F.col(f"mid{k}").alias("median_gap"), F.lit(a).alias("start_day_first"), F.lit(b).alias("end_day_first")) for k, (a, b) in enumerate(tries)]
     return wide.select(F.array_min(F.array(*cells)).alias("x")).select("x.*")

@@ -92,6 +92,18 @@ def test_clock_times_are_no_dates(spark):
     assert df.select(dates.parse_date(F.col("d"), False)).first()[0] is None
 
 
+def test_layouts_are_tried_on_texts_of_their_shape(spark):
+    import re
+
+    said = {"2024-1-02 3:4:5": 0, "2024-01-02t03:04:05": 1, "-2024-01-02 3:4": 2, "+12024-1-2": 3}
+    for text, k in said.items():
+        assert [bool(re.match(dates.shape(f), text)) for f in dates.ISO] == [i == k for i in range(4)]
+        assert not any(re.match(dates.shape(f), text) for f in (*dates.DAY_FIRST, *dates.MONTH_FIRST))
+    df = spark.createDataFrame([(" 2024/1/2 ",), ("13.12.2024 1:02",), ("12-13-2024",), ("2024-02-30",), ("1:02:03",), (None,)], "d string")
+    got = df.select(dates.parse_date(F.col("d"), True).cast("string"), dates.parse_date(F.col("d"), False).cast("string")).collect()
+    assert [tuple(r) for r in got] == [("2024-01-02 00:00:00",) * 2, ("2024-12-13 01:02:00", None), (None, "2024-12-13 00:00:00"), (None, None), (None, None), (None, None)]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("  Café Ünï, Ltd.\t", "$1,234.50", "(2010–2022)", "nan")], "a string, b string, c string, d string")
     r = df.select(text.canonical(dates.strip(F.col("a"))).alias("a"), text.number(F.col("b")).alias("b"), text.year(F.col("c")).alias("c"), text.number(F.col("d")).alias("d")).first()
