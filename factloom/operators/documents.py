@@ -23,6 +23,8 @@ ENTITIES = {
     "date": r"(?i)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?,?\s+\d{4})\b",
     "amount": r"(?:₹|Rs\.?|INR|\$)\s?\d[\d,]*(?:\.\d{1,2})?|\b\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?\b",
 }
+#: Share of a page's width between edges from which another column begins.
+BAND_GAP = 0.25
 
 
 def entities(df: DataFrame, id_col: str, text_col: str, kinds: list[str] | None = None) -> DataFrame:
@@ -46,11 +48,10 @@ def segments(lined: DataFrame, gap: float = 1.6) -> DataFrame:
     """``segment`` within a line: a gap wider than 1.6 times the line's median height splits, unless a colon stands before it."""
     line = Window.partitionBy("doc_id", "page", "line")
     w = line.orderBy("left", "word_idx")
-    heights = lined.groupBy("doc_id", "page", "line").agg(F.percentile("height", 0.5).alias("_h"))
-    rows = lined.join(heights, ["doc_id", "page", "line"])
-    before = F.lag(F.col("left") + F.col("width")).over(w)
-    split = (F.col("left") - before > gap * F.col("_h")) & ~F.lag("text").over(w).endswith(":")
-    return rows.withColumn("_split", F.coalesce(split, F.lit(False)).cast("int")).withColumn("segment", F.sum("_split").over(w)).drop("_split", "_h")
+    rows = lined.withColumns({"_gap": F.col("left") - F.lag(F.col("left") + F.col("width")).over(w), "_colon": F.lag("text").over(w).endswith(":")})
+    rows = rows.withColumn("_h", F.percentile("height", 0.5).over(line))  # over the line's own rows, in the order they have
+    split = (F.col("_gap") > gap * F.col("_h")) & ~F.col("_colon")
+    return rows.withColumn("_split", F.coalesce(split, F.lit(False)).cast("int")).withColumn("segment", F.sum("_split").over(w)).drop("_split", "_h", "_gap", "_colon")
 
 
 def segment_texts(segmented: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def column_bands(segs: DataFrame, page_width: float) -> DataFrame:
     """Left edges of the page's columns: edges at least a quarter page apart open bands."""
     w = Window.partitionBy("doc_id", "page").orderBy("left")
     edges = segs.select("doc_id", "page", "left").distinct()
-    opens = F.coalesce(F.col("left") - F.lag("left").over(w) >= 0.25 * page_width, F.lit(True))
+    opens = F.coalesce(F.col("left") - F.lag("left").over(w) >= BAND_GAP * page_width, F.lit(True))
     band = F.sum(opens.cast("int")).over(w)
     return edges.withColumn("band", band).groupBy("doc_id", "page", "band").agg(F.min("left").alias("left"), F.count("*").alias("n_edges"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .documents import column_bands, normalise_quote
+from .documents import BAND_GAP, normalise_quote
 
 #: Lines that a quote may run over; share of a page's width from which two segments are columns, not cells; words of prose;
 #: tokens of a quote that is looked for in tables, and the share of them that cells (not headers) must give.
@@ -24,10 +24,10 @@ def store_lines(segs: DataFrame, tables: DataFrame | None = None, page_width: fl
     key = ["doc_id", "page"]
     rows = segs.withColumns({"_x": (F.col("left") + F.col("right")) / 2, "_y": (F.col("top") + F.col("bottom")) / 2})
     if tables is not None:
-        t = tables.select(*[F.col(k).alias(f"_{k}") for k in key], "table", "x0", "y0", "x1", "y1")
-        inside = (F.col("_x") >= F.col("x0") - 1) & (F.col("_x") <= F.col("x1") + 1) & (F.col("_y") >= F.col("y0") - 1) & (F.col("_y") <= F.col("y1") + 1)
-        hit = rows.join(t, [F.col(k) == F.col(f"_{k}") for k in key]).filter(inside).groupBy(*key, "line", "segment").agg(F.min("table").alias("table"))
-        rows = rows.join(hit, [*key, "line", "segment"], "left")
+        corners = ["x0", "y0", "x1", "y1"]
+        ruled = tables.groupBy(*key).agg(F.collect_list(F.struct("table", *corners)).alias("_tables"))  # a page has few
+        inside = lambda t: (F.col("_x") >= t["x0"] - 1) & (F.col("_x") <= t["x1"] + 1) & (F.col("_y") >= t["y0"] - 1) & (F.col("_y") <= t["y1"] + 1)
+        rows = rows.join(ruled, key, "left").withColumn("table", F.array_min(F.transform(F.filter("_tables", inside), lambda t: t["table"]))).drop("_tables")
     else:
         rows = rows.withColumn("table", F.lit(None).cast("int"))
     w = Window.partitionBy(*key, "line").orderBy("left", "segment")
@@ -38,10 +38,13 @@ def store_lines(segs: DataFrame, tables: DataFrame | None = None, page_width: fl
     rows = rows.withColumn("_cut", F.coalesce(~same, F.lit(True)).cast("int")).withColumn("_row", F.sum("_cut").over(w))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("left", "segment", "text"))), lambda x: x["text"])
     lines = rows.groupBy(*key, "line", "_row").agg(F.array_join(parts, " | ").alias("text"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("table").isNotNull().alias("_tabled"))
-    bands = column_bands(lines, page_width).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("band").alias("_band"), F.col("left").alias("_left"))
-    placed = lines.join(bands, [F.col(k) == F.col(f"_{k}") for k in key]).groupBy(*key, "line", "_row", "text", "left", "top", "_tabled")
-    placed = placed.agg(F.min_by("_band", F.struct(F.abs(F.col("left") - F.col("_left")), "_band")).alias("band"))  # the nearest; a page has few bands
-    column = F.when(F.max("_tabled").over(Window.partitionBy(*key)), 1).otherwise(F.col("band"))
+    # The nearest of the page's bands (``column_bands``), found on the page itself: a page has few edges.
+    page = Window.partitionBy(*key)
+    edges = F.array_sort(F.collect_set("left").over(page))
+    placed = lines.withColumn("_edges", edges).withColumn("_bands", F.filter("_edges", lambda x, i: (i == 0) | (x - F.get(F.col("_edges"), i - 1) >= BAND_GAP * page_width)))
+    nearest = F.array_min(F.transform("_bands", lambda x, i: F.struct(F.abs(F.col("left") - x).alias("away"), (i + 1).alias("band"))))
+    placed = placed.withColumn("band", nearest["band"]).drop("_edges", "_bands")
+    column = F.when(F.max("_tabled").over(page), 1).otherwise(F.col("band"))
     placed = placed.withColumn("column", column.cast("int"))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("column", "top", "line", "left"))
     return placed.select(*key, F.concat(F.lit("p"), "page", F.lit(":L"), nth).alias("line_id"), nth.alias("nth"), "column", "text")

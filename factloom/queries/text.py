@@ -181,12 +181,18 @@ def error_classes(t):
     return e.groupBy(F.col("event_type").alias("s"), "kind").agg(F.count("*").alias("n"))
 
 
+#: Order lines in a part of the pages: three words each are sorted in one task.
+PAGE_LINES = 300_000
+
+
 # Words on pages, laid out from lineitem: a line per order line, columns far apart.
 def words(t):
-    li = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey").dropDuplicates(["l_orderkey", "l_linenumber"])
+    li = t("lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), "l_linenumber")
+    parts = max(li.sparkSession.sparkContext.defaultParallelism, -(-li.count() // PAGE_LINES))  # counted from the files' footers
+    li = li.repartition(parts, "doc_id").distinct()  # dealt by page once, while rows are narrow; all that follows stays in the page
     cells = F.array(*[F.struct(F.lit(k).alias("k"), c.cast("string").alias("text")) for k, c in enumerate((F.col("l_linenumber"), F.lit("flag"), F.lit("status")))])
-    return li.select("l_orderkey", "l_linenumber", F.explode(cells).alias("c")).select(
-        F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), (F.col("l_linenumber") * 10 + F.col("c.k")).alias("word_idx"), F.col("c.text").alias("text"), (F.col("c.k") * 40.0 + F.when(F.col("c.k") == 2, 100.0).otherwise(0.0)).alias("left"),
+    return li.select("doc_id", "l_linenumber", F.explode(cells).alias("c")).select(
+        "doc_id", F.lit(1).alias("page"), (F.col("l_linenumber") * 10 + F.col("c.k")).alias("word_idx"), F.col("c.text").alias("text"), (F.col("c.k") * 40.0 + F.when(F.col("c.k") == 2, 100.0).otherwise(0.0)).alias("left"),
         (F.col("l_linenumber") * 20.0).alias("top"), F.lit(36.0).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"),
     )
 
@@ -299,7 +305,7 @@ def store_lines(t):
 def store_lines_in_tables(t):
     """The same lines; on even pages a ruled grid holds both columns, so they are cells of one row."""
     segs = D.segment_texts(D.segments(D.group_lines(words(t))))
-    even = segs.filter(F.col("doc_id").cast("long") % 2 == 0).select("doc_id", "page").distinct()
+    even = t("lineitem").filter("l_orderkey % 2 = 0").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page")).distinct()
     tables = even.select("doc_id", "page", F.lit(0).alias("table"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(250.0).alias("x1"), F.lit(1000.0).alias("y1"))
     return E.store_lines(segs, tables, page_width=250.0).select("doc_id", "line_id", "column", "text")
 
