@@ -57,7 +57,7 @@ def content_id(name: Column, content: Column) -> Column:
 
 
 #: A JSON string, whole; and what is no part of any object once strings are blanked.
-JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+JSON_STRING = r'"[^"\\]*(?:\\.[^"\\]*)*"'
 
 
 def json_objects(text: Column) -> Column:
@@ -69,17 +69,18 @@ def json_objects(text: Column) -> Column:
     blank = F.array_join(F.transform(
         F.split(F.regexp_replace(F.translate(text, "\x01\x02", "  "), JSON_STRING, "\x01$0\x02"), "[\x01\x02]"),
         lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit("_"), F.length(p))).otherwise(p)), "")
-    bits = F.filter(F.transform(F.split(blank, ""), lambda c, i: F.struct((i + 1).alias("at"), F.when(c == "{", 1).when(c == "}", -1).otherwise(0).alias("d"))), lambda x: x["d"] != 0)
-    begin = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<b: int, e: int>>").alias("found"))
+    upto = F.regexp_extract_all(blank, F.lit("[^{}]*[{}]"), F.lit(0))  # what runs to each brace
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<b: int, e: int>>").alias("found"))
 
     def step(got: Column, x: Column) -> Column:
-        opened = F.concat(got["open"], F.array(x["at"]))
+        at = (got["at"] + F.length(x)).alias("at")
+        opened = F.concat(got["open"], F.array(got["at"] + F.length(x)))
         last = F.element_at(got["open"], -1)
         inner = F.filter(got["found"], lambda o: o["b"] < last)  # what the object that closes here holds is part of it
-        closed = F.struct(F.slice(got["open"], 1, F.size(got["open"]) - 1).alias("open"), F.concat(inner, F.array(F.struct(last.alias("b"), x["at"].alias("e")))).alias("found"))
-        return F.when(x["d"] == 1, F.struct(opened.alias("open"), got["found"].alias("found"))).when(F.size(got["open"]) == 0, got).otherwise(closed)
+        closed = F.struct(at, F.slice(got["open"], 1, F.size(got["open"]) - 1).alias("open"), F.concat(inner, F.array(F.struct(last.alias("b"), (got["at"] + F.length(x)).alias("e")))).alias("found"))
+        return F.when(x.endswith("{"), F.struct(at, opened.alias("open"), got["found"].alias("found"))).when(F.size(got["open"]) == 0, F.struct(at, got["open"].alias("open"), got["found"].alias("found"))).otherwise(closed)
 
-    spans = F.aggregate(bits, begin, step, lambda got: got["found"])
+    spans = F.aggregate(upto, begin, step, lambda got: got["found"])
     return F.transform(spans, lambda o: F.substring(text, o["b"], o["e"] - o["b"] + 1))
 
 
@@ -88,13 +89,13 @@ def json_text(c: Column) -> Column:
     plain = F.trim(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
     fenced = F.regexp_extract(plain, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     good = lambda text: F.filter(json_objects(text), lambda x: F.try_parse_json(x).isNotNull())
-    last = lambda found: F.when(F.size(found) > 0, F.element_at(found, -1))
-    return F.coalesce(last(good(fenced)), last(good(plain)))
+    last = lambda text: F.transform(F.array(text), lambda x: F.try_element_at(good(x), F.lit(-1)))[0]  # noqa: E731  a text is made, and looked through, once
+    return F.coalesce(last(fenced), last(plain))
 
 
 def payload_fields(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """id, name, value of a payload's fields: those of a ``fields`` list of objects (with confidence), else its own scalar members."""
-    row = df.select(F.col(id_col).alias("id"), json_text(F.col(json_col)).alias("j")).filter("j IS NOT NULL")
+    row = df.select(F.col(id_col).alias("id"), json_text(F.col(json_col)).alias("j"))
     listed = F.from_json(F.get_json_object("j", "$.fields"), "array<struct<name: string, value: string, confidence: double>>")
     own = F.transform(F.map_entries(F.from_json("j", "map<string, string>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"), F.lit(None).cast("double").alias("confidence")))
     fields = F.coalesce(listed, F.filter(own, lambda x: ~x["value"].rlike(r"^\s*[\[{]")))
