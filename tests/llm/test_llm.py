@@ -615,6 +615,20 @@ def test_lm_scores_do_not_depend_on_layout(spark):
     assert few == many and len(few) == 120
 
 
+def test_lm_training_has_one_rule_at_every_size(spark, monkeypatch):
+    """A corpus with a step less than a replica's depth is trained on as one that has as many: each document once a pass."""
+    common.ship(spark)
+    rng = random.Random(31)
+    texts = spark.createDataFrame([(i, prose(rng, 200)) for i in range(40)], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(lm_score, "BATCH", 1000)  # 8 steps
+    weights = {}
+    for depth in (8, 9):
+        monkeypatch.setattr(lm_score, "DEPTH", depth)
+        weights[depth] = lm_score.flat(lm_score.train(texts)[2])
+    assert (weights[8] == weights[9]).all()
+    assert (lm_score.flat(lm_score.train(texts, passes=2)[2]) != weights[9]).any()
+
+
 def test_lm_scores_tell_rare_words_apart(spark):
     """Words without a leaf have their share of the class in the whole corpus, by the full word table; own words are counted."""
     common.ship(spark)
