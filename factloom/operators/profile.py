@@ -107,15 +107,25 @@ def row_counter(df: DataFrame, column: str) -> DataFrame:
     return one.select("n", F.try_divide(F.col("steps"), F.col("n") - 1).alias("share"), ((F.col("n") >= 3) & (F.try_divide(F.col("steps"), F.col("n") - 1) >= 0.99)).alias("counter"))
 
 
-def text_shapes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Shares of each text column's values that look like numbers, dates, years, emails or padded codes."""
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value, n: the distinct values of text columns, nulls aside, and how many rows have each."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in columns])
+    return df.select(F.explode(cells).alias("c")).select("c.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def text_shapes(df: DataFrame, columns: list[str] | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """Shares of each text column's values that look like numbers, dates, years, emails or padded codes. Each distinct value is looked at once;
+    ``counted``: the columns' ``value_counts``, where they are known."""
     columns = columns or text_columns(df)
     tests = {
         "number": lambda c: text.number(c).isNotNull(), "date": lambda c: dates.parse_date(c, False).isNotNull() | dates.parse_date(c, True).isNotNull(), "year": lambda c: text.year(c).isNotNull(),
         "email": lambda c: text.full_match(c, text.EMAIL), "clock": lambda c: c.rlike(dates.CLOCK), "padded": lambda c: c.rlike(r"^0\d+$"),
     }
-    cells = [F.avg(F.when(F.col(c).isNotNull(), F.coalesce(test(F.col(c)), F.lit(False)).cast("double"))).alias(f"{c}__{k}") for c in columns for k, test in tests.items()]
-    return wide_to_rows(df.agg(*cells), columns, list(tests))
+    counted = value_counts(df, columns) if counted is None else counted
+    n, value = F.col("n"), F.col("value")
+    shares = counted.groupBy("column").agg(*[(F.sum(F.when(test(value), n).otherwise(0)) / F.sum(n)).alias(k) for k, test in tests.items()])  # a row per column
+    wide = shares.agg(*[F.max(F.when(F.col("column") == c, F.col(k))).alias(f"{c}__{k}") for c in columns for k in tests])
+    return wide_to_rows(wide, columns, list(tests))
 
 
 def roles(df: DataFrame) -> DataFrame:

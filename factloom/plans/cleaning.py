@@ -54,19 +54,23 @@ def diagnose(df: DataFrame, target: str | None = None) -> list[CleaningOp]:
         propose("drop_rows", [target], f"{target} is empty in {profile[target]['nulls']} rows", rule="target_null")
     words = [c for c in text_columns(df) if c not in sparse]
     if words:
-        for r in P.text_shapes(df, words).collect():
+        counted = P.value_counts(df, words).persist()  # labels repeat: each is read once
+        for r in P.text_shapes(df, words, counted).collect():
             c = r["column"]
             if (r["number"] or 0) >= LIMITS.looks_like_share and not r["padded"]:
                 propose("cast_types", [c], f"{c} holds numbers as text")
             elif (r["date"] or 0) >= LIMITS.looks_like_share and not (r["clock"] or 0) >= LIMITS.looks_like_share:
                 propose("uniform_dates", [c], f"{c} holds dates as text")
-        checks = df.agg(*[x for c in words for x in (F.count_if(F.col(c) != text.collapse(F.col(c))).alias(f"{c}__loose"), (F.count_distinct(c) - F.count_distinct(text.canonical(F.col(c)))).alias(f"{c}__spellings"))]).first()
-        loose = [c for c in words if checks[f"{c}__loose"]]
+        value = F.col("value")
+        per = counted.groupBy("column", text.canonical(value).alias("label")).agg(F.count("*").alias("spellings"), F.count_if(value != text.collapse(value)).alias("loose"))
+        checks = {r["column"]: r for r in per.groupBy("column").agg(F.sum(F.col("spellings") - 1).alias("spellings"), F.sum("loose").alias("loose")).collect()}  # a row per column
+        counted.unpersist()
+        loose = [c for c in words if c in checks and checks[c]["loose"]]
         if loose:
             propose("trim_text", loose, "outer white space")
         for c in words:
-            if checks[f"{c}__spellings"] > 0:
-                propose("standardize_categories", [c], f"{checks[f'{c}__spellings']} spellings of {c} repeat others")
+            if c in checks and checks[c]["spellings"] > 0:
+                propose("standardize_categories", [c], f"{checks[c]['spellings']} spellings of {c} repeat others")
     for c, r in profile.items():
         if r["nulls"] and c not in sparse and c != target and not C.is_marker(c):
             propose("impute", [c], f"{r['nulls']} blanks in {c}", recommended=False, how="median" if c in numeric_columns(df) else "mode")

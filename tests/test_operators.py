@@ -378,3 +378,14 @@ def test_parts_are_sketched_once(spark):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("percentile_approx(") == 1
         assert "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_labels_are_read_once_for_all_their_rows(spark):
+    """Shapes and spellings are found on distinct values with their numbers of rows; nulls count for nothing, an empty column is null."""
+    df = spark.createDataFrame([("12", "A b", None), ("12", "a  b", None), ("x", "a b", None), (None, None, None)], "s string, t string, u string")
+    assert sorted(map(tuple, P.value_counts(df, ["s", "t", "u"]).collect())) == [("s", "12", 2), ("s", "x", 1), ("t", "A b", 1), ("t", "a  b", 1), ("t", "a b", 1)]
+    got = {r["column"]: r for r in P.text_shapes(df).collect()}
+    assert list(got) == ["s", "t", "u"] and got["s"]["number"] == pytest.approx(2 / 3) and got["t"]["number"] == 0 and got["u"]["number"] is None
+    ops = plan.diagnose(df.select("s", "t"))
+    assert [(o.action, o.columns) for o in ops if o.action in ("trim_text", "standardize_categories")] == [("trim_text", ["t"]), ("standardize_categories", ["t"])]
+    assert "2 spellings of t" in next(o.label for o in ops if o.action == "standardize_categories")
