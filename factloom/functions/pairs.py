@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .frames import once
+
 #: Marks that open a list's item, one of an ordered list, a pair, a label's characters, where a value is prose.
 LIST_MARK = r"^\s*(?:\(cid:\d+\)|[•·◦▪‣∙*\-–—]|\(?\d{1,2}[.)]|\(?[a-zA-Z][.)])\s*"
 ORDERED = r"^\(?[\dA-Za-z][.)]"
@@ -42,9 +44,9 @@ def pairs(line: Column) -> Column:
 
 
 def first_of_each(found: Column) -> Column:
-    """Of pairs with one key the first."""
-    keys = F.transform(found, lambda p: p["key"])
-    return F.filter(found, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    """Of pairs with one key the first. Neither the pairs nor their keys are made again for each pair."""
+    firsts = lambda f, keys: F.filter(f, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    return once(found, lambda f: once(F.transform(f, lambda p: p["key"]), lambda keys: firsts(f, keys)))
 
 
 def pairs_in_prose(text: Column) -> Column:

@@ -107,6 +107,7 @@ def line_blocks(lines: DataFrame, outlined: bool = False) -> DataFrame:
 def document_fields(blocks: DataFrame) -> DataFrame:
     """doc_id, key, value: every field of a document, of its label-value blocks and of sentences in paragraphs; the first of each key."""
     found = F.when(F.col("type") == "key_values", F.col("fields")).when(F.col("type") == "paragraph", P.pairs_in_prose(F.col("text")))
-    rows = blocks.select("doc_id", "page", "block", F.posexplode(found).alias("pos", "f"))
+    # The outer form: for the plain one Spark puts a filter before it that reads every sentence again, twice.
+    rows = blocks.select("doc_id", "page", "block", F.posexplode_outer(found).alias("pos", "f")).filter("f IS NOT NULL")
     first = rows.groupBy("doc_id", F.col("f.key").alias("key")).agg(F.min(F.struct("page", "block", "pos", "f.value"))["value"].alias("value"))
     return first
