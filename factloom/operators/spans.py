@@ -61,20 +61,26 @@ def quote_box(words: DataFrame, quotes: DataFrame, span: int = 1, page_width: fl
     """quotes(quote_id, doc_id, page, line, quote) found in words: quote_id, n_words, text and box of the shortest run of neighbouring words that
     holds the quote, from the cited line on over at most ``span`` lines; of equally short ones the first.
 
-    Commas, bars, white space and case do not count. Words' begins and ends in the joined text are running sums of their lengths; every place of the quote
+    Commas, bars, white space and case do not count. Words' begins and ends in the joined text are running sums of their lengths; a place of the quote
     there names its first and last word. A quote that is nowhere, or says nothing, has no row.
     """
     word = F.struct("left", "word_idx", "text", "top", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), normalise_quote(F.col("text")).alias("n"))
-    lines = words.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(word)).alias("_w"))
-    ahead = Window.partitionBy("doc_id", "page").orderBy("line").rowsBetween(0, span - 1)
-    lines = lines.withColumn("_w", F.flatten(F.collect_list("_w").over(ahead)))
-    q = quotes.select("quote_id", "doc_id", "page", "line", normalise_quote(F.col("quote")).alias("_q")).filter("_q <> ''")
-    rows = lines.join(q, ["doc_id", "page", "line"]).withColumn("_s", F.array_join(F.transform("_w", lambda w: w["n"]), ""))
-    rows = rows.filter(F.contains("_s", F.col("_q"))).withColumn("_o", offsets(F.col("_w"), "n", 0))
+    line = ["doc_id", "page", "line"]
+    lines = words.groupBy(*line).agg(F.array_sort(F.collect_list(word)).alias("_w"))
+    q = quotes.select("quote_id", *line, normalise_quote(F.col("quote")).alias("_q")).filter("_q <> ''")
+    q = q.dropna(subset=line).groupBy(*line).agg(F.collect_list(F.struct("quote_id", "_q")).alias("_asked"))
+    # A line and what cites it meet in a group, not a join: where both are dealt by page or document already, neither is dealt again.
+    rows = lines.unionByName(q, allowMissingColumns=True).groupBy(*line).agg(F.first("_w", ignorenulls=True).alias("_w"), F.first("_asked", ignorenulls=True).alias("_asked"))
+    if span > 1:
+        ahead = Window.partitionBy("doc_id", "page").orderBy("line").rowsBetween(0, span - 1)
+        rows = rows.filter("_w IS NOT NULL").withColumn("_w", F.flatten(F.collect_list("_w").over(ahead)))
+    rows = rows.filter("_w IS NOT NULL AND _asked IS NOT NULL").withColumn("_s", F.array_join(F.transform("_w", lambda w: w["n"]), ""))
+    rows = rows.select("_w", "_s", F.explode("_asked").alias("_a")).select("_w", "_s", "_a.*").filter(F.contains("_s", F.col("_q"))).withColumn("_o", offsets(F.col("_w"), "n", 0))
     size = F.length("_q")
-    places = F.filter(F.sequence(F.lit(1), F.length("_s") - size + 1), lambda p: F.substring(F.col("_s"), p, size) == F.col("_q"))
+    # Of the places that begin in one word the first ends soonest, so one place from each word's begin on is enough.
+    places = F.filter(F.array_distinct(F.transform("_o", lambda o: F.call_function("locate", F.col("_q"), F.col("_s"), o["b"] + 1))), lambda p: p > 0)
     held = lambda at: F.size(F.filter("_o", lambda o: o["e"] < at))  # noqa: E731  (words that end before a character)
-    runs = F.transform(places, lambda p: F.struct((held(p + size - 1) - held(p)).alias("more"), held(p).alias("first")))
+    runs = F.transform(F.transform(places, lambda p: F.struct(held(p).alias("first"), held(p + size - 1).alias("last"))), lambda x: F.struct((x["last"] - x["first"]).alias("more"), x["first"].alias("first")))
     rows = rows.withColumn("_r", F.array_min(runs)).withColumn("_w", F.slice("_w", F.col("_r.first") + 1, F.col("_r.more") + 1))
     return rows.select("quote_id", F.size("_w").alias("n_words"), F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"), box_of(F.col("_w"), F.lit(page_width), F.lit(page_height)).alias("box"))
 

@@ -12,8 +12,14 @@ from . import query
 ONCE = "SELECT l_orderkey, l_linenumber, any_value(l_partkey) AS l_partkey, any_value(l_linestatus) AS l_linestatus FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2) GROUP BY 1, 2"
 
 
+#: Order lines in a part: what is laid out from them is grouped and sorted in one task, however many there are.
+PART_LINES = 300_000
+
+
 def order_lines(t):
-    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus").repartition("l_orderkey")  # dealt by order once, for all that follows
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus")
+    parts = max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() // PART_LINES))  # counted from the files' footers
+    lines = lines.repartition(parts, "l_orderkey")  # dealt by order once, while rows are narrow, for all that follows
     li = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_linestatus").alias("l_linestatus"))
     return li.withColumn("nth", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import spans as S
@@ -9,9 +10,8 @@ from . import query
 from .grids import ONCE, order_lines
 
 
-def quoted_words(t):
+def quoted_words(li):
     """A line of words for each order line."""
-    li = order_lines(t)
     said = F.array(F.col("l_linenumber").cast("string"), F.lit("part"), F.col("l_partkey").cast("string"), F.lit("flag"), F.col("l_linestatus"))
     rows = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("nth").alias("line"), F.posexplode(said).alias("word_idx", "text"))
     return rows.select("*", (F.col("word_idx") * 50.0).alias("left"), (F.col("line") * 20.0).alias("top"), F.lit(40.0).alias("width"), F.lit(10.0).alias("height"))
@@ -22,12 +22,13 @@ def quoted_words(t):
     UNION ALL SELECT l_orderkey * 20 + l_linenumber + 10, 3, 'flag ' || l_linestatus || ' ' || after, 0, round(nth * 20 / 200, 6), round(240 / 500, 6), round((nth * 20 + 30) / 200, 6) FROM l WHERE after IS NOT NULL""")
 def quote_box(t):
     """Each line's part with a thousands comma, two words of it, and a quote that runs over the break into the next line."""
-    words = quoted_words(t)
-    li = order_lines(t).select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("nth").alias("line"), "l_linenumber", "l_partkey", "l_linestatus")
+    all_lines = order_lines(t)
+    words = quoted_words(all_lines)
+    after = F.lead("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    li = all_lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("nth").alias("line"), "l_linenumber", "l_partkey", "l_linestatus", after.alias("after"))
     key = F.col("doc_id") * 20 + F.col("l_linenumber")
-    after = li.select("doc_id", (F.col("line") - 1).alias("line"), F.col("l_linenumber").alias("after"))
     one = li.select(key.alias("quote_id"), "doc_id", "page", "line", F.concat(F.lit("Part|"), F.format_number("l_partkey", 0)).alias("quote"))
-    two = li.join(after, ["doc_id", "line"]).select((key + 10).alias("quote_id"), "doc_id", "page", "line", F.concat(F.lit("FLAG | "), "l_linestatus", F.lit("\n"), "after").alias("quote"))
+    two = li.filter("after IS NOT NULL").select((key + 10).alias("quote_id"), "doc_id", "page", "line", F.concat(F.lit("FLAG | "), "l_linestatus", F.lit("\n"), "after").alias("quote"))
     found = S.quote_box(words, one, 1, 500.0, 200.0).unionByName(S.quote_box(words, two, 2, 500.0, 200.0))
     return found.select("quote_id", "n_words", "text", "box.*")
 
