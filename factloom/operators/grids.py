@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import once
+
 #: Least width of a column; least columns and rows of a table; least share of body rows that a split column fills.
 COLUMN_WIDTH, LEAST_COLUMNS, LEAST_ROWS, FILL = 8.0, 2, 2, 0.9
 #: Fixed value: where a digit touches a letter, or a letter a digit.
@@ -89,10 +91,15 @@ def ruled_tables(rects: DataFrame, words: DataFrame) -> DataFrame:
 def normalise_grid(cells: DataFrame, key: list[str] = KEY) -> DataFrame:
     """White space of cells reduced, rows and columns that are empty throughout dropped, the others numbered anew, missing cells filled in blank."""
     clean = cells.select(*key, "row", "col", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")).alias("text")).filter("text <> ''")
-    number = lambda c: F.dense_rank().over(Window.partitionBy(*key).orderBy(c)) - 1
-    rows, cols = (clean.select(*key, c).distinct().withColumn(f"_{c}", number(c)) for c in ("row", "col"))
-    full = rows.join(cols, key).join(clean, [*key, "row", "col"], "left")
-    return full.select(*key, F.col("_row").alias("row"), F.col("_col").alias("col"), F.coalesce("text", F.lit("")).alias("text"))
+    # Rows are gathered once; the columns of a grid are those of all its rows, most of which have the same: no join, and grids stay where they are.
+    rows = clean.dropna(subset=[*key, "row", "col"]).groupBy(*key, "row").agg(F.collect_list(F.struct("col", "text")).alias("_said"))
+    grid = Window.partitionBy(*key)
+    cols = F.collect_set(F.array_sort(F.array_distinct(F.transform("_said", lambda x: x["col"])))).over(grid)
+    rows = rows.withColumns({"_cols": cols, "_row": F.row_number().over(grid.orderBy("row")) - 1}).withColumn("_cols", F.array_sort(F.array_distinct(F.flatten("_cols"))))
+    here = lambda c: F.transform(F.filter("_said", lambda x: x["col"] == c), lambda x: x["text"])
+    blank = lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+    full = rows.select(*key, F.col("_row").alias("row"), F.posexplode(F.transform("_cols", lambda c: once(here(c), blank))).alias("col", "_texts"))
+    return full.select(*key, "row", "col", F.explode("_texts").alias("text"))
 
 
 def row_arrays(cells: DataFrame, key: list[str]) -> DataFrame:

@@ -57,11 +57,11 @@ def ruled_tables(t):
 def ragged(t):
     """Grids of orders with a margin column that is always empty, blank rows, and white space of all kinds."""
     li = order_lines(t)
-    cell = lambda k, c: F.struct(F.lit(k).alias("col"), c.alias("text"))
-    said = F.array(cell(0, F.lit(" ")), cell(1, F.concat(F.lit(" no\n"), "l_linenumber")), cell(3, F.when(F.col("l_linestatus") == "F", F.lit(None)).otherwise(F.concat(F.lit(" "), "l_partkey", F.lit("  x")))))
-    blank = F.array(cell(0, F.lit("")), cell(1, F.lit(None).cast("string")), cell(3, F.lit("\t")))
-    rows = li.select(F.col("l_orderkey").alias("doc_id"), (F.col("nth") * 2).alias("row"), F.explode(said).alias("c")).union(li.select("l_orderkey", F.col("nth") * 2 + 1, F.explode(blank)))
-    return rows.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("table_id"), "row", "c.*")
+    cell = lambda row, k, c: F.struct(row.alias("row"), F.lit(k).alias("col"), c.alias("text"))
+    own, after = F.col("nth") * 2, F.col("nth") * 2 + 1
+    said = [cell(own, 0, F.lit(" ")), cell(own, 1, F.concat(F.lit(" no\n"), "l_linenumber")), cell(own, 3, F.when(F.col("l_linestatus") == "F", F.lit(None)).otherwise(F.concat(F.lit(" "), F.col("l_partkey"), F.lit("  x"))))]
+    blank = [cell(after, 0, F.lit("")), cell(after, 1, F.lit(None).cast("string")), cell(after, 3, F.lit("\t"))]
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_id"), F.explode(F.array(*said, *blank)).alias("c")).select("doc_id", "page", "table_id", "c.*")
 
 
 @query(f"""WITH l AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS row, bool_or(l_linestatus <> 'F') OVER (PARTITION BY l_orderkey) AS two FROM ({ONCE}))
