@@ -122,16 +122,18 @@ def split_fused(cells: DataFrame, key: list[str] = KEY) -> DataFrame:
     A grid stays as it was when the cut would shift rows against each other: some column is then filled, but in under nine tenths of the
     rows below the first that say anything. Fewer than three such rows prove nothing.
     """
-    made = row_arrays(cells, key).withColumn("parts", F.flatten(F.transform("cells", lambda c: F.when(c == "", F.array(c)).otherwise(F.split(c, FUSED)))))
-    wide = made.groupBy(*key).agg(F.max(F.size("parts")).alias("_width"), F.bool_or(F.exists("cells", lambda c: c.rlike(FUSED))).alias("_any"))
-    made = made.join(wide, key).withColumn("parts", F.concat("parts", F.array_repeat(F.lit(""), F.col("_width") - F.size("parts"))))
-    body = made.filter((F.col("row") > 0) & F.exists("parts", lambda c: c != ""))
-    n = body.groupBy(*key).agg(F.count("*").alias("_n"))
-    filled = body.select(*key, F.posexplode("parts").alias("_at", "_c")).groupBy(*key, "_at").agg(F.count_if(F.col("_c") != "").alias("_filled"))
-    torn = filled.join(n, key).groupBy(*key).agg(F.bool_or((F.col("_n") >= 3) & (F.col("_filled") > 0) & (F.col("_filled") < FILL * F.col("_n"))).alias("_torn"))
-    made = made.join(torn, key, "left").withColumn("split", F.col("_any") & ~F.coalesce("_torn", F.lit(False)))
-    out = made.withColumn("cells", F.when(F.col("split"), F.col("parts")).otherwise(F.col("cells")))
-    return out.select(*key, "row", "split", F.posexplode("cells").alias("col", "text"))
+    cut = lambda c: F.when((c == "") | c.isNull(), F.array(c)).otherwise(F.split(c, FUSED))
+    made = row_arrays(cells.dropna(subset=key), key).withColumn("_p", F.transform("cells", cut)).withColumn("parts", F.flatten("_p"))
+    grid = Window.partitionBy(*key)
+    said = (F.col("row") > 0) & F.exists("parts", lambda c: F.coalesce(c != "", F.lit(False)))
+    made = made.withColumns({"_width": F.max(F.size("parts")).over(grid), "_any": F.bool_or(F.exists("_p", lambda p: F.size(p) > 1)).over(grid), "_n": F.count_if(said).over(grid)})
+    # A row's parts, padded, beside its cells, of which there are no more: which of the two it is that comes out is known when its grid's columns are.
+    padded = F.concat("parts", F.array_repeat(F.lit(""), F.col("_width") - F.size("parts")))
+    both = F.transform(padded, lambda c, i: F.struct(c.alias("part"), F.get(F.col("cells"), i).alias("cell"), (i < F.size("cells")).alias("own")))
+    made = made.select(*key, "row", "_any", "_n", F.posexplode(both).alias("col", "_x"))
+    filled = F.count_if((F.col("row") > 0) & (F.col("_x.part") != "")).over(Window.partitionBy(*key, "col"))
+    made = made.withColumn("_torn", (F.col("_n") >= 3) & (filled > 0) & (filled < FILL * F.col("_n"))).withColumn("split", F.col("_any") & ~F.bool_or("_torn").over(grid))
+    return made.filter(F.col("split") | F.col("_x.own")).select(*key, "row", "split", "col", F.when(F.col("split"), F.col("_x.part")).otherwise(F.col("_x.cell")).alias("text"))
 
 
 def repair_headers(cells: DataFrame, first_lines: DataFrame, key: list[str] = KEY) -> DataFrame:

@@ -75,10 +75,11 @@ def fused_page(t):
     li = order_lines(t)
     odd = F.col("l_orderkey") % 2 == 1
     first = F.when(odd & (F.col("l_linestatus") != "F"), F.col("l_partkey").cast("string")).otherwise(F.concat(F.col("l_partkey").cast("string"), "l_linestatus"))
-    cell = lambda k, c: F.struct(F.lit(k).alias("col"), c.alias("text"))
-    rows = li.select(F.col("l_orderkey").alias("doc_id"), "nth", F.explode(F.array(cell(0, first), cell(1, F.lit("ok")))).alias("c"))
-    heads = li.select("l_orderkey").distinct().select("l_orderkey", F.lit(0), F.explode(F.array(cell(0, F.lit("key status")), cell(1, F.lit("state")))))
-    return rows.union(heads).select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("table_id"), F.col("nth").alias("row"), "c.*")
+    cell = lambda row, k, c: F.struct(row.alias("row"), F.lit(k).alias("col"), c.alias("text"))
+    body = F.array(cell(F.col("nth"), 0, first), cell(F.col("nth"), 1, F.lit("ok")))
+    head = F.array(cell(F.lit(0), 0, F.lit("key status")), cell(F.lit(0), 1, F.lit("state")))  # over the first line
+    made = li.select(F.col("l_orderkey").alias("doc_id"), F.explode(F.when(F.col("nth") == 1, F.concat(head, body)).otherwise(body)).alias("c"))
+    return made.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("table_id"), "c.*")
 
 
 @query(f"""WITH l AS (SELECT l_orderkey AS doc_id, l_orderkey % 2 = 1 AND l_linestatus <> 'F' AS plain FROM ({ONCE})),
