@@ -55,16 +55,23 @@ def evidence_across_lines(lines: DataFrame, quotes: DataFrame, span: int = LINE_
 
     ``lines`` as ``store_lines`` gives them. A window has at most ``span`` lines of one column; one line is the plain case.
     """
-    w = Window.partitionBy("doc_id", "page").orderBy("nth")
-    at = lambda k: F.lead(F.struct("text", "column"), k).over(w)
-    rows = lines.select("doc_id", "page", "nth", "column", F.array(F.struct("text", "column"), *[at(k) for k in range(1, span)]).alias("ahead"))
-    cited = quotes.alias("q").join(rows.alias("l"), [F.col(f"q.{k}") == F.col(f"l.{k}") for k in ("doc_id", "page", "nth")]).select("q.quote_id", "q.doc_id", "q.page", "q.nth", "q.quote", "l.column", "l.ahead")
-    # The lines of the cited one's column, up to the first of another.
-    run = F.expr(f"slice(ahead, 1, coalesce(cast(array_min(filter(transform(ahead, (x, i) -> CASE WHEN x IS NULL OR x.column <> column THEN i END), i -> i IS NOT NULL)) AS int), {span}))")
-    cited = cited.withColumn("run", F.transform(run, lambda x: x["text"])).withColumn("want", normalise_quote(F.col("quote"))).filter("want <> ''")
-    joined = F.transform(F.sequence(F.lit(1), F.size("run")), lambda k: F.struct(k.alias("n"), F.array_join(F.slice("run", 1, k), " ").alias("text")))
-    hits = cited.withColumn("hits", F.filter(joined, lambda x: F.contains(normalise_quote(x["text"]), F.col("want")))).filter(F.size("hits") > 0)
-    return hits.select("quote_id", "doc_id", "page", "nth", F.col("hits")[0]["n"].alias("n_lines"), F.col("hits")[0]["text"].alias("text"))
+    w, line = Window.partitionBy("doc_id", "page").orderBy("nth"), ["doc_id", "page", "nth"]
+    said = lines.select(*line, F.struct("text", "column", normalise_quote(F.col("text")).alias("said")).alias("l0"))  # once a line, not once a quote and window
+    rows = said.withColumns({f"l{k}": F.lead("l0", k).over(w) for k in range(1, span)})
+    q = quotes.select("quote_id", *line, normalise_quote(F.col("quote")).alias("want")).filter("want <> ''").dropna(subset=line)
+    q = q.groupBy(*line).agg(F.collect_list(F.struct("quote_id", "want")).alias("asked"))
+    # A line and what cites it meet in a window, not a join: where both are dealt by page or document already, neither is dealt again.
+    rows = rows.unionByName(q, allowMissingColumns=True).withColumn("asked", F.first("asked", ignorenulls=True).over(Window.partitionBy(*line)))
+    rows = rows.filter("l0 IS NOT NULL AND asked IS NOT NULL").select("*", F.explode("asked").alias("a")).select("a.*", *line, *[f"l{k}" for k in range(span)])
+    # The lines of the cited one's column, up to the first of another; the shortest run of them that holds the quote.
+    goes_on, text = F.lit(True), F.coalesce("l0.said", F.lit(""))
+    n, said_so_far = F.when(F.contains(text, F.col("want")), 1), [F.col("l0.text")]
+    for k in range(1, span):
+        goes_on = goes_on & F.col(f"l{k}").isNotNull() & F.coalesce(F.col(f"l{k}.column") == F.col("l0.column"), F.lit(True))
+        text = F.concat(text, F.coalesce(f"l{k}.said", F.lit("")))
+        n = n.when(goes_on & F.contains(text, F.col("want")), k + 1)
+        said_so_far.append(F.when(F.col("n_lines") > k, F.col(f"l{k}.text")))
+    return rows.withColumn("n_lines", n).filter("n_lines IS NOT NULL").select("quote_id", *line, "n_lines", F.concat_ws(" ", *said_so_far).alias("text"))
 
 
 def tokens(c: Column) -> Column:

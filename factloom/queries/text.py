@@ -241,9 +241,16 @@ def grid_tabular_test(t):
     return D.tabular_test(cells(t))
 
 
+#: Documents in a part: their lines are sorted in one task.
+PART_DOCUMENTS = 5_000
+
+
 def document_lines(t):
     """All lines of all documents, numbered, in one column."""
-    d = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    d = t("documents").select("doc_id", "text")
+    parts = max(d.sparkSession.sparkContext.defaultParallelism, -(-d.count() // PART_DOCUMENTS))  # counted from the files' footers
+    d = d.repartition(parts, "doc_id")  # dealt by document once, before texts are lines
+    d = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return d.select("doc_id", F.lit(1).alias("page"), (F.col("pos") + 1).cast("int").alias("nth"), F.lit(1).alias("column"), "text")
 
 
