@@ -5,18 +5,21 @@ from __future__ import annotations
 import tempfile
 import ast
 import operator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import once
 from ..functions.ranks import running
 from ..shipping import ship
 
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}
 
 
+@lru_cache(maxsize=10_000)  # common expressions recur, most others are met once
 def evaluate(expression: str | None) -> float | None:
     """A number from + - * / % ^ and brackets over numbers; null for anything else."""
 
@@ -65,32 +68,32 @@ def check_computations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Parts between semicolons are claims; the first side of a claim's equals signs is the expression (commas and per cent signs off), the others state its result: the
     first number in each, in per cent if a sign follows it, which then may state the value or a hundred times it. A claim is verified when any of its statements is
     right, wrong when none is, and says nothing if it has no number or no arithmetic. A row is ``mismatch`` if a claim is wrong (``wrong`` lists them),
-    ``verified`` if one is right, else empty. Each distinct expression is evaluated once.
+    ``verified`` if one is right, else empty. Expressions are evaluated where they stand, those that a worker has seen of late not again.
     """
     ship(df.sparkSession)
-    parts = df.select(F.col(id_col).alias("id"), F.explode(F.split(text_col, ";")).alias("part")).filter(F.contains("part", F.lit("=")))
-    sides = F.transform(F.split("part", "="), lambda x: F.trim(x))
-    claims = parts.select("id", F.trim("part").alias("part"), F.regexp_replace(sides[0], "[,%]", "").alias("expression"), F.filter(F.slice(sides, 2, F.size(sides)), lambda x: x != "").alias("stated"))
+    said = F.filter(F.split(text_col, ";"), lambda p: F.contains(p, F.lit("=")))
+    parts = df.select(F.col(id_col).alias("id"), F.explode_outer(said).alias("part"))  # a row at least for every id
+    claims = parts.select("id", "part", F.regexp_replace(F.trim(F.substring_index("part", "=", 1)), "[,%]", "").alias("expression"))
 
     @F.pandas_udf(T.DoubleType())
     def value(e: pd.Series) -> pd.Series:
         return e.map(evaluate)
 
-    known = claims.select("expression").distinct().withColumn("actual", value("expression")).filter("actual IS NOT NULL")
-
     def read(x: Column) -> Column:
-        plain = F.regexp_replace(x, ",", "")
-        number = F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0)
-        return F.struct(number.try_cast("double").alias("v"), (F.locate("%", plain) > F.instr(plain, number)).alias("percent"))
+        number = lambda plain: F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0)
+        found = lambda plain: once(number(plain), lambda n: F.struct(n.try_cast("double").alias("v"), (F.locate("%", plain) > F.instr(plain, n)).alias("percent")))
+        return once(F.regexp_replace(x, ",", ""), found)
 
     near = lambda a, v: F.abs(a - v) / F.greatest(F.abs(a), F.abs(v), F.lit(1e-9)) <= STATED_TOLERANCE
-    numbers = claims.join(known, "expression").withColumn("read", F.filter(F.transform("stated", read), lambda s: s["v"].isNotNull())).filter(F.size("read") > 0)
     actual = F.col("actual")
-    judged = numbers.withColumn("right", F.exists("read", lambda s: near(actual, s["v"]) | (s["percent"] & near(actual * 100, s["v"]))))
+    fits = lambda s: near(actual, s["v"]) | (s["percent"] & near(actual * 100, s["v"]))
+    numbers = F.filter(F.transform(F.slice(F.split("part", "="), 2, F.size(F.split("part", "="))), lambda x: read(F.trim(x))), lambda s: s["v"].isNotNull())
+    right = F.when(actual.isNotNull(), once(numbers, lambda found: F.when(F.size(found) > 0, F.exists(found, fits))))
+    judged = claims.withColumn("actual", value("expression")).select("id", F.trim("part").alias("part"), right.alias("right"))
     per = judged.groupBy("id").agg(F.bool_and("right").alias("all"), F.array_sort(F.collect_list(F.when(~F.col("right"), F.col("part")))).alias("wrong"))
-    out = df.select(F.col(id_col).alias("id")).distinct().join(per, "id", "left")
-    status = F.when(F.col("all").isNull(), "").when(F.col("all"), "verified").otherwise("mismatch")
-    return out.select("id", status.alias("status"), F.coalesce("wrong", F.array().cast("array<string>")).alias("wrong"))
+    known = F.col("id").isNotNull()
+    status = F.when(F.col("all").isNull() | ~known, "").when(F.col("all"), "verified").otherwise("mismatch")
+    return per.select("id", status.alias("status"), F.when(known, F.col("wrong")).otherwise(F.array().cast("array<string>")).alias("wrong"))
 
 
 def best_nodes(nodes: DataFrame, by: str, n: int = 1) -> DataFrame:
