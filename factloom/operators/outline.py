@@ -18,9 +18,14 @@ from .documents import body_size
 HEADING_SIZE, HEADING_CHARS, PARAGRAPH_GAP = 1.12, 90, 1.75
 
 
+def may_head(text: Column) -> Column:
+    """Short, and no item of a list."""
+    return (F.length(text) <= HEADING_CHARS) & ~text.rlike(P.LIST_MARK)
+
+
 def heading_test(text: Column, size: Column, bold: Column, body: Column) -> Column:
     """Large for the document's body, or bold without reading like a sentence or a field; short, and no item of a list."""
-    fits = (F.length(text) <= HEADING_CHARS) & ~text.rlike(P.LIST_MARK)
+    fits = may_head(text)
     large = (body > 0) & (size >= HEADING_SIZE * body)
     return fits & (large | (F.coalesce(bold, F.lit(False)) & ~text.rlike(r"[.,;]$") & (F.size(P.pairs(text)) == 0)))
 
@@ -33,9 +38,9 @@ def carried(rows: DataFrame, count: str, out: str) -> DataFrame:
     return rows.join(before, ["doc_id", "page"]).withColumn(out, F.col("_before") + F.sum(count).over(upto)).drop("_before")
 
 
-def outlined_lines(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``heading`` and ``section``: the number of headings so far, 0 for what comes before the first."""
-    rows = lines.join(body_size(lines), "doc_id", "left")
+def outlined_lines(lines: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """``lines`` with ``heading`` and ``section``: the number of headings so far, 0 for what comes before the first. The body's size is that of ``whole``, else of ``lines``."""
+    rows = lines.join(body_size(lines if whole is None else whole), "doc_id", "left")
     rows = rows.withColumn("heading", F.coalesce(heading_test(F.col("text"), F.col("size"), F.col("bold"), F.coalesce("body", F.lit(0.0))), F.lit(False))).drop("body")
     return carried(rows.withColumn("_h", F.col("heading").cast("long")), "_h", "section").drop("_h")
 
@@ -46,7 +51,9 @@ def document_tree(lines: DataFrame) -> DataFrame:
     Level 1 is the largest size among a document's headings. A section's parent is the nearest earlier one of a lower level (null if there is none); ``path``
     has the headings from the outermost to its own. Lines before the first heading are section 0, of level 0 and without a heading; it is nobody's parent.
     """
-    rows = outlined_lines(lines)
+    # Only lines that may be headings carry their text (and no more than 90 characters); of the others the place is enough.
+    slim = lines.select("doc_id", "page", "line", F.when(may_head(F.col("text")), F.col("text")).alias("text"), "size", "bold")
+    rows = outlined_lines(slim, lines)
     heads = rows.filter("heading").select("doc_id", "page", "section", F.col("text").alias("heading"), F.coalesce("size", F.lit(0.0)).alias("size"))
     sizes = heads.select("doc_id", "size").distinct().withColumn("level", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))
     heads = heads.join(sizes, ["doc_id", "size"]).drop("size")
