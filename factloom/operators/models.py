@@ -63,7 +63,7 @@ def train(df: DataFrame, target: str, features: list[str], task: str, id_col: st
 
 def cross_validate(df: DataFrame, target: str, features: list[str], task: str, name: str, folds: int = FOLDS, grid: dict[str, list] | None = None) -> tuple[PipelineModel, DataFrame]:
     """The best model over ``grid`` (of the candidate's parameters; none: the candidate as it is) by ``folds``-fold validation, and a row per setting: params, mean, deviation."""
-    whole = df.dropna(subset=[target, *features])
+    whole = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([target, *features])]).dropna()  # folds are cached, so only with the columns they need
     first, label = stages(target, features, task)
     model = candidates(task, len(features), whole.select(target).distinct().count() + 1 if task != "regression" else 1)[name].setLabelCol(label)
     builder = ParamGridBuilder()
