@@ -40,7 +40,8 @@ def pairs(line: Column) -> Column:
         clause = F.arrays_overlap(F.transform(words, lambda w: F.lower(w)), F.array(*[F.lit(w) for w in CLAUSE]))
         return x["key"].isNotNull() & (x["value"] != "") & (F.size(words) <= LABEL_WORDS) & ~clause & ~x["value"].rlike(PROSE) & (F.length(x["value"]) <= VALUE_CHARS)
 
-    return F.filter(named, fine)
+    none = F.array().cast("array<struct<key: string, value: string>>")
+    return F.when(~line.rlike("[:：]"), none).otherwise(F.filter(named, fine))  # most lines have no colon, and are not cut up
 
 
 def first_of_each(found: Column) -> Column:

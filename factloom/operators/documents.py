@@ -23,6 +23,8 @@ ENTITIES = {
     "date": r"(?i)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?,?\s+\d{4})\b",
     "amount": r"(?:₹|Rs\.?|INR|\$)\s?\d[\d,]*(?:\.\d{1,2})?|\b\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?\b",
 }
+#: Of which every match of the patterns above holds one: a digit, an at-sign, or how an address begins.
+SIGNS = r"[0-9@]|://|www\."
 #: Share of a page's width between edges from which another column begins.
 BAND_GAP = 0.25
 

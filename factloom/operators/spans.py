@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pairs as P
 from ..functions.frames import once
-from .documents import ENTITIES, normalise_quote
+from .documents import ENTITIES, SIGNS, normalise_quote
 
 #: How sure each rule is; kinds whose matches need a label to be sure.
 CONFIDENCE = {"pattern": 0.95, "labelled": 0.90, "stacked": 0.70, "heading": 0.75, "loose": 0.62}
@@ -46,11 +46,13 @@ def offsets(words: Column, text: str, between: int) -> Column:
 
 def box_of(words: Column, page_width: Column, page_height: Column) -> Column:
     """xmin, ymin, xmax, ymax around some words."""
-    side = lambda f, get, by: F.round(f(F.transform(words, get)) / by, 6)
-    return F.struct(
-        side(F.array_min, lambda w: w["left"], page_width).alias("xmin"), side(F.array_min, lambda w: w["top"], page_height).alias("ymin"),
-        side(F.array_max, lambda w: w["left"] + w["width"], page_width).alias("xmax"), side(F.array_max, lambda w: w["top"] + w["height"], page_height).alias("ymax"),
-    )
+    end = lambda begin, size: F.array_max(F.transform(words, lambda w: w[begin] + w[size]))
+    return shares(F.array_min(words["left"]), F.array_min(words["top"]), end("left", "width"), end("top", "height"), page_width, page_height)
+
+
+def shares(left: Column, top: Column, right: Column, bottom: Column, page_width: Column, page_height: Column) -> Column:
+    side = lambda edge, by: F.round(edge / by, 6)
+    return F.struct(side(left, page_width).alias("xmin"), side(top, page_height).alias("ymin"), side(right, page_width).alias("xmax"), side(bottom, page_height).alias("ymax"))
 
 
 def mean_conf(words: Column) -> Column:
@@ -85,11 +87,13 @@ def quote_box(words: DataFrame, quotes: DataFrame, span: int = 1, page_width: fl
     return rows.select("quote_id", F.size("_w").alias("n_words"), F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"), box_of(F.col("_w"), F.lit(page_width), F.lit(page_height)).alias("box"))
 
 
-def is_caption(text: Column) -> Column:
-    """Could a segment be a caption: a few words without sentence marks, in capitals or each with one."""
-    bare = F.trim(F.regexp_replace(F.trim(text), r"[:\s]+$", ""))
-    words = F.filter(F.split(bare, r"\s+"), lambda w: w.rlike(r"^\p{L}"))
-    upper = (bare == F.upper(bare)) | ~F.exists(words, lambda w: ~w.rlike(r"^\p{Lu}"))
+def bare_caption(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(text), r"[:\s]+$", ""))
+
+
+def is_caption(bare: Column) -> Column:
+    """Could a segment (its ``bare_caption``) be a caption: a few words without sentence marks, in capitals or each with one."""
+    upper = (bare == F.upper(bare)) | ~bare.rlike(r"(?:^|\s)(?!\p{Lu})\p{L}")
     return (bare != "") & (F.size(F.split(bare, r"\s+")) <= CAPTION_WORDS) & bare.rlike(CAPTION) & (F.length(bare) <= CAPTION_CHARS) & upper
 
 
@@ -110,7 +114,9 @@ def stacked_captions(segs: DataFrame, page_width: float, carry: list[str] | None
     carry = carry or []
     bucket = F.floor(F.col("left") / drift)
     near = segs.select("doc_id", "page", *[F.col(c).alias(f"v_{c}") for c in ("line", "segment", "text", "left", "top", "size", *carry)], bucket.alias("_bucket"))
-    heads = segs.filter(is_caption(F.col("text"))).select("doc_id", "page", "line", "segment", "text", "left", "bottom", "height", "size", F.explode(F.array(*[bucket + k for k in (-1, 0, 1)])).alias("_bucket"))
+    # A filter by the text would go below the steps that make the text, and make it wherever it is named there.
+    buckets = F.when(is_caption(F.col("_bare")), F.array(*[bucket + k for k in (-1, 0, 1)]))
+    heads = segs.withColumn("_bare", bare_caption(F.col("text"))).select("doc_id", "page", "line", "segment", "text", "left", "bottom", "height", "size", F.explode_outer(buckets).alias("_bucket")).filter("_bucket IS NOT NULL")
     gap = F.col("v_top") - F.col("bottom")
     below = (gap >= -STACK_OVERLAP * F.col("height")) & (gap <= STACK_GAP * F.col("height")) & (F.abs(F.col("v_left") - F.col("left")) <= drift)
     other = (F.col("line") != F.col("v_line")) | (F.col("segment") != F.col("v_segment"))
@@ -123,59 +129,88 @@ def stacked_captions(segs: DataFrame, page_width: float, carry: list[str] | None
     )
 
 
-def entity_spans(text: Column, kinds: list[str] | None = None) -> Column:
-    """Structs (prio, b, e, kind, value) of the typed patterns' matches, without those inside a match of a kind before theirs.
+def clean_text(text: Column) -> Column:
+    """A text without the character that marks matches."""
+    return F.translate(text, "\x01\x02", "  ")
+
 
-    Matches of a pattern are marked in the text and the text is cut at the marks (one character: no pattern is compiled for a row); positions are sums of the pieces' lengths. A match inside another
-    that is itself inside a third is inside the third, so nothing depends on which have been taken out before.
+def entity_matches(clean: Column, kinds: list[str] | None = None) -> Column:
+    """Structs (prio, b, e, kind, value) of the typed patterns' matches in a clean text.
+
+    Matches of a pattern are marked in the text and the text is cut at the marks (one character: no pattern is compiled for a row); positions are sums
+    of the pieces' lengths. A text is marked and cut only for kinds it has.
     """
-    clean = F.translate(text, "\x01\x02", "  ")
+    none = F.array().cast("array<struct<prio: int, b: int, e: int, kind: string, value: string>>")
 
     def matches(prio: int, kind: str) -> Column:
-        pieces = F.transform(F.split(F.regexp_replace(clean, ENTITIES[kind], "\x01$0\x01"), "\x01"), lambda p: F.struct(p.alias("t")))
-        placed = once(pieces, lambda x: F.arrays_zip(x.alias("p"), offsets(x, "t", 0).alias("o")))
-        inside = F.filter(placed, lambda _, i: i % 2 == 1)
-        return F.transform(inside, lambda x: F.struct(F.lit(prio).alias("prio"), x["o"]["b"].alias("b"), x["o"]["e"].alias("e"), F.lit(kind).alias("kind"), x["p"]["t"].alias("value")))
+        def add(got: Column, piece: Column) -> Column:
+            end = got["at"] + F.length(piece)
+            match = F.struct(F.lit(prio).alias("prio"), got["at"].alias("b"), end.alias("e"), F.lit(kind).alias("kind"), piece.alias("value"))
+            return F.struct((got["n"] + 1).alias("n"), end.alias("at"), F.when(got["n"] % 2 == 1, F.concat(got["found"], F.array(match))).otherwise(got["found"]).alias("found"))
+
+        pieces = F.split(F.regexp_replace(clean, ENTITIES[kind], "\x01$0\x01"), "\x01")
+        return F.aggregate(pieces, F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), none.alias("found")), add, lambda got: got["found"])
+
+    every = F.flatten(F.array(*[F.when(clean.rlike(ENTITIES[k]), matches(i, k)).otherwise(none) for i, k in enumerate(kinds or ENTITIES)]))
+    return F.when(~clean.rlike(SIGNS), none).when(clean.isNotNull(), every)
+
 
-    found = F.flatten(F.array(*[matches(i, k) for i, k in enumerate(kinds or ENTITIES)]))
+def claimed(found: Column) -> Column:
+    """Matches without those inside a match of a kind before theirs. A match inside another that is itself inside a third is inside the third, so nothing
+    depends on which have been taken out before."""
     outer = lambda m, o: (o["prio"] < m["prio"]) & (o["b"] <= m["b"]) & (m["e"] <= o["e"])
-    return once(found, lambda f: F.filter(f, lambda m: ~F.exists(f, lambda o: outer(m, o))))
+    return F.when(F.size(found) < 2, found).otherwise(F.filter(found, lambda m: ~F.exists(found, lambda o: outer(m, o))))
+
+
+def entity_spans(text: Column, kinds: list[str] | None = None) -> Column:
+    """Structs (prio, b, e, kind, value) of the typed patterns' matches, each character claimed once. In steps of their own (``clean_text``,
+    ``entity_matches``, ``claimed``) patterns run in compiled code."""
+    return once(clean_text(text), lambda clean: once(entity_matches(clean, kinds), claimed))
 
 
 def segment_fields(words: DataFrame, page_width: float, page_height: float) -> DataFrame:
     """doc_id, page, name, value, rule, confidence, box of what a page's segments say: typed patterns (each character claimed once), label-value
     pairs, the document's kind, captions over values, and the title. Confidence is the rule's times the mean of the words'."""
     w, h = F.lit(float(page_width)), F.lit(float(page_height))
-    word = F.struct("left", "word_idx", "text", "top", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), "conf")
-    segs = words.groupBy("doc_id", "page", "line", "segment").agg(F.array_sort(F.collect_list(word)).alias("ws"), F.max("size").alias("size"))
-    segs = segs.withColumn("text", F.array_join(F.transform("ws", lambda x: x["text"]), " ")).withColumn("_o", offsets(F.col("ws"), "text", 1))
-    touched = lambda b, e: F.transform(F.filter(F.arrays_zip("ws", "_o"), lambda x: (x["_o"]["b"] < e) & (x["_o"]["e"] > b)), lambda x: x["ws"])
+    width, height = F.col("width").cast("double"), F.col("height").cast("double")
+    word = F.struct("left", "word_idx", "text", "top", width.alias("width"), height.alias("height"), "conf")
+    sides = {"left": F.min("left"), "top": F.min("top"), "right": F.max(F.col("left") + width), "bottom": F.max(F.col("top") + height), "height": F.max(height), "size": F.max("size")}
+    segs = words.groupBy("doc_id", "page", "line", "segment").agg(F.sort_array(F.collect_list(word)).alias("ws"), *[c.alias(k) for k, c in sides.items()])
+    segs = segs.withColumn("text", F.array_join("ws.text", " "))
+    # Most segments say nothing that is looked for: where they do not, nothing is placed among their words.
+    low = F.lower("text")
+    kinds = F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.array(F.struct(F.locate(k, low).alias("b"), F.lit(len(k)).alias("n")))) for k in DOCUMENT_TYPES])
+    kind = F.when(low.rlike("|".join(DOCUMENT_TYPES)), kinds).otherwise(F.array().cast("array<struct<b: int, n: int>>"))
+    said = segs.withColumn("_clean", clean_text(F.col("text"))).withColumns({"_found": entity_matches(F.col("_clean")), "_pair": F.get(P.pairs(F.col("text")), 0), "_kind": kind})
+    said = said.withColumn("_spans", claimed(F.col("_found")))
+    said = said.withColumn("_o", F.when((F.size("_spans") > 0) | (F.size("_kind") > 0), offsets(F.col("ws"), "text", 1)))
+    touched = lambda b, e: F.filter("ws", lambda _, i: (F.get("_o.b", i) < e) & (F.get("_o.e", i) > b))
     field = lambda name, value, rule, ws: F.struct(name.alias("name"), value.alias("value"), rule.alias("rule"), ws.alias("ws"))
     typed = F.transform("_spans", lambda m: field(m["kind"], m["value"], F.when(m["kind"].isin(*LOOSE), "loose").otherwise("pattern"), touched(m["b"], m["e"])))
-    segs = segs.withColumns({"_spans": entity_spans(F.col("text")), "_pair": F.get(P.pairs(F.col("text")), 0)})
     # The words of a value: those after the one with the colon, and that one if something follows its colon.
     colon = F.array_position(F.transform("ws", lambda x: F.contains(x["text"], F.lit(":"))), F.lit(True))
-    at = F.when(F.trim(F.substring_index(F.element_at("ws", F.greatest(colon, F.lit(1)).cast("int"))["text"], ":", -1)) != "", colon).otherwise(colon + 1)
-    after = F.slice("ws", at.cast("int"), F.size("ws"))
-    said = F.when(F.col("_pair").isNotNull() & (colon > 0) & (F.size(after) > 0), F.array(field(snake_case(F.col("_pair.key")), F.array_join(F.transform(after, lambda x: x["text"]), " "), F.lit("labelled"), after)))
-    kinds = F.filter(F.array(*[F.struct(F.locate(k, F.lower("text")).alias("b"), F.lit(len(k)).alias("n")) for k in DOCUMENT_TYPES]), lambda k: k["b"] > 0)
-    kind = F.transform(F.slice(kinds, 1, 1), lambda k: field(F.lit("document_type"), F.substring(F.col("text"), k["b"], k["n"]), F.lit("heading"), touched(k["b"] - 1, k["b"] - 1 + k["n"])))
+    follows = lambda c: F.trim(F.substring_index(F.element_at("ws", F.greatest(c, F.lit(1)).cast("int"))["text"], ":", -1)) != ""
+    after = once(colon, lambda c: F.when(c > 0, F.slice("ws", F.when(follows(c), c).otherwise(c + 1).cast("int"), F.size("ws"))))
+    labelled = lambda ws: field(snake_case(F.col("_pair.key")), F.array_join(ws["text"], " "), F.lit("labelled"), ws)
+    pair = F.when(F.col("_pair").isNotNull(), F.transform(F.filter(F.array(after), lambda ws: F.size(ws) > 0), labelled))
+    kind = F.transform("_kind", lambda k: field(F.lit("document_type"), F.substring(F.col("text"), k["b"], k["n"]), F.lit("heading"), touched(k["b"] - 1, k["b"] - 1 + k["n"])))
     none = F.array().cast("array<struct<name: string, value: string, rule: string, ws: array<struct<left: double, word_idx: int, text: string, top: double, width: double, height: double, conf: double>>>>")
-    rows = segs.select("doc_id", "page", F.explode(F.concat(typed, F.coalesce(said, none), kind)).alias("f")).select("doc_id", "page", "f.*")
-    flat = segs.select("doc_id", "page", "line", "segment", "text", F.array_min(F.transform("ws", lambda x: x["left"])).alias("left"), F.array_min(F.transform("ws", lambda x: x["top"])).alias("top"),
-                       F.array_max(F.transform("ws", lambda x: x["top"] + x["height"])).alias("bottom"), F.array_max(F.transform("ws", lambda x: x["height"])).alias("height"), "size", "ws")
-    stacked = stacked_captions(flat, page_width, ["ws"])
-    rows = rows.unionByName(stacked.select("doc_id", "page", snake_case(F.col("caption")).alias("name"), "value", F.lit("stacked").alias("rule"), "ws"))
-    whole = Window.partitionBy("doc_id", "page")
-    large = words.withColumn("_z", F.array_sort(F.collect_list("size").over(whole)))  # of one page
-    large = large.withColumns({"_most": F.element_at("_z", -1), "_mid": F.get("_z", F.floor(F.size("_z") / 2).cast("int"))}).filter((F.col("_most") >= TITLE_SIZE * F.col("_mid")) & (F.col("size") >= TITLE_SHARE * F.col("_most")))
-    title = large.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(word)).alias("ws"))
-    title = title.groupBy("doc_id", "page").agg(F.min_by("ws", "line").alias("ws"))
-    rows = rows.unionByName(title.select("doc_id", "page", F.lit("document_title").alias("name"), F.array_join(F.transform("ws", lambda x: x["text"]), " ").alias("value"), F.lit("heading").alias("rule"), "ws"))
+    # (Spark filters empty arrays out before it explodes them, and for that makes them twice, unless the explode is an outer one.)
+    rows = said.select("doc_id", "page", F.explode_outer(F.concat(typed, F.coalesce(pair, none), kind)).alias("f")).select("doc_id", "page", "f.*")
+    # The title: of one page's words, the large ones of the first line that has any.
+    large = words.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ("line", "size")], word.alias("w")))).alias("_w"), F.sort_array(F.collect_list("size")).alias("_z"))
+    large = large.withColumns({"_most": F.element_at("_z", -1), "_mid": F.get("_z", F.floor(F.size("_z") / 2).cast("int"))}).filter(F.col("_most") >= TITLE_SIZE * F.col("_mid"))
+    large = large.withColumn("_w", F.filter("_w", lambda x: x["size"] >= TITLE_SHARE * F.col("_most")))
+    title = large.select("doc_id", "page", F.sort_array(F.transform(F.filter("_w", lambda x: x["line"] == F.array_min("_w.line")), lambda x: x["w"])).alias("ws"))
+    rows = rows.unionByName(title.select("doc_id", "page", F.lit("document_title").alias("name"), F.array_join("ws.text", " ").alias("value"), F.lit("heading").alias("rule"), "ws"))
+    rows = rows.filter(F.size("ws") > 0).select("doc_id", "page", "name", "value", "rule", mean_conf(F.col("ws")).alias("conf"), box_of(F.col("ws"), w, h).alias("box"))
+    flat = segs.withColumns({"conf": mean_conf(F.col("ws")), "box": shares(F.col("left"), F.col("top"), F.col("right"), F.col("bottom"), w, h)})
+    stacked = stacked_captions(flat, page_width, ["conf", "box"])
+    rows = rows.unionByName(stacked.select("doc_id", "page", snake_case(F.col("caption")).alias("name"), "value", F.lit("stacked").alias("rule"), "conf", "box"))
     sure = F.create_map(*[x for k, v in CONFIDENCE.items() for x in (F.lit(k), F.lit(v))])[F.col("rule")]
     value = F.trim(F.regexp_replace("value", r"(?U)\s+", " "))
-    made = rows.filter(F.size("ws") > 0).select("doc_id", "page", "name", value.alias("value"), "rule", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean_conf(F.col("ws")) * sure)).alias("confidence"), box_of(F.col("ws"), w, h).alias("box"))
-    return made.filter("value <> ''")
+    rows = rows.filter(F.col("value").rlike(r"(?U)\S"))
+    return rows.select("doc_id", "page", "name", value.alias("value"), "rule", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("conf") * sure)).alias("confidence"), "box")
 
 
 def resolve_fields(fields: DataFrame) -> DataFrame:
@@ -186,21 +221,21 @@ def resolve_fields(fields: DataFrame) -> DataFrame:
     a page are numbered from the top. Ties go to what stands first.
     """
     page = ["doc_id", "page"]
-    place = [F.col("box.ymin"), F.col("box.xmin"), F.col("name"), F.col("value")]
-    first = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*page, *by).orderBy(F.desc("confidence"), *place))).filter("_n = 1").drop("_n")
-    rows = fields.select(*page, "name", "value", "rule", "confidence", "box", F.lower("value").alias("_v"))
-    rows = first(rows.repartition(*page), ["name", "_v"])  # dealt by page once: whatever follows is within a page
-    # Of one name: taken by falling confidence, each unless it holds, or is held by, one that is taken.
-    item = F.struct((-F.col("confidence")).alias("c"), F.col("box.ymin").alias("y"), F.col("box.xmin").alias("x"), "_v")
-    clash = lambda got, v: F.exists(got, lambda k: F.contains(k, v) | F.contains(v, k))
-    taken = F.aggregate(F.array_sort(F.collect_list(item)), F.array().cast("array<string>"), lambda got, x: F.when(clash(got, x["_v"]), got).otherwise(F.concat(got, F.array(x["_v"]))))
-    one = F.struct("name", "value", "rule", "confidence", "box", "_v")
-    kept = rows.groupBy(*page, "name").agg(taken.alias("_taken"), F.collect_list(one).alias("_f")).select(*page, "_taken", F.explode("_f").alias("_f"))
-    rows = kept.filter(F.array_contains("_taken", F.col("_f._v"))).select(*page, "_f.*")
-    rows = first(rows, ["_v"])
-    holds = lambda o: (F.struct(o["name"], o["_v"]) != F.struct("name", "_v")) & F.contains(o["_v"], F.col("_v")) & (o["box"]["xmin"] <= F.col("box.xmin")) & (F.col("box.xmax") <= o["box"]["xmax"]) & (o["box"]["ymin"] <= F.col("box.ymin")) & (F.col("box.ymax") <= o["box"]["ymax"])
-    rows = rows.groupBy(*page).agg(F.collect_list(one).alias("_all")).select(*page, "_all", F.explode("_all").alias("_f")).select(*page, "_all", "_f.*")  # the fields of one page
-    rows = rows.filter(~(F.col("name").isin(*LOOSE) & F.exists("_all", holds)))
-    same = Window.partitionBy(*page, "name")
-    numbered = F.when(F.count("*").over(same) > 1, F.concat("name", F.lit("_"), F.row_number().over(same.orderBy(*place[:2], "value")))).otherwise(F.col("name"))
+    # The fields of one page, the surest first, then by place: whatever follows is within this array.
+    v, doubt = F.lower("value"), F.struct(F.col("confidence").isNull(), ~F.isnan("confidence"), -F.col("confidence"))
+    item = F.struct(doubt.alias("doubt"), F.col("box.ymin").alias("y"), F.col("box.xmin").alias("x"), "name", v.alias("v"), "value", "rule", "confidence", "box")
+    rows = fields.filter(v.isNotNull()).groupBy(*page).agg(F.sort_array(F.collect_list(item)).alias("_f"))
+    # Of one name: each is taken unless it holds, or is held by, one that is taken. (What has the same value holds it.)
+    clash = lambda got, f: F.exists(got, lambda k: k["name"].eqNullSafe(f["name"]) & (F.contains(k["v"], f["v"]) | F.contains(f["v"], k["v"])))
+    none = F.filter("_f", lambda f: F.lit(False))
+    rows = rows.withColumn("_f", F.aggregate("_f", none, lambda got, f: F.when(clash(got, f), got).otherwise(F.concat(got, F.array(f)))))
+    rows = rows.withColumn("_f", F.filter("_f", lambda f, i: F.array_position("_f.v", f["v"]) == i + 1))
+    inside = lambda f, o: (o["box"]["xmin"] <= f["box"]["xmin"]) & (f["box"]["xmax"] <= o["box"]["xmax"]) & (o["box"]["ymin"] <= f["box"]["ymin"]) & (f["box"]["ymax"] <= o["box"]["ymax"])
+    holds = lambda f, o: (F.struct(o["name"], o["v"]) != F.struct(f["name"], f["v"])) & F.contains(o["v"], f["v"]) & inside(f, o)
+    rows = rows.withColumn("_f", F.filter("_f", lambda f: ~(f["name"].isin(*LOOSE) & F.exists("_f", lambda o: holds(f, o)))))
+    # By name and from the top, a field's number is how far it stands behind the first of its name.
+    rows = rows.withColumn("_f", F.sort_array(F.transform("_f", lambda f: F.struct(f["name"].alias("name"), f["y"].alias("y"), f["x"].alias("x"), f["value"].alias("value"), f["rule"].alias("rule"), f["confidence"].alias("confidence"), f["box"].alias("box")))))
+    rows = rows.select(*page, F.col("_f.name").alias("_names"), F.posexplode_outer("_f").alias("_i", "_f")).filter("_i IS NOT NULL").select(*page, "_names", "_i", "_f.*")  # outer: as above
+    nth = F.col("_i") + 2 - F.array_position("_names", F.col("name"))
+    numbered = F.when((nth > 1) | (F.get("_names", F.col("_i") + 1) == F.col("name")), F.concat("name", F.lit("_"), nth)).otherwise(F.col("name"))
     return rows.select(*page, numbered.alias("name"), "value", "rule", "confidence", "box")
