@@ -54,38 +54,40 @@ def ruled_tables(rects: DataFrame, words: DataFrame) -> DataFrame:
     """
     near = lambda c: F.round(c, 1)
     page = ["doc_id", "page"]
-    # Ranges of one table, in one row; the words of a page meet its tables, and all that follows stays within the page: one shuffle of either side.
-    wide = F.collect_set(F.when(F.col("x1") - F.col("x0") > COLUMN_WIDTH, F.struct((-near(F.col("x0").cast("double"))).alias("lo"), near(F.col("x1").cast("double")).alias("hi"))))
-    ranges = rects.repartition(*page).groupBy(*KEY, "row").agg(near(F.min("y0")).cast("double").alias("y0"), near(F.max("y1")).cast("double").alias("y1"), F.min("x0").alias("tx0"), F.min("y0").alias("ty0"), F.max("x1").alias("tx1"), F.max("y1").alias("ty1"), wide.alias("_wide"))
-    tall = F.array_sort(F.collect_set(F.struct(F.col("y0").alias("lo"), (-F.col("y1")).alias("up"))))
-    box = ranges.groupBy(*KEY).agg(F.min("tx0").alias("tx0"), F.min("ty0").alias("ty0"), F.max("tx1").alias("tx1"), F.max("ty1").alias("ty1"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_wide")))).alias("_wide"), tall.alias("_tall"))
+    # Ranges of one table, in one row, meet the words of one page, in another; all that follows stays within the row of a table.
+    # Rows of cells and distinct ranges across are plain aggregates: only these, far fewer than the cells, are gathered.
+    across = ["tx0", "ty0", "tx1", "ty1"]
+    band = F.struct(near(F.min("y0")).cast("double").alias("lo"), (-near(F.max("y1")).cast("double")).alias("up"))
+    ranges = rects.groupBy(*KEY, "row").agg(F.min("x0").alias("tx0"), F.min("y0").alias("ty0"), F.max("x1").alias("tx1"), F.max("y1").alias("ty1"), band.alias("_tall"))
+    wide = rects.filter(F.col("x1") - F.col("x0") > COLUMN_WIDTH).select(*KEY, F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1")).distinct()
+    ranges = ranges.unionByName(wide.select(*KEY, F.struct((-near(F.col("x0"))).alias("lo"), near(F.col("x1")).alias("hi")).alias("_wide")), allowMissingColumns=True)
+    box = ranges.groupBy(*KEY).agg(*[f(c).alias(c) for c, f in zip(across, (F.min, F.min, F.max, F.max), strict=True)], F.sort_array(F.collect_list("_wide")).alias("_wide"), F.sort_array(F.collect_set("_tall")).alias("_tall"))
     none = F.struct(F.lit(None).cast("double").alias("least"), F.array().cast("array<struct<x0: double, x1: double>>").alias("kept"))
     holds = lambda got, x: F.coalesce(got["least"] <= x["hi"], F.lit(False))  # noqa: E731  (in order of falling start: ``least_ranges`` says why)
     kept = lambda got, x: F.when(holds(got, x), got["kept"]).otherwise(F.concat(got["kept"], F.array(F.struct((-x["lo"]).alias("x0"), x["hi"].alias("x1")))))
     least = F.aggregate("_wide", none, lambda got, x: F.struct(F.least(got["least"], x["hi"]).alias("least"), kept(got, x).alias("kept")), lambda got: got["kept"])
-    box = box.select(*KEY, "tx0", "ty0", "tx1", "ty1", least.alias("_columns"), F.transform(kept_bands(F.col("_tall")), lambda x: F.struct(x["lo"].alias("y0"), (-x["up"]).alias("y1"))).alias("_rows"))
-    w = words.select(*page, "word_idx", "text", "left", "top", (F.col("left") + F.col("width")).alias("right"), (F.col("top") + F.col("height")).alias("bottom"))
-    w = box.hint("merge").join(w, page).filter(F.col("top").between(F.col("ty0") - 1, F.col("ty1") + 1)).withColumn("centre", (F.col("left") + F.col("right")) / 2)
-    in_columns = F.filter("_columns", lambda c: F.col("centre").between(c["x0"] - 0.5, c["x1"] + 0.5))
-    in_rows = F.filter("_rows", lambda r: F.col("top").between(r["y0"] - 1, r["y1"] + 1))
-    across = F.col("centre").between(F.col("tx0") - 0.5, F.col("tx1") + 0.5)
-    said = ["word_idx", "text", "left", "top", "right", "bottom"]
-    w = w.select(*KEY, *said, across.alias("_across"), in_columns.alias("_columns"), in_rows.alias("_rows"))
-    w = w.select(*KEY, *said, "_across", "_rows", F.explode_outer("_columns").alias("_c")).select(*KEY, *said, "_across", "_c", F.explode_outer("_rows").alias("_r"))
+    box = box.select(*KEY, *across, F.sort_array(least).alias("_columns"), F.transform(kept_bands(F.col("_tall")), lambda x: F.struct(x["lo"].alias("y0"), (-x["up"]).alias("y1"))).alias("_rows"))
+    right = F.col("left") + F.col("width")
+    said = F.struct("top", "left", "word_idx", "text", right.alias("right"), (F.col("top") + F.col("height")).alias("bottom"), ((F.col("left") + right) / 2).alias("centre"))
+    w = words.groupBy(*page).agg(F.sort_array(F.collect_list(said)).alias("_words"))  # in the order in which they are read
+    tables = box.hint("merge").join(w, page).withColumn("_words", F.filter("_words", lambda x: x["top"].between(F.col("ty0") - 1, F.col("ty1") + 1)))
     # A column or row is numbered among those that hold a word; a word outside of the columns still makes a row.
-    table, number = Window.partitionBy(*KEY), lambda c: F.when(F.col(c).isNotNull(), F.dense_rank().over(Window.partitionBy(*KEY).orderBy(F.asc_nulls_last(c))) - 1)
-    w = w.withColumn("_r", F.when(F.max(F.col("_across")).over(Window.partitionBy(*KEY, "_r")), F.col("_r")))
-    w = w.withColumns({"col": number("_c"), "row": number("_r")})
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "word_idx", "text"))), lambda x: x["text"]), " ")
-    cells = w.groupBy(*KEY, "row", "_r", "col", "_c").agg(line.alias("text"), F.min("left").alias("wx0"), F.min("top").alias("wy0"), F.max("right").alias("wx1"), F.max("bottom").alias("wy1"))
-    cells = cells.withColumns({"n_cols": F.max("col").over(table) + 1, "n_rows": F.max("row").over(table) + 1, "_all": F.array_sort(F.collect_set(F.when(F.col("col").isNotNull(), F.struct("col", "_c"))).over(table))})
-    good = cells.filter((F.col("n_cols") >= LEAST_COLUMNS) & (F.col("n_rows") >= LEAST_ROWS) & F.col("row").isNotNull())
-    lines = good.groupBy(*KEY, "row", "_r").agg(F.first("_all").alias("_all"), F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", "text", "wx0", "wy0", "wx1", "wy1"))).alias("_said"))
-    whole = F.transform("_all", lambda c: F.struct(c["col"].alias("col"), c["_c"].alias("c"), F.get(F.filter("_said", lambda x: x["col"] == c["col"]), 0).alias("w")))
-    cells = lines.select(*KEY, "row", "_r", F.explode(whole).alias("_x")).select(*KEY, "row", F.col("_x.col").alias("col"), F.coalesce("_x.w.text", F.lit("")).alias("text"), *[F.round(F.coalesce(f"_x.w.w{e}", f"{of}.{e}"), 2).alias(e) for e, of in (("x0", "_x.c"), ("y0", "_r"), ("x1", "_x.c"), ("y1", "_r"))])
-    named = F.min(F.when(F.col("row") == 0, F.length(F.trim("text")))).over(table) > 0
-    head = F.max(F.when(F.col("row") == 0, F.col("text"))).over(Window.partitionBy(*KEY, "col"))
-    return cells.select(*KEY, "row", "col", F.when(named, head).otherwise(F.concat(F.lit("col"), F.col("col") + 1)).alias("column"), "text", "x0", "y0", "x1", "y1")
+    in_column = lambda x, c: x["centre"].between(c["x0"] - 0.5, c["x1"] + 0.5)
+    in_row = lambda x, r: x["top"].between(r["y0"] - 1, r["y1"] + 1)
+    on_table = lambda x: x["centre"].between(F.col("tx0") - 0.5, F.col("tx1") + 0.5)
+    of_row = lambda r: F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"), F.filter("_words", lambda x: in_row(x, r)).alias("said"))
+    has_word = lambda test: F.exists("_words", test)
+    tables = tables.withColumns({"_columns": F.filter("_columns", lambda c: has_word(lambda x: in_column(x, c))), "_rows": F.filter("_rows", lambda r: has_word(lambda x: in_row(x, r) & on_table(x)))})
+    tables = tables.withColumn("_rows", F.when((F.size("_columns") >= LEAST_COLUMNS) & (F.size("_rows") >= LEAST_ROWS), F.transform("_rows", of_row)))
+    line = lambda found: F.array_join(found["text"], " ")
+    head = F.transform("_columns", lambda c: line(F.filter(F.get("_rows", 0)["said"], lambda x: in_column(x, c))))
+    tables = tables.withColumn("_head", head).withColumn("_head", F.when(F.forall("_head", lambda h: F.length(F.trim(h)) > 0), F.col("_head")))
+    # A filter of tables, and the one that Spark puts before an explode that is no outer one, would go below all this and make it again for itself.
+    lines = tables.select(*KEY, "_columns", "_head", F.posexplode_outer("_rows").alias("row", "_r")).filter("row IS NOT NULL")
+    held = lines.select(*KEY, "row", "_head", "_r.y0", "_r.y1", F.posexplode_outer(F.transform("_columns", lambda c: F.struct(c["x0"].alias("x0"), c["x1"].alias("x1"), F.filter("_r.said", lambda x: in_column(x, c)).alias("w")))).alias("col", "_c"))
+    column = F.coalesce(F.get("_head", F.col("col")), F.concat(F.lit("col"), F.col("col") + 1))
+    edge = lambda found, own: F.round(F.coalesce(found, F.col(own)), 2)
+    return held.select(*KEY, "row", "col", column.alias("column"), line(F.col("_c.w")).alias("text"), edge(F.array_min("_c.w.left"), "_c.x0").alias("x0"), edge(F.array_min("_c.w.top"), "y0").alias("y0"), edge(F.array_max("_c.w.right"), "_c.x1").alias("x1"), edge(F.array_max("_c.w.bottom"), "y1").alias("y1"))
 
 
 def normalise_grid(cells: DataFrame, key: list[str] = KEY) -> DataFrame:

@@ -27,20 +27,21 @@ def order_lines(t):
 def ruled_page(t):
     """rects and words. Cells have an inner and an outer frame, padding strips lie between, a column and a row hold no word, second lines
     of wrapped cells are rows of their own inside the first's band, and a callout of one cell stands below."""
-    rows = order_lines(t).select(F.col("l_orderkey").alias("doc_id"), "nth", F.col("l_linenumber").cast("string").alias("a"), F.col("l_partkey").cast("string").alias("b"), F.col("l_linestatus").alias("c"))
-    heads = rows.select("doc_id").distinct().select("doc_id", F.lit(0).alias("nth"), F.lit("no").alias("a"), F.lit("key").alias("b"), F.lit("status").alias("c"))
-    rows = rows.union(heads).withColumn("y", F.col("nth") * 30.0 + 50)
-    word = lambda k, text, left, down=0.0: F.struct(F.lit(k).alias("word_idx"), text.alias("text"), F.lit(left).alias("left"), (F.col("y") + 4 + down).alias("top"))
-    words = rows.select("doc_id", "nth", F.explode(F.array(word(0, F.col("a"), 12.0), word(1, F.lit("part"), 72.0), word(2, F.col("b"), 72.0, 13.0), word(3, F.col("c"), 175.0))).alias("w"))
-    words = words.select("doc_id", F.lit(1).alias("page"), (F.col("nth") * 10 + F.col("w.word_idx")).alias("word_idx"), "w.text", "w.left", "w.top", F.lit(20.0).alias("width"), F.lit(8.0).alias("height"))
-    rect = lambda r, x0, y0, x1, y1: F.struct(r.alias("row"), F.lit(x0).alias("x0"), (F.col("y") + y0).alias("y0"), F.lit(x1).alias("x1"), (F.col("y") + y1).alias("y1"))
-    own = F.col("nth") * 3
+    row = lambda nth, a, b, c: F.struct(nth.alias("nth"), a.alias("a"), b.alias("b"), c.alias("c"))
+    line = row(F.col("nth"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_linestatus"))
+    both = F.when(F.col("nth") == 1, F.array(row(F.lit(0), F.lit("no"), F.lit("key"), F.lit("status")), line)).otherwise(F.array(line))  # the header is over the first line
+    rows = order_lines(t).select(F.col("l_orderkey").alias("doc_id"), F.explode_outer(both).alias("r")).select("doc_id", "r.*").withColumn("y", F.col("nth") * 30.0 + 50)
+    at_top = lambda made, more: F.when(F.col("nth") == 0, F.concat(F.array(*made), F.array(more))).otherwise(F.array(*made))
+    word = lambda k, text, left, top: F.struct(k.alias("word_idx"), text.alias("text"), F.lit(left).alias("left"), top.alias("top"))
+    own = lambda k, text, left, down=0.0: word(F.col("nth") * 10 + k, text, left, F.col("y") + 4 + down)
+    said = at_top([own(0, F.col("a"), 12.0), own(1, F.lit("part"), 72.0), own(2, F.col("b"), 72.0, 13.0), own(3, F.col("c"), 175.0)], word(F.lit(-1), F.lit("note"), 12.0, F.lit(22.0)))
+    words = rows.select("doc_id", F.explode_outer(said).alias("w")).select("doc_id", F.lit(1).alias("page"), "w.*", F.lit(20.0).alias("width"), F.lit(8.0).alias("height"))
+    rect = lambda r, x0, y0, x1, y1, table=0: F.struct(F.lit(table).alias("table_id"), r.alias("row"), F.lit(x0).alias("x0"), y0.alias("y0"), F.lit(x1).alias("x1"), y1.alias("y1"))
+    cell = lambda r, x0, y0, x1, y1: rect(F.col("nth") * 3 + r, x0, F.col("y") + y0, x1, F.col("y") + y1)
     columns = [(10.0, 60.0), (70.0, 160.0), (170.0, 260.0), (270.0, 300.0)]  # nothing is written in the last
-    made = [rect(own, x0, 0.0, x1, 28.0) for x0, x1 in columns] + [rect(own, 68.04, 0.0, 162.0, 28.0), rect(own, 62.0, 0.0, 68.0, 28.0), rect(own + 1, 70.0, 14.0, 160.0, 28.0)]
-    rects = rows.select("doc_id", F.explode(F.array(*made)).alias("r")).select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("table_id"), "r.*")
-    below = rows.filter("nth = 0").select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("table_id"), F.lit(0).alias("row"), F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(260.0).alias("x1"), F.lit(30.0).alias("y1"))
-    callout = rows.filter("nth = 0").select("doc_id", F.lit(1).alias("page"), F.lit(-1).alias("word_idx"), F.lit("note").alias("text"), F.lit(12.0).alias("left"), F.lit(22.0).alias("top"), F.lit(20.0).alias("width"), F.lit(8.0).alias("height"))
-    return rects.unionByName(below), words.unionByName(callout)
+    made = [cell(0, x0, 0.0, x1, 28.0) for x0, x1 in columns] + [cell(0, 68.04, 0.0, 162.0, 28.0), cell(0, 62.0, 0.0, 68.0, 28.0), cell(1, 70.0, 14.0, 160.0, 28.0)]
+    rects = rows.select("doc_id", F.explode_outer(at_top(made, rect(F.lit(0), 10.0, F.lit(20.0), 260.0, F.lit(30.0), 1))).alias("r")).select("doc_id", F.lit(1).alias("page"), "r.*")
+    return rects, words
 
 
 RULED = f"""WITH l AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INTEGER) AS nth, CAST(l_linenumber AS VARCHAR) AS a, 'part ' || l_partkey AS b, l_linestatus AS c FROM ({ONCE})),
